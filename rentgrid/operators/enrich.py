@@ -38,8 +38,9 @@ def text_columns(d):
     }
 
 
-def enrich_stages(d, prefilter_neighbourhood: bool = False) -> tuple[list[dict], dict]:
-    """(stages, final projection) over a relation with the listing columns."""
+def enrich_stages(d, prefilter_neighbourhood: bool = False, extra: tuple[str, ...] = ()) -> tuple[list[dict], dict]:
+    """(stages, final projection) over a relation with the listing columns;
+    ``extra`` columns pass through unchanged."""
     s1 = text_columns(d)
     pre, parsed = parsed_fields(d, d.col(TEXT_COL), d.col("_text_raw"), d.col("_text_loc"),
                                 prefilter_neighbourhood)
@@ -74,17 +75,20 @@ def enrich_stages(d, prefilter_neighbourhood: bool = False) -> tuple[list[dict],
             final[name] = d.case([(is_post, d.col(name))], d.coalesce(d.col(name), derived_laundry))
         else:
             final[name] = d.col(name)
+    for name in extra:
+        final[name] = d.col(name)
     return [s1, pre, s2, s3], final
 
 
 def enrich(listings: DataFrame, prefilter_neighbourhood: bool = False) -> DataFrame:
     """Add the derived columns to a listing DataFrame (narrow, no shuffle)."""
-    stages, final = enrich_stages(SPARK, prefilter_neighbourhood)
-    return apply_stages(listings.select(*LISTING_COLUMNS), stages, final)
+    extra = tuple(c for c in listings.columns if c not in LISTING_COLUMNS)
+    stages, final = enrich_stages(SPARK, prefilter_neighbourhood, extra)
+    return apply_stages(listings, stages, final)
 
 
 def enrich_sql(listing_relation: str) -> str:
-    stages, final = enrich_stages(DUCK)
+    stages, final = enrich_stages(DUCK, extra=("listing_key", "snapshot_no"))
     return stages_sql(listing_relation, stages, final)
 
 

@@ -31,4 +31,8 @@ def with_ctes(body: str, *names: str) -> str:
     for n in names:
         need.update(order[: order.index(n) + 1])
     parts = [f"{n} AS (\n{ctes[n]}\n)" for n in order if n in need]
+    body = body.lstrip()
+    if body[:4].upper() == "WITH" and body[4:5].isspace():
+        # the query brings its own CTEs: chain them after the shared ones
+        return ("WITH " + ",\n".join(parts) + ",\n" + body[5:]) if parts else body
     return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body

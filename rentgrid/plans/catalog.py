@@ -84,3 +84,254 @@ def _one_column(col: str):
 for _name, _ in PARSED_COLUMNS:
     register(f"derive_{_name}", with_ctes(f"SELECT id, extracted_at, {_name} FROM enriched", "enriched"))(
         _one_column(_name))
+
+
+# --------------------------------------------------------------------------
+# Reads: filters, top-k, projections
+# --------------------------------------------------------------------------
+from rentgrid.functions import patterns as P  # noqa: E402
+from rentgrid.operators import dedup, query, state, stats  # noqa: E402
+from rentgrid.session import read_table  # noqa: E402
+from rentgrid.sources.fixture import AS_OF  # noqa: E402
+
+_LISTING_SQL_COLS = _listing_projection_sql()
+
+
+@register("get_listings_filtered", with_ctes(f"""
+SELECT {_LISTING_SQL_COLS} FROM enriched
+WHERE listing_type = 'room_private' AND price >= 500 AND price <= 2000
+ORDER BY extracted_at DESC, id, price LIMIT 100""", "enriched"))
+def get_listings_filtered(spark, sf_dir):
+    return _listing_projection(query.get_listings(enriched(spark, sf_dir), listing_type="room_private",
+                                                  min_price=500, max_price=2000, limit=100))
+
+
+@register("get_listings_source_only", with_ctes(f"""
+SELECT {_LISTING_SQL_COLS} FROM enriched WHERE source = 'kijiji'
+ORDER BY extracted_at DESC, id, price LIMIT 100""", "enriched"))
+def get_listings_source_only(spark, sf_dir):
+    # falsy bounds (0) mean "no bound"
+    return _listing_projection(query.get_listings(enriched(spark, sf_dir), source="kijiji",
+                                                  min_price=0, max_price=0))
+
+
+@register("capture_price_bounds", with_ctes("""
+SELECT listing_key, id, price FROM listings WHERE price >= 800 AND price <= 1500""", "listings"))
+def capture_price_bounds(spark, sf_dir):
+    return query.with_price_bounds(listings(spark, sf_dir), 800, 1500).select("listing_key", "id", "price")
+
+
+@register("titled_listings", with_ctes("""
+SELECT listing_key, title FROM listings WHERE length(title) > 0""", "listings"))
+def titled_listings(spark, sf_dir):
+    return query.has_title(listings(spark, sf_dir)).select("listing_key", "title")
+
+
+@register("sorted_by_price", with_ctes("""
+SELECT listing_key, id, price FROM listings WHERE price IS NOT NULL AND price <> 0
+ORDER BY price, id""", "listings"))
+def sorted_by_price(spark, sf_dir):
+    return query.sorted_by_price(listings(spark, sf_dir)).select("listing_key", "id", "price")
+
+
+@register("first_per_source", with_ctes("""
+SELECT listing_key, source, id FROM listings WHERE snapshot_no = 0
+QUALIFY row_number() OVER (PARTITION BY source ORDER BY listing_key) <= 50""", "listings"))
+def first_per_source(spark, sf_dir):
+    first = listings(spark, sf_dir).filter(F.col("snapshot_no") == 0)
+    return query.first_per_source(first, 50, ["listing_key"]).select("listing_key", "source", "id")
+
+
+# --------------------------------------------------------------------------
+# Aggregations
+# --------------------------------------------------------------------------
+_POSITIONS_SQL = """
+WITH p AS (SELECT {g}price FROM enriched WHERE price IS NOT NULL AND price <> 0),
+h AS (SELECT {g}price, count(*) AS c FROM p GROUP BY {g}price),
+c AS (SELECT {g}price, sum(c) OVER (PARTITION BY {gp} ORDER BY price ROWS UNBOUNDED PRECEDING) AS cum,
+             sum(c) OVER (PARTITION BY {gp}) AS n FROM h),
+q AS (SELECT {g}min(CASE WHEN cum > floor(n * 1 / 2) THEN price END) AS median_price,
+             min(CASE WHEN cum > floor(n * 1 / 4) THEN price END) AS p25_price,
+             min(CASE WHEN cum > floor(n * 3 / 4) THEN price END) AS p75_price FROM c {gb}),
+b AS (SELECT {g}count(*) AS listings, count(pp) AS priced, min(pp) AS min_price, max(pp) AS max_price,
+             round(avg(pp), 2) AS avg_price
+      FROM (SELECT {g}CASE WHEN price <> 0 THEN price END AS pp FROM enriched) t {gb})
+SELECT b.*, q.median_price, q.p25_price, q.p75_price FROM b LEFT JOIN q ON {on}
+"""
+
+
+@register("price_summary", with_ctes(_POSITIONS_SQL.format(g="", gp="1", gb="", on="TRUE"), "enriched"))
+def price_summary(spark, sf_dir):
+    return stats.price_summary(enriched(spark, sf_dir))
+
+
+@register("price_summary_by_source", with_ctes(_POSITIONS_SQL.format(
+    g="source, ", gp="source", gb="GROUP BY source", on="b.source = q.source"), "enriched"))
+def price_summary_by_source(spark, sf_dir):
+    return stats.price_summary(enriched(spark, sf_dir), ["source"])
+
+
+@register("count_by_source", with_ctes("SELECT source, count(*) AS listings FROM enriched GROUP BY source",
+                                       "enriched"))
+def count_by_source(spark, sf_dir):
+    return stats.count_by(enriched(spark, sf_dir), "source")
+
+
+@register("count_by_type", with_ctes(
+    "SELECT listing_type, count(*) AS listings FROM enriched GROUP BY listing_type", "enriched"))
+def count_by_type(spark, sf_dir):
+    return stats.count_by(enriched(spark, sf_dir), "listing_type")
+
+
+@register("price_coverage", with_ctes("""
+SELECT count(CASE WHEN price <> 0 THEN price END) AS priced, count(*) AS listings,
+       round(count(CASE WHEN price <> 0 THEN price END) / count(*), 4) AS coverage FROM listings""", "listings"))
+def price_coverage(spark, sf_dir):
+    return stats.price_coverage(listings(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# Set operations and deduplication
+# --------------------------------------------------------------------------
+@register("union_sources", with_ctes("SELECT listing_key, source, id FROM listings", "listings"))
+def union_sources(spark, sf_dir):
+    df = listings(spark, sf_dir)
+    parts = [df.filter(F.col("source") == s) for s in P.SOURCES]
+    return dedup.union_sources(parts).select("listing_key", "source", "id")
+
+
+@register("merge_snapshots", with_ctes("""
+SELECT coalesce(id, url, '') AS merge_key, id, url, snapshot_no, listing_key, price, title FROM enriched
+QUALIFY row_number() OVER (PARTITION BY coalesce(id, url, '') ORDER BY snapshot_no DESC, listing_key DESC) = 1
+""", "enriched"))
+def merge_snapshots(spark, sf_dir):
+    merged = dedup.merge_snapshots(enriched(spark, sf_dir))
+    return merged.select(F.coalesce("id", "url", F.lit("")).alias("merge_key"), "id", "url", "snapshot_no",
+                         "listing_key", "price", "title")
+
+
+@register("latest_snapshot", with_ctes("""
+SELECT listing_key, id FROM listings WHERE snapshot_no = (SELECT max(snapshot_no) FROM listings)""", "listings"))
+def latest_snapshot(spark, sf_dir):
+    return dedup.latest_snapshot(listings(spark, sf_dir)).select("listing_key", "id")
+
+
+@register("dedup_posts", f"""
+SELECT doc_id, n_chars FROM documents WHERE text IS NOT NULL AND length(text) > 0
+QUALIFY row_number() OVER (PARTITION BY substr(text, 1, {P.POST_DEDUP_PREFIX_CHARS}) ORDER BY doc_id) = 1
+""")
+def dedup_posts(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    return dedup.dedup_posts(docs, "text", "doc_id", P.POST_DEDUP_PREFIX_CHARS).select("doc_id", "n_chars")
+
+
+# --------------------------------------------------------------------------
+# Keyed state
+# --------------------------------------------------------------------------
+_SOURCE_RANK = "CASE source WHEN 'craigslist' THEN 1 WHEN 'kijiji' THEN 2 ELSE 3 END"
+
+
+def _batches(spark, sf_dir) -> DataFrame:
+    """Enriched listings as ordered batches: batch = snapshot, run id per
+    (snapshot, source), apply order = (snapshot, capture position)."""
+    df = enriched(spark, sf_dir)
+    rank = F.expr(_SOURCE_RANK)
+    return df.withColumn("scrape_run_id", (F.col("snapshot_no") * 3 + rank).cast("bigint")) \
+             .withColumn("_seq", F.col("snapshot_no").cast("bigint") * F.lit(10 ** 12) + F.col("listing_key"))
+
+
+def _state_sql_cols() -> str:
+    from rentgrid.schema import FIRST_WRITER_COLUMNS, LAST_WRITER_COLUMNS, STATE_FIELDS
+    cols = []
+    for n, _ in STATE_FIELDS:
+        if n == "id":
+            cols.append("id")
+            continue
+        fn = "arg_min_null" if n in FIRST_WRITER_COLUMNS else "arg_max_null"
+        val = "array_to_string(image_urls, '|')" if n == "image_urls" else n
+        cols.append(f"{fn}({val}, seq) AS {n}")
+    return ", ".join(cols)
+
+
+_BATCHES_SQL = f"""b AS (SELECT *, CAST(snapshot_no * 3 + {_SOURCE_RANK} AS BIGINT) AS scrape_run_id,
+                 CAST(snapshot_no AS BIGINT) * 1000000000000 + listing_key AS seq FROM enriched)"""
+
+
+@register("upsert_state", with_ctes(f"""WITH {_BATCHES_SQL}
+SELECT {_state_sql_cols()} FROM b GROUP BY id""", "enriched"))
+def upsert_state(spark, sf_dir):
+    out = state.upsert(None, _batches(spark, sf_dir), "_seq")
+    return out.withColumn("image_urls", F.array_join("image_urls", "|"))
+
+
+@register("price_history_listings", with_ctes("""
+SELECT id AS listing_id, CAST(price AS INTEGER) AS price, min(extracted_at) AS observed_at
+FROM enriched WHERE price IS NOT NULL AND price <> 0 GROUP BY id, price""", "enriched"))
+def price_history_listings(spark, sf_dir):
+    obs = state.price_observations(enriched(spark, sf_dir), F.col("extracted_at"))
+    return state.first_seen_prices(obs)
+
+
+_EVENT_OBS_SQL = """SELECT CAST(user_id AS VARCHAR) AS listing_id, CAST(floor(value) AS INTEGER) AS price,
+       ts AS observed_at FROM events WHERE CAST(floor(value) AS INTEGER) <> 0"""
+
+
+def _event_observations(spark, sf_dir) -> DataFrame:
+    ev = read_table(spark, sf_dir, "events").select("user_id", "value", "ts")
+    return (ev.select(F.col("user_id").cast("string").alias("listing_id"),
+                      F.floor("value").cast("int").alias("price"), F.col("ts").alias("observed_at"))
+              .filter(F.col("price") != 0))
+
+
+@register("price_history_events", f"""
+SELECT listing_id, price, min(observed_at) AS observed_at FROM ({_EVENT_OBS_SQL}) o GROUP BY listing_id, price""")
+def price_history_events(spark, sf_dir):
+    return state.first_seen_prices(_event_observations(spark, sf_dir))
+
+
+@register("price_log_increment", f"""
+WITH o AS ({_EVENT_OBS_SQL}),
+hist AS (SELECT DISTINCT listing_id, price FROM o WHERE observed_at < TIMESTAMP '2024-01-20'),
+batch AS (SELECT listing_id, price, min(observed_at) AS observed_at FROM o
+          WHERE observed_at >= TIMESTAMP '2024-01-20' GROUP BY listing_id, price)
+SELECT * FROM batch WHERE NOT EXISTS (
+  SELECT 1 FROM hist WHERE hist.listing_id = batch.listing_id AND hist.price = batch.price)""")
+def price_log_increment(spark, sf_dir):
+    obs = _event_observations(spark, sf_dir)
+    cut = F.lit("2024-01-20").cast("timestamp")
+    history = state.first_seen_prices(obs.filter(F.col("observed_at") < cut))
+    return state.price_log_increment(history, obs.filter(F.col("observed_at") >= cut))
+
+
+@register("run_log", with_ctes(f"""WITH
+runs AS (SELECT DISTINCT snapshot_no, source FROM enriched)
+SELECT CAST(r.snapshot_no * 3 + {_SOURCE_RANK.replace('source', 'r.source')} AS BIGINT) AS id,
+       TIMESTAMP '{AS_OF}' + to_days(CAST(r.snapshot_no AS INTEGER)) AS started_at,
+       TIMESTAMP '{AS_OF}' + to_days(CAST(r.snapshot_no AS INTEGER)) + INTERVAL 5 MINUTE AS finished_at,
+       r.source, count(e.id) AS listings_found, 'completed' AS status
+FROM runs r LEFT JOIN enriched e ON e.snapshot_no = r.snapshot_no AND e.source = r.source
+GROUP BY r.snapshot_no, r.source""", "enriched"))
+def run_log(spark, sf_dir):
+    df = enriched(spark, sf_dir)
+    runs = df.select("snapshot_no", "source").distinct()
+    run_ids = runs.select(
+        "snapshot_no", "source",
+        (F.col("snapshot_no") * 3 + F.expr(_SOURCE_RANK)).cast("bigint").alias("id"),
+        (F.lit(AS_OF).cast("timestamp") + F.make_dt_interval(F.col("snapshot_no"))).alias("started_at"),
+        (F.lit(AS_OF).cast("timestamp") + F.make_dt_interval(F.col("snapshot_no"), F.lit(0), F.lit(5)))
+        .alias("finished_at"))
+    counts = df.groupBy("snapshot_no", "source").agg(F.count(F.lit(1)).alias("listings_found"))
+    return (run_ids.join(counts, ["snapshot_no", "source"], "left")
+                   .select("id", "started_at", "finished_at", "source",
+                           F.coalesce("listings_found", F.lit(0)).cast("bigint").alias("listings_found"),
+                           F.lit("completed").alias("status")))
+
+
+@register("orphan_price_history", with_ctes("""
+SELECT p.listing_id, p.price FROM (SELECT DISTINCT id AS listing_id, price FROM enriched
+  WHERE price IS NOT NULL AND price <> 0) p
+WHERE NOT EXISTS (SELECT 1 FROM enriched s WHERE s.id = p.listing_id)""", "enriched"))
+def orphan_price_history(spark, sf_dir):
+    hist = state.first_seen_prices(state.price_observations(enriched(spark, sf_dir), F.col("extracted_at")))
+    st = state.upsert(None, _batches(spark, sf_dir), "_seq")
+    return state.orphans(hist, "listing_id", st, "id").select("listing_id", "price")

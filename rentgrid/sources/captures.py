@@ -115,7 +115,11 @@ def decode_stages(d, as_of) -> tuple[list[dict], dict]:
     for name, sql_type in PARSED_COLUMNS:
         if name not in cols:
             cols[name] = d.null(sql_type)
-    return stages, {name: cols[name] for name, _ in LISTING_FIELDS}
+    final = {name: cols[name] for name, _ in LISTING_FIELDS}
+    # capture metadata kept for snapshot merge, upsert order and run logs
+    final["listing_key"] = d.col("listing_key")
+    final["snapshot_no"] = d.col("snapshot_no")
+    return stages, final
 
 
 def decode(raw: DataFrame, as_of: str) -> DataFrame:
