@@ -184,6 +184,11 @@ class SparkDialect:
     def strip(self, x: Column) -> Column:
         return self.regexp_replace(x, STRIP_PATTERN, "")
 
+    def word_view(self, x: Column) -> Column:
+        """Text as seen by word-boundary rules; Java's \\b already treats
+        accented letters as word characters, like Python."""
+        return x
+
     # -- fixture and plumbing helpers --
     def pick(self, key: Column, values: list[str]) -> Column:
         """values[key mod len(values)]"""
@@ -390,6 +395,12 @@ class DuckDialect:
     def strip(self, x: str) -> str:
         return self.regexp_replace(x, STRIP_PATTERN, "")
 
+    def word_view(self, x: str) -> str:
+        """RE2's \\b is ASCII-only.  Rules are ASCII, so mapping every
+        non-ASCII letter or digit to 'x' gives the word boundaries Python
+        sees without changing any match of an ASCII literal."""
+        return f"regexp_replace({x}, '[^\\x00-\\x7f\\PL]|[^\\x00-\\x7f\\PN]', 'x', 'g')"
+
     # -- fixture and plumbing helpers --
     def pick(self, key: str, values: list[str]) -> str:
         items = ", ".join(sql_str(v) for v in values)

@@ -147,7 +147,8 @@ def bathrooms(d, text, pre: dict, tag: str = "_baths"):
     return d.case([(d.between(v, lo_b, hi_b), d.ceil_int(v))], d.null("int"))
 
 
-def parsed_fields(d, text, raw_text, loc_text, prefilter_neighbourhood: bool = False) -> tuple[dict, dict]:
+def parsed_fields(d, text, raw_text, loc_text, prefilter_neighbourhood: bool = False,
+                  word_text=None, word_loc=None) -> tuple[dict, dict]:
     """All 37 derived columns as ``(pre, fields)``: ``pre`` holds numbers that
     range guards read twice (project it first), ``fields`` the columns.
 
@@ -157,16 +158,20 @@ def parsed_fields(d, text, raw_text, loc_text, prefilter_neighbourhood: bool = F
     """
     pre: dict = {}
     out = {}
+    # ``words``: the text for rules that test word boundaries (see
+    # dialect.word_view); captured text is always read from ``text``.
+    words = word_text if word_text is not None else text
+    loc_words = word_loc if word_loc is not None else loc_text
     for name, rules in P.CHAIN_RULES.items():
-        out[name] = chain(d, text, rules, sql_type=PARSED_TYPES[name])
-    out["age_range_min"], out["age_range_max"] = age_range(d, text, pre)
+        out[name] = chain(d, words, rules, sql_type=PARSED_TYPES[name])
+    out["age_range_min"], out["age_range_max"] = age_range(d, words, pre)
     out["min_lease_months"] = min_lease_months(d, text, pre)
     out["available_from"] = available_from(d, text)
     out["price_min"], out["price_max"] = price_range(d, raw_text, pre)
     out["transit_description"] = transit_description(d, text)
-    out["num_bedrooms"] = bedrooms(d, text, pre)
-    out["num_bathrooms"] = bathrooms(d, text, pre)
-    out["neighbourhood"] = neighbourhood(d, loc_text, prefilter_neighbourhood)
+    out["num_bedrooms"] = bedrooms(d, words, pre)
+    out["num_bathrooms"] = bathrooms(d, words, pre)
+    out["neighbourhood"] = neighbourhood(d, loc_words, prefilter_neighbourhood)
     return pre, {name: out[name] for name, _ in PARSED_COLUMNS}
 
 

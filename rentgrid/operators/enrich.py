@@ -42,8 +42,11 @@ def enrich_stages(d, prefilter_neighbourhood: bool = False, extra: tuple[str, ..
     """(stages, final projection) over a relation with the listing columns;
     ``extra`` columns pass through unchanged."""
     s1 = text_columns(d)
+    spark = d.name == "spark"
+    s1w = {} if spark else {"_text_w": d.word_view(d.col(TEXT_COL)), "_loc_w": d.word_view(d.col("_text_loc"))}
     pre, parsed = parsed_fields(d, d.col(TEXT_COL), d.col("_text_raw"), d.col("_text_loc"),
-                                prefilter_neighbourhood)
+                                prefilter_neighbourhood,
+                                None if spark else d.col("_text_w"), None if spark else d.col("_loc_w"))
     s2 = {f"_p_{name}": expr for name, expr in parsed.items()}
     is_post = d.eq(d.col("source"), "facebook")
     s3 = {}
@@ -77,7 +80,8 @@ def enrich_stages(d, prefilter_neighbourhood: bool = False, extra: tuple[str, ..
             final[name] = d.col(name)
     for name in extra:
         final[name] = d.col(name)
-    return [s1, pre, s2, s3], final
+    stages = [s1, pre, s2, s3] if spark else [s1, s1w, pre, s2, s3]
+    return stages, final
 
 
 def enrich(listings: DataFrame, prefilter_neighbourhood: bool = False) -> DataFrame:
@@ -106,3 +110,15 @@ def parse_text(df: DataFrame, title: str, description: str, location: str | None
     final = {c: F.col(c) for c in keep}
     final.update(parsed)
     return apply_stages(staged, [pre], final)
+
+
+def parse_text_sql(relation: str, title_sql: str, description_sql: str, keep: list[str]) -> str:
+    """DuckDB form of :func:`parse_text` (oracle)."""
+    d = DUCK
+    raw = f"({title_sql} || ' ' || {description_sql})"
+    s1 = {TEXT_COL: f"lower({raw})", "_text_raw": raw, "_text_loc": f"('' || ' ' || {raw})"}
+    s1w = {"_text_w": d.word_view(TEXT_COL), "_loc_w": d.word_view("_text_loc")}
+    pre, parsed = parsed_fields(d, TEXT_COL, "_text_raw", "_text_loc", word_text="_text_w", word_loc="_loc_w")
+    final = {c: c for c in keep}
+    final.update(parsed)
+    return stages_sql(relation, [s1, s1w, pre], final)

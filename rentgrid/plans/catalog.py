@@ -335,3 +335,155 @@ def orphan_price_history(spark, sf_dir):
     hist = state.first_seen_prices(state.price_observations(enriched(spark, sf_dir), F.col("extracted_at")))
     st = state.upsert(None, _batches(spark, sf_dir), "_seq")
     return state.orphans(hist, "listing_id", st, "id").select("listing_id", "price")
+
+
+# --------------------------------------------------------------------------
+# Text sources: documents, conversations, pages, model answers
+# (A8-A12, A16, A17, H3, G3 on posts)
+# --------------------------------------------------------------------------
+from rentgrid.functions.dialect import DUCK  # noqa: E402
+from rentgrid.functions.extract import clean_text, neighbourhood  # noqa: E402
+from rentgrid.operators.enrich import parse_text, parse_text_sql  # noqa: E402
+from rentgrid.session import rebalance  # noqa: E402
+from rentgrid.sources import posts  # noqa: E402
+from rentgrid.sources.fixture import model_answers, model_answers_sql  # noqa: E402
+
+
+def _documents(spark, sf_dir) -> DataFrame:
+    return rebalance(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
+@register("enrich_documents", parse_text_sql("documents", "''", "text", ["doc_id"]))
+def enrich_documents(spark, sf_dir):
+    """All 37 derived columns over every whole document text."""
+    docs = _documents(spark, sf_dir).withColumn("title", F.lit(""))
+    return parse_text(docs, "title", "text", keep=["doc_id"])
+
+
+@register("clean_documents", f"SELECT doc_id, {clean_text(DUCK, 'text')} AS text FROM documents")
+def clean_documents(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    from rentgrid.functions.dialect import SPARK
+    return docs.select("doc_id", clean_text(SPARK, F.col("text")).alias("text"))
+
+
+_STRIP_SQL = DUCK.strip("piece")
+
+
+@register("split_dumps", f"""
+SELECT doc_id, pos, length(post) AS post_chars FROM (
+  SELECT doc_id, pos, {DUCK.strip('piece')} AS post FROM (
+    SELECT doc_id, unnest(string_split(text, '{P.DUMP_SEPARATOR}')) AS piece,
+           unnest(range(len(string_split(text, '{P.DUMP_SEPARATOR}')))) AS pos FROM documents) s) t
+WHERE length(post) > 0""")
+def split_dumps(spark, sf_dir):
+    out = posts.split_dumps(_documents(spark, sf_dir), "doc_id", "text")
+    return out.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.length("post").alias("post_chars"))
+
+
+def _conversation_posts(spark, sf_dir) -> DataFrame:
+    conv = rebalance(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id")
+    return posts.normalize_posts(conv, "text")
+
+
+_NORMALIZED_POSTS_SQL = ("SELECT conv_id, turn, " +
+                         DUCK.strip(DUCK.regexp_replace("text", P.POST_NEWLINES_PATTERN, "\n\n")) +
+                         " AS text FROM conversations")
+
+
+@register("normalize_posts", f"SELECT conv_id, turn, text FROM ({_NORMALIZED_POSTS_SQL}) p")
+def normalize_posts(spark, sf_dir):
+    return _conversation_posts(spark, sf_dir).select("conv_id", "turn", "text")
+
+
+@register("extraction_candidates", f"""
+SELECT conv_id, turn, length(text) AS chars FROM ({_NORMALIZED_POSTS_SQL}) p
+WHERE length({DUCK.strip('text')}) >= {P.MIN_POST_CHARS}""")
+def extraction_candidates(spark, sf_dir):
+    cand = posts.extraction_candidates(_conversation_posts(spark, sf_dir), "text")
+    return cand.select("conv_id", "turn", F.length("text").alias("chars"))
+
+
+@register("dedup_conversation_posts", f"""
+SELECT conv_id, turn FROM ({_NORMALIZED_POSTS_SQL}) p WHERE length(text) > 0
+QUALIFY row_number() OVER (PARTITION BY substr(text, 1, {P.POST_DEDUP_PREFIX_CHARS}) ORDER BY conv_id, turn) = 1""")
+def dedup_conversation_posts(spark, sf_dir):
+    p = _conversation_posts(spark, sf_dir)
+    return dedup.keep_by(p.filter(F.length("text") > 0), F.substring("text", 1, P.POST_DEDUP_PREFIX_CHARS),
+                         ["conv_id", "turn"], last=False).select("conv_id", "turn")
+
+
+def _answers_sql() -> str:
+    d = DUCK
+    t = d.strip("answer")
+    lines = f"string_split({t}, chr(10))"
+    body = (f"CASE WHEN starts_with({t}, '```') THEN CASE WHEN len({lines}) > 2 "
+            f"THEN array_to_string(({lines})[2:len({lines}) - 1], chr(10)) ELSE '' END ELSE {t} END")
+    j = lambda k: f"json_extract_string(body, '$.{k}')"
+    title = f"coalesce({j('title')}, 'Facebook listing')"
+    location = f"coalesce({j('location')}, '')"
+    description = f"coalesce({j('description')}, '')"
+    ltype = f"coalesce({j('listing_type')}, 'other')"
+    types = ", ".join(f"'{t}'" for t in P.LISTING_TYPES)
+    loc_text = f"({location} || ' ' || {title} || ' ' || {description})"
+    return f"""
+WITH a AS ({model_answers_sql()}),
+u AS (SELECT listing_key, post_url, {body} AS body FROM a),
+v AS (SELECT * FROM u WHERE json_valid(body) AND json_type(body) = 'OBJECT'
+      AND coalesce(TRY_CAST(json_extract(body, '$.is_offering') AS BOOLEAN), false))
+SELECT listing_key, post_url AS url, 'facebook' AS source, {title} AS title,
+       TRY_CAST(json_extract(body, '$.price') AS INTEGER) AS price, {location} AS location,
+       {description} AS description,
+       CASE WHEN {ltype} IN ({types}) THEN {ltype} ELSE 'other' END AS listing_type,
+       TRY_CAST({j('available_date')} AS TIMESTAMP) AS available_date,
+       TRY_CAST(json_extract(body, '$.num_bedrooms') AS INTEGER) AS num_bedrooms,
+       TRY_CAST(json_extract(body, '$.pets_allowed') AS BOOLEAN) AS pets_allowed,
+       {neighbourhood(d, loc_text)} AS neighbourhood
+FROM v"""
+
+
+@register("decode_model_answers", with_ctes(_answers_sql(), "listing_raw"))
+def decode_model_answers(spark, sf_dir):
+    return posts.decode_answers(model_answers(spark, sf_dir), "listing_key", "answer", "post_url")
+
+
+@register("page_fields", r"""
+SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+       regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
+       len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS links,
+       length(html) AS html_chars FROM pages""")
+def page_fields(spark, sf_dir):
+    pages = rebalance(read_table(spark, sf_dir, "pages"), "page_id")
+    return pages.select("page_id",
+                        F.regexp_extract("html", r'<title>([^<]*)</title>', 1).alias("title"),
+                        F.regexp_extract("html", r'<html lang="([^"]*)"', 1).alias("lang"),
+                        F.size(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), F.lit(1))).alias("links"),
+                        F.length("html").alias("html_chars"))
+
+
+def _summary(df: DataFrame) -> DataFrame:
+    price = F.when(F.coalesce(F.col("price"), F.lit(0)) != 0,
+                   F.concat(F.lit("$"), F.col("price").cast("string"), F.lit("/mo"))).otherwise(F.lit("Price N/A"))
+    loc = F.when(F.coalesce(F.col("location"), F.lit("")) != "", F.col("location")).otherwise(F.lit("Location N/A"))
+    return df.select("listing_key", F.concat(F.lit("["), F.col("source"), F.lit("] "), price, F.lit(" - "),
+                                             F.substring(F.coalesce(F.col("title"), F.lit("")), 1, 60),
+                                             F.lit(" ("), loc, F.lit(")")).alias("summary"))
+
+
+@register("listing_summary", with_ctes("""
+SELECT listing_key, '[' || source || '] ' ||
+       CASE WHEN coalesce(price, 0) <> 0 THEN '$' || CAST(price AS VARCHAR) || '/mo' ELSE 'Price N/A' END ||
+       ' - ' || substr(coalesce(title, ''), 1, 60) || ' (' ||
+       CASE WHEN coalesce(location, '') <> '' THEN location ELSE 'Location N/A' END || ')' AS summary
+FROM listings""", "listings"))
+def listing_summary(spark, sf_dir):
+    return _summary(listings(spark, sf_dir))
+
+
+@register("listing_json")
+def listing_json(spark, sf_dir):
+    """Serialised listings (enum text, ISO timestamps, nulls kept); the JSON
+    text itself differs by engine, so this one has a rows-only check."""
+    df = enriched(spark, sf_dir)
+    opts = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "ignoreNullFields": "false"}
+    return df.select("listing_key", F.to_json(F.struct(*LISTING_COLUMNS), opts).alias("json"))

@@ -213,3 +213,39 @@ def listing_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def listing_raw_sql() -> str:
     cols = ",\n  ".join(f"{expr} AS {name}" for name, expr in fixture_columns(DUCK).items())
     return f"SELECT\n  {cols}\nFROM orders"
+
+
+def answer_columns(d) -> dict:
+    """Model answers (JSON text) for every captured record: plain, fenced,
+    not offering, without the offering flag, not JSON, unknown type."""
+    key = d.col("listing_key")
+    body = d.concat(
+        d.lit('{"is_offering": '), d.case([(d.eq(d.mod(key, 6), 2), d.lit("false"))], d.lit("true")),
+        d.lit(', "title": "'), d.col("title_text"),
+        d.lit('", "price": '), d.to_str(d.col("model_price")),
+        d.lit(', "location": "'), d.col("location_text"),
+        d.lit('", "description": "'), d.pick(key, PROPERTY),
+        d.lit('", "listing_type": "'), d.col("model_type"),
+        d.lit('", "available_date": "2026-0'), d.to_str(d.add(d.mod(key, 9), d.lit(1))),
+        d.lit('-15", "num_bedrooms": '), d.to_str(d.add(d.mod(key, 4), d.lit(1))),
+        d.lit(', "pets_allowed": '), d.case([(d.eq(d.mod(key, 2), 0), d.lit("true"))], d.lit("null")),
+        d.lit("}"))
+    no_flag = d.regexp_replace(body, r'^\{"is_offering": true, ', "{")
+    answer = d.case([
+        (d.eq(d.mod(key, 6), 1), d.concat(d.lit("```json\n"), body, d.lit("\n```"))),
+        (d.eq(d.mod(key, 6), 3), no_flag),
+        (d.eq(d.mod(key, 6), 4), d.lit("Sorry, this post is not a rental offer.")),
+        (d.eq(d.mod(key, 6), 5), d.concat(d.lit("  ```\n"), body, d.lit("\n```  "))),
+    ], body)
+    return {"listing_key": key, "post_url": d.case([(d.eq(d.col("source"), "facebook"), d.col("href"))],
+                                                   d.lit("")), "answer": answer}
+
+
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = listing_raw(spark, sf_dir)
+    return raw.select(*[e.alias(n) for n, e in answer_columns(SPARK).items()])
+
+
+def model_answers_sql() -> str:
+    cols = ",\n  ".join(f"{e} AS {n}" for n, e in answer_columns(DUCK).items())
+    return f"SELECT\n  {cols}\nFROM listing_raw"
