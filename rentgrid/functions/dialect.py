@@ -184,6 +184,13 @@ class SparkDialect:
     def strip(self, x: Column) -> Column:
         return self.regexp_replace(x, STRIP_PATTERN, "")
 
+    def contains_any(self, x: Column, literals) -> Column:
+        out = None
+        for lit in literals:
+            c = x.contains(lit)
+            out = c if out is None else (out | c)
+        return out
+
     def word_view(self, x: Column) -> Column:
         """Text as seen by word-boundary rules; Java's \\b already treats
         accented letters as word characters, like Python."""
@@ -395,6 +402,9 @@ class DuckDialect:
     def strip(self, x: str) -> str:
         return self.regexp_replace(x, STRIP_PATTERN, "")
 
+    def contains_any(self, x: str, literals) -> str | None:
+        return None  # the oracle runs every regex as written
+
     def word_view(self, x: str) -> str:
         """RE2's \\b is ASCII-only.  Rules are ASCII, so mapping every
         non-ASCII letter or digit to 'x' gives the word boundaries Python

@@ -14,6 +14,7 @@ one dialect ``d`` (Spark ``Column`` or DuckDB SQL).  Semantics kept:
 from __future__ import annotations
 
 from rentgrid.functions import patterns as P
+from rentgrid.functions.prefilter import required_literals
 
 # Output columns in canonical listing order, with their SQL types.
 PARSED_COLUMNS: list[tuple[str, str]] = [
@@ -58,30 +59,56 @@ PARSED_COLUMNS: list[tuple[str, str]] = [
 PARSED_TYPES = dict(PARSED_COLUMNS)
 
 
-def chain(d, text, rules, ignore_case: bool = False, sql_type: str = "string"):
-    """First matching rule's value, else NULL."""
-    return d.case([(d.rlike(text, pat, ignore_case), d.lit(val)) for pat, val in rules],
+def gate(d, guard_text, pattern, ignore_case=False):
+    """``contains_any`` test that every match of ``pattern`` passes, or None."""
+    if guard_text is None:
+        return None
+    lits = required_literals(pattern, ignore_case)
+    return d.contains_any(guard_text, lits) if lits else None
+
+
+def matches(d, text, pattern, ignore_case=False, guard_text=None):
+    """``rlike``, behind a required-literal test where one exists (the
+    regex only runs on texts that could match)."""
+    cond = d.rlike(text, pattern, ignore_case)
+    g = gate(d, guard_text, pattern, ignore_case)
+    return cond if g is None else d.and_(g, cond)
+
+
+def gated_extract(d, text, pattern, group, ignore_case=False, guard_text=None):
+    """``regexp_extract`` ('' without a match), skipped when the required
+    literals are absent."""
+    ex = d.extract(text, pattern, group, ignore_case)
+    g = gate(d, guard_text, pattern, ignore_case)
+    return ex if g is None else d.case([(g, ex)], d.lit(""))
+
+
+def chain(d, text, rules, ignore_case: bool = False, sql_type: str = "string", guard_text=None):
+    """First matching rule's value, else NULL.  ``guard_text`` is the text
+    the required-literal tests read: the same text for case-sensitive rules,
+    a lower-cased and folded copy for case-insensitive ones."""
+    return d.case([(matches(d, text, pat, ignore_case, guard_text), d.lit(val)) for pat, val in rules],
                   d.null(sql_type))
 
 
-def neighbourhood(d, loc_text, prefilter: bool = False):
+def neighbourhood(d, loc_text, prefilter: bool = False, guard_text=None):
     """Neighbourhood by rule order.  ``prefilter`` puts one alternation of
     all rules in front: identical result, cheaper when most texts match none."""
-    expr = chain(d, loc_text, P.NEIGHBOURHOOD_RULES, ignore_case=True)
+    expr = chain(d, loc_text, P.NEIGHBOURHOOD_RULES, ignore_case=True, guard_text=guard_text)
     if not prefilter:
         return expr
     union = "|".join(f"(?:{pat})" for pat, _ in P.NEIGHBOURHOOD_RULES)
     return d.case([(d.rlike(loc_text, union, True), expr)], d.null("string"))
 
 
-def age_range(d, text, pre: dict, tag: str = "_age"):
+def age_range(d, text, pre: dict, tag: str = "_age", guard_text=None):
     """Adds the per-pattern numbers to ``pre``; returns (min, max) exprs."""
     lo_b, hi_b = P.AGE_BOUNDS
     lows, highs = [], []
     for i, pat in enumerate(P.AGE_RANGE_PATTERNS):
         lo_n, hi_n = f"{tag}_lo{i}", f"{tag}_hi{i}"
-        pre[lo_n] = d.try_int(d.extract(text, pat, 1))
-        pre[hi_n] = d.try_int(d.extract(text, pat, 2))
+        pre[lo_n] = d.try_int(gated_extract(d, text, pat, 1, guard_text=guard_text))
+        pre[hi_n] = d.try_int(gated_extract(d, text, pat, 2, guard_text=guard_text))
         lo, hi = d.col(lo_n), d.col(hi_n)
         ok = d.and_(d.between(lo, lo_b, hi_b), d.between(hi, lo_b, hi_b))
         lows.append((ok, lo))
@@ -89,12 +116,12 @@ def age_range(d, text, pre: dict, tag: str = "_age"):
     return d.case(lows, d.null("int")), d.case(highs, d.null("int"))
 
 
-def min_lease_months(d, text, pre: dict, tag: str = "_lease"):
+def min_lease_months(d, text, pre: dict, tag: str = "_lease", guard_text=None):
     lo_b, hi_b = P.LEASE_MONTH_BOUNDS
     pairs = []
     for i, (pat, unit) in enumerate(P.MIN_LEASE_PATTERNS):
         name = f"{tag}_n{i}"
-        pre[name] = d.try_bigint(d.extract(text, pat, 1))
+        pre[name] = d.try_bigint(gated_extract(d, text, pat, 1, guard_text=guard_text))
         raw = d.col(name)
         # n * unit in [lo, hi]  <=>  n in [ceil(lo/unit), floor(hi/unit)];
         # testing n keeps huge numbers from overflowing the product.
@@ -103,16 +130,16 @@ def min_lease_months(d, text, pre: dict, tag: str = "_lease"):
     return d.case(pairs, d.null("int"))
 
 
-def available_from(d, text):
+def available_from(d, text, guard_text=None):
     pat = P.AVAILABLE_MONTH_DATE_PATTERN
-    month_day_year = d.concat(d.extract(text, pat, 1), d.lit(" "), d.extract(text, pat, 2),
-                              d.lit(" "), d.extract(text, pat, 3))
+    ex = lambda p, g: gated_extract(d, text, p, g, guard_text=guard_text)
+    month_day_year = d.concat(ex(pat, 1), d.lit(" "), ex(pat, 2), d.lit(" "), ex(pat, 3))
     by_name = d.coalesce(d.date_iso(month_day_year, "month_full"), d.date_iso(month_day_year, "month_abbr"))
     iso = P.AVAILABLE_ISO_DATE_PATTERN
-    ymd = d.concat(d.extract(text, iso, 1), d.lit("-"), d.extract(text, iso, 2), d.lit("-"),
-                   d.extract(text, iso, 3))
+    ymd = d.concat(ex(iso, 1), d.lit("-"), ex(iso, 2), d.lit("-"), ex(iso, 3))
     by_number = d.date_iso(ymd, "ymd")
-    now = d.case([(d.rlike(text, P.AVAILABLE_NOW_PATTERN), d.lit(P.AVAILABLE_NOW_VALUE))], d.null("string"))
+    now = d.case([(matches(d, text, P.AVAILABLE_NOW_PATTERN, guard_text=guard_text), d.lit(P.AVAILABLE_NOW_VALUE))],
+                 d.null("string"))
     return d.coalesce(by_name, by_number, now)
 
 
@@ -126,10 +153,11 @@ def price_range(d, raw_text, pre: dict, tag: str = "_prange"):
     return d.case([(ok, lo)], d.null("int")), d.case([(ok, hi)], d.null("int"))
 
 
-def transit_description(d, text):
+def transit_description(d, text, guard_text=None):
     # group 1 starts and ends with a word character, so the source's strip()
     # of the group never changes it
-    return d.coalesce(*[d.nullif_empty(d.extract(text, pat, 1)) for pat in P.TRANSIT_DESCRIPTION_PATTERNS])
+    return d.coalesce(*[d.nullif_empty(gated_extract(d, text, pat, 1, guard_text=guard_text))
+                        for pat in P.TRANSIT_DESCRIPTION_PATTERNS])
 
 
 def bedrooms(d, text, pre: dict, tag: str = "_beds"):
@@ -148,7 +176,7 @@ def bathrooms(d, text, pre: dict, tag: str = "_baths"):
 
 
 def parsed_fields(d, text, raw_text, loc_text, prefilter_neighbourhood: bool = False,
-                  word_text=None, word_loc=None) -> tuple[dict, dict]:
+                  word_text=None, word_loc=None, loc_fold=None) -> tuple[dict, dict]:
     """All 37 derived columns as ``(pre, fields)``: ``pre`` holds numbers that
     range guards read twice (project it first), ``fields`` the columns.
 
@@ -162,16 +190,20 @@ def parsed_fields(d, text, raw_text, loc_text, prefilter_neighbourhood: bool = F
     # dialect.word_view); captured text is always read from ``text``.
     words = word_text if word_text is not None else text
     loc_words = word_loc if word_loc is not None else loc_text
+    # required-literal guards read the same lower-cased text as the rules
+    # (Spark only; the oracle runs every regex as written)
+    guard = text if d.name == "spark" else None
     for name, rules in P.CHAIN_RULES.items():
-        out[name] = chain(d, words, rules, sql_type=PARSED_TYPES[name])
-    out["age_range_min"], out["age_range_max"] = age_range(d, words, pre)
-    out["min_lease_months"] = min_lease_months(d, text, pre)
-    out["available_from"] = available_from(d, text)
+        out[name] = chain(d, words, rules, sql_type=PARSED_TYPES[name], guard_text=guard)
+    out["age_range_min"], out["age_range_max"] = age_range(d, words, pre, guard_text=guard)
+    out["min_lease_months"] = min_lease_months(d, text, pre, guard_text=guard)
+    out["available_from"] = available_from(d, text, guard_text=guard)
     out["price_min"], out["price_max"] = price_range(d, raw_text, pre)
-    out["transit_description"] = transit_description(d, text)
+    out["transit_description"] = transit_description(d, text, guard_text=guard)
     out["num_bedrooms"] = bedrooms(d, words, pre)
     out["num_bathrooms"] = bathrooms(d, words, pre)
-    out["neighbourhood"] = neighbourhood(d, loc_words, prefilter_neighbourhood)
+    out["neighbourhood"] = neighbourhood(d, loc_words, prefilter_neighbourhood,
+                                         guard_text=loc_fold if d.name == "spark" else None)
     return pre, {name: out[name] for name, _ in PARSED_COLUMNS}
 
 

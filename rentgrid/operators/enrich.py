@@ -21,12 +21,20 @@ from pyspark.sql import functions as F
 
 from rentgrid.functions.dialect import DUCK, SPARK
 from rentgrid.functions.extract import PARSED_COLUMNS, parsed_fields
+from rentgrid.functions.prefilter import DOTTED_I, FOLD_FROM, FOLD_TO
 from rentgrid.functions.stages import apply_stages, stages_sql
 from rentgrid.schema import CAPTURED_FIRST, LISTING_COLUMNS
 
 TEXT_COL = "_text_lc"
 
 
+def fold_column(loc: F.Column) -> F.Column:
+    """Lower-cased location text for the neighbourhood literal guards, with
+    the few characters that only match ASCII letters under Unicode case
+    folding mapped to them."""
+    return F.replace(F.translate(F.lower(loc), FOLD_FROM, FOLD_TO), F.lit(DOTTED_I), F.lit("i"))
+
+
 def text_columns(d):
     """Helper columns the rules read: lower-cased and raw title+description,
     and location+title+description for the neighbourhood."""
@@ -43,10 +51,12 @@ def enrich_stages(d, prefilter_neighbourhood: bool = False, extra: tuple[str, ..
     ``extra`` columns pass through unchanged."""
     s1 = text_columns(d)
     spark = d.name == "spark"
-    s1w = {} if spark else {"_text_w": d.word_view(d.col(TEXT_COL)), "_loc_w": d.word_view(d.col("_text_loc"))}
+    s1w = {"_loc_fold": fold_column(d.col("_text_loc"))} if spark else \
+        {"_text_w": d.word_view(d.col(TEXT_COL)), "_loc_w": d.word_view(d.col("_text_loc"))}
     pre, parsed = parsed_fields(d, d.col(TEXT_COL), d.col("_text_raw"), d.col("_text_loc"),
                                 prefilter_neighbourhood,
-                                None if spark else d.col("_text_w"), None if spark else d.col("_loc_w"))
+                                None if spark else d.col("_text_w"), None if spark else d.col("_loc_w"),
+                                d.col("_loc_fold") if spark else None)
     s2 = {f"_p_{name}": expr for name, expr in parsed.items()}
     is_post = d.eq(d.col("source"), "facebook")
     s3 = {}
@@ -80,7 +90,7 @@ def enrich_stages(d, prefilter_neighbourhood: bool = False, extra: tuple[str, ..
             final[name] = d.col(name)
     for name in extra:
         final[name] = d.col(name)
-    stages = [s1, pre, s2, s3] if spark else [s1, s1w, pre, s2, s3]
+    stages = [s1, s1w, pre, s2, s3]
     return stages, final
 
 
@@ -105,8 +115,9 @@ def parse_text(df: DataFrame, title: str, description: str, location: str | None
     raw = F.concat(F.col(title), F.lit(" "), F.col(description))
     staged = df.select(*keep, F.lower(raw).alias(TEXT_COL), raw.alias("_text_raw"),
                        F.concat(loc, F.lit(" "), raw).alias("_text_loc"))
+    staged = staged.select("*", fold_column(F.col("_text_loc")).alias("_loc_fold"))
     pre, parsed = parsed_fields(SPARK, F.col(TEXT_COL), F.col("_text_raw"), F.col("_text_loc"),
-                                prefilter_neighbourhood)
+                                prefilter_neighbourhood, loc_fold=F.col("_loc_fold"))
     final = {c: F.col(c) for c in keep}
     final.update(parsed)
     return apply_stages(staged, [pre], final)

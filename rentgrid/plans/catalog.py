@@ -205,7 +205,10 @@ SELECT coalesce(id, url, '') AS merge_key, id, url, snapshot_no, listing_key, pr
 QUALIFY row_number() OVER (PARTITION BY coalesce(id, url, '') ORDER BY snapshot_no DESC, listing_key DESC) = 1
 """, "enriched"))
 def merge_snapshots(spark, sf_dir):
-    merged = dedup.merge_snapshots(enriched(spark, sf_dir))
+    # carry only the reported columns: the merged row struct would otherwise
+    # keep every derived column alive through the aggregate
+    cols = ["id", "url", "snapshot_no", "listing_key", "price", "title"]
+    merged = dedup.merge_snapshots(enriched(spark, sf_dir).select(*cols))
     return merged.select(F.coalesce("id", "url", F.lit("")).alias("merge_key"), "id", "url", "snapshot_no",
                          "listing_key", "price", "title")
 

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from rentgrid.functions import patterns as P
 from rentgrid.functions.dialect import SPARK, STRIP_PATTERN, java_regex
 from rentgrid.functions.extract import neighbourhood
+from rentgrid.operators.enrich import fold_column
 
 
 def strip(c: Column) -> Column:
@@ -114,4 +115,6 @@ def decode_answers(df: DataFrame, id_col: str, answer_col: str, url_col: str | N
         F.col("a.pets_allowed").alias("pets_allowed"),
     )
     loc_text = F.concat(F.col("location"), F.lit(" "), F.col("title"), F.lit(" "), F.col("description"))
-    return out.withColumn("neighbourhood", neighbourhood(SPARK, loc_text))
+    staged = out.withColumn("_loc", loc_text).withColumn("_loc_fold", fold_column(F.col("_loc")))
+    return (staged.withColumn("neighbourhood", neighbourhood(SPARK, F.col("_loc"), guard_text=F.col("_loc_fold")))
+                  .drop("_loc", "_loc_fold"))
