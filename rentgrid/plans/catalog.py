@@ -490,3 +490,74 @@ def listing_json(spark, sf_dir):
     df = enriched(spark, sf_dir)
     opts = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "ignoreNullFields": "false"}
     return df.select("listing_key", F.to_json(F.struct(*LISTING_COLUMNS), opts).alias("json"))
+
+
+# --------------------------------------------------------------------------
+# Market views (K1-K6), no pair generation
+# --------------------------------------------------------------------------
+from rentgrid.operators import market  # noqa: E402
+
+_DUP_KEY_SQL = ("concat_ws('|', trim(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', ' ', 'g')), "
+                "CAST(price AS VARCHAR), coalesce(neighbourhood, ''))")
+
+
+@register("duplicate_groups", with_ctes(f"""
+SELECT {_DUP_KEY_SQL} AS dup_key, count(*) AS listings, count(DISTINCT source) AS sources, min(id) AS first_id
+FROM enriched WHERE price IS NOT NULL AND length(title) > 0
+GROUP BY 1 HAVING count(DISTINCT source) > 1""", "enriched"))
+def duplicate_groups(spark, sf_dir):
+    return market.duplicate_groups(enriched(spark, sf_dir).select("id", "source", "title", "price", "neighbourhood"))
+
+
+_CANON_COLS = ["title", "price", "location", "neighbourhood", "furnished", "pets_allowed"]
+
+
+@register("canonical_listings", with_ctes(f"""
+SELECT {_DUP_KEY_SQL} AS dup_key,
+       {', '.join(f"arg_min({c}, CASE WHEN {c} IS NOT NULL THEN ({_SOURCE_RANK}, id) END) AS {c}" for c in _CANON_COLS)}
+FROM enriched GROUP BY 1""", "enriched"))
+def canonical_listings(spark, sf_dir):
+    df = enriched(spark, sf_dir).select("id", "source", *_CANON_COLS)
+    return market.canonical_listings(df, _CANON_COLS)
+
+
+@register("comparables", with_ctes("""
+WITH pr AS (SELECT *, CAST(floor(square_feet / 100) AS INTEGER) AS size_band FROM enriched
+            WHERE price IS NOT NULL AND price <> 0),
+g AS (SELECT listing_type, neighbourhood, size_band, count(*) AS group_listings,
+             round(avg(price), 2) AS group_avg_price FROM pr GROUP BY ALL)
+SELECT pr.id, pr.listing_key, pr.listing_type, pr.neighbourhood, pr.size_band, pr.price, g.group_listings,
+       g.group_avg_price, round(pr.price - g.group_avg_price, 2) AS vs_group
+FROM pr LEFT JOIN g ON pr.listing_type IS NOT DISTINCT FROM g.listing_type
+  AND pr.neighbourhood IS NOT DISTINCT FROM g.neighbourhood AND pr.size_band IS NOT DISTINCT FROM g.size_band""",
+                                   "enriched"))
+def comparables(spark, sf_dir):
+    df = enriched(spark, sf_dir).select("id", "listing_key", "listing_type", "neighbourhood", "square_feet", "price")
+    return market.comparables(df)
+
+
+@register("price_changes", f"""
+WITH o AS (SELECT CAST(user_id AS VARCHAR) AS listing_id, event_id, ts AS observed_at,
+                  CAST(floor(value) AS INTEGER) AS price FROM events),
+l AS (SELECT *, lag(price) OVER (PARTITION BY listing_id ORDER BY observed_at, event_id) AS previous FROM o)
+SELECT listing_id, event_id, observed_at, price, previous FROM l WHERE previous IS NULL OR previous <> price""")
+def price_changes(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events")
+    obs = ev.select(F.col("user_id").cast("string").alias("listing_id"), "event_id", F.col("ts").alias("observed_at"),
+                    F.floor("value").cast("int").alias("price"))
+    return market.price_changes(obs, tie="event_id").select("listing_id", "event_id", "observed_at", "price",
+                                                             "previous")
+
+
+@register("rent_percentile", with_ctes("""
+WITH pr AS (SELECT id, listing_key, neighbourhood, price FROM enriched WHERE price IS NOT NULL AND price <> 0),
+h AS (SELECT neighbourhood, price, count(*) AS c FROM pr GROUP BY ALL),
+b AS (SELECT neighbourhood, price,
+             coalesce(sum(c) OVER (PARTITION BY neighbourhood ORDER BY price
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+             sum(c) OVER (PARTITION BY neighbourhood) AS n FROM h)
+SELECT pr.id, pr.listing_key, pr.neighbourhood, pr.price, round(b.below / b.n, 4) AS cheaper_share
+FROM pr LEFT JOIN b ON pr.neighbourhood IS NOT DISTINCT FROM b.neighbourhood AND pr.price = b.price""",
+                                       "enriched"))
+def rent_percentile(spark, sf_dir):
+    return market.rent_percentile(enriched(spark, sf_dir).select("id", "listing_key", "neighbourhood", "price"))
