@@ -561,3 +561,41 @@ FROM pr LEFT JOIN b ON pr.neighbourhood IS NOT DISTINCT FROM b.neighbourhood AND
                                        "enriched"))
 def rent_percentile(spark, sf_dir):
     return market.rent_percentile(enriched(spark, sf_dir).select("id", "listing_key", "neighbourhood", "price"))
+
+
+# --------------------------------------------------------------------------
+# JSON-LD search pages (A1, A2)
+# --------------------------------------------------------------------------
+from rentgrid.functions import capture as _C  # noqa: E402
+from rentgrid.functions.extract import extract_price as _extract_price  # noqa: E402
+from rentgrid.sources import jsonld  # noqa: E402
+from rentgrid.sources.fixture import listing_raw  # noqa: E402
+
+
+def _jsonld_sql() -> str:
+    d = DUCK
+    url = _C.absolute_url(d, "href", P.CRAIGSLIST_BASE_URL)
+    typ = _C.classify_listing_type(d, "lower(title_text || ' ' || description_text)", "'room_private'",
+                                   P.LISTING_TYPE_RULES_A)
+    return f"""
+WITH c AS (SELECT *, CAST(floor(listing_key / {jsonld.ITEMS_PER_PAGE}) AS BIGINT) AS page_id,
+                  {url} AS url FROM listing_raw WHERE source = 'craigslist'),
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY listing_key) - 1 AS INTEGER) AS pos FROM c)
+SELECT page_id, pos, 'cl-' || regexp_extract(url, '/(\\d+)\\.html', 1) AS id, 'craigslist' AS source, url,
+       title_text AS title, {_extract_price(d, "price_text")} AS price,
+       concat_ws(', ', NULLIF(location_text, ''), 'BC') AS location,
+       CASE WHEN lat_text <> '' THEN TRY_CAST(lat_text AS DOUBLE) END AS latitude,
+       CASE WHEN lat_text = '' OR TRY_CAST(lat_text AS DOUBLE) IS NOT NULL
+            THEN TRY_CAST(NULLIF(lon_text, '') AS DOUBLE) END AS longitude,
+       description_text AS description, TRY_CAST(NULLIF(date_attr, '') AS TIMESTAMP) AS posted_date,
+       array_to_string(list_filter(string_split(images_text, '|'), lambda s: starts_with(s, 'http')), '|')
+         AS image_urls,
+       {typ} AS listing_type
+FROM p WHERE page_id % 5 <> 4 AND title_text <> ''"""
+
+
+@register("decode_jsonld_pages", with_ctes(_jsonld_sql(), "listing_raw"))
+def decode_jsonld_pages(spark, sf_dir):
+    raw = listing_raw(spark, sf_dir).filter(F.col("source") == "craigslist")
+    out = jsonld.decode_pages(jsonld.encode_pages(raw))
+    return out.withColumn("image_urls", F.array_join("image_urls", "|"))
