@@ -47,21 +47,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder of the cluster (``spark.checkpoint.dir``).
 
-    On a cluster this must already be set to shared storage.  Only when it is
-    unset (local runs, tests) a private temporary folder is created.
+    Uses the context's checkpoint folder when one is set (at start-up through
+    ``spark.checkpoint.dir`` or later with ``setCheckpointDir``).  Only when
+    none is set and the master is local (tests, single-machine runs) a
+    private temporary folder is created; on a cluster that is an error.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
+        sc.setCheckpointDir(configured)
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     path = tempfile.mkdtemp(prefix="rentgrid-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    sc.setCheckpointDir(path)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
