@@ -35,3 +35,21 @@ def stages_sql(relation: str, stages: list[dict], final: dict) -> str:
 def keep(names) -> dict:
     """Final-stage entries that pass columns through unchanged (Spark)."""
     return {n: F.col(n) for n in names}
+
+
+_CACHE: dict = {}
+
+
+def cached(key: tuple, build):
+    """Build Spark expressions once per SparkContext and key.
+
+    The rule set is a few thousand expression nodes; constructing them
+    through the Python-JVM bridge costs seconds, while the unresolved
+    expressions themselves can be reused by any number of plans.
+    """
+    from pyspark import SparkContext
+    sc = SparkContext._active_spark_context
+    full = (id(sc),) + key
+    if full not in _CACHE:
+        _CACHE[full] = build()
+    return _CACHE[full]

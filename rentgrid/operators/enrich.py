@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from rentgrid.functions.dialect import DUCK, SPARK
 from rentgrid.functions.extract import PARSED_COLUMNS, parsed_fields
 from rentgrid.functions.prefilter import DOTTED_I, FOLD_FROM, FOLD_TO
-from rentgrid.functions.stages import apply_stages, stages_sql
+from rentgrid.functions.stages import apply_stages, cached, stages_sql
 from rentgrid.schema import CAPTURED_FIRST, LISTING_COLUMNS
 
 TEXT_COL = "_text_lc"
@@ -97,7 +97,8 @@ def enrich_stages(d, prefilter_neighbourhood: bool = False, extra: tuple[str, ..
 def enrich(listings: DataFrame, prefilter_neighbourhood: bool = False) -> DataFrame:
     """Add the derived columns to a listing DataFrame (narrow, no shuffle)."""
     extra = tuple(c for c in listings.columns if c not in LISTING_COLUMNS)
-    stages, final = enrich_stages(SPARK, prefilter_neighbourhood, extra)
+    stages, final = cached(("enrich", prefilter_neighbourhood, extra),
+                           lambda: enrich_stages(SPARK, prefilter_neighbourhood, extra))
     return apply_stages(listings, stages, final)
 
 
@@ -116,8 +117,9 @@ def parse_text(df: DataFrame, title: str, description: str, location: str | None
     staged = df.select(*keep, F.lower(raw).alias(TEXT_COL), raw.alias("_text_raw"),
                        F.concat(loc, F.lit(" "), raw).alias("_text_loc"))
     staged = staged.select("*", fold_column(F.col("_text_loc")).alias("_loc_fold"))
-    pre, parsed = parsed_fields(SPARK, F.col(TEXT_COL), F.col("_text_raw"), F.col("_text_loc"),
-                                prefilter_neighbourhood, loc_fold=F.col("_loc_fold"))
+    pre, parsed = cached(("parse_text", prefilter_neighbourhood), lambda: parsed_fields(
+        SPARK, F.col(TEXT_COL), F.col("_text_raw"), F.col("_text_loc"), prefilter_neighbourhood,
+        loc_fold=F.col("_loc_fold")))
     final = {c: F.col(c) for c in keep}
     final.update(parsed)
     return apply_stages(staged, [pre], final)

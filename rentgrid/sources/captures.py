@@ -27,7 +27,7 @@ from rentgrid.functions import capture as C
 from rentgrid.functions import patterns as P
 from rentgrid.functions.dialect import DUCK, SPARK
 from rentgrid.functions.extract import PARSED_COLUMNS, clean_text, extract_price
-from rentgrid.functions.stages import apply_stages, stages_sql
+from rentgrid.functions.stages import apply_stages, cached, stages_sql
 from rentgrid.schema import LISTING_FIELDS
 
 
@@ -124,7 +124,7 @@ def decode_stages(d, as_of) -> tuple[list[dict], dict]:
 
 def decode(raw: DataFrame, as_of: str) -> DataFrame:
     """Spark: captured records -> listings (55 columns, derived ones NULL)."""
-    stages, final = decode_stages(SPARK, SPARK.ts_lit(as_of))
+    stages, final = cached(("decode", as_of), lambda: decode_stages(SPARK, SPARK.ts_lit(as_of)))
     return apply_stages(raw, stages, final)
 
 

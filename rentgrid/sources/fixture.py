@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rentgrid.functions.dialect import DUCK, SPARK
+from rentgrid.functions.stages import cached
 from rentgrid.session import read_table, rebalance
 
 AS_OF = "2026-12-01 12:00:00"
@@ -207,7 +208,8 @@ def fixture_columns(d) -> dict:
 def listing_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = rebalance(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"),
                        "o_orderkey")
-    return orders.select(*[expr.alias(name) for name, expr in fixture_columns(SPARK).items()])
+    cols = cached(("fixture",), lambda: [expr.alias(name) for name, expr in fixture_columns(SPARK).items()])
+    return orders.select(*cols)
 
 
 def listing_raw_sql() -> str:
