@@ -599,3 +599,45 @@ def decode_jsonld_pages(spark, sf_dir):
     raw = listing_raw(spark, sf_dir).filter(F.col("source") == "craigslist")
     out = jsonld.decode_pages(jsonld.encode_pages(raw))
     return out.withColumn("image_urls", F.array_join("image_urls", "|"))
+
+
+# --------------------------------------------------------------------------
+# Detail pages joined to cards
+# --------------------------------------------------------------------------
+from rentgrid.sources import details as _details  # noqa: E402
+
+
+@register("attach_details", with_ctes(f"""
+WITH d AS (SELECT url, {', '.join("array_to_string(image_urls, '|') AS image_urls" if c == 'image_urls' else c
+                               for c in _details.DETAIL_COLUMNS)}
+           FROM listings WHERE url <> ''
+           QUALIFY row_number() OVER (PARTITION BY url ORDER BY snapshot_no DESC, listing_key DESC) = 1)
+SELECT c.{', c.'.join(_details.CARD_COLUMNS)}, {', '.join('d.' + x for x in _details.DETAIL_COLUMNS)}
+FROM listings c LEFT JOIN d ON c.url = d.url""", "listings"))
+def attach_details(spark, sf_dir):
+    captured = listings(spark, sf_dir)
+    details = _details.latest_details(captured, ["snapshot_no", "listing_key"])
+    out = _details.attach_details(captured, details)
+    return out.withColumn("image_urls", F.array_join("image_urls", "|"))
+
+
+# --------------------------------------------------------------------------
+# Source selection (A19) and first posts
+# --------------------------------------------------------------------------
+from rentgrid.sources import registry as _registry  # noqa: E402
+
+_SOURCE_SPEC = " craigslist, kijiji ,, nosuch "
+
+
+@register("select_sources", with_ctes(f"""
+SELECT listing_key, source, id FROM listings
+WHERE source IN ({', '.join(repr(s) for s in _registry.source_names(_SOURCE_SPEC))})""", "listings"))
+def select_sources(spark, sf_dir):
+    return _registry.select_sources(listings(spark, sf_dir), _SOURCE_SPEC).select("listing_key", "source", "id")
+
+
+@register("first_posts", f"""
+SELECT conv_id, turn FROM ({_NORMALIZED_POSTS_SQL}) p ORDER BY conv_id, turn LIMIT 50""")
+def first_posts(spark, sf_dir):
+    p = _conversation_posts(spark, sf_dir).withColumn("_pos", F.struct("conv_id", "turn"))
+    return query.first_posts(p, 50, "_pos").select("conv_id", "turn")
