@@ -641,3 +641,12 @@ SELECT conv_id, turn FROM ({_NORMALIZED_POSTS_SQL}) p ORDER BY conv_id, turn LIM
 def first_posts(spark, sf_dir):
     p = _conversation_posts(spark, sf_dir).withColumn("_pos", F.struct("conv_id", "turn"))
     return query.first_posts(p, 50, "_pos").select("conv_id", "turn")
+
+
+@register("html_page_fields")
+def html_page_fields(spark, sf_dir):
+    """Title (entities decoded), links and visible text size of every page,
+    read with the standard HTML parser in Arrow batches (rows-only check:
+    SQL has no HTML entity decoding)."""
+    from rentgrid.sources.html_fields import html_fields
+    return html_fields(rebalance(read_table(spark, sf_dir, "pages"), "page_id"))

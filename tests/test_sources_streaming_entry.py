@@ -90,3 +90,13 @@ def test_entry_and_contract(spark):
     qs, sqls = entry.queries(), entry.oracle_sql()
     assert set(sqls) <= set(qs)
     assert len(qs) >= 70
+
+
+def test_html_fields(spark):
+    from rentgrid.sources.html_fields import html_fields
+    pages = spark.createDataFrame([(1, '<html><head><title>A &amp; B</title><script>var x="<a href=z>";</script>'
+                                       '</head><body><p>Hi there</p><a href="/x">x</a><a href="/y">y</a></body></html>')],
+                                  "page_id long, html string")
+    r = html_fields(pages).first()
+    assert (r.title, r.links, r.first_link) == ("A & B", 2, "/x")
+    assert r.text_chars == len("Hi there") + 2
