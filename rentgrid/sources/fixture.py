@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rentgrid.functions.dialect import DUCK, SPARK
-from rentgrid.functions.stages import cached
+from rentgrid.functions.stages import apply_stages, cached, stages_sql
 from rentgrid.session import read_table, rebalance
 
 AS_OF = "2026-12-01 12:00:00"
@@ -217,9 +217,10 @@ def listing_raw_sql() -> str:
     return f"SELECT\n  {cols}\nFROM orders"
 
 
-def answer_columns(d) -> dict:
+def answer_stages(d) -> tuple[list[dict], dict]:
     """Model answers (JSON text) for every captured record: plain, fenced,
-    not offering, without the offering flag, not JSON, unknown type."""
+    not offering, without the offering flag, not JSON, unknown type.  The
+    JSON body is its own column so its variants share it."""
     key = d.col("listing_key")
     body = d.concat(
         d.lit('{"is_offering": '), d.case([(d.eq(d.mod(key, 6), 2), d.lit("false"))], d.lit("true")),
@@ -232,22 +233,25 @@ def answer_columns(d) -> dict:
         d.lit('-15", "num_bedrooms": '), d.to_str(d.add(d.mod(key, 4), d.lit(1))),
         d.lit(', "pets_allowed": '), d.case([(d.eq(d.mod(key, 2), 0), d.lit("true"))], d.lit("null")),
         d.lit("}"))
-    no_flag = d.regexp_replace(body, r'^\{"is_offering": true, ', "{")
+    b = d.col("_answer_body")
+    no_flag = d.regexp_replace(b, r'^\{"is_offering": true, ', "{")
     answer = d.case([
-        (d.eq(d.mod(key, 6), 1), d.concat(d.lit("```json\n"), body, d.lit("\n```"))),
+        (d.eq(d.mod(key, 6), 1), d.concat(d.lit("```json\n"), b, d.lit("\n```"))),
         (d.eq(d.mod(key, 6), 3), no_flag),
         (d.eq(d.mod(key, 6), 4), d.lit("Sorry, this post is not a rental offer.")),
-        (d.eq(d.mod(key, 6), 5), d.concat(d.lit("  ```\n"), body, d.lit("\n```  "))),
-    ], body)
-    return {"listing_key": key, "post_url": d.case([(d.eq(d.col("source"), "facebook"), d.col("href"))],
-                                                   d.lit("")), "answer": answer}
+        (d.eq(d.mod(key, 6), 5), d.concat(d.lit("  ```\n"), b, d.lit("\n```  "))),
+    ], b)
+    final = {"listing_key": key, "post_url": d.case([(d.eq(d.col("source"), "facebook"), d.col("href"))],
+                                                    d.lit("")), "answer": answer}
+    return [{"_answer_body": body}], final
 
 
 def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = listing_raw(spark, sf_dir)
-    return raw.select(*[e.alias(n) for n, e in answer_columns(SPARK).items()])
+    stages, final = cached(("answers",), lambda: answer_stages(SPARK))
+    return apply_stages(raw, stages, final)
 
 
 def model_answers_sql() -> str:
-    cols = ",\n  ".join(f"{e} AS {n}" for n, e in answer_columns(DUCK).items())
-    return f"SELECT\n  {cols}\nFROM listing_raw"
+    stages, final = answer_stages(DUCK)
+    return stages_sql("listing_raw", stages, final)

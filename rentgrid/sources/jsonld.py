@@ -55,10 +55,12 @@ def _truthy(v: Column, path: str) -> Column:
 
 def decode_pages(pages: DataFrame, page_col: str = "page_id", html_col: str = "html") -> DataFrame:
     body = F.regexp_extract(F.col(html_col), SCRIPT_PATTERN, 1)
-    v = F.try_parse_json(F.when(body != "", body))
+    # parse once per page into a VARIANT column; items are read from it
+    parsed = pages.select(page_col, F.try_parse_json(F.when(body != "", body)).alias("_v"))
+    v = F.col("_v")
     items = F.coalesce(_get(v, "$.itemListElement", "array<variant>"),
                        F.when(F.schema_of_variant(v).startswith("ARRAY"), _get(v, "$", "array<variant>")))
-    exploded = pages.select(page_col, F.posexplode(items).alias("pos", "item"))
+    exploded = parsed.select(page_col, F.posexplode(items).alias("pos", "item"))
     it = F.col("item")
     offer_price = F.coalesce(_truthy(it, "$.offers.price"), _truthy(it, "$.offers.priceCurrency"))
     from_offer = extract_price(SPARK, offer_price)

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from rentgrid.functions import patterns as P
 from rentgrid.functions.dialect import SPARK, STRIP_PATTERN, java_regex
 from rentgrid.functions.extract import neighbourhood
+from rentgrid.functions.stages import apply_stages
 from rentgrid.operators.enrich import fold_column
 
 
@@ -70,19 +71,6 @@ def extract_with(df: DataFrame, fn, schema: T.StructType) -> DataFrame:
     return df.mapInPandas(fn, schema)
 
 
-ANSWER_SCHEMA = T.StructType([
-    T.StructField("is_offering", T.BooleanType()),
-    T.StructField("title", T.StringType()),
-    T.StructField("price", T.IntegerType()),
-    T.StructField("location", T.StringType()),
-    T.StructField("description", T.StringType()),
-    T.StructField("listing_type", T.StringType()),
-    T.StructField("available_date", T.StringType()),
-    T.StructField("num_bedrooms", T.IntegerType()),
-    T.StructField("pets_allowed", T.BooleanType()),
-])
-
-
 def unfence(answer: Column) -> Column:
     """Strip; an answer starting with a code fence loses its first and last line."""
     t = strip(answer)
@@ -92,29 +80,68 @@ def unfence(answer: Column) -> Column:
 
 
 def decode_answers(df: DataFrame, id_col: str, answer_col: str, url_col: str | None = None) -> DataFrame:
-    """Model answers -> offering listings (subset of listing columns)."""
-    body = unfence(F.col(answer_col))
-    parsed = df.select(id_col, (F.col(url_col) if url_col else F.lit("")).alias("url"),
-                       F.when(F.try_parse_json(body).isNotNull(),
-                              F.from_json(body, ANSWER_SCHEMA)).alias("a"))
-    offers = parsed.filter(F.coalesce(F.col("a.is_offering"), F.lit(False)))
-    title = F.coalesce(F.col("a.title"), F.lit("Facebook listing"))
-    location = F.coalesce(F.col("a.location"), F.lit(""))
-    description = F.coalesce(F.col("a.description"), F.lit(""))
-    ltype = F.coalesce(F.col("a.listing_type"), F.lit("other"))
-    out = offers.select(
-        id_col, "url",
-        F.lit("facebook").alias("source"),
-        title.alias("title"),
-        F.col("a.price").alias("price"),
-        location.alias("location"),
-        description.alias("description"),
-        F.when(ltype.isin(list(P.LISTING_TYPES)), ltype).otherwise(F.lit("other")).alias("listing_type"),
-        F.try_to_timestamp(F.col("a.available_date")).alias("available_date"),
-        F.col("a.num_bedrooms").alias("num_bedrooms"),
-        F.col("a.pets_allowed").alias("pets_allowed"),
-    )
+    """Model answers -> offering listings (subset of listing columns).
+
+    Each answer is stripped, un-fenced and parsed once into a VARIANT
+    column (staged, so no field access re-parses the text); fields are then
+    read with ``try_variant_get``.  An answer counts as an offer when its
+    ``is_offering`` value is truthy.
+    """
+    from rentgrid.sources.jsonld import _truthy
+    t = F.col("_t")
+    lines = F.split(t, "\n")
+    stages = [
+        {"_t": strip(F.col(answer_col))},
+        {"_body": F.when(t.startswith("```"),
+                         F.when(F.size(lines) > 2, F.array_join(F.slice(lines, 2, F.size(lines) - 2), "\n"))
+                         .otherwise(F.lit(""))).otherwise(t)},
+        {"_v": F.try_parse_json(F.col("_body"))},
+    ]
+    v = F.col("_v")
+    get = lambda path, typ="string": F.try_variant_get(v, path, typ)
+    is_object = F.schema_of_variant(v).startswith("OBJECT")
+    title = F.coalesce(get("$.title"), F.lit("Facebook listing"))
+    location = F.coalesce(get("$.location"), F.lit(""))
+    description = F.coalesce(get("$.description"), F.lit(""))
+    ltype = F.coalesce(get("$.listing_type"), F.lit("other"))
+    final = {
+        id_col: F.col(id_col),
+        "url": F.col(url_col) if url_col else F.lit(""),
+        "source": F.lit("facebook"),
+        "title": title,
+        "price": get("$.price", "int"),
+        "location": location,
+        "description": description,
+        "listing_type": F.when(ltype.isin(list(P.LISTING_TYPES)), ltype).otherwise(F.lit("other")),
+        "available_date": F.try_to_timestamp(get("$.available_date")),
+        "num_bedrooms": get("$.num_bedrooms", "int"),
+        "pets_allowed": get("$.pets_allowed", "boolean"),
+        "_offer": is_object & _truthy(v, "$.is_offering").isNotNull(),
+    }
+    out = apply_stages(df, stages, final).filter(F.col("_offer")).drop("_offer")
     loc_text = F.concat(F.col("location"), F.lit(" "), F.col("title"), F.lit(" "), F.col("description"))
     staged = out.withColumn("_loc", loc_text).withColumn("_loc_fold", fold_column(F.col("_loc")))
     return (staged.withColumn("neighbourhood", neighbourhood(SPARK, F.col("_loc"), guard_text=F.col("_loc_fold")))
                   .drop("_loc", "_loc_fold"))
+
+
+def post_records(df: DataFrame) -> DataFrame:
+    """Captured posts -> post records: text with 3+ newlines cut to 2 and
+    stripped, author and timestamp text stripped, kept images, and the
+    first link that is a post permalink (``/posts/`` or ``/permalink/``).
+
+    Input columns: ``seq``, ``text``, ``author``, ``timestamp_text``,
+    ``links`` (array<string>), ``images`` (array<struct<src, width>>),
+    ``extracted_at``.
+    """
+    permalink = F.try_element_at(F.filter(F.col("links"), lambda h: h.contains("/posts/") | h.contains("/permalink/")),
+                                 F.lit(1))
+    return df.select(
+        "seq",
+        strip(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), P.POST_NEWLINES_PATTERN, "\n\n")).alias("text"),
+        strip(F.coalesce(F.col("author"), F.lit(""))).alias("author"),
+        strip(F.coalesce(F.col("timestamp_text"), F.lit(""))).alias("timestamp"),
+        post_images(F.col("images")).alias("image_urls"),
+        F.coalesce(permalink, F.lit("")).alias("post_url"),
+        "extracted_at",
+    )

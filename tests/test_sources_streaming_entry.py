@@ -100,3 +100,15 @@ def test_html_fields(spark):
     r = html_fields(pages).first()
     assert (r.title, r.links, r.first_link) == ("A & B", 2, "/x")
     assert r.text_chars == len("Hi there") + 2
+
+
+def test_post_records(spark):
+    from rentgrid.sources.posts import post_records
+    df = spark.createDataFrame(
+        [(1, "Room\n\n\n\nfor rent  ", " Ann ", " 2h ", ["/groups/x", "/groups/x/posts/42", "/permalink/7"],
+          [("https://scontent/a.jpg", "300")], dt.datetime(2026, 12, 1))],
+        "seq long, text string, author string, timestamp_text string, links array<string>, "
+        "images array<struct<src string, width string>>, extracted_at timestamp")
+    r = post_records(df).first()
+    assert (r.text, r.author, r.timestamp, r.post_url) == ("Room\n\nfor rent", "Ann", "2h", "/groups/x/posts/42")
+    assert r.image_urls == ["https://scontent/a.jpg"]
