@@ -42,9 +42,14 @@ def upsert(state: DataFrame | None, batch: DataFrame, seq_col: str) -> DataFrame
     rows = batch.select(*STATE_COLUMNS, F.col(seq_col).cast("bigint").alias("_seq"))
     if state is not None:
         rows = state.select(*STATE_COLUMNS, F.lit(-1).cast("bigint").alias("_seq")).unionByName(rows)
-    aggs = [F.min_by(c, "_seq").alias(c) for c in FIRST_WRITER_COLUMNS]
-    aggs += [F.max_by(c, "_seq").alias(c) for c in LAST_WRITER_COLUMNS]
-    return rows.groupBy("id").agg(*aggs).select(*STATE_COLUMNS)
+    # one aggregate per rule: the first row's first-writer columns and the
+    # newest row's last-writer columns (NULLs included), as two structs
+    first = F.min_by(F.struct(*[F.col(c) for c in FIRST_WRITER_COLUMNS]), "_seq").alias("_first")
+    last = F.max_by(F.struct(*[F.col(c) for c in LAST_WRITER_COLUMNS]), "_seq").alias("_last")
+    out = rows.groupBy("id").agg(first, last)
+    cols = {c: F.col(f"_first.{c}") for c in FIRST_WRITER_COLUMNS}
+    cols.update({c: F.col(f"_last.{c}") for c in LAST_WRITER_COLUMNS})
+    return out.select(F.col("id"), *[cols[c].alias(c) for c in STATE_COLUMNS if c != "id"])
 
 
 def price_observations(batch: DataFrame, observed_at: F.Column) -> DataFrame:
