@@ -37,21 +37,34 @@ def exact_positions(df: DataFrame, group_cols: list[str], positions: dict[str, t
 
 
 def price_summary(df: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
-    """count(*), priced count, min, max, mean (2 decimals), median, p25, p75."""
+    """count(*), priced count, min, max, mean (2 decimals), median, p25, p75.
+
+    Everything comes from one ``(group, price)`` histogram, so the listings
+    are scanned once and only one row per distinct price and group is
+    shuffled; NULL and 0 prices stay in the histogram for ``count(*)``.
+    """
     group_cols = group_cols or []
-    priced_col = F.when(F.col("price") != 0, F.col("price"))
-    basic = df.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("listings"),
-        F.count(priced_col).alias("priced"),
-        F.min(priced_col).alias("min_price"),
-        F.max(priced_col).alias("max_price"),
-        F.round(F.avg(priced_col), 2).alias("avg_price"),
+    hist = df.groupBy(*group_cols, "price").agg(F.count(F.lit(1)).alias("_c"))
+    truthy = F.col("price").isNotNull() & (F.col("price") != 0)
+    pc = F.when(truthy, F.col("_c"))
+    w = Window.partitionBy(*group_cols).orderBy("price").rowsBetween(Window.unboundedPreceding, 0)
+    wall = Window.partitionBy(*group_cols)
+    cum = hist.select(*group_cols, "price", "_c", truthy.alias("_truthy"),
+                      F.sum(pc).over(w).alias("_cum"), F.sum(pc).over(wall).alias("_n"))
+    tp = F.when(F.col("_truthy"), F.col("price"))
+    at = lambda num, den: F.min(F.when(F.col("_truthy") & (F.col("_cum") > F.floor(F.col("_n") * num / den)),
+                                       F.col("price")))
+    return cum.groupBy(*group_cols).agg(
+        F.sum("_c").alias("listings"),
+        F.coalesce(F.sum(F.when(F.col("_truthy"), F.col("_c"))), F.lit(0)).alias("priced"),
+        F.min(tp).alias("min_price"),
+        F.max(tp).alias("max_price"),
+        F.round(F.sum(F.when(F.col("_truthy"), F.col("price").cast("long") * F.col("_c")))
+                / F.sum(F.when(F.col("_truthy"), F.col("_c"))), 2).alias("avg_price"),
+        at(1, 2).alias("median_price"),
+        at(1, 4).alias("p25_price"),
+        at(3, 4).alias("p75_price"),
     )
-    pos = exact_positions(df, group_cols, {"median_price": (1, 2), "p25_price": (1, 4), "p75_price": (3, 4)})
-    if not group_cols:
-        # both sides are one row: join on a constant key
-        return basic.withColumn("_k", F.lit(1)).join(pos.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
-    return basic.join(pos, group_cols, "left")
 
 
 def count_by(df: DataFrame, col: str) -> DataFrame:
