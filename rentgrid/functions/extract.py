@@ -13,6 +13,8 @@ one dialect ``d`` (Spark ``Column`` or DuckDB SQL).  Semantics kept:
 
 from __future__ import annotations
 
+import re
+
 from rentgrid.functions import patterns as P
 from rentgrid.functions.prefilter import required_literals
 
@@ -83,6 +85,25 @@ def gated_extract(d, text, pattern, group, ignore_case=False, guard_text=None):
     return ex if g is None else d.case([(g, ex)], d.lit(""))
 
 
+_CONTEXT_SENSITIVE = re.compile(r"\\[bBAZ]|[\^$]|\(\?[=!<]")
+
+
+def group_reader(d, text, pattern, pre: dict, tag: str, ignore_case=False, guard_text=None):
+    """A function ``g -> expr`` giving capture group ``g`` of the first match.
+
+    For patterns without anchors, word boundaries or look-around, the long
+    text is scanned once for the whole match (kept in ``pre``) and each group
+    is read again from that short match: with no assertion about the
+    surrounding text, the first match inside the match string is the same
+    match, so the groups are identical.  Other patterns extract each group
+    from the text.
+    """
+    if d.name != "spark" or _CONTEXT_SENSITIVE.search(pattern):
+        return lambda g: gated_extract(d, text, pattern, g, ignore_case, guard_text)
+    pre[tag] = gated_extract(d, text, pattern, 0, ignore_case, guard_text)
+    return lambda g: d.extract(d.col(tag), pattern, g, ignore_case)
+
+
 def chain(d, text, rules, ignore_case: bool = False, sql_type: str = "string", guard_text=None):
     """First matching rule's value, else NULL.  ``guard_text`` is the text
     the required-literal tests read: the same text for case-sensitive rules,
@@ -101,14 +122,17 @@ def neighbourhood(d, loc_text, prefilter: bool = False, guard_text=None):
     return d.case([(d.rlike(loc_text, union, True), expr)], d.null("string"))
 
 
-def age_range(d, text, pre: dict, tag: str = "_age", guard_text=None):
-    """Adds the per-pattern numbers to ``pre``; returns (min, max) exprs."""
+def age_range(d, text, pre: dict, tag: str = "_age", guard_text=None, pre0: dict | None = None):
+    """Adds the per-pattern numbers to ``pre`` (whole matches, when used, to
+    ``pre0``, projected before ``pre``); returns (min, max) exprs."""
+    pre0 = pre if pre0 is None else pre0
     lo_b, hi_b = P.AGE_BOUNDS
     lows, highs = [], []
     for i, pat in enumerate(P.AGE_RANGE_PATTERNS):
         lo_n, hi_n = f"{tag}_lo{i}", f"{tag}_hi{i}"
-        pre[lo_n] = d.try_int(gated_extract(d, text, pat, 1, guard_text=guard_text))
-        pre[hi_n] = d.try_int(gated_extract(d, text, pat, 2, guard_text=guard_text))
+        group = group_reader(d, text, pat, pre0, f"{tag}_m{i}", guard_text=guard_text)
+        pre[lo_n] = d.try_int(group(1))
+        pre[hi_n] = d.try_int(group(2))
         lo, hi = d.col(lo_n), d.col(hi_n)
         ok = d.and_(d.between(lo, lo_b, hi_b), d.between(hi, lo_b, hi_b))
         lows.append((ok, lo))
@@ -130,24 +154,28 @@ def min_lease_months(d, text, pre: dict, tag: str = "_lease", guard_text=None):
     return d.case(pairs, d.null("int"))
 
 
-def available_from(d, text, guard_text=None):
+def available_from(d, text, guard_text=None, pre0: dict | None = None):
+    pre0 = {} if pre0 is None else pre0
     pat = P.AVAILABLE_MONTH_DATE_PATTERN
-    ex = lambda p, g: gated_extract(d, text, p, g, guard_text=guard_text)
-    month_day_year = d.concat(ex(pat, 1), d.lit(" "), ex(pat, 2), d.lit(" "), ex(pat, 3))
+    g1 = group_reader(d, text, pat, pre0, "_avail_m0", guard_text=guard_text)
+    month_day_year = d.concat(g1(1), d.lit(" "), g1(2), d.lit(" "), g1(3))
     by_name = d.coalesce(d.date_iso(month_day_year, "month_full"), d.date_iso(month_day_year, "month_abbr"))
     iso = P.AVAILABLE_ISO_DATE_PATTERN
-    ymd = d.concat(ex(iso, 1), d.lit("-"), ex(iso, 2), d.lit("-"), ex(iso, 3))
+    g2 = group_reader(d, text, iso, pre0, "_avail_m1", guard_text=guard_text)
+    ymd = d.concat(g2(1), d.lit("-"), g2(2), d.lit("-"), g2(3))
     by_number = d.date_iso(ymd, "ymd")
     now = d.case([(matches(d, text, P.AVAILABLE_NOW_PATTERN, guard_text=guard_text), d.lit(P.AVAILABLE_NOW_VALUE))],
                  d.null("string"))
     return d.coalesce(by_name, by_number, now)
 
 
-def price_range(d, raw_text, pre: dict, tag: str = "_prange"):
+def price_range(d, raw_text, pre: dict, tag: str = "_prange", pre0: dict | None = None):
+    pre0 = pre if pre0 is None else pre0
     lo_b, hi_b = P.PRICE_BOUNDS
     pat = P.PRICE_RANGE_PATTERN
-    pre[f"{tag}_lo"] = d.try_int(d.replace(d.extract(raw_text, pat, 1, True), ",", ""))
-    pre[f"{tag}_hi"] = d.try_int(d.replace(d.extract(raw_text, pat, 2, True), ",", ""))
+    group = group_reader(d, raw_text, pat, pre0, f"{tag}_m", ignore_case=True)
+    pre[f"{tag}_lo"] = d.try_int(d.replace(group(1), ",", ""))
+    pre[f"{tag}_hi"] = d.try_int(d.replace(group(2), ",", ""))
     lo, hi = d.col(f"{tag}_lo"), d.col(f"{tag}_hi")
     ok = d.and_(d.between(lo, lo_b, hi_b), d.between(hi, lo_b, hi_b), d.lt(lo, hi))
     return d.case([(ok, lo)], d.null("int")), d.case([(ok, hi)], d.null("int"))
@@ -176,14 +204,17 @@ def bathrooms(d, text, pre: dict, tag: str = "_baths"):
 
 
 def parsed_fields(d, text, raw_text, loc_text, prefilter_neighbourhood: bool = False,
-                  word_text=None, word_loc=None, loc_fold=None) -> tuple[dict, dict]:
-    """All 37 derived columns as ``(pre, fields)``: ``pre`` holds numbers that
-    range guards read twice (project it first), ``fields`` the columns.
+                  word_text=None, word_loc=None, loc_fold=None) -> tuple[tuple[dict, dict], dict]:
+    """All 37 derived columns as ``((pre0, pre), fields)``: ``pre0`` holds
+    whole matches that several groups are read from, ``pre`` the numbers that
+    range guards read twice (project ``pre0``, then ``pre``, then
+    ``fields``).
 
     ``text``: lower-cased ``title || ' ' || description``; ``raw_text``: the
     same without lower-casing; ``loc_text``: ``location || ' ' || title ||
     ' ' || description``.
     """
+    pre0: dict = {}   # whole matches, read by ``pre``
     pre: dict = {}
     out = {}
     # ``words``: the text for rules that test word boundaries (see
@@ -195,16 +226,16 @@ def parsed_fields(d, text, raw_text, loc_text, prefilter_neighbourhood: bool = F
     guard = text if d.name == "spark" else None
     for name, rules in P.CHAIN_RULES.items():
         out[name] = chain(d, words, rules, sql_type=PARSED_TYPES[name], guard_text=guard)
-    out["age_range_min"], out["age_range_max"] = age_range(d, words, pre, guard_text=guard)
+    out["age_range_min"], out["age_range_max"] = age_range(d, words, pre, guard_text=guard, pre0=pre0)
     out["min_lease_months"] = min_lease_months(d, text, pre, guard_text=guard)
-    out["available_from"] = available_from(d, text, guard_text=guard)
-    out["price_min"], out["price_max"] = price_range(d, raw_text, pre)
+    out["available_from"] = available_from(d, text, guard_text=guard, pre0=pre0)
+    out["price_min"], out["price_max"] = price_range(d, raw_text, pre, pre0=pre0)
     out["transit_description"] = transit_description(d, text, guard_text=guard)
     out["num_bedrooms"] = bedrooms(d, words, pre)
     out["num_bathrooms"] = bathrooms(d, words, pre)
     out["neighbourhood"] = neighbourhood(d, loc_words, prefilter_neighbourhood,
                                          guard_text=loc_fold if d.name == "spark" else None)
-    return pre, {name: out[name] for name, _ in PARSED_COLUMNS}
+    return (pre0, pre), {name: out[name] for name, _ in PARSED_COLUMNS}
 
 
 # --------------------------------------------------------------------------

@@ -90,7 +90,7 @@ def enrich_stages(d, prefilter_neighbourhood: bool = False, extra: tuple[str, ..
             final[name] = d.col(name)
     for name in extra:
         final[name] = d.col(name)
-    stages = [s1, s1w, pre, s2, s3]
+    stages = [s1, s1w, pre[0], pre[1], s2, s3]
     return stages, final
 
 
@@ -122,7 +122,7 @@ def parse_text(df: DataFrame, title: str, description: str, location: str | None
         loc_fold=F.col("_loc_fold")))
     final = {c: F.col(c) for c in keep}
     final.update(parsed)
-    return apply_stages(staged, [pre], final)
+    return apply_stages(staged, [pre[0], pre[1]], final)
 
 
 def parse_text_sql(relation: str, title_sql: str, description_sql: str, keep: list[str]) -> str:
@@ -134,4 +134,4 @@ def parse_text_sql(relation: str, title_sql: str, description_sql: str, keep: li
     pre, parsed = parsed_fields(d, TEXT_COL, "_text_raw", "_text_loc", word_text="_text_w", word_loc="_loc_w")
     final = {c: c for c in keep}
     final.update(parsed)
-    return stages_sql(relation, [s1, s1w, pre], final)
+    return stages_sql(relation, [s1, s1w, pre[0], pre[1]], final)
