@@ -50,11 +50,12 @@ def all_columns(df: DataFrame) -> DataFrame:
     return df.select(*LISTING_COLUMNS)
 
 
-def first_per_source(df: DataFrame, k: int, order_cols: list[str]) -> DataFrame:
-    """First ``k`` rows per source in capture order.  ``row_number() <= k``
-    lets Spark put a per-partition group limit before the shuffle, so a
-    source holding most rows sends at most ``k`` rows per map task."""
-    w = Window.partitionBy("source").orderBy(*order_cols)
+def first_per_source(df: DataFrame, k: int, order_cols: list[str], run_cols: list[str] | None = None) -> DataFrame:
+    """First ``k`` rows per source (and run) in capture order.
+    ``row_number() <= k`` lets Spark put a per-partition group limit before
+    the shuffle, so a source holding most rows sends at most ``k`` rows per
+    map task."""
+    w = Window.partitionBy(*(run_cols or []), "source").orderBy(*order_cols)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
 
 

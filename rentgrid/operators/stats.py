@@ -8,7 +8,8 @@ found from a histogram: ``groupBy(group, price).count()`` (partial
 aggregation, so a hot group costs one row per distinct price per task),
 then a running count per group over the distinct prices, and the smallest
 price whose running count passes the position.  Work after the shuffle is
-proportional to the number of distinct prices, not of rows.
+proportional to the number of distinct prices, not of rows; the other
+statistics come from the same histogram.
 """
 
 from __future__ import annotations
@@ -17,25 +18,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _truthy_price(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("price").isNotNull() & (F.col("price") != 0))
-
-
-def exact_positions(df: DataFrame, group_cols: list[str], positions: dict[str, tuple[int, int]]) -> DataFrame:
-    """For each group and name -> (num, den), the element at 0-based index
-    ``num * n // den`` of the sorted truthy prices."""
-    priced = _truthy_price(df)
-    hist = priced.groupBy(*group_cols, "price").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*group_cols).orderBy("price").rowsBetween(Window.unboundedPreceding, 0)
-    wall = Window.partitionBy(*group_cols)
-    cum = hist.select(*group_cols, "price",
-                      F.sum("_c").over(w).alias("_cum"),
-                      F.sum("_c").over(wall).alias("_n"))
-    aggs = [F.min(F.when(F.col("_cum") > F.floor(F.col("_n") * num / den), F.col("price"))).alias(name)
-            for name, (num, den) in positions.items()]
-    return cum.groupBy(*group_cols).agg(*aggs)
-
-
 def price_summary(df: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
     """count(*), priced count, min, max, mean (2 decimals), median, p25, p75.
 

@@ -135,11 +135,12 @@ def sorted_by_price(spark, sf_dir):
 
 
 @register("first_per_source", with_ctes("""
-SELECT listing_key, source, id FROM listings WHERE snapshot_no = 0
-QUALIFY row_number() OVER (PARTITION BY source ORDER BY listing_key) <= 50""", "listings"))
+SELECT listing_key, snapshot_no, source, id FROM listings
+QUALIFY row_number() OVER (PARTITION BY snapshot_no, source ORDER BY listing_key) <= 50""", "listings"))
 def first_per_source(spark, sf_dir):
-    first = listings(spark, sf_dir).filter(F.col("snapshot_no") == 0)
-    return query.first_per_source(first, 50, ["listing_key"]).select("listing_key", "source", "id")
+    # every snapshot is one run: the first 50 listings of each source in it
+    return query.first_per_source(listings(spark, sf_dir), 50, ["listing_key"], ["snapshot_no"]) \
+        .select("listing_key", "snapshot_no", "source", "id")
 
 
 # --------------------------------------------------------------------------
