@@ -99,7 +99,6 @@ def decode_answers(df: DataFrame, id_col: str, answer_col: str, url_col: str | N
     ]
     v = F.col("_v")
     get = lambda path, typ="string": F.try_variant_get(v, path, typ)
-    is_object = F.schema_of_variant(v).startswith("OBJECT")
     title = F.coalesce(get("$.title"), F.lit("Facebook listing"))
     location = F.coalesce(get("$.location"), F.lit(""))
     description = F.coalesce(get("$.description"), F.lit(""))
@@ -116,7 +115,8 @@ def decode_answers(df: DataFrame, id_col: str, answer_col: str, url_col: str | N
         "available_date": F.try_to_timestamp(get("$.available_date")),
         "num_bedrooms": get("$.num_bedrooms", "int"),
         "pets_allowed": get("$.pets_allowed", "boolean"),
-        "_offer": is_object & _truthy(v, "$.is_offering").isNotNull(),
+        # a path lookup on a non-object gives NULL, so such answers drop out
+        "_offer": _truthy(v, "$.is_offering").isNotNull(),
     }
     out = apply_stages(df, stages, final).filter(F.col("_offer")).drop("_offer")
     loc_text = F.concat(F.col("location"), F.lit(" "), F.col("title"), F.lit(" "), F.col("description"))
