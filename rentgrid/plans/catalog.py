@@ -11,9 +11,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentgrid.functions.extract import PARSED_COLUMNS
+from rentgrid.functions import capture as _C
+from rentgrid.functions import patterns as P
+from rentgrid.functions.dialect import DUCK
+from rentgrid.functions.extract import PARSED_COLUMNS, clean_text, neighbourhood
+from rentgrid.functions.extract import extract_price as _extract_price
+from rentgrid.operators import dedup, market, query, state, stats
+from rentgrid.operators.enrich import parse_text, parse_text_sql
 from rentgrid.plans.base import enriched, listings, with_ctes
 from rentgrid.schema import LISTING_COLUMNS
+from rentgrid.session import read_table, rebalance
+from rentgrid.sources import details as _details
+from rentgrid.sources import jsonld, posts
+from rentgrid.sources import registry as _registry
+from rentgrid.sources.fixture import AS_OF, listing_raw, model_answers, model_answers_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -89,10 +100,6 @@ for _name, _ in PARSED_COLUMNS:
 # --------------------------------------------------------------------------
 # Reads: filters, top-k, projections
 # --------------------------------------------------------------------------
-from rentgrid.functions import patterns as P  # noqa: E402
-from rentgrid.operators import dedup, query, state, stats  # noqa: E402
-from rentgrid.session import read_table  # noqa: E402
-from rentgrid.sources.fixture import AS_OF  # noqa: E402
 
 _LISTING_SQL_COLS = _listing_projection_sql()
 
@@ -345,12 +352,6 @@ def orphan_price_history(spark, sf_dir):
 # Text sources: documents, conversations, pages, model answers
 # (A8-A12, A16, A17, H3, G3 on posts)
 # --------------------------------------------------------------------------
-from rentgrid.functions.dialect import DUCK  # noqa: E402
-from rentgrid.functions.extract import clean_text, neighbourhood  # noqa: E402
-from rentgrid.operators.enrich import parse_text, parse_text_sql  # noqa: E402
-from rentgrid.session import rebalance  # noqa: E402
-from rentgrid.sources import posts  # noqa: E402
-from rentgrid.sources.fixture import model_answers, model_answers_sql  # noqa: E402
 
 
 def _documents(spark, sf_dir) -> DataFrame:
@@ -496,7 +497,6 @@ def listing_json(spark, sf_dir):
 # --------------------------------------------------------------------------
 # Market views (K1-K6), no pair generation
 # --------------------------------------------------------------------------
-from rentgrid.operators import market  # noqa: E402
 
 _DUP_KEY_SQL = ("concat_ws('|', trim(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', ' ', 'g')), "
                 "CAST(price AS VARCHAR), coalesce(neighbourhood, ''))")
@@ -567,10 +567,6 @@ def rent_percentile(spark, sf_dir):
 # --------------------------------------------------------------------------
 # JSON-LD search pages (A1, A2)
 # --------------------------------------------------------------------------
-from rentgrid.functions import capture as _C  # noqa: E402
-from rentgrid.functions.extract import extract_price as _extract_price  # noqa: E402
-from rentgrid.sources import jsonld  # noqa: E402
-from rentgrid.sources.fixture import listing_raw  # noqa: E402
 
 
 def _jsonld_sql() -> str:
@@ -605,7 +601,6 @@ def decode_jsonld_pages(spark, sf_dir):
 # --------------------------------------------------------------------------
 # Detail pages joined to cards
 # --------------------------------------------------------------------------
-from rentgrid.sources import details as _details  # noqa: E402
 
 
 @register("attach_details", with_ctes(f"""
@@ -625,14 +620,13 @@ def attach_details(spark, sf_dir):
 # --------------------------------------------------------------------------
 # Source selection (A19) and first posts
 # --------------------------------------------------------------------------
-from rentgrid.sources import registry as _registry  # noqa: E402
 
 _SOURCE_SPEC = " craigslist, kijiji ,, nosuch "
 
 
 @register("select_sources", with_ctes(f"""
 SELECT listing_key, source, id FROM listings
-WHERE source IN ({', '.join(repr(s) for s in _registry.source_names(_SOURCE_SPEC))})""", "listings"))
+WHERE source IN ({', '.join(repr(s) for s in _registry.source_names(_SOURCE_SPEC, warn=False))})""", "listings"))
 def select_sources(spark, sf_dir):
     return _registry.select_sources(listings(spark, sf_dir), _SOURCE_SPEC).select("listing_key", "source", "id")
 

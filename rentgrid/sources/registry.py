@@ -26,12 +26,12 @@ def register_source(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
     _REGISTRY[name] = fn
 
 
-def source_names(spec: str) -> list[str]:
+def source_names(spec: str, warn: bool = True) -> list[str]:
     """Parse a comma list; unknown names are reported and skipped."""
     names = [s.strip() for s in spec.split(",") if s.strip()]
     known = set(P.SOURCES) | set(_REGISTRY)
     for n in names:
-        if n not in known:
+        if n not in known and warn:
             log.warning("Unknown source: %s", n)
     return [n for n in names if n in known]
 
