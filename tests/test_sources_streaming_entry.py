@@ -112,3 +112,25 @@ def test_post_records(spark):
     r = post_records(df).first()
     assert (r.text, r.author, r.timestamp, r.post_url) == ("Room\n\nfor rent", "Ann", "2h", "/groups/x/posts/42")
     assert r.image_urls == ["https://scontent/a.jpg"]
+
+
+def test_post_stream_dedup(spark, tmp_path):
+    from rentgrid.streaming.post_stream import start
+    t0 = dt.datetime(2026, 12, 1, 8, 0, 0)
+    rows = [(1, "A" * 120 + "one", t0), (2, "A" * 120 + "two", t0 + dt.timedelta(minutes=1)),
+            (3, "B post", t0 + dt.timedelta(minutes=2)), (4, "", t0), (5, "B post", t0 + dt.timedelta(minutes=3))]
+    df = spark.createDataFrame(rows, "seq long, text string, extracted_at timestamp")
+    src = str(tmp_path / "posts")
+    df.write.json(src)
+    name = f"posts_{tmp_path.name}"
+    q = start(spark, src, str(tmp_path / "out"), name=name)
+    q.awaitTermination(300)
+    kept = sorted(r.seq for r in spark.read.parquet(str(tmp_path / "out" / "posts")).collect())
+    assert kept == [1, 3]
+    # a later file repeating a seen post adds nothing; a new post is kept
+    spark.createDataFrame([(6, "B post", t0 + dt.timedelta(hours=1)), (7, "C new", t0 + dt.timedelta(hours=1))],
+                          "seq long, text string, extracted_at timestamp").write.mode("append").json(src)
+    q = start(spark, src, str(tmp_path / "out"), name=name)
+    q.awaitTermination(300)
+    kept = sorted(r.seq for r in spark.read.parquet(str(tmp_path / "out" / "posts")).collect())
+    assert kept == [1, 3, 7]
