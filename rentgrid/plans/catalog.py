@@ -252,7 +252,7 @@ def _batches(spark, sf_dir) -> DataFrame:
 
 
 def _state_sql_cols() -> str:
-    from rentgrid.schema import FIRST_WRITER_COLUMNS, LAST_WRITER_COLUMNS, STATE_FIELDS
+    from rentgrid.schema import FIRST_WRITER_COLUMNS, STATE_FIELDS
     cols = []
     for n, _ in STATE_FIELDS:
         if n == "id":
