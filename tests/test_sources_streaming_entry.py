@@ -134,3 +134,29 @@ def test_post_stream_dedup(spark, tmp_path):
     q.awaitTermination(300)
     kept = sorted(r.seq for r in spark.read.parquet(str(tmp_path / "out" / "posts")).collect())
     assert kept == [1, 3, 7]
+
+
+def test_extractor_hook_end_to_end(spark):
+    """posts -> length filter -> caller-supplied batch extractor (Arrow
+    batches) -> answer decoding, as the post pipeline runs it."""
+    import json
+
+    import pandas as pd
+
+    from rentgrid.sources.posts import decode_answers, extract_with, extraction_candidates
+
+    def fake_model(batches):
+        for pdf in batches:
+            answers = []
+            for text in pdf["text"]:
+                offering = "for rent" in text.lower()
+                answers.append(json.dumps({"is_offering": offering, "title": text[:30], "location": "Kits"}))
+            yield pd.DataFrame({"seq": pdf["seq"], "answer": answers})
+
+    posts = spark.createDataFrame([(1, "Room for rent near UBC, $900/month"), (2, "short"),
+                                   (3, "Looking for a room in Kitsilano please")], "seq long, text string")
+    answers = extract_with(extraction_candidates(posts, "text"), fake_model, "seq long, answer string")
+    got = {r.seq: r for r in decode_answers(answers, "seq", "answer").collect()}
+    assert set(got) == {1}
+    # "Kits" and "UBC" both occur; the UBC rule comes first in rule order
+    assert got[1].neighbourhood == "UBC" and got[1].source == "facebook"
