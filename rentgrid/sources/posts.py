@@ -83,9 +83,10 @@ def decode_answers(df: DataFrame, id_col: str, answer_col: str, url_col: str | N
     """Model answers -> offering listings (subset of listing columns).
 
     Each answer is stripped, un-fenced and parsed once into a VARIANT
-    column (staged, so no field access re-parses the text); fields are then
-    read with ``try_variant_get``.  An answer counts as an offer when its
-    ``is_offering`` value is truthy.
+    column; fields are then read with ``try_variant_get``.  The parse sits
+    in a one-row generator, so the offer filter (which reads the parsed
+    value) stays above it instead of being pushed down with a second parse.
+    An answer counts as an offer when its ``is_offering`` value is truthy.
     """
     from rentgrid.sources.jsonld import _truthy
     t = F.col("_t")
@@ -95,7 +96,6 @@ def decode_answers(df: DataFrame, id_col: str, answer_col: str, url_col: str | N
         {"_body": F.when(t.startswith("```"),
                          F.when(F.size(lines) > 2, F.array_join(F.slice(lines, 2, F.size(lines) - 2), "\n"))
                          .otherwise(F.lit(""))).otherwise(t)},
-        {"_v": F.try_parse_json(F.col("_body"))},
     ]
     v = F.col("_v")
     get = lambda path, typ="string": F.try_variant_get(v, path, typ)
@@ -118,7 +118,11 @@ def decode_answers(df: DataFrame, id_col: str, answer_col: str, url_col: str | N
         # a path lookup on a non-object gives NULL, so such answers drop out
         "_offer": _truthy(v, "$.is_offering").isNotNull(),
     }
-    out = apply_stages(df, stages, final).filter(F.col("_offer")).drop("_offer")
+    # parse once inside a one-row generator: the offer filter reads the
+    # parsed value and cannot be pushed below it, so no answer is parsed twice
+    staged = apply_stages(df, stages, {c: F.col(c) for c in [id_col, "_body"] + ([url_col] if url_col else [])})
+    parsed = staged.select("*", F.explode(F.array(F.try_parse_json(F.col("_body")))).alias("_v"))
+    out = apply_stages(parsed, [], final).filter(F.col("_offer")).drop("_offer")
     loc_text = F.concat(F.col("location"), F.lit(" "), F.col("title"), F.lit(" "), F.col("description"))
     staged = out.withColumn("_loc", loc_text).withColumn("_loc_fold", fold_column(F.col("_loc")))
     return (staged.withColumn("neighbourhood", neighbourhood(SPARK, F.col("_loc"), guard_text=F.col("_loc_fold")))
