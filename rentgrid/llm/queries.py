@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from rentgrid.llm import dedup_stream, mixing
+import public_tokenizers
+
+from rentgrid.llm import bpe, dedup_stream, mixing
 from rentgrid.llm.tables import read
 
 QUERIES = {}
@@ -25,6 +27,17 @@ def op1_mix_sources(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+#: The rank file that op2 and the pipeline encode with.
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+@query()
+def op2_bpe_round_trip(spark, sf_dir):
+    """Every document encoded and decoded."""
+    return bpe.round_trip(read(spark, sf_dir, "documents", "doc_id", "text"),
+                          public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
 @query("""
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                     'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
