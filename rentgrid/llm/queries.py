@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from rentgrid.llm import bpe, dedup_stream, mixing
+from rentgrid.llm import bpe, dedup_stream, mixing, parity_join
 from rentgrid.llm.tables import read
 
 QUERIES = {}
@@ -47,3 +47,9 @@ FROM n JOIN g USING (t)""")
 def op8_exact_dedup(spark, sf_dir):
     """Every document with its class of equal texts."""
     return dedup_stream.exact_dedup(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+
+
+@query()
+def op10_jaccard_groups(spark, sf_dir):
+    """Every document with the smallest id of its group of near-duplicates."""
+    return parity_join.similar_groups(read(spark, sf_dir, "documents", "doc_id", "text"))
