@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from rentgrid.llm import bpe, dedup_stream, mixing, parity_join
+from rentgrid.llm import bpe, dedup_stream, mixing, parity_join, toxicity
 from rentgrid.llm.tables import read
 
 QUERIES = {}
@@ -38,6 +38,13 @@ def op2_bpe_round_trip(spark, sf_dir):
                           public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+@query()
+def op6_toxicity(spark, sf_dir):
+    """Every document with its toxicity score."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels", "doc_id", "toxic")))
+
+
 @query("""
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                     'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
