@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from rentgrid.llm import bpe, dedup_stream, mixing, parity_join, toxicity
+from rentgrid.llm import bpe, dedup_stream, mixing, parity_join, quality, toxicity
 from rentgrid.llm.tables import read
 
 QUERIES = {}
@@ -38,6 +38,13 @@ def op2_bpe_round_trip(spark, sf_dir):
                           public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+@query()
+def op5_quality(spark, sf_dir):
+    """Every document with its quality score."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels", "doc_id", "quality")))
+
+
 @query()
 def op6_toxicity(spark, sf_dir):
     """Every document with its toxicity score."""
