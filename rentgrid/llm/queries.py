@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from rentgrid.llm import bpe, dedup_stream, mixing, parity_join, quality, toxicity
+from rentgrid.llm import bpe, dedup_stream, mixing, parity_join, quality, quality_rules, toxicity
 from rentgrid.llm.tables import read
 
 QUERIES = {}
@@ -63,6 +63,12 @@ def op8_exact_dedup(spark, sf_dir):
     return dedup_stream.exact_dedup(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+@query()
+def op9_quality_rules(spark, sf_dir):
+    """Every document with its counts and the verdict of the rules."""
+    return quality_rules.rules(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
 @query()
 def op10_jaccard_groups(spark, sf_dir):
     """Every document with the smallest id of its group of near-duplicates."""
