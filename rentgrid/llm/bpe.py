@@ -237,8 +237,10 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, bytes binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row.
+def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text",
+               with_ids: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row, and
+    ``ids`` (array of int) if asked for.
 
     Each text is encoded and its ids are decoded in one pass.  ``ids_sha256``
     is of the decimal ids joined by commas, ``decoded_sha256`` of the bytes
@@ -248,21 +250,26 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
     """
     sent = docs.sparkSession.sparkContext.broadcast(Encoder(read_vocabulary(path), pattern))
     small_batches(docs.sparkSession)
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batches):
         encoder = sent.value
         name = encoder.names.__getitem__
         for b in batches:
-            counts, ids_sha, text_sha = [], [], []
+            counts, ids_sha, text_sha, kept = [], [], [], []
             for t in b.column(1):
                 ids = encoder.encode(t.as_py() or "")
                 counts.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join(map(name, ids)).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()),
-                                              pa.array(text_sha, pa.string())], names)
+                if with_ids:
+                    kept.append(np.array(ids, np.int32))
+            columns = [b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()),
+                       pa.array(text_sha, pa.string())]
+            if with_ids:
+                columns.append(pa.array(kept, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("doc_id"), text).mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

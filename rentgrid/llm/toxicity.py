@@ -301,5 +301,19 @@ def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str
                       (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def without_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text is not predicted toxic."""
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    where = docs.columns.index(text)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array([sent.value.score(t or "") < THRESHOLD for t in b.column(where).to_pylist()],
+                                    pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 #: Scores from here on are toxic.
 THRESHOLD = 0.7
