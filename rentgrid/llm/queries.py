@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from rentgrid.llm import bpe, dedup_stream, mixing, parity_join, quality, quality_rules, toxicity
+from rentgrid.llm import bpe, dedup_stream, mixing, parity_join, quality, quality_rules, toxicity, wrapper
 from rentgrid.llm.tables import read
 
 QUERIES = {}
@@ -38,6 +38,12 @@ def op2_bpe_round_trip(spark, sf_dir):
                           public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+@query()
+def op3_html_text(spark, sf_dir):
+    """Main text of every page."""
+    return wrapper.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 @query()
 def op5_quality(spark, sf_dir):
     """Every document with its quality score."""
