@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from rentgrid.llm import bpe, dedup_stream, mixing, parity_join, quality, quality_rules, toxicity, wrapper
+from rentgrid.llm import bpe, dedup_stream, mixing, parity_join, quality, quality_rules, suffix_dedup, toxicity, wrapper
 from rentgrid.llm.tables import read
 
 QUERIES = {}
@@ -58,6 +58,12 @@ def op6_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels", "doc_id", "toxic")))
 
 
+@query()
+def op7_suffix_dedup(spark, sf_dir):
+    """Every document with what is left of it without repeated strings."""
+    return suffix_dedup.without_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query("""
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                     'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
