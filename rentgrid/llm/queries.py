@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from rentgrid.llm import bpe, dedup_stream, mixing, parity_join, quality, quality_rules, suffix_dedup, toxicity, wrapper
+from rentgrid.llm import bpe, dedup_stream, line_dedup, mixing, parity_join, quality, quality_rules, suffix_dedup, toxicity, wrapper
 from rentgrid.llm.tables import read
 
 QUERIES = {}
@@ -44,6 +44,12 @@ def op3_html_text(spark, sf_dir):
     return wrapper.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+@query()
+def op4_line_dedup(spark, sf_dir):
+    """Every document with its near-duplicate lines and what is left of it."""
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query()
 def op5_quality(spark, sf_dir):
     """Every document with its quality score."""

@@ -271,7 +271,7 @@ def _batch(columns, names, kind):
                                        pa.array(hi, pa.int64())], names)
 
 
-def _packed(batches):
+def packed(batches):
     """Texts as compressed bytes, to be moved; with their marks."""
     pack = zstandard.ZstdCompressor(level=1).compress
     for b in batches:
@@ -339,7 +339,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
         F.struct("ah", "ph", F.col("lo").cast("int").alias("lo")))).dropDuplicates(["_one"])
     wanted = ends.groupBy("doc_id", "mark").agg(F.collect_list(F.struct(
         "lo", "hi", "anchor", "ah", "copies", (F.col("kinds") > hot).alias("hot"))).alias("wanted"))
-    texts = rows.mapInArrow(_packed, f"doc_id {kind}, mark int, packed binary")
+    texts = rows.mapInArrow(packed, f"doc_id {kind}, mark int, packed binary")
     cut = texts.join(wanted.hint("shuffle_hash"), ["doc_id", "mark"]).select("doc_id", "mark", "packed", "wanted").mapInArrow(
         _cut_pieces(length), (f"doc_id {kind}, mark int, lo long, anchor long, ah long, copies long, hot boolean, "
                               "piece binary"))
