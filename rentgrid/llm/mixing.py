@@ -65,12 +65,13 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = MAX_REPEATS)
 
 
 def knapsack(lengths, counts, budget: int) -> np.ndarray:
-    """How many of each length to take so that their sum comes nearest to
-    ``budget`` from below.
+    """How many of each length to take so that their sum comes near ``budget``.
 
     First an equal share of every count, then, from the longest on, whole
     items while they fit, until the rest is small enough for the dynamic
-    program; that one is exact on what it is given.
+    program; that one finds the nearest sum with what it is given.  If all
+    items together are small enough it is given all, and the sum is the
+    nearest there is.
     """
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     order = np.argsort(-lengths, kind="stable")
@@ -79,7 +80,8 @@ def knapsack(lengths, counts, budget: int) -> np.ndarray:
     if budget <= 0 or total == 0:
         return np.zeros(len(lengths), np.int64)
     budget = min(int(budget), total)
-    taken = np.array([int(n) * budget // total for n in left], np.int64)
+    share = 0 if total <= DP_BUDGET else budget
+    taken = np.array([int(n) * share // total for n in left], np.int64)
     left -= taken
     rest = budget - int((taken * length).sum())
     for i in range(len(length)):
@@ -88,30 +90,32 @@ def knapsack(lengths, counts, budget: int) -> np.ndarray:
         if length[i]:
             more = min(int(left[i]), max(0, rest - DP_BUDGET // 2) // int(length[i]))
             taken[i], left[i], rest = taken[i] + more, left[i] - more, rest - more * int(length[i])
-    rest = min(rest, DP_BUDGET) if rest <= DP_BUDGET else rest
     return_order = np.zeros(len(lengths), np.int64)
     return_order[order] = taken + _exact(length, left, rest)
     return return_order
 
 
 def _exact(length: np.ndarray, left: np.ndarray, budget: int) -> np.ndarray:
-    """Bounded knapsack on sums 0..budget: each count is cut into 1, 2, 4, ...
-    items, and each sum remembers the item that first reached it."""
+    """Bounded knapsack on sums up to twice the budget; the nearest to it counts
+    (the lower of two).  Each count is cut into 1, 2, 4, ... items, and each sum
+    remembers the item that first reached it."""
     take = np.zeros(len(length), np.int64)
-    by = np.full(budget + 1, -1, np.int32)
+    most = 2 * budget
+    by = np.full(most + 1, -1, np.int32)
     by[0] = 0
     items = [(0, 0)]
-    for i in np.flatnonzero((left > 0) & (length > 0) & (length <= budget)):
-        n, k = min(int(left[i]), budget // int(length[i])), 1
+    for i in np.flatnonzero((left > 0) & (length > 0) & (length <= most)):
+        n, k = min(int(left[i]), most // int(length[i])), 1
         while n > 0 and by[budget] < 0:
             k = min(k, n)
             step = k * int(length[i])
-            if step <= budget:
-                fresh = np.flatnonzero((by[step:] < 0) & (by[:budget + 1 - step] >= 0)) + step
+            if step <= most:
+                fresh = np.flatnonzero((by[step:] < 0) & (by[:most + 1 - step] >= 0)) + step
                 by[fresh] = len(items)
                 items.append((int(i), k))
             n, k = n - k, k * 2
-    at = int(np.flatnonzero(by >= 0)[-1])
+    reached = np.flatnonzero(by >= 0)
+    at = int(reached[np.argmin(np.abs(reached - budget))])
     while at:
         i, k = items[by[at]]
         take[i] += k
