@@ -8,17 +8,18 @@ shingles.  Shingles are XOR-hashed into sketches:
   are XORed.  One differing shingle changes one piece, so sets that differ in
   d shingles agree in all pieces but d.  A set therefore sends its first
   ``d + 1`` non-empty pieces in one global order (pieces made only of very
-  frequent shingles last); a pair that must be found shares one of them.  A
-  set with too few non-empty pieces for that sends its empty ones as well, so
-  two such sets meet there.
+  frequent shingles last); a pair that must be found shares one of them.  It
+  sends some more than that, so such a pair shares as many more, and pairs that
+  share fewer are dropped.  A set with too few non-empty pieces for that sends
+  its empty ones as well, so two such sets meet there.
 * A bit sketch per band holds the parity of the shingles at each bit.  Its
   Hamming distance never exceeds the symmetric difference, so pairs above the
   bound are dropped before their shingles are read.
 
 What is left is verified on the shingles.  Equal sets are one class from the
-start.  Within a group of sets that share a piece, all are first compared with
-one of them; only groups that are still in several components after that are
-compared further, across components.
+start.  Within a group of sets that share a piece, those that often share one
+with its first set are compared with that first; only groups that are still in
+several components after that are compared further, across components.
 """
 
 from __future__ import annotations
@@ -30,13 +31,17 @@ from pyspark.sql import functions as F
 
 from rentgrid.llm import arrowtext as at
 from rentgrid.llm.components import components
-from rentgrid.llm.tables import small_batches, written
+from rentgrid.llm.tables import sized, small_batches, written
 
 WORDS = 5
 #: Similarity as a fraction in hundredths.
 PERCENT = 75
 #: Each size band ends at this many times its start.
-BAND = 4
+BAND = 2
+#: One piece for so many shingles of the largest set of a band.
+SHINGLES_PER_PIECE = 2
+#: Pieces that a set sends beyond those it must: this part of its shingles.
+SPARE = 8
 #: A shingle in this share of the documents is very frequent (the order of
 #: pieces follows it, not the result) and at most so many are listed.
 FREQUENT, MAX_FREQUENT = 0.002, 200_000
@@ -141,12 +146,13 @@ def _profiles(words, percent):
 
 
 def _pieces(shingle, owner, n, band, on, frequent, percent):
-    """The pieces that the sets send in one band: ``(row, hash, is frequent)``."""
+    """The pieces that the sets send in one band, ``(row, hash, is frequent)``,
+    and how many each sends (0 if it also sends empty ones)."""
     used = on[owner]
     shingle, owner = shingle[used], owner[used]
     if not len(shingle):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-    count = np.maximum(64, _ends(band) + 1)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(len(n), np.int64)
+    count = np.maximum(64, (_ends(band) + 1) // SHINGLES_PER_PIECE)
     piece = (at.mix(shingle ^ np.uint64(0xC2B2AE35)) % count[owner].astype(np.uint64)).astype(np.int64)
     if len(frequent):
         where = np.minimum(np.searchsorted(frequent, shingle), len(frequent) - 1)
@@ -175,8 +181,11 @@ def _pieces(shingle, owner, n, band, on, frequent, percent):
     row, key, often = row[order], key[order], often[order]
     total = np.bincount(row, minlength=len(n))
     place = np.arange(len(row)) - (np.cumsum(total) - total)[row]
-    sent = (place <= most[row]) | sparse[row]
-    return row[sent], key[sent], often[sent]
+    sent = (place <= most[row] + n[row] // SPARE) | sparse[row]
+    return row[sent], key[sent], often[sent], np.where(sparse, 0, np.bincount(row[sent], minlength=len(n)))
+
+
+_SENT = ["bucket", "pieces", "gid", "cid", "band", "sent"]
 
 
 def _sender(words, percent, buckets, frequent):
@@ -191,9 +200,15 @@ def _sender(words, percent, buckets, frequent):
         have = np.flatnonzero(np.diff(cut))
         packed = [key[cut[i]:cut[i + 1]].astype(np.uint32).tobytes() + cid[cut[i]:cut[i + 1]].tobytes()
                   + band[cut[i]:cut[i + 1]].tobytes() for i in have]
-        none = pa.nulls(len(have), pa.int64())
+        none, k = pa.nulls(len(have), pa.int64()), len(have)
         return pa.RecordBatch.from_arrays([pa.array(have.astype(np.int32)), pa.array(packed, pa.binary()), none, none,
-                                           pa.nulls(len(have), pa.int32())], ["bucket", "pieces", "gid", "cid", "band"])
+                                           pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32())], _SENT)
+
+    def single(gid, cid, band, sent):
+        k = len(cid)
+        return pa.RecordBatch.from_arrays([
+            pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), gid, _signed(cid), pa.array(band.astype(np.int32)), sent],
+            _SENT)
 
     def run(batches):
         held, size, known = [], 0, set()
@@ -207,15 +222,16 @@ def _sender(words, percent, buckets, frequent):
                     known = set()
                 known.update(cid[fresh].tolist())
                 for band, on in _joins(n, percent):
-                    row, key, often = _pieces(shingle, owner, n, band, on & fresh, frequent.value, percent)
+                    row, key, often, count = _pieces(shingle, owner, n, band, on & fresh, frequent.value, percent)
                     held.append((key[~often], cid[row[~often]], band[row[~often]].astype(np.uint8)))
                     size += int((~often).sum())
-                    k = int(often.sum())
-                    if k:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), _signed(key[often]),
-                             _signed(cid[row[often]]), pa.array(band[row[often]].astype(np.int32))],
-                            ["bucket", "pieces", "gid", "cid", "band"])
+                    if often.any():
+                        yield single(_signed(key[often]), cid[row[often]], band[row[often]],
+                                     pa.nulls(int(often.sum()), pa.int32()))
+                    who = np.flatnonzero(on & fresh)
+                    if len(who):
+                        yield single(pa.nulls(len(who), pa.int64()), cid[who], band[who],
+                                     pa.array(count[who].astype(np.int32)))
             if size >= 1 << 20:
                 yield flush(held)
                 held, size = [], 0
@@ -245,8 +261,8 @@ def _meet(batches):
         group = np.cumsum(first) - 1
         many = (np.bincount(group) > 1)[group]
         gid = at.mix(key[many].astype(np.uint64) + (np.uint64(bucket) << np.uint64(32)))
-        return pa.RecordBatch.from_arrays([_signed(gid), _signed(cid[many]), pa.array(band[many].astype(np.int32))],
-                                          ["gid", "cid", "band"])
+        return pa.RecordBatch.from_arrays([_signed(gid), _signed(cid[many]), pa.array(band[many].astype(np.int32)),
+                                           pa.nulls(int(many.sum()), pa.int32())], _SENT[2:])
 
     now, blobs = None, []
     for b in batches:
@@ -307,69 +323,90 @@ class Links:
         self.frequent = rows.where("seen IS NOT NULL").groupBy("cid").agg(F.sum("seen").alias("seen")).where(
             F.col("seen") >= FREQUENT * self.total[0]).orderBy(F.desc("seen"), "cid").limit(MAX_FREQUENT).select("cid")
 
-    def groups(self) -> DataFrame:
-        """``gid, band, cls``: the classes that share a piece."""
+    def groups(self) -> tuple[DataFrame, DataFrame]:
+        """``gid, band, cls`` of the classes that share a piece, and ``cls, band,
+        sent, n``: how many pieces each class has sent in a band."""
         frequent = np.sort(np.array([r[0] for r in self.frequent.collect()], np.int64).view(np.uint64))
         sent = self.spark.sparkContext.broadcast(frequent)
         buckets = max(16, self.total[1] // (2 * PIECES_PER_BUCKET))
         rows = self.docs.mapInArrow(_sender(self.words, self.percent, buckets, sent),
-                                    "bucket int, pieces binary, gid long, cid long, band int")
+                                    "bucket int, pieces binary, gid long, cid long, band int, sent int")
         # single rows keep no order and may come from any task; packed ones meet by bucket
         rows = rows.repartition(buckets, F.coalesce(F.col("bucket").cast("long"), F.xxhash64("gid", "cid")))
-        met = rows.sortWithinPartitions("bucket").mapInArrow(_split_rows, "gid long, cid long, band int")
-        named = self.classes.select("cid", "cls")
-        return written(met.join(named, "cid").select("gid", "band", "cls").distinct(), "parity-groups")
+        met = written(rows.sortWithinPartitions("bucket").mapInArrow(
+            _split_rows, "gid long, cid long, band int, sent int"), "parity-met")
+        named = self.classes.select("cid", "cls", "n")
+        groups = written(met.where("gid IS NOT NULL").join(named, "cid").select("gid", "band", "cls").distinct(),
+                         "parity-groups")
+        counts = written(met.where("gid IS NULL").join(named, "cid").groupBy("cls", "band").agg(
+            F.min("sent").alias("sent"), F.first("n").alias("n")), "parity-sent")
+        return groups, counts
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (``a``, ``b``, ``band``) of classes that are similar enough."""
-        pairs = pairs.distinct()
-        sizes = self.classes.select("cls", "n", "own", "above")
+        kind = self.classes.schema["cls"].dataType.simpleString()
+        wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "parity-wanted")
+        sizes = written(self.classes.select("cls", "n", "own", "above").join(sized(wanted), "cls", "left_semi"),
+                        "parity-sketches")
         one, two = sizes.alias("x"), sizes.alias("y")
         both = pairs.join(one, F.col("a") == F.col("x.cls")).join(two, F.col("b") == F.col("y.cls"))
-        low, high = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-        both = both.where(low * 100 >= high * self.percent)
 
         def sketch(side):  # in the band of the pair
-            own = F.expr(f"CASE WHEN band = {self._band_sql(side + '.n')} THEN {side}.own ELSE {side}.above END")
-            return own
+            return F.expr(f"CASE WHEN band = {self._band_sql(side + '.n')} THEN {side}.own ELSE {side}.above END")
         near = both.select("a", "b", F.col("x.n").alias("n1"), F.col("y.n").alias("n2"), sketch("x").alias("s1"),
                            sketch("y").alias("s2")).where("s1 IS NOT NULL AND s2 IS NOT NULL")
-        kind = self.classes.schema["cls"].dataType.simpleString()
         near = written(near.mapInArrow(_near(self.percent), f"a {kind}, b {kind}").distinct(), "parity-near")
-        wanted = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-        texts = self.docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        wanted = written(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "parity-wanted")
+        texts = self.docs.join(sized(wanted), "doc_id", "left_semi")
         sets = written(texts.select("doc_id", "text").mapInArrow(
             _shingle_sets(self.words), f"cls {kind}, shingles array<long>"), "parity-sets")
         checked = near.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("s1")), "a").join(
             sets.select(F.col("cls").alias("b"), F.col("shingles").alias("s2")), "b")
         common = F.size(F.array_intersect("s1", "s2"))
         union = F.size("s1") + F.size("s2") - common
-        return written(checked.where(common * 100 >= union * self.percent).select("a", "b"), "parity-links")
+        return written(checked.where(common * 100 >= union * self.percent).select("a", "b").distinct(), "parity-links")
 
     @staticmethod
     def _band_sql(n: str) -> str:
-        steps = " + ".join(f"int({n} >= {BAND ** k})" for k in range(1, 31))
+        steps = " + ".join(f"int({n} >= {BAND ** k})" for k in range(1, 62 // (BAND.bit_length() - 1)))
         return f"({steps})"
 
     def roots(self) -> DataFrame:
         """``node, root`` over classes."""
-        groups = self.groups()
+        groups, counts = self.groups()
         leaders = groups.groupBy("gid").agg(F.min("cls").alias("a"), F.max("cls").alias("_last")).where("a <> _last")
-        stars = groups.join(leaders, "gid").where("cls <> a").select("a", F.col("cls").alias("b"), "band")
+        stars = groups.join(leaders, "gid").where("cls <> a").groupBy("a", F.col("cls").alias("b"), "band").agg(
+            F.count(F.lit(1)).alias("shared"))
+        # the likely links first: what is linked already needs no more comparing
+        stars = written(self._sharing(stars, counts, likely=True).select("a", "b", "band"), "parity-stars")
         links = self.linked(stars)
         known = components(links)
-        # groups in one component need no more; the others are compared across components
         labelled = groups.join(known, groups.cls == known.node, "left").select(
             "gid", "band", "cls", F.coalesce("root", "cls").alias("root"))
-        mixed = labelled.groupBy("gid").agg(F.min("root").alias("_a"), F.max("root").alias("_b"),
-                                            F.count(F.lit(1)).alias("_n")).where("_a <> _b AND _n > 2")
+        mixed = labelled.groupBy("gid").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b")
         open_rows = written(labelled.join(mixed.select("gid"), "gid"), "parity-open")
         x, y = open_rows.alias("x"), open_rows.alias("y")
         rest = x.join(y, (F.col("x.gid") == F.col("y.gid")) & (F.col("x.cls") < F.col("y.cls"))
-                      & (F.col("x.root") != F.col("y.root"))).select(
-            F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.band").alias("band"))
-        more = self.linked(rest.join(stars.distinct(), ["a", "b", "band"], "left_anti"))
-        return components(links.unionByName(more))
+                      & (F.col("x.root") != F.col("y.root"))).groupBy(
+            F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.band").alias("band")).agg(
+            F.count(F.lit(1)).alias("shared"))
+        rest = self._sharing(rest, counts).select("a", "b", "band").join(stars, ["a", "b", "band"], "left_anti")
+        return components(links.unionByName(self.linked(written(rest, "parity-rest"))))
+
+    def _sharing(self, pairs: DataFrame, counts: DataFrame, likely: bool = False) -> DataFrame:
+        """Pairs whose sizes and number of ``shared`` pieces allow a link.
+
+        Of two lists of pieces in one order, at least those of the shorter list
+        are in both lists or differ; more than the allowed difference cannot
+        differ.  ``likely``: those that share half of the shorter list.
+        """
+        out = pairs.join(counts.select(F.col("cls").alias("a"), "band", F.col("sent").alias("s1"), F.col("n").alias("n1")),
+                         ["a", "band"]).join(counts.select(F.col("cls").alias("b"), "band", F.col("sent").alias("s2"),
+                                                           F.col("n").alias("n2")), ["b", "band"])
+        most = F.floor((F.col("n1") + F.col("n2")) * (100 - self.percent) / (100 + self.percent))
+        fewest = F.least("s1", "s2")
+        out = out.where(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * self.percent)
+        return out.where(F.col("shared") * 2 >= fewest) if likely else out.where(F.col("shared") >= fewest - most)
 
 
 def _split_rows(batches):
@@ -380,7 +417,7 @@ def _split_rows(batches):
         for b in batches:
             single = b.filter(b.column(0).is_null())
             if single.num_rows:
-                packed.append(single.select(["gid", "cid", "band"]))
+                packed.append(single.select(_SENT[2:]))
             rest = b.filter(b.column(0).is_valid())
             if rest.num_rows:
                 yield rest

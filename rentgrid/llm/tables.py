@@ -57,3 +57,13 @@ def ascii_lower(text: Column) -> Column:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
         F.translate(text, upper, upper.lower()))
+
+
+#: Rows of a join side that may be sent to every executor (ids and the like).
+SENT_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A narrow written table as a join side: sent to every executor if it was
+    counted to be small, else hashed by partition, as the other side is then."""
+    return F.broadcast(df) if df.count() <= (SENT_ROWS if rows is None else rows) else df.hint("shuffle_hash")
