@@ -13,21 +13,25 @@ def relative_date_stages(d, text, as_of, prefix: str = "_rd"):
 
     Returns projection stages (each a ``{column: expr}``; later stages read
     earlier columns) whose last stage yields ``{prefix}``.  ``as_of`` stands
-    for "now"; a month counts 30 days.  Text that is not relative falls back
-    to an ISO-style timestamp parse (the source used a free-form date parser
-    here; only ISO forms are read).  An offset that would leave the
-    timestamp range gives NULL.
+    for "now"; a month counts 30 days.  Text that is not relative is read as
+    it stands, as an ISO timestamp or one of the written forms of
+    ``dialect.DATE_FORMS`` (a free-form date parser stood here; other forms
+    give NULL).  An offset that leaves the timestamp range, whatever its unit,
+    gives NULL.
     """
     t, t1, amount, unit = (f"{prefix}_t", f"{prefix}_t1", f"{prefix}_n", f"{prefix}_unit")
     rel = "^" + P.RELATIVE_DATE_PATTERN
-    s1 = {t: d.lower(d.strip(text)), f"{prefix}_empty": d.eq(text, "")}
+    raw = f"{prefix}_raw"
+    s0 = {raw: d.strip(text), f"{prefix}_empty": d.eq(text, "")}
+    s1 = {t: d.lower(d.col(raw))}
     s2 = {t1: d.regexp_replace(d.col(t), P.ARTICLE_PATTERN, "1")}
     s3 = {amount: d.try_bigint(d.nullif_empty(d.extract(d.col(t1), rel, 1))),
           unit: d.extract(d.col(t1), rel, 2)}
     unit_secs = d.case([(d.eq(d.col(unit), u), d.lit(s)) for u, s in P.RELATIVE_UNIT_SECONDS.items()],
                        d.null("bigint"))
-    # about 1,965 years: beyond that the source raised instead of returning
-    in_range = d.le(d.col(amount), 62_000_000_000 // P.RELATIVE_UNIT_SECONDS["month"])
+    # about 1,965 years, in any unit: beyond that there is no such timestamp
+    in_range = d.or_(*[d.and_(d.eq(d.col(unit), u), d.le(d.col(amount), 62_000_000_000 // s))
+                       for u, s in P.RELATIVE_UNIT_SECONDS.items()])
     s4 = {prefix: d.case([
         (d.col(f"{prefix}_empty"), d.null("timestamp")),
         (d.isin(d.col(t), P.RELATIVE_NOW_WORDS), as_of),
@@ -35,8 +39,8 @@ def relative_date_stages(d, text, as_of, prefix: str = "_rd"):
         (d.eq(d.col(t), "yesterday"), d.day_start(as_of, 1)),
         (d.and_(d.not_(d.is_null(d.col(amount))), in_range), d.minus_seconds(as_of, d.mul_col(d.col(amount), unit_secs))),
         (d.not_(d.is_null(d.col(amount))), d.null("timestamp")),
-    ], d.try_iso_timestamp(d.col(t1)))}
-    return [s1, s2, s3, s4]
+    ], d.coalesce(d.try_iso_timestamp(d.col(raw)), d.try_named_date(d.col(raw))))}
+    return [s0, s1, s2, s3, s4]
 
 
 def iso_timestamp(d, text):

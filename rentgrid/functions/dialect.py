@@ -36,6 +36,18 @@ PY_SPACE_CHARS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 
+#: ISO-8601: a whole date, and a time of at least hours and minutes if any.
+ISO_PATTERN = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.]\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$"
+ISO_BASIC_PATTERN = r"^\d{8}$"
+#: Written dates that are read: (pattern, Java format, C format).
+DATE_FORMS = (
+    (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy", "%b %d, %Y"),
+    (r"^[A-Z][a-z]{2,8} \d{1,2}, \d{4}$", "MMMM d, yyyy", "%B %d, %Y"),
+    (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy", "%d %b %Y"),
+    (r"^\d{1,2} [A-Z][a-z]{2,8} \d{4}$", "d MMMM yyyy", "%d %B %Y"),
+    (r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy", "%m/%d/%Y"),
+)
+
 _UNICODE_ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 
 
@@ -217,7 +229,7 @@ class SparkDialect:
         return F.concat_ws(sep, *xs)
 
     def sha_id(self, prefix: str, *xs: Column) -> Column:
-        return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("\u0001", *xs), 256), 1, 16))
+        return F.concat(F.lit(prefix), F.sha2(F.concat_ws("\u0001", *xs), 256))
 
     def add(self, x: Column, y: Column) -> Column:
         return x + y
@@ -285,7 +297,14 @@ class SparkDialect:
         return F.substring(x, start, n)
 
     def try_iso_timestamp(self, x: Column) -> Column:
-        return F.try_to_timestamp(x)
+        """ISO-8601 text with a whole date, extended or basic, else NULL."""
+        return F.when(x.rlike(ISO_PATTERN), F.try_to_timestamp(x)).when(
+            x.rlike(ISO_BASIC_PATTERN), F.try_to_timestamp(x, F.lit("yyyyMMdd")))
+
+    def try_named_date(self, x: Column) -> Column:
+        """A date in one of the written forms, else NULL."""
+        return F.coalesce(*[F.when(x.rlike(pattern), F.try_to_timestamp(x, F.lit(java)))
+                            for pattern, java, _ in DATE_FORMS])
 
     def minus_seconds(self, ts: Column, secs: Column) -> Column:
         return F.timestamp_micros(F.unix_micros(ts) - secs * F.lit(1_000_000))
@@ -432,7 +451,7 @@ class DuckDialect:
         return f"concat_ws({sql_str(sep)}, {', '.join(xs)})"
 
     def sha_id(self, prefix: str, *xs: str) -> str:
-        return f"({sql_str(prefix)} || substr(sha256(concat_ws(chr(1), {', '.join(xs)})), 1, 16))"
+        return f"({sql_str(prefix)} || sha256(concat_ws(chr(1), {', '.join(xs)})))"
 
     def add(self, x: str, y: str) -> str:
         return f"({x} + {y})"
@@ -508,7 +527,13 @@ class DuckDialect:
         return f"substr({x}, {start}, {n})"
 
     def try_iso_timestamp(self, x: str) -> str:
-        return f"TRY_CAST({x} AS TIMESTAMP)"
+        return (f"CASE WHEN regexp_matches({x}, {sql_str(ISO_PATTERN)}) THEN TRY_CAST({x} AS TIMESTAMP) "
+                f"WHEN regexp_matches({x}, {sql_str(ISO_BASIC_PATTERN)}) THEN try_strptime({x}, '%Y%m%d') END")
+
+    def try_named_date(self, x: str) -> str:
+        forms = [f"CASE WHEN regexp_matches({x}, {sql_str(pattern)}) THEN try_strptime({x}, {sql_str(c)}) END"
+                 for pattern, _, c in DATE_FORMS]
+        return f"coalesce({', '.join(forms)})"
 
     def minus_seconds(self, ts: str, secs: str) -> str:
         return f"make_timestamp(epoch_us({ts}) - {secs} * 1000000)"

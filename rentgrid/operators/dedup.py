@@ -40,8 +40,8 @@ def merge_snapshots(df: DataFrame, file_col: str = "snapshot_no", pos_col: str =
 
 
 def latest_snapshot(df: DataFrame, file_col: str = "snapshot_no") -> DataFrame:
-    """Rows of the last snapshot only (the max over a partition column is
-    answered from metadata by a partition filter when stored by snapshot)."""
+    """Rows of the last snapshot only, for frames in memory of a query; stored
+    snapshots are found by their folders (``snapshots.latest``)."""
     last = df.agg(F.max(file_col).alias("_last"))
     return df.join(last, F.col(file_col) == F.col("_last"), "left_semi")
 
@@ -53,3 +53,12 @@ def dedup_posts(df: DataFrame, text_col: str, seq_col: str, prefix_chars: int) -
     key = F.substring(F.col(text_col), 1, prefix_chars)
     non_empty = df.filter(F.col(text_col).isNotNull() & (F.length(text_col) > 0))
     return keep_by(non_empty, key, [seq_col], last=False)
+
+
+def first_posts_of_key(df: DataFrame, text_col: str, seq_col: str, prefix_chars: int) -> DataFrame:
+    """:func:`dedup_posts` without the text column: only the key prefix and the
+    other columns are moved, never whole texts."""
+    key = F.substring(F.col(text_col), 1, prefix_chars)
+    non_empty = df.filter(F.col(text_col).isNotNull() & (F.length(text_col) > 0))
+    rest = [c for c in df.columns if c != text_col]
+    return keep_by(non_empty.select(*rest, key.alias("_prefix")), F.col("_prefix"), [seq_col], last=False).select(*rest)

@@ -38,11 +38,13 @@ def fold_column(loc: F.Column) -> F.Column:
 def text_columns(d):
     """Helper columns the rules read: lower-cased and raw title+description,
     and location+title+description for the neighbourhood."""
-    raw = d.concat(d.col("title"), d.lit(" "), d.col("description"))
+    # a missing text is an empty one: NULL would blank the other's columns too
+    title, description, location = (d.coalesce(d.col(c), d.lit("")) for c in ("title", "description", "location"))
+    raw = d.concat(title, d.lit(" "), description)
     return {
         TEXT_COL: d.lower(raw),
         "_text_raw": raw,
-        "_text_loc": d.concat(d.col("location"), d.lit(" "), d.col("title"), d.lit(" "), d.col("description")),
+        "_text_loc": d.concat(location, d.lit(" "), title, d.lit(" "), description),
     }
 
 
@@ -112,8 +114,8 @@ def parse_text(df: DataFrame, title: str, description: str, location: str | None
     """Only the 37 parsed columns for any text columns (no merge), plus the
     ``keep`` columns.  Used for free text such as ``documents``."""
     keep = keep if keep is not None else df.columns
-    loc = F.col(location) if location else F.lit("")
-    raw = F.concat(F.col(title), F.lit(" "), F.col(description))
+    loc = F.coalesce(F.col(location), F.lit("")) if location else F.lit("")
+    raw = F.concat(F.coalesce(F.col(title), F.lit("")), F.lit(" "), F.coalesce(F.col(description), F.lit("")))
     staged = df.select(*keep, F.lower(raw).alias(TEXT_COL), raw.alias("_text_raw"),
                        F.concat(loc, F.lit(" "), raw).alias("_text_loc"))
     staged = staged.select("*", fold_column(F.col("_text_loc")).alias("_loc_fold"))
@@ -128,7 +130,7 @@ def parse_text(df: DataFrame, title: str, description: str, location: str | None
 def parse_text_sql(relation: str, title_sql: str, description_sql: str, keep: list[str]) -> str:
     """DuckDB form of :func:`parse_text` (oracle)."""
     d = DUCK
-    raw = f"({title_sql} || ' ' || {description_sql})"
+    raw = f"(coalesce({title_sql}, '') || ' ' || coalesce({description_sql}, ''))"
     s1 = {TEXT_COL: f"lower({raw})", "_text_raw": raw, "_text_loc": f"('' || ' ' || {raw})"}
     s1w = {"_text_w": d.word_view(TEXT_COL), "_loc_w": d.word_view("_text_loc")}
     pre, parsed = parsed_fields(d, TEXT_COL, "_text_raw", "_text_loc", word_text="_text_w", word_loc="_loc_w")

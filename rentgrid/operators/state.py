@@ -13,10 +13,10 @@ Price log: a ``(listing, price)`` pair is logged once, when first seen (a
 price that goes A -> B -> A logs two rows).  Incremental form: de-duplicate
 the batch on the pair and anti-join it against the stored log.
 
-``ListingStore`` keeps each table as versioned Parquet folders under one
-root (on a cluster: shared storage).  A batch writes version N+1 next to N
-and never overwrites the folder it reads, so a lost executor or a failed
-job leaves the previous version intact and a rerun of the same batch
+``ListingStore`` keeps each table as versioned, bucketed Parquet folders under
+one root (on a cluster: shared storage).  A batch writes new versions of the
+buckets that it touches and never overwrites what it reads, so a lost executor
+or a failed job leaves the previous state intact and a rerun of the same batch
 gives the same state.
 """
 
@@ -28,20 +28,25 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentgrid.schema import FIRST_WRITER_COLUMNS, LAST_WRITER_COLUMNS, STATE_FIELDS
+from rentgrid.schema import FIRST_WRITER_COLUMNS, LAST_WRITER_COLUMNS, STATE_FIELDS, STATE_SCHEMA, as_listings
 
 STATE_COLUMNS = [n for n, _ in STATE_FIELDS]
 
 
-def upsert(state: DataFrame | None, batch: DataFrame, seq_col: str) -> DataFrame:
+def upsert(state: DataFrame | None, batch: DataFrame, order: str | list[str]) -> DataFrame:
     """New listing state from the stored ``state`` and an ordered ``batch``.
 
-    ``batch`` carries the state columns plus ``seq_col`` (apply order, a
-    non-negative number).  Stored rows count as older than any batch row.
+    ``batch`` carries the state columns and the ``order`` columns, by which
+    its rows apply.  Stored rows count as older than any batch row; a stored
+    table from before a column was added has NULL there.
     """
-    rows = batch.select(*STATE_COLUMNS, F.col(seq_col).cast("bigint").alias("_seq"))
+    order = [order] if isinstance(order, str) else order
+    rows = batch.withColumn("_seq", F.struct(F.lit(1).alias("new"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]))
+    rows = rows.select(*STATE_COLUMNS, "_seq")
     if state is not None:
-        rows = state.select(*STATE_COLUMNS, F.lit(-1).cast("bigint").alias("_seq")).unionByName(rows)
+        kind = rows.schema["_seq"].dataType
+        stored = F.struct(F.lit(0).alias("new"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields[1:]])
+        rows = as_listings(state, STATE_FIELDS).withColumn("_seq", stored).unionByName(rows)
     # one aggregate per rule: the first row's first-writer columns and the
     # newest row's last-writer columns (NULLs included), as two structs
     first = F.min_by(F.struct(*[F.col(c) for c in FIRST_WRITER_COLUMNS]), "_seq").alias("_first")
@@ -52,6 +57,13 @@ def upsert(state: DataFrame | None, batch: DataFrame, seq_col: str) -> DataFrame
     return out.select(F.col("id"), *[cols[c].alias(c) for c in STATE_COLUMNS if c != "id"])
 
 
+def first_and_last(rows: DataFrame, key: str, seq: str) -> DataFrame:
+    """The rows of each key with its least or greatest ``seq``: all that an
+    upsert of the rows depends on.  The ends are found by (key, seq) alone."""
+    ends = rows.groupBy(key).agg(F.min(seq).alias("_lo"), F.max(seq).alias("_hi"))
+    return rows.join(ends, key).where((F.col(seq) == F.col("_lo")) | (F.col(seq) == F.col("_hi"))).drop("_lo", "_hi")
+
+
 def price_observations(batch: DataFrame, observed_at: F.Column) -> DataFrame:
     """(listing_id, price, observed_at) for rows with a truthy price."""
     return (batch.filter(F.col("price").isNotNull() & (F.col("price") != 0))
@@ -74,17 +86,22 @@ def price_log_increment(history: DataFrame | None, observations: DataFrame) -> D
     return new.join(history.select("listing_id", "price"), ["listing_id", "price"], "left_anti")
 
 
-def run_log(batch: DataFrame, run_ids: DataFrame) -> DataFrame:
-    """One run row per source of a batch, with its listing count.
+def run_log(batch: DataFrame, run_ids: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One run row per source of a batch, with its listing count and state.
 
-    ``run_ids``: (source, id, started_at, finished_at) for the sources that
-    ran; a source that ran and found nothing still gets a row (count 0).
+    ``run_ids``: (keys, id, started_at, finished_at) for the sources that ran,
+    and ``error`` if any failed.  A run is ``failed`` when it has an error (its
+    listings were not stored: count 0), ``running`` until it has finished, and
+    ``completed`` then; one that found nothing still gets a row.
     """
-    counts = batch.groupBy("source").agg(F.count(F.lit(1)).alias("listings_found"))
-    return (run_ids.join(counts, "source", "left")
+    keys = keys or ["source"]
+    counts = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("listings_found"))
+    error = F.col("error") if "error" in run_ids.columns else F.lit(None)
+    status = F.when(error.isNotNull(), "failed").when(F.col("finished_at").isNull(), "running").otherwise("completed")
+    found = F.when(error.isNotNull(), F.lit(0)).otherwise(F.coalesce("listings_found", F.lit(0)))
+    return (run_ids.join(counts, keys, "left")
                    .select("id", "started_at", "finished_at", "source",
-                           F.coalesce("listings_found", F.lit(0)).cast("bigint").alias("listings_found"),
-                           F.lit("completed").alias("status")))
+                           found.cast("bigint").alias("listings_found"), status.alias("status")))
 
 
 def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
@@ -96,59 +113,97 @@ def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str
 class ListingStore:
     """Tables under one root (shared storage on a cluster):
 
-    * ``listings/v=N``: the full listing state after batch N (a new folder per
-      batch, computed from the newest committed one before N);
-    * ``price_history/batch=N`` and ``scrape_runs/batch=N``: append-only,
-      one partition per batch, computed against partitions ``< N``.
+    * ``listings/v=N/bucket=B``: the state of the ids of bucket B after batch
+      N; only buckets that the batch touches are written, and
+      ``manifest/v=N`` says which version holds each bucket;
+    * ``price_history/batch=N/bucket=B`` and ``scrape_runs/batch=N``:
+      append-only; a batch is compared with the touched buckets only.
 
-    Applying batch N again rewrites only the folders of N from the same
-    inputs, so a retried or repeated batch leaves the same tables.
+    A batch counts once its manifest is complete.  Applying batch N again
+    rewrites only its own folders from the versions before N, so a retried or
+    repeated batch leaves the same tables.  ``buckets`` is fixed for a store;
+    it should keep a bucket at some hundred MB.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self.root = root
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root, buckets
 
     def _fs_path(self, *parts: str):
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(os.path.join(self.root, *parts))
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _committed(self, table: str, prefix: str) -> list[int]:
-        """Committed folder numbers (with ``_SUCCESS``) through the Hadoop
-        file system of the path, so local, HDFS and object stores work."""
+    def _folders(self, table: str, prefix: str) -> list[int]:
+        """Folder numbers, by one listing through the path's file system."""
         path, fs = self._fs_path(table)
         if not fs.exists(path):
             return []
-        jvm = self.spark.sparkContext._jvm
-        out = []
-        for status in fs.listStatus(path):
-            m = re.fullmatch(prefix + r"=(\d+)", status.getPath().getName())
-            if m and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-                out.append(int(m.group(1)))
-        return sorted(out)
-
-    def listings(self, before: int | None = None) -> DataFrame | None:
-        versions = [v for v in self._committed("listings", "v") if before is None or v < before]
-        if not versions:
+        found = (re.fullmatch(prefix + r"=(\d+)", x.getPath().getName()) for x in fs.listStatus(path))
+        return sorted(int(m.group(1)) for m in found if m)
+
+    def _complete(self, table: str, folder: str) -> bool:
+        path, fs = self._fs_path(table, folder, "_SUCCESS")
+        return fs.exists(path)
+
+    def _bucket(self, key: str):
+        return F.pmod(F.hash(key), F.lit(self.buckets))
+
+    def manifest(self, before: int | None = None) -> dict[int, int]:
+        """The version that holds each bucket."""
+        for v in reversed(self._folders("manifest", "v")):
+            if (before is None or v < before) and self._complete("manifest", f"v={v}"):
+                rows = self.spark.read.parquet(os.path.join(self.root, "manifest", f"v={v}")).collect()  # a row a bucket
+                return {r.bucket: r.version for r in rows}
+        return {}
+
+    def listings(self, before: int | None = None, only: list[int] | None = None) -> DataFrame | None:
+        held = self.manifest(before)
+        paths = [os.path.join(self.root, "listings", f"v={v}", f"bucket={b}") for b, v in sorted(held.items())
+                 if only is None or b in only]
+        if not paths:
             return None
-        return self.spark.read.parquet(os.path.join(self.root, "listings", f"v={versions[-1]}"))
+        # a version from before a column was added lacks it: read with today's schema
+        return self.spark.read.schema(STATE_SCHEMA).parquet(*paths)
 
     def log(self, table: str, before: int | None = None) -> DataFrame | None:
-        batches = [b for b in self._committed(table, "batch") if before is None or b < before]
+        batches = [b for b in self._folders(table, "batch") if before is None or b < before]
         if not batches:
             return None
         paths = [os.path.join(self.root, table, f"batch={b}") for b in batches]
         return self.spark.read.option("basePath", os.path.join(self.root, table)).parquet(*paths)
 
-    def apply_batch(self, batch_no: int, batch: DataFrame, run_ids: DataFrame, seq_col: str,
+    def apply_batch(self, batch_no: int, batch: DataFrame, run_ids: DataFrame, order: str | list[str],
                     observed_at: F.Column) -> None:
         """Store batch ``batch_no``: upsert listings, extend the price log, log runs."""
-        state = self.listings(before=batch_no)
-        upsert(state, batch, seq_col).write.mode("overwrite").parquet(
-            os.path.join(self.root, "listings", f"v={batch_no}"))
+        held = self.manifest(before=batch_no)
+        touched = sorted(r[0] for r in batch.select(self._bucket("id")).distinct().collect())
+        target = os.path.join(self.root, "listings", f"v={batch_no}")
+        now = upsert(self.listings(batch_no, touched), batch, order).withColumn("bucket", self._bucket("id"))
+        now.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
         history = self.log("price_history", before=batch_no)
+        if history is not None:
+            history = history.where(F.col("bucket").isin(touched))
         increment = price_log_increment(history, price_observations(batch, observed_at))
-        increment.write.mode("overwrite").parquet(os.path.join(self.root, "price_history", f"batch={batch_no}"))
-        run_log(batch, run_ids).write.mode("overwrite").parquet(
+        increment.withColumn("bucket", self._bucket("listing_id")).repartition("bucket").write.mode(
+            "overwrite").partitionBy("bucket").parquet(os.path.join(self.root, "price_history", f"batch={batch_no}"))
+        by_run = "scrape_run_id" in batch.columns and not isinstance(order, str)
+        run_log(batch.withColumn("_run", F.col("scrape_run_id")) if by_run else batch,
+                run_ids.withColumn("_run", F.col("id")) if by_run else run_ids,
+                ["_run", "source"] if by_run else None).write.mode("overwrite").parquet(
             os.path.join(self.root, "scrape_runs", f"batch={batch_no}"))
+        rows = sorted((held | dict.fromkeys(touched, batch_no)).items())
+        self.spark.createDataFrame(rows, "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(
+            os.path.join(self.root, "manifest", f"v={batch_no}"))
+
+    def retire(self, keep: int = 2) -> int:
+        """Remove bucket folders that none of the newest ``keep`` manifests
+        names; returns how many."""
+        newest = self._folders("manifest", "v")[-keep:]
+        live = {(v, b) for n in newest for b, v in self.manifest(before=n + 1).items()}
+        gone = 0
+        for v in self._folders("listings", "v"):
+            for b in self._folders(f"listings/v={v}", "bucket"):
+                if (v, b) not in live and newest and v < newest[0]:
+                    path, fs = self._fs_path("listings", f"v={v}", f"bucket={b}")
+                    gone += bool(fs.delete(path, True))
+        return gone

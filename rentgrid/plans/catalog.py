@@ -17,9 +17,9 @@ from rentgrid.functions.dialect import DUCK
 from rentgrid.functions.extract import PARSED_COLUMNS, clean_text, neighbourhood
 from rentgrid.functions.extract import extract_price as _extract_price
 from rentgrid.operators import dedup, market, query, state, stats
-from rentgrid.operators.enrich import parse_text, parse_text_sql
+from rentgrid.operators.enrich import enrich, parse_text, parse_text_sql
 from rentgrid.plans.base import enriched, listings, with_ctes
-from rentgrid.schema import LISTING_COLUMNS
+from rentgrid.schema import ANSWER_KEYS, LISTING_COLUMNS, LISTING_FIELDS, LISTING_TYPES_BY_NAME
 from rentgrid.session import read_table, rebalance
 from rentgrid.sources import details as _details
 from rentgrid.sources import jsonld, posts
@@ -109,8 +109,9 @@ SELECT {_LISTING_SQL_COLS} FROM enriched
 WHERE listing_type = 'room_private' AND price >= 500 AND price <= 2000
 ORDER BY extracted_at DESC, id, price LIMIT 100""", "enriched"))
 def get_listings_filtered(spark, sf_dir):
-    return _listing_projection(query.get_listings(enriched(spark, sf_dir), listing_type="room_private",
-                                                  min_price=500, max_price=2000, limit=100))
+    # filters and order need no derived column: the rules run on the rows that are kept
+    return _listing_projection(enrich(query.get_listings(listings(spark, sf_dir), listing_type="room_private",
+                                                         min_price=500, max_price=2000, limit=100)))
 
 
 @register("get_listings_source_only", with_ctes(f"""
@@ -118,8 +119,8 @@ SELECT {_LISTING_SQL_COLS} FROM enriched WHERE source = 'kijiji'
 ORDER BY extracted_at DESC, id, price LIMIT 100""", "enriched"))
 def get_listings_source_only(spark, sf_dir):
     # falsy bounds (0) mean "no bound"
-    return _listing_projection(query.get_listings(enriched(spark, sf_dir), source="kijiji",
-                                                  min_price=0, max_price=0))
+    return _listing_projection(enrich(query.get_listings(listings(spark, sf_dir), source="kijiji",
+                                                         min_price=0, max_price=0)))
 
 
 @register("capture_price_bounds", with_ctes("""
@@ -233,7 +234,7 @@ QUALIFY row_number() OVER (PARTITION BY substr(text, 1, {P.POST_DEDUP_PREFIX_CHA
 """)
 def dedup_posts(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
-    return dedup.dedup_posts(docs, "text", "doc_id", P.POST_DEDUP_PREFIX_CHARS).select("doc_id", "n_chars")
+    return dedup.first_posts_of_key(docs, "text", "doc_id", P.POST_DEDUP_PREFIX_CHARS).select("doc_id", "n_chars")
 
 
 # --------------------------------------------------------------------------
@@ -242,10 +243,9 @@ def dedup_posts(spark, sf_dir):
 _SOURCE_RANK = "CASE source WHEN 'craigslist' THEN 1 WHEN 'kijiji' THEN 2 ELSE 3 END"
 
 
-def _batches(spark, sf_dir) -> DataFrame:
-    """Enriched listings as ordered batches: batch = snapshot, run id per
-    (snapshot, source), apply order = (snapshot, capture position)."""
-    df = enriched(spark, sf_dir)
+def _ordered(df: DataFrame) -> DataFrame:
+    """Listings as ordered batches: batch = snapshot, run id per (snapshot,
+    source), apply order = (snapshot, capture position)."""
     rank = F.expr(_SOURCE_RANK)
     return df.withColumn("scrape_run_id", (F.col("snapshot_no") * 3 + rank).cast("bigint")) \
              .withColumn("_seq", F.col("snapshot_no").cast("bigint") * F.lit(10 ** 12) + F.col("listing_key"))
@@ -271,7 +271,9 @@ _BATCHES_SQL = f"""b AS (SELECT *, CAST(snapshot_no * 3 + {_SOURCE_RANK} AS BIGI
 @register("upsert_state", with_ctes(f"""WITH {_BATCHES_SQL}
 SELECT {_state_sql_cols()} FROM b GROUP BY id""", "enriched"))
 def upsert_state(spark, sf_dir):
-    out = state.upsert(None, _batches(spark, sf_dir), "_seq")
+    # only an id's first and last capture matter: the others are never enriched
+    captures = _ordered(listings(spark, sf_dir))
+    out = state.upsert(None, enrich(state.first_and_last(captures, "id", "_seq")), "_seq")
     return out.withColumn("image_urls", F.array_join("image_urls", "|"))
 
 
@@ -318,34 +320,33 @@ def price_log_increment(spark, sf_dir):
 runs AS (SELECT DISTINCT snapshot_no, source FROM enriched)
 SELECT CAST(r.snapshot_no * 3 + {_SOURCE_RANK.replace('source', 'r.source')} AS BIGINT) AS id,
        TIMESTAMP '{AS_OF}' + to_days(CAST(r.snapshot_no AS INTEGER)) AS started_at,
-       TIMESTAMP '{AS_OF}' + to_days(CAST(r.snapshot_no AS INTEGER)) + INTERVAL 5 MINUTE AS finished_at,
-       r.source, count(e.id) AS listings_found, 'completed' AS status
+       CASE WHEN r.snapshot_no < 3 THEN
+         TIMESTAMP '{AS_OF}' + to_days(CAST(r.snapshot_no AS INTEGER)) + INTERVAL 5 MINUTE END AS finished_at,
+       r.source, CASE WHEN r.snapshot_no = 2 THEN 0 ELSE count(e.id) END AS listings_found,
+       CASE WHEN r.snapshot_no = 2 THEN 'failed' WHEN r.snapshot_no = 3 THEN 'running' ELSE 'completed' END AS status
 FROM runs r LEFT JOIN enriched e ON e.snapshot_no = r.snapshot_no AND e.source = r.source
 GROUP BY r.snapshot_no, r.source""", "enriched"))
 def run_log(spark, sf_dir):
-    df = enriched(spark, sf_dir)
-    runs = df.select("snapshot_no", "source").distinct()
-    run_ids = runs.select(
+    df = listings(spark, sf_dir).select("snapshot_no", "source")
+    runs = df.distinct().select(
         "snapshot_no", "source",
         (F.col("snapshot_no") * 3 + F.expr(_SOURCE_RANK)).cast("bigint").alias("id"),
         (F.lit(AS_OF).cast("timestamp") + F.make_dt_interval(F.col("snapshot_no"))).alias("started_at"),
-        (F.lit(AS_OF).cast("timestamp") + F.make_dt_interval(F.col("snapshot_no"), F.lit(0), F.lit(5)))
-        .alias("finished_at"))
-    counts = df.groupBy("snapshot_no", "source").agg(F.count(F.lit(1)).alias("listings_found"))
-    return (run_ids.join(counts, ["snapshot_no", "source"], "left")
-                   .select("id", "started_at", "finished_at", "source",
-                           F.coalesce("listings_found", F.lit(0)).cast("bigint").alias("listings_found"),
-                           F.lit("completed").alias("status")))
-
-
-@register("orphan_price_history", with_ctes("""
-SELECT p.listing_id, p.price FROM (SELECT DISTINCT id AS listing_id, price FROM enriched
-  WHERE price IS NOT NULL AND price <> 0) p
-WHERE NOT EXISTS (SELECT 1 FROM enriched s WHERE s.id = p.listing_id)""", "enriched"))
+        F.when(F.col("snapshot_no") < 3, F.lit(AS_OF).cast("timestamp") + F.make_dt_interval(
+            F.col("snapshot_no"), F.lit(0), F.lit(5))).alias("finished_at"),
+        F.when(F.col("snapshot_no") == 2, F.lit("timeout")).alias("error"))
+    return state.run_log(df, runs, ["snapshot_no", "source"])
+
+
+@register("orphan_price_history", f"""
+SELECT listing_id, price, min(observed_at) AS observed_at FROM ({_EVENT_OBS_SQL}) o
+WHERE listing_id NOT IN (SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderdate >= DATE '1998-01-01')
+GROUP BY listing_id, price""")
 def orphan_price_history(spark, sf_dir):
-    hist = state.first_seen_prices(state.price_observations(enriched(spark, sf_dir), F.col("extracted_at")))
-    st = state.upsert(None, _batches(spark, sf_dir), "_seq")
-    return state.orphans(hist, "listing_id", st, "id").select("listing_id", "price")
+    """Price log rows of event users without an order since 1998."""
+    orders = read_table(spark, sf_dir, "orders").where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("date"))
+    parents = orders.select(F.col("o_custkey").cast("string").alias("id"))
+    return state.orphans(state.first_seen_prices(_event_observations(spark, sf_dir)), "listing_id", parents, "id")
 
 
 # --------------------------------------------------------------------------
@@ -387,7 +388,7 @@ def split_dumps(spark, sf_dir):
 
 
 def _conversation_posts(spark, sf_dir) -> DataFrame:
-    conv = rebalance(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id")
+    conv = rebalance(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
     return posts.normalize_posts(conv, "text")
 
 
@@ -413,9 +414,8 @@ def extraction_candidates(spark, sf_dir):
 SELECT conv_id, turn FROM ({_NORMALIZED_POSTS_SQL}) p WHERE length(text) > 0
 QUALIFY row_number() OVER (PARTITION BY substr(text, 1, {P.POST_DEDUP_PREFIX_CHARS}) ORDER BY conv_id, turn) = 1""")
 def dedup_conversation_posts(spark, sf_dir):
-    p = _conversation_posts(spark, sf_dir)
-    return dedup.keep_by(p.filter(F.length("text") > 0), F.substring("text", 1, P.POST_DEDUP_PREFIX_CHARS),
-                         ["conv_id", "turn"], last=False).select("conv_id", "turn")
+    p = _conversation_posts(spark, sf_dir).withColumn("_pos", F.struct("conv_id", "turn"))
+    return dedup.first_posts_of_key(p, "text", "_pos", P.POST_DEDUP_PREFIX_CHARS).select("conv_id", "turn")
 
 
 def _answers_sql() -> str:
@@ -431,6 +431,9 @@ def _answers_sql() -> str:
     ltype = f"coalesce({j('listing_type')}, 'other')"
     types = ", ".join(f"'{t}'" for t in P.LISTING_TYPES)
     loc_text = f"({location} || ' ' || {title} || ' ' || {description})"
+    typed = {"string": "VARCHAR", "int": "INTEGER", "boolean": "BOOLEAN"}
+    keys = [f"{j(n)} AS {n}" if LISTING_TYPES_BY_NAME[n] == "string" else
+            f"TRY_CAST({j(n)} AS {typed[LISTING_TYPES_BY_NAME[n]]}) AS {n}" for n in ANSWER_KEYS]
     return f"""
 WITH a AS ({model_answers_sql()}),
 u AS (SELECT listing_key, post_url, {body} AS body FROM a),
@@ -441,15 +444,19 @@ SELECT listing_key, post_url AS url, 'facebook' AS source, {title} AS title,
        {description} AS description,
        CASE WHEN {ltype} IN ({types}) THEN {ltype} ELSE 'other' END AS listing_type,
        TRY_CAST({j('available_date')} AS TIMESTAMP) AS available_date,
-       TRY_CAST(json_extract(body, '$.num_bedrooms') AS INTEGER) AS num_bedrooms,
-       TRY_CAST(json_extract(body, '$.pets_allowed') AS BOOLEAN) AS pets_allowed,
-       {neighbourhood(d, loc_text)} AS neighbourhood
+       {", ".join(keys)},
+       {neighbourhood(d, loc_text)} AS neighbourhood,
+       'fb-' || sha256(concat_ws(chr(1), 'facebook', post_url, {title}, {description})) AS id,
+       TIMESTAMP '{AS_OF}' AS extracted_at, '' AS image_urls, CAST(NULL AS DOUBLE) AS latitude,
+       CAST(NULL AS DOUBLE) AS longitude, CAST(NULL AS TIMESTAMP) AS posted_date, CAST(NULL AS INTEGER) AS square_feet
 FROM v"""
 
 
 @register("decode_model_answers", with_ctes(_answers_sql(), "listing_raw"))
 def decode_model_answers(spark, sf_dir):
-    return posts.decode_answers(model_answers(spark, sf_dir), "listing_key", "answer", "post_url")
+    out = posts.decode_answers(model_answers(spark, sf_dir), "listing_key", "answer", "post_url",
+                               F.lit(AS_OF).cast("timestamp"))
+    return out.withColumn("image_urls", F.array_join("image_urls", "|"))
 
 
 @register("page_fields", r"""
@@ -574,6 +581,10 @@ def _jsonld_sql() -> str:
     url = _C.absolute_url(d, "href", P.CRAIGSLIST_BASE_URL)
     typ = _C.classify_listing_type(d, "lower(title_text || ' ' || description_text)", "'room_private'",
                                    P.LISTING_TYPE_RULES_A)
+    filled = ("id", "source", "url", "title", "price", "location", "latitude", "longitude", "description", "posted_date",
+              "image_urls", "listing_type")
+    typed = {"string": "VARCHAR", "int": "INTEGER", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP"}
+    nulls = ", ".join(f"CAST(NULL AS {typed[t]}) AS {n}" for n, t in LISTING_FIELDS if n not in filled)
     return f"""
 WITH c AS (SELECT *, CAST(floor(listing_key / {jsonld.ITEMS_PER_PAGE}) AS BIGINT) AS page_id,
                   {url} AS url FROM listing_raw WHERE source = 'craigslist'),
@@ -584,10 +595,11 @@ SELECT page_id, pos, 'cl-' || regexp_extract(url, '/(\\d+)\\.html', 1) AS id, 'c
        CASE WHEN lat_text <> '' THEN TRY_CAST(lat_text AS DOUBLE) END AS latitude,
        CASE WHEN lat_text = '' OR TRY_CAST(lat_text AS DOUBLE) IS NOT NULL
             THEN TRY_CAST(NULLIF(lon_text, '') AS DOUBLE) END AS longitude,
-       description_text AS description, TRY_CAST(NULLIF(date_attr, '') AS TIMESTAMP) AS posted_date,
+       description_text AS description, CASE WHEN length(date_attr) > 10 THEN TRY_CAST(date_attr AS TIMESTAMP)
+         WHEN date_attr = '20261119' THEN TIMESTAMP '2026-11-19' END AS posted_date,
        array_to_string(list_filter(string_split(images_text, '|'), lambda s: starts_with(s, 'http')), '|')
          AS image_urls,
-       {typ} AS listing_type
+       {typ} AS listing_type, {nulls}
 FROM p WHERE page_id % 5 <> 4 AND title_text <> ''"""
 
 

@@ -33,6 +33,12 @@ LISTING_FIELDS: list[tuple[str, str]] = [
 LISTING_COLUMNS = [n for n, _ in LISTING_FIELDS]
 LISTING_TYPES_BY_NAME = dict(LISTING_FIELDS)
 
+# Keys of a model answer that are taken as given, as typed columns.
+_ANSWER_OTHER = ("id", "source", "url", "title", "price", "location", "latitude", "longitude", "description",
+                 "posted_date", "available_date", "extracted_at", "listing_type", "square_feet", "neighbourhood",
+                 "image_urls")
+ANSWER_KEYS = [n for n, _ in LISTING_FIELDS if n not in _ANSWER_OTHER]
+
 _SPARK_TYPES = {
     "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(),
     "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "array<string>": T.ArrayType(T.StringType()),
@@ -70,3 +76,15 @@ RUN_LOG_SCHEMA = T.StructType([
 
 # Columns that captured (structured) values win over parsed text values.
 CAPTURED_FIRST = ("utilities_included", "parking_included", "pets_allowed", "num_bedrooms", "num_bathrooms")
+
+
+def as_listings(df, fields=LISTING_FIELDS, keep=()):
+    """The frame with all ``fields`` in order, NULL where it lacks one, and the
+    ``keep`` columns: decoders that fill some columns, and stored tables from
+    before a column was added."""
+    from pyspark.sql import functions as F
+    have = set(df.columns)
+    return df.select(*keep, *[(F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in fields])
+
+
+STATE_COLUMNS_BY_NAME = dict(STATE_FIELDS)

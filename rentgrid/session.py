@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,7 +37,7 @@ def get_spark(master: str | None = None, app: str = "rentgrid", shuffle_partitio
     for k, v in settings.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("WARN")
     return spark
 
 
@@ -46,44 +45,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster (``spark.checkpoint.dir``).
+def rebalance(df: DataFrame, *keys: str, partitions: int | None = None) -> DataFrame:
+    """Spread rows over the cluster before a CPU-heavy narrow pass, as a scan
+    of few, large row groups gives few tasks.
 
-    Uses the context's checkpoint folder when one is set (at start-up through
-    ``spark.checkpoint.dir`` or later with ``setCheckpointDir``).  Only when
-    none is set and the master is local (tests, single-machine runs) a
-    private temporary folder is created; on a cluster that is an error.
+    Rows go round-robin, or by ``keys``, to ``partitions`` tasks (default: the
+    shuffle partitions of the session, which AQE may merge).
     """
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    if not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    path = tempfile.mkdtemp(prefix="rentgrid-ckpt-")
-    sc.setCheckpointDir(path)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A folder for written intermediate tables, under the checkpoint root."""
-    return os.path.join(checkpoint_dir(spark), name)
-
-
-def rebalance(df: DataFrame, key: str | None = None, factor: int = 2) -> DataFrame:
-    """Spread rows over the cluster before a CPU-heavy narrow pass.
-
-    A scan of few, large row groups gives fewer partitions than cores (a
-    single small file is one task).  Only then rows are hash-partitioned on
-    ``key`` (round-robin without one) to ``factor`` x default parallelism;
-    a large input already has enough splits and is left alone, so no
-    shuffle is added at scale.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, key) if key else df.repartition(target)
+    if partitions:
+        return df.repartition(partitions, *keys)
+    return df.repartition(*keys) if keys else df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

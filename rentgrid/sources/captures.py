@@ -22,6 +22,7 @@ Derived text columns are added afterwards by ``operators.enrich``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rentgrid.functions import capture as C
 from rentgrid.functions import patterns as P
@@ -52,7 +53,8 @@ def decode_stages(d, as_of) -> tuple[list[dict], dict]:
         "_date_in": by_source(d.col("date_text"), clean_text(d, d.col("date_text")), d.lit("")),
         "_attrs": d.split(d.col("attrs_text"), "|"),
         "_images": d.split(d.col("images_text"), "|"),
-        "_stable_id": d.sha_id("fb-", src, d.col("href"), d.col("title_text"), d.col("description_text")),
+        "_stable_id": d.concat(by_source(d.lit("cl-"), d.lit("kj-"), d.lit("fb-")), d.sha_id(
+            "", src, d.col("href"), d.col("title_text"), d.col("description_text"))),
     }
     s2 = {"_type_text": d.lower(d.concat(d.col("_title"), d.lit(" "), d.col("_description")))}
     date_stages = C.relative_date_stages(d, d.col("_date_in"), as_of, "_rd")
@@ -123,11 +125,12 @@ def decode_stages(d, as_of) -> tuple[list[dict], dict]:
 
 
 def decode(raw: DataFrame, as_of: str) -> DataFrame:
-    """Spark: captured records -> listings (55 columns, derived ones NULL)."""
+    """Spark: captured records -> listings (55 columns, derived ones NULL).
+    A card without a title is no listing; a post without one is."""
     stages, final = cached(("decode", as_of), lambda: decode_stages(SPARK, SPARK.ts_lit(as_of)))
-    return apply_stages(raw, stages, final)
+    return apply_stages(raw, stages, final).filter((F.col("source") == "facebook") | (F.col("title") != ""))
 
 
 def decode_sql(raw_relation: str, as_of: str) -> str:
     stages, final = decode_stages(DUCK, DUCK.ts_lit(as_of))
-    return stages_sql(raw_relation, stages, final)
+    return f"SELECT * FROM ({stages_sql(raw_relation, stages, final)}) WHERE source = 'facebook' OR title <> ''"

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rentgrid.functions.dialect import DUCK, SPARK
+from rentgrid.schema import ANSWER_KEYS, LISTING_TYPES_BY_NAME
 from rentgrid.functions.stages import apply_stages, cached, stages_sql
 from rentgrid.session import read_table, rebalance
 
@@ -103,9 +104,11 @@ PRICE_FORMS = ["slash_month", "slash_mo", "per_month", "$50", "$15,000", "", "la
 DATE_TEXTS = [
     "2 hours ago", "yesterday", "today", "just now", "an hour ago", "3 days ago", "2 weeks ago", "",
     "sometime soon", "a month ago", "Moments ago", " 45 minutes ago ", "1 second ago", "2026-11-02",
+    "30000 seconds ago", "40000 minutes ago", "30000 hours ago", "Nov 3, 2026", "3 November 2026", "11/02/2026",
+    "2026-11-20T10:15:00Z", "2026-11", "10:15",
 ]
 
-DATE_ATTRS = ["2026-11-20T10:15:00Z", "2026-11-21 08:00:00", "", "not-a-date", ""]
+DATE_ATTRS = ["2026-11-20T10:15:00Z", "2026-11-21 08:00:00", "", "not-a-date", "20261119", "2026-11", "10:15"]
 
 MODEL_TYPES = ["room_private", "room_shared", "studio", "1br", "penthouse", "", "other", "laneway"]
 
@@ -217,6 +220,14 @@ def listing_raw_sql() -> str:
     return f"SELECT\n  {cols}\nFROM orders"
 
 
+#: JSON values that the answers' further keys take, by column type.
+ANSWER_VALUES = {
+    "string": ['"some text"', "null", '"other_value"'],
+    "int": ["1", "null", "24", "3"],
+    "boolean": ["true", "false", "null"],
+}
+
+
 def answer_stages(d) -> tuple[list[dict], dict]:
     """Model answers (JSON text) for every captured record: plain, fenced,
     not offering, without the offering flag, not JSON, unknown type.  The
@@ -232,6 +243,8 @@ def answer_stages(d) -> tuple[list[dict], dict]:
         d.lit('", "available_date": "2026-0'), d.to_str(d.add(d.mod(key, 9), d.lit(1))),
         d.lit('-15", "num_bedrooms": '), d.to_str(d.add(d.mod(key, 4), d.lit(1))),
         d.lit(', "pets_allowed": '), d.case([(d.eq(d.mod(key, 2), 0), d.lit("true"))], d.lit("null")),
+        *[d.concat(d.lit(f', "{name}": '), d.pick(d.add(key, d.lit(i)), ANSWER_VALUES[LISTING_TYPES_BY_NAME[name]]))
+          for i, name in enumerate(ANSWER_KEYS) if name not in ("num_bedrooms", "pets_allowed")],
         d.lit("}"))
     b = d.col("_answer_body")
     no_flag = d.regexp_replace(b, r'^\{"is_offering": true, ', "{")

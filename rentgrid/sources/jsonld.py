@@ -31,8 +31,11 @@ from rentgrid.functions import capture as C
 from rentgrid.functions import patterns as P
 from rentgrid.functions.dialect import SPARK
 from rentgrid.functions.extract import extract_price
+from rentgrid.schema import as_listings
 
-SCRIPT_PATTERN = r'(?s)<script id="ld_searchpage_results"[^>]*>(.*?)</script>'
+#: The script is found by its id, wherever that stands in the tag and however it is quoted.
+SCRIPT_PATTERN = (r"""(?is)<script\b(?=[^>]*?\sid\s*=\s*(?:"ld_searchpage_results"|'ld_searchpage_results'"""
+                  r"""|ld_searchpage_results[\s>]))[^>]*>(.*?)</script>""")
 ITEMS_PER_PAGE = 120
 
 
@@ -90,13 +93,13 @@ def decode_pages(pages: DataFrame, page_col: str = "page_id", html_col: str = "h
         F.array_join(loc_parts, ", ").alias("location"),
         lat.alias("latitude"), F.when(lat_t.isNull() | lat.isNotNull(), lon).alias("longitude"),
         description.alias("description"),
-        F.try_to_timestamp(date_text).alias("posted_date"),
+        SPARK.try_iso_timestamp(date_text).alias("posted_date"),
         F.filter(images, lambda s: s.startswith("http")).alias("image_urls"),
     )
     typed = out.withColumn("listing_type", C.classify_listing_type(
         SPARK, F.lower(F.concat(F.col("title"), F.lit(" "), F.col("description"))), F.lit("room_private"),
         P.LISTING_TYPE_RULES_A))
-    return typed.filter(F.length("title") > 0)
+    return as_listings(typed.filter(F.length("title") > 0), keep=[page_col, "pos"])
 
 
 def encode_pages(raw: DataFrame) -> DataFrame:
@@ -125,6 +128,9 @@ def encode_pages(raw: DataFrame) -> DataFrame:
              .when(F.col("page_id") % 2 == 0, F.concat(F.lit('{"@type": "ItemList", "itemListElement": ['),
                                                       F.col("items"), F.lit("]}")))
              .otherwise(F.concat(F.lit("["), F.col("items"), F.lit("]"))))
-    html = F.concat(F.lit('<html><body><script id="ld_searchpage_results" type="application/ld+json">'),
+    tag = (F.when(F.col("page_id") % 3 == 0, F.lit("<script id='ld_searchpage_results' type='application/ld+json'>"))
+            .when(F.col("page_id") % 3 == 1, F.lit('<script type="application/ld+json" id="ld_searchpage_results">'))
+            .otherwise(F.lit('<script id="ld_searchpage_results" type="application/ld+json">')))
+    html = F.concat(F.lit("<html><body><script>var x = 1;</script>"), tag,
                     body, F.lit("</script></body></html>"))
     return grouped.select("page_id", html.alias("html"))

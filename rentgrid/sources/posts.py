@@ -33,6 +33,7 @@ from rentgrid.functions.dialect import SPARK, STRIP_PATTERN, java_regex
 from rentgrid.functions.extract import neighbourhood
 from rentgrid.functions.stages import apply_stages
 from rentgrid.operators.enrich import fold_column
+from rentgrid.schema import ANSWER_KEYS, LISTING_FIELDS, LISTING_TYPES_BY_NAME, as_listings
 
 
 def strip(c: Column) -> Column:
@@ -79,8 +80,13 @@ def unfence(answer: Column) -> Column:
     return F.when(t.startswith("```"), inner).otherwise(t)
 
 
-def decode_answers(df: DataFrame, id_col: str, answer_col: str, url_col: str | None = None) -> DataFrame:
-    """Model answers -> offering listings (subset of listing columns).
+def decode_answers(df: DataFrame, id_col: str, answer_col: str, url_col: str | None = None,
+                   extracted_at: Column | None = None) -> DataFrame:
+    """Model answers -> offering listings: ``id_col`` and all listing columns.
+
+    Every key of the answer is read as the type of its column; the id is a
+    digest of source, url, title and description, as for captured posts
+    without an own id (unless ``id_col`` is ``id``: then the caller's).  ``extracted_at`` is when the answers were taken.
 
     Each answer is stripped, un-fenced and parsed once into a VARIANT
     column; fields are then read with ``try_variant_get``.  The parse sits
@@ -112,9 +118,9 @@ def decode_answers(df: DataFrame, id_col: str, answer_col: str, url_col: str | N
         "location": location,
         "description": description,
         "listing_type": F.when(ltype.isin(list(P.LISTING_TYPES)), ltype).otherwise(F.lit("other")),
-        "available_date": F.try_to_timestamp(get("$.available_date")),
-        "num_bedrooms": get("$.num_bedrooms", "int"),
-        "pets_allowed": get("$.pets_allowed", "boolean"),
+        "available_date": SPARK.try_iso_timestamp(get("$.available_date")),
+        **{name: get(f"$.{name}", LISTING_TYPES_BY_NAME[name]) for name in ANSWER_KEYS},
+        "image_urls": F.array().cast("array<string>"),
         # a path lookup on a non-object gives NULL, so such answers drop out
         "_offer": _truthy(v, "$.is_offering").isNotNull(),
     }
@@ -125,8 +131,12 @@ def decode_answers(df: DataFrame, id_col: str, answer_col: str, url_col: str | N
     out = apply_stages(parsed, [], final).filter(F.col("_offer")).drop("_offer")
     loc_text = F.concat(F.col("location"), F.lit(" "), F.col("title"), F.lit(" "), F.col("description"))
     staged = out.withColumn("_loc", loc_text).withColumn("_loc_fold", fold_column(F.col("_loc")))
-    return (staged.withColumn("neighbourhood", neighbourhood(SPARK, F.col("_loc"), guard_text=F.col("_loc_fold")))
-                  .drop("_loc", "_loc_fold"))
+    out = (staged.withColumn("neighbourhood", neighbourhood(SPARK, F.col("_loc"), guard_text=F.col("_loc_fold")))
+                 .withColumn("extracted_at", F.lit(None).cast("timestamp") if extracted_at is None else extracted_at))
+    if id_col == "id":  # the caller's own ids
+        return as_listings(out, [f for f in LISTING_FIELDS if f[0] != "id"], keep=["id"])
+    out = out.withColumn("id", SPARK.sha_id("fb-", F.col("source"), F.col("url"), F.col("title"), F.col("description")))
+    return as_listings(out, keep=[id_col])
 
 
 def post_records(df: DataFrame) -> DataFrame:

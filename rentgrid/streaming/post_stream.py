@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from rentgrid.functions import patterns as P
 from rentgrid.operators.dedup import keep_by
-from rentgrid.session import checkpoint_dir
 
 POST_SCHEMA = ("seq long, text string, author string, timestamp_text string, post_url string, "
                "extracted_at timestamp")
@@ -50,10 +49,11 @@ def _apply(spark: SparkSession, sink_dir: str):
     return fn
 
 
-def start(spark: SparkSession, source_dir: str, sink_dir: str, name: str = "posts"):
+def start(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_location: str):
     """Read post files, keep the first post per text key; returns the query.
-    Output: ``sink_dir/posts/batch=N``."""
+    Output: ``sink_dir/posts/batch=N``.  ``checkpoint_location`` must be the
+    same shared folder in every process that goes on with the stream."""
     stream = spark.readStream.schema(POST_SCHEMA).json(source_dir)
     return (stream.writeStream.foreachBatch(_apply(spark, sink_dir))
-                  .option("checkpointLocation", os.path.join(checkpoint_dir(spark), "streams", name))
+                  .option("checkpointLocation", checkpoint_location)
                   .trigger(availableNow=True).start())

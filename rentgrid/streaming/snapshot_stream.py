@@ -1,52 +1,51 @@
 """Snapshot folder -> keyed listing state, as a Structured Streaming job.
 
 New snapshot files are picked up by a file stream; each micro-batch is
-applied to the :class:`~rentgrid.operators.state.ListingStore` (upsert,
-price log, run log) with the micro-batch id as batch number.  With
-``trigger(availableNow=True)`` the job processes what has arrived and
-stops, which fits a daily schedule; the checkpoint (under the shared
-``spark.checkpoint.dir``) records which files were applied, and the store
-rewrites only the folders of a batch id, so a restarted job gives the same
-tables.
+applied to the :class:`~rentgrid.operators.state.ListingStore` (upsert, price
+log, run log) with the micro-batch id as batch number.  Rows apply in the order
+of (date, time, extraction time, position in the snapshot), however files are
+packed.  A run is (date, time, source): its id is a hash of these, so a
+snapshot whose files fall into two batches is still one run.  With
+``trigger(availableNow=True)`` the job processes what has arrived and stops,
+which fits a daily schedule.
+
+The checkpoint location is an argument: it must be the same folder, on shared
+storage, in every process that goes on with the stream.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rentgrid.operators.state import ListingStore
-from rentgrid.session import checkpoint_dir
 from rentgrid.sources.snapshots import JSON_OPTIONS, SNAPSHOT_SCHEMA
 
-_SOURCE_IDS = F.expr("CASE source WHEN 'craigslist' THEN 1 WHEN 'kijiji' THEN 2 ELSE 3 END")
+ORDER = ["date", "time", "extracted_at", "position"]
 
 
 def _apply(store: ListingStore):
     def fn(batch: DataFrame, batch_id: int) -> None:
-        run_id = F.lit(batch_id).cast("bigint") * 3 + _SOURCE_IDS
-        rows = (batch.withColumn("scrape_run_id", run_id)
-                     .withColumn("_seq", F.monotonically_increasing_id()))
-        # a batch is read twice (state and logs): keep it for this call only
+        rows = batch.withColumn("scrape_run_id", F.xxhash64("date", "time", "source"))
+        # a batch is read several times (state and logs): keep it for this call only
         rows = rows.persist()
         try:
-            runs = (rows.groupBy("source").agg(F.min("extracted_at").alias("started_at"),
-                                               F.max("extracted_at").alias("finished_at"))
-                        .withColumn("id", F.lit(batch_id).cast("bigint") * 3 + _SOURCE_IDS))
-            store.apply_batch(batch_id, rows, runs, "_seq", F.col("extracted_at"))
+            runs = rows.groupBy("source", F.col("scrape_run_id").alias("id")).agg(
+                F.min("extracted_at").alias("started_at"), F.max("extracted_at").alias("finished_at"))
+            store.apply_batch(batch_id, rows, runs, ORDER, F.col("extracted_at"))
         finally:
             rows.unpersist()
     return fn
 
 
-def start(spark: SparkSession, snapshot_prefix: str, store_root: str, name: str = "snapshots",
-          available_now: bool = True):
-    """Start the stream; returns the StreamingQuery (call awaitTermination)."""
-    stream = (spark.readStream.schema(SNAPSHOT_SCHEMA).options(**JSON_OPTIONS)
-                   .option("maxFilesPerTrigger", 1000).json(snapshot_prefix))
-    writer = (stream.writeStream.foreachBatch(_apply(ListingStore(spark, store_root)))
-                    .option("checkpointLocation", os.path.join(checkpoint_dir(spark), "streams", name)))
+def start(spark: SparkSession, snapshot_prefix: str, store_root: str, checkpoint_location: str,
+          available_now: bool = True, max_files: int | None = None):
+    """Start the stream; returns the StreamingQuery (call awaitTermination).
+    ``max_files`` bounds the files of a micro-batch."""
+    reader = spark.readStream.schema(SNAPSHOT_SCHEMA).options(**JSON_OPTIONS)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    writer = (reader.json(snapshot_prefix).writeStream.foreachBatch(_apply(ListingStore(spark, store_root)))
+                    .option("checkpointLocation", checkpoint_location))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 hour")
     return writer.start()

@@ -33,6 +33,13 @@ DATES = [
     ("1 month ago", AS_OF - dt.timedelta(days=30)), ("10 seconds ago", AS_OF - dt.timedelta(seconds=10)),
     ("today", dt.datetime(2026, 12, 1)), ("yesterday", dt.datetime(2026, 11, 30)),
     ("", None), ("whenever", None), ("2026-11-02", dt.datetime(2026, 11, 2)),
+    ("30000 seconds ago", AS_OF - dt.timedelta(seconds=30000)), ("40000 minutes ago", AS_OF - dt.timedelta(minutes=40000)),
+    ("30000 hours ago", AS_OF - dt.timedelta(hours=30000)), ("99999999999999999999 days ago", None),
+    ("9223372036854775807 months ago", None), ("Nov 3, 2026", dt.datetime(2026, 11, 3)),
+    ("November 3, 2026", dt.datetime(2026, 11, 3)), ("3 November 2026", dt.datetime(2026, 11, 3)),
+    ("3 Nov 2026", dt.datetime(2026, 11, 3)), ("11/02/2026", dt.datetime(2026, 11, 2)),
+    ("2026-11-20T10:15:00Z", dt.datetime(2026, 11, 20, 10, 15)), ("2026", None), ("2026-11", None), ("10:15", None),
+    ("20261120", dt.datetime(2026, 11, 20)), ("99999999", None),
 ]
 
 

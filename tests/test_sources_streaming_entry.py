@@ -34,14 +34,14 @@ def test_stream_into_store_is_restartable(spark, tmp_path):
     prefix = str(tmp_path / "scrapes")
     for i in range(2):
         S.write_snapshot(df.filter(F.col("snapshot_no") == i), prefix, dt.datetime(2026, 11, 29 + i, 8, 0, 0))
-    name = f"snapshots_{tmp_path.name}"
-    q = start(spark, prefix, str(tmp_path / "store"), name=name)
+    at = str(tmp_path / "checkpoint")
+    q = start(spark, prefix, str(tmp_path / "store"), at)
     q.awaitTermination(300)
     store = ListingStore(spark, str(tmp_path / "store"))
     n_ids = df.filter(F.col("snapshot_no") < 2).select("id").distinct().count()
     assert store.listings().count() == n_ids
     # a restart with no new files changes nothing
-    q2 = start(spark, prefix, str(tmp_path / "store"), name=name)
+    q2 = start(spark, prefix, str(tmp_path / "store"), at)
     q2.awaitTermination(300)
     assert store.listings().count() == n_ids
 
@@ -122,15 +122,15 @@ def test_post_stream_dedup(spark, tmp_path):
     df = spark.createDataFrame(rows, "seq long, text string, extracted_at timestamp")
     src = str(tmp_path / "posts")
     df.write.json(src)
-    name = f"posts_{tmp_path.name}"
-    q = start(spark, src, str(tmp_path / "out"), name=name)
+    at = str(tmp_path / "checkpoint")
+    q = start(spark, src, str(tmp_path / "out"), at)
     q.awaitTermination(300)
     kept = sorted(r.seq for r in spark.read.parquet(str(tmp_path / "out" / "posts")).collect())
     assert kept == [1, 3]
     # a later file repeating a seen post adds nothing; a new post is kept
     spark.createDataFrame([(6, "B post", t0 + dt.timedelta(hours=1)), (7, "C new", t0 + dt.timedelta(hours=1))],
                           "seq long, text string, extracted_at timestamp").write.mode("append").json(src)
-    q = start(spark, src, str(tmp_path / "out"), name=name)
+    q = start(spark, src, str(tmp_path / "out"), at)
     q.awaitTermination(300)
     kept = sorted(r.seq for r in spark.read.parquet(str(tmp_path / "out" / "posts")).collect())
     assert kept == [1, 3, 7]
