@@ -18,7 +18,6 @@ from __future__ import annotations
 # text position, decides), case-insensitive, on "location title description".
 # --------------------------------------------------------------------------
 NEIGHBOURHOOD_RULES: list[tuple[str, str]] = [
-    # Vancouver: Downtown & surrounds
     (r'\bcoal\s+harbour\b', "Coal Harbour"),
     (r'\bgastown\b', "Gastown"),
     (r'\byaletown\b', "Yaletown"),
@@ -26,7 +25,6 @@ NEIGHBOURHOOD_RULES: list[tuple[str, str]] = [
     (r'\bchinatown\b', "Strathcona"),
     (r'\b(?:west\s+end|english\s+bay|davie\s+village|denman\s+(?:st|street))\b', "West End"),
     (r'\b(?:downtown|dt\s+van(?:couver)?)\b', "Downtown"),
-    # Vancouver: West Side
     (r'\b(?:west\s+point\s+grey|wpg|jericho)\b', "West Point Grey"),
     (r'\bubc\b|university\s+endowment|wesbrook\b|uel\b', "UBC"),
     (r'\b(?:kitsilano|kits)\b', "Kitsilano"),
@@ -40,11 +38,9 @@ NEIGHBOURHOOD_RULES: list[tuple[str, str]] = [
     (r'\b(?:oakridge)\b', "Oakridge"),
     (r'\b(?:langara)\b', "Langara"),
     (r'\b(?:marpole)\b', "Marpole"),
-    # Vancouver: Central
     (r'\b(?:mount\s+pleasant|mt\.?\s+pleasant)\b', "Mount Pleasant"),
     (r'\b(?:riley[\s-]?park|little\s+mountain|queen\s+elizabeth)\b', "Riley Park"),
     (r'\bstrathcona\b', "Strathcona"),
-    # Vancouver: East Side
     (r'\b(?:grandview[\s-]?woodland|commercial\s+dr(?:ive)?|the\s+drive)\b', "Grandview-Woodland"),
     (r'\b(?:hastings[\s-]?sunrise|east\s+hastings)\b', "Hastings-Sunrise"),
     (r'\b(?:joyce[\s-]?collingwood)\b', "Renfrew-Collingwood"),
@@ -53,7 +49,6 @@ NEIGHBOURHOOD_RULES: list[tuple[str, str]] = [
     (r'\b(?:renfrew)\b', "Renfrew-Collingwood"),
     (r'\b(?:kensington[\s-]?cedar\s+cottage|cedar\s+cottage)\b', "Kensington-Cedar Cottage"),
     (r'\b(?:kensington)\b', "Kensington-Cedar Cottage"),
-    # Vancouver: South
     (r'\b(?:sunset)\b', "Sunset"),
     (r'\b(?:punjabi\s+market)\b', "Sunset"),
     (r'\b(?:victoria[\s-]?fraserview|fraserview)\b', "Victoria-Fraserview"),
@@ -62,7 +57,6 @@ NEIGHBOURHOOD_RULES: list[tuple[str, str]] = [
     (r'\b(?:river\s+district|south\s+marine)\b', "River District"),
     (r'\b(?:south\s+van(?:couver)?)\b', "South Vancouver"),
     (r'\b(?:east\s+van(?:couver)?|east\s+side)\b', "East Vancouver"),
-    # Burnaby (specific first, then general)
     (r'\bmetrotown\b', "Burnaby — Metrotown"),
     (r'\b(?:brentwood)\b', "Burnaby — Brentwood"),
     (r'\b(?:edmonds|highgate)\b', "Burnaby — Edmonds"),
@@ -70,7 +64,6 @@ NEIGHBOURHOOD_RULES: list[tuple[str, str]] = [
     (r'\bburquitlam\b', "Burnaby — Lougheed"),
     (r'\b(?:sfu|simon\s+fraser|univercity|burnaby\s+mountain)\b', "Burnaby — SFU"),
     (r'\bburnaby\b', "Burnaby"),
-    # Other municipalities
     (r'\b(?:sapperton|queensborough)\b', "New Westminster"),
     (r'\b(?:new\s+west(?:minster)?)\b', "New Westminster"),
     (r'\b(?:lonsdale|lynn\s+valley|deep\s+cove|lower\s+lonsdale)\b', "North Vancouver"),
@@ -94,7 +87,6 @@ NEIGHBOURHOOD_RULES: list[tuple[str, str]] = [
     (r'\bpitt\s+meadows\b', "Pitt Meadows"),
     (r'\b(?:ladner|tsawwassen)\b', "Delta"),
     (r'\bdelta\b', "Delta"),
-    # Intersection / landmark based (less specific, last)
     (r'\bbroadway\s*(?:&|and)\s*cambie\b', "Fairview"),
     (r'\bbroadway\s*(?:&|and)\s*(?:commercial|victoria|clark)\b', "Mount Pleasant"),
     (r'\bmain\s*(?:&|and)\s*(?:broadway|king\s+edward)\b', "Mount Pleasant"),

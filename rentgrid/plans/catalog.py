@@ -22,7 +22,7 @@ from rentgrid.plans.base import enriched, listings, with_ctes
 from rentgrid.schema import ANSWER_KEYS, LISTING_COLUMNS, LISTING_FIELDS, LISTING_TYPES_BY_NAME
 from rentgrid.session import read_table, rebalance
 from rentgrid.sources import details as _details
-from rentgrid.sources import jsonld, posts
+from rentgrid.sources import jsonld, posts, snapshots
 from rentgrid.sources import registry as _registry
 from rentgrid.sources.fixture import AS_OF, listing_raw, model_answers, model_answers_sql
 
@@ -410,6 +410,30 @@ def extraction_candidates(spark, sf_dir):
     return cand.select("conv_id", "turn", F.length("text").alias("chars"))
 
 
+# posts as captured: the turn's text, its role as author, links and images by position
+@register("post_records", f"""
+SELECT conv_id, turn, {DUCK.strip(DUCK.regexp_replace("text", P.POST_NEWLINES_PATTERN, chr(10) * 2))} AS text, role AS author,
+       CASE WHEN turn % 3 = 0 THEN '' ELSE '/groups/x/posts/' || turn END AS post_url,
+       CASE WHEN turn % 2 = 0 THEN 'https://scontent.example/' || turn || '.jpg' ELSE '' END AS images
+FROM conversations""")
+def post_records(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations")
+    turn = F.col("turn").cast("string")
+    link = F.when(F.col("turn") % 3 == 0, F.lit("/groups/x/about")).otherwise(F.concat(F.lit("/groups/x/posts/"), turn))
+    image = lambda src, width: F.struct(src.alias("src"), width.alias("width"))
+    scontent = F.concat(F.lit("https://scontent.example/"), turn, F.lit(".jpg"))
+    images = F.array(
+        image(scontent, F.when(F.col("turn") % 2 == 0, F.lit("320")).otherwise(F.lit("100"))),
+        image(F.lit("https://scontent.example/emoji.png"), F.lit("500")),
+        image(F.lit("https://other.example/a.jpg"), F.lit("500")), image(scontent, F.lit("wide")))
+    raw = conv.select("conv_id", "turn", F.struct("conv_id", "turn").alias("seq"), "text", F.col("role").alias("author"),
+                      F.lit(" 2 h ").alias("timestamp_text"), F.array(F.lit("/groups/x"), link).alias("links"),
+                      images.alias("images"), F.lit(AS_OF).cast("timestamp").alias("extracted_at"))
+    out = posts.post_records(raw)
+    return out.select("seq.conv_id", "seq.turn", "text", "author", "post_url",
+                      F.array_join("image_urls", "|").alias("images"))
+
+
 @register("dedup_conversation_posts", f"""
 SELECT conv_id, turn FROM ({_NORMALIZED_POSTS_SQL}) p WHERE length(text) > 0
 QUALIFY row_number() OVER (PARTITION BY substr(text, 1, {P.POST_DEDUP_PREFIX_CHARS}) ORDER BY conv_id, turn) = 1""")
@@ -492,13 +516,20 @@ def listing_summary(spark, sf_dir):
     return _summary(listings(spark, sf_dir))
 
 
-@register("listing_json")
+_JSON_FIELDS = ("id", "source", "title", "price", "latitude", "posted_date", "furnished", "image_urls", "vibe")
+
+
+@register("listing_json", with_ctes("""
+SELECT listing_key, 55 AS n_keys, id, source, title, CAST(price AS VARCHAR) AS price, CAST(latitude AS VARCHAR) AS latitude,
+       strftime(posted_date, '%Y-%m-%dT%H:%M:%S.%f') AS posted_date, CAST(furnished AS VARCHAR) AS furnished,
+       '[' || array_to_string(list_transform(image_urls, lambda u: '"' || u || '"'), ',') || ']' AS image_urls, vibe
+FROM enriched""", "enriched"))
 def listing_json(spark, sf_dir):
-    """Serialised listings (enum text, ISO timestamps, nulls kept); the JSON
-    text itself differs by engine, so this one has a rows-only check."""
-    df = enriched(spark, sf_dir)
-    opts = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "ignoreNullFields": "false"}
-    return df.select("listing_key", F.to_json(F.struct(*LISTING_COLUMNS), opts).alias("json"))
+    """Serialised listings (enum text, ISO timestamps, nulls kept), read back
+    key by key, as the JSON text itself differs by engine."""
+    text = snapshots.to_json_lines(enriched(spark, sf_dir), keep=["listing_key"])
+    return text.select("listing_key", F.size(F.json_object_keys("json")).alias("n_keys"),
+                       *[F.get_json_object("json", f"$.{c}").alias(c) for c in _JSON_FIELDS])
 
 
 # --------------------------------------------------------------------------
@@ -615,17 +646,32 @@ def decode_jsonld_pages(spark, sf_dir):
 # --------------------------------------------------------------------------
 
 
+_CARD_FLAGS = ", ".join(f"CASE WHEN d.{c} THEN TRUE ELSE CAST(NULL AS BOOLEAN) END AS {c}" for c in _details.FLAG_COLUMNS)
+_CARD_PLAIN = ", ".join(f"c.{c}" for c in _details.CARD_COLUMNS if c != "listing_type")
+
+
+# cards show 40 characters and one image; every fifth capture has no page
 @register("attach_details", with_ctes(f"""
-WITH d AS (SELECT url, {', '.join("array_to_string(image_urls, '|') AS image_urls" if c == 'image_urls' else c
-                               for c in _details.DETAIL_COLUMNS)}
-           FROM listings WHERE url <> ''
-           QUALIFY row_number() OVER (PARTITION BY url ORDER BY snapshot_no DESC, listing_key DESC) = 1)
-SELECT c.{', c.'.join(_details.CARD_COLUMNS)}, {', '.join('d.' + x for x in _details.DETAIL_COLUMNS)}
-FROM listings c LEFT JOIN d ON c.url = d.url""", "listings"))
+WITH d AS (SELECT * FROM listings WHERE url <> '' AND listing_key % 5 <> 0
+           QUALIFY row_number() OVER (PARTITION BY url ORDER BY snapshot_no DESC, listing_key DESC) = 1),
+j AS (SELECT {_CARD_PLAIN}, c.listing_type AS card_type, d.url IS NOT NULL AS has_page,
+             coalesce(d.description, substr(c.description, 1, 40)) AS description,
+             c.image_urls[1:1] AS card_images, d.image_urls AS page_images, d.latitude, d.longitude, d.square_feet, {_CARD_FLAGS}
+      FROM listings c LEFT JOIN d ON c.url = d.url)
+SELECT * EXCLUDE (card_type, has_page, card_images, page_images),
+       array_to_string(CASE WHEN has_page AND source = 'craigslist' THEN list_concat(card_images, page_images)
+                            WHEN has_page THEN page_images ELSE card_images END, '|') AS image_urls,
+       CASE WHEN has_page AND source = 'craigslist' THEN {_C.classify_listing_type(
+           DUCK, "lower(title || ' ' || description)", "card_type", P.LISTING_TYPE_RULES_A)}
+            ELSE card_type END AS listing_type
+FROM j""", "listings"))
 def attach_details(spark, sf_dir):
     captured = listings(spark, sf_dir)
-    details = _details.latest_details(captured, ["snapshot_no", "listing_key"])
-    out = _details.attach_details(captured, details)
+    nothing = {c: F.lit(None).cast(captured.schema[c].dataType) for c in _details.DETAIL_COLUMNS}
+    cards = captured.withColumns(nothing | {"description": F.substring("description", 1, 40),
+                                            "image_urls": F.slice("image_urls", 1, 1)})
+    details = _details.latest_details(captured.filter(F.col("listing_key") % 5 != 0), ["snapshot_no", "listing_key"])
+    out = _details.attach_details(cards, details)
     return out.withColumn("image_urls", F.array_join("image_urls", "|"))
 
 

@@ -19,6 +19,7 @@ from rentgrid.functions import patterns as P
 
 log = logging.getLogger(__name__)
 
+#: ``captured -> listings`` by source name; the built-in sources are in it.
 _REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
@@ -44,3 +45,21 @@ def select_sources(df: DataFrame, spec: str) -> DataFrame:
 def decode_registered(df: DataFrame, name: str) -> DataFrame:
     """Run a registered plug-in on the rows of its source."""
     return _REGISTRY[name](df.filter(F.col("source") == name))
+
+
+def _captured(df: DataFrame) -> DataFrame:
+    """Captures of a built-in source; "now" of relative dates is that of the fixture."""
+    from rentgrid.sources.captures import decode
+    from rentgrid.sources.fixture import AS_OF
+    return decode(df, AS_OF)
+
+
+for _name in P.SOURCES:
+    register_source(_name, _captured)
+
+
+def listings_of(df: DataFrame, spec: str) -> DataFrame:
+    """Enriched listings of the configured sources, each by its own decoder."""
+    from rentgrid.operators.dedup import union_sources
+    from rentgrid.operators.enrich import enrich
+    return enrich(union_sources([decode_registered(df, n) for n in source_names(spec)]))

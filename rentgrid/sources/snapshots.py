@@ -70,9 +70,9 @@ def latest(df: DataFrame) -> DataFrame:
     return df.join(newest, ["date", "time"], "left_semi")
 
 
-def to_json_lines(df: DataFrame) -> DataFrame:
+def to_json_lines(df: DataFrame, keep: tuple | list = ()) -> DataFrame:
     """One JSON text per listing (enum text, ISO timestamps, NULLs kept)."""
-    return df.select(F.to_json(F.struct(*LISTING_COLUMNS), JSON_OPTIONS).alias("json"))
+    return df.select(*keep, F.to_json(F.struct(*LISTING_COLUMNS), JSON_OPTIONS).alias("json"))
 
 
 def export_json(df: DataFrame, path: str) -> None:
