@@ -9,9 +9,11 @@ shingles.  Shingles are XOR-hashed into sketches:
   d shingles agree in all pieces but d.  A set therefore sends its first
   ``d + 1`` non-empty pieces in one global order (pieces made only of very
   frequent shingles last); a pair that must be found shares one of them.  It
-  sends some more than that, so such a pair shares as many more, and pairs that
-  share fewer are dropped.  A set with too few non-empty pieces for that sends
-  its empty ones as well, so two such sets meet there.
+  sends some spare ones more.  As such a pair shares as many more, each set can
+  then leave out as many of those that turned out most frequent, and pairs that
+  share too few of the rest are dropped by their number.  A set with too few
+  non-empty pieces for that sends its empty ones as well and leaves out none, so
+  two such sets meet there.
 * A bit sketch per band holds the parity of the shingles at each bit.  Its
   Hamming distance never exceeds the symmetric difference, so pairs above the
   bound are dropped before their shingles are read.
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentgrid.llm import arrowtext as at
@@ -37,11 +39,13 @@ WORDS = 5
 #: Similarity as a fraction in hundredths.
 PERCENT = 75
 #: Each size band ends at this many times its start.
-BAND = 2
-#: One piece for so many shingles of the largest set of a band.
-SHINGLES_PER_PIECE = 2
+BAND = 4
+#: Pieces for each shingle of the largest set of a band.
+PIECES = 2
 #: Pieces that a set sends beyond those it must: this part of its shingles.
-SPARE = 8
+SPARE = 6
+#: Added to the band of a set that sends its empty pieces as well.
+_SPARSE = 64
 #: A shingle in this share of the documents is very frequent (the order of
 #: pieces follows it, not the result) and at most so many are listed.
 FREQUENT, MAX_FREQUENT = 0.002, 200_000
@@ -147,12 +151,12 @@ def _profiles(words, percent):
 
 def _pieces(shingle, owner, n, band, on, frequent, percent):
     """The pieces that the sets send in one band, ``(row, hash, is frequent)``,
-    and how many each sends (0 if it also sends empty ones)."""
+    and which sets send their empty ones as well."""
     used = on[owner]
     shingle, owner = shingle[used], owner[used]
     if not len(shingle):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(len(n), np.int64)
-    count = np.maximum(64, (_ends(band) + 1) // SHINGLES_PER_PIECE)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(len(n), bool)
+    count = np.maximum(64, (_ends(band) + 1) * PIECES)
     piece = (at.mix(shingle ^ np.uint64(0xC2B2AE35)) % count[owner].astype(np.uint64)).astype(np.int64)
     if len(frequent):
         where = np.minimum(np.searchsorted(frequent, shingle), len(frequent) - 1)
@@ -169,7 +173,7 @@ def _pieces(shingle, owner, n, band, on, frequent, percent):
     row, piece = owner[at_first], piece[at_first]
     most = _most(n, band, percent)
     full = np.bincount(row, minlength=len(n))
-    sparse = on & (full <= most)
+    sparse = on & (full <= most + n // SPARE)
     for r in np.flatnonzero(sparse):  # few: sets so small that shingles share pieces
         empty = np.setdiff1d(np.arange(count[r]), piece[row == r])
         row = np.concatenate([row, np.full(len(empty), r)])
@@ -182,10 +186,10 @@ def _pieces(shingle, owner, n, band, on, frequent, percent):
     total = np.bincount(row, minlength=len(n))
     place = np.arange(len(row)) - (np.cumsum(total) - total)[row]
     sent = (place <= most[row] + n[row] // SPARE) | sparse[row]
-    return row[sent], key[sent], often[sent], np.where(sparse, 0, np.bincount(row[sent], minlength=len(n)))
+    return row[sent], key[sent], often[sent], sparse
 
 
-_SENT = ["bucket", "pieces", "gid", "cid", "band", "sent"]
+_SENT = ["bucket", "pieces", "gid", "cid", "band"]
 
 
 def _sender(words, percent, buckets, frequent):
@@ -202,13 +206,13 @@ def _sender(words, percent, buckets, frequent):
                   + band[cut[i]:cut[i + 1]].tobytes() for i in have]
         none, k = pa.nulls(len(have), pa.int64()), len(have)
         return pa.RecordBatch.from_arrays([pa.array(have.astype(np.int32)), pa.array(packed, pa.binary()), none, none,
-                                           pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32())], _SENT)
+                                           pa.nulls(k, pa.int32())], _SENT)
 
-    def single(gid, cid, band, sent):
+    def single(gid, cid, band):
         k = len(cid)
         return pa.RecordBatch.from_arrays([
-            pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), gid, _signed(cid), pa.array(band.astype(np.int32)), sent],
-            _SENT)
+            pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), _signed(gid), _signed(cid),
+            pa.array(band.astype(np.int32))], _SENT)
 
     def run(batches):
         held, size, known = [], 0, set()
@@ -222,16 +226,12 @@ def _sender(words, percent, buckets, frequent):
                     known = set()
                 known.update(cid[fresh].tolist())
                 for band, on in _joins(n, percent):
-                    row, key, often, count = _pieces(shingle, owner, n, band, on & fresh, frequent.value, percent)
-                    held.append((key[~often], cid[row[~often]], band[row[~often]].astype(np.uint8)))
+                    row, key, often, sparse = _pieces(shingle, owner, n, band, on & fresh, frequent.value, percent)
+                    band = (band + _SPARSE * sparse).astype(np.uint8)
+                    held.append((key[~often], cid[row[~often]], band[row[~often]]))
                     size += int((~often).sum())
                     if often.any():
-                        yield single(_signed(key[often]), cid[row[often]], band[row[often]],
-                                     pa.nulls(int(often.sum()), pa.int32()))
-                    who = np.flatnonzero(on & fresh)
-                    if len(who):
-                        yield single(pa.nulls(len(who), pa.int64()), cid[who], band[who],
-                                     pa.array(count[who].astype(np.int32)))
+                        yield single(key[often], cid[row[often]], band[row[often]])
             if size >= 1 << 20:
                 yield flush(held)
                 held, size = [], 0
@@ -261,8 +261,7 @@ def _meet(batches):
         group = np.cumsum(first) - 1
         many = (np.bincount(group) > 1)[group]
         gid = at.mix(key[many].astype(np.uint64) + (np.uint64(bucket) << np.uint64(32)))
-        return pa.RecordBatch.from_arrays([_signed(gid), _signed(cid[many]), pa.array(band[many].astype(np.int32)),
-                                           pa.nulls(int(many.sum()), pa.int32())], _SENT[2:])
+        return pa.RecordBatch.from_arrays([_signed(gid), _signed(cid[many]), pa.array(band[many].astype(np.int32))], _SENT[2:])
 
     now, blobs = None, []
     for b in batches:
@@ -323,24 +322,35 @@ class Links:
         self.frequent = rows.where("seen IS NOT NULL").groupBy("cid").agg(F.sum("seen").alias("seen")).where(
             F.col("seen") >= FREQUENT * self.total[0]).orderBy(F.desc("seen"), "cid").limit(MAX_FREQUENT).select("cid")
 
-    def groups(self) -> tuple[DataFrame, DataFrame]:
-        """``gid, band, cls`` of the classes that share a piece, and ``cls, band,
-        sent, n``: how many pieces each class has sent in a band."""
+    def groups(self) -> DataFrame:
+        """``gid, band, cls, n, keeps``: the classes that share a piece.
+
+        ``keeps`` is how many pieces the class has taken part with after it has
+        left out its most frequent ones.
+        """
         frequent = np.sort(np.array([r[0] for r in self.frequent.collect()], np.int64).view(np.uint64))
         sent = self.spark.sparkContext.broadcast(frequent)
         buckets = max(16, self.total[1] // (2 * PIECES_PER_BUCKET))
         rows = self.docs.mapInArrow(_sender(self.words, self.percent, buckets, sent),
-                                    "bucket int, pieces binary, gid long, cid long, band int, sent int")
+                                    "bucket int, pieces binary, gid long, cid long, band int")
         # single rows keep no order and may come from any task; packed ones meet by bucket
         rows = rows.repartition(buckets, F.coalesce(F.col("bucket").cast("long"), F.xxhash64("gid", "cid")))
-        met = written(rows.sortWithinPartitions("bucket").mapInArrow(
-            _split_rows, "gid long, cid long, band int, sent int"), "parity-met")
-        named = self.classes.select("cid", "cls", "n")
-        groups = written(met.where("gid IS NOT NULL").join(named, "cid").select("gid", "band", "cls").distinct(),
-                         "parity-groups")
-        counts = written(met.where("gid IS NULL").join(named, "cid").groupBy("cls", "band").agg(
-            F.min("sent").alias("sent"), F.first("n").alias("n")), "parity-sent")
-        return groups, counts
+        met = rows.sortWithinPartitions("bucket").mapInArrow(_split_rows, "gid long, cid long, band int")
+        named = met.join(self.classes.select("cid", "cls", "n"), "cid")
+        rows = written(named.select("gid", "band", "cls", "n").distinct(), "parity-met")
+        sizes = rows.groupBy("gid").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
+        sparse = F.col("band") >= _SPARSE
+        spare = F.floor(F.floor(F.col("n") * self.percent / 100) / SPARE)
+        seldom = Window.partitionBy("cls", "band").orderBy(F.desc("_m"), F.desc("gid"))
+        rows = rows.join(sizes, "gid").withColumn("_often", F.row_number().over(seldom))
+        rows = rows.where(sparse | (F.col("_often") > spare))
+        end = F.lit(BAND) ** (F.col("band") + 1) - 1
+        partner = F.least(F.floor(F.col("n") * 100 / self.percent), end)
+        most = F.floor((F.col("n") + partner) * (100 - self.percent) / (100 + self.percent))
+        keeps = F.when(sparse, 0).otherwise(most + 1 + F.floor(F.col("n") / SPARE) - spare)
+        return written(rows.select("gid", (F.col("band") % _SPARSE).alias("band"), "cls", "n",
+                                   keeps.cast("long").alias("keeps"), F.when(sparse, 0).otherwise(spare).cast(
+                                       "long").alias("spare")), "parity-groups")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (``a``, ``b``, ``band``) of classes that are similar enough."""
@@ -373,41 +383,31 @@ class Links:
 
     def roots(self) -> DataFrame:
         """``node, root`` over classes."""
-        groups, counts = self.groups()
+        groups = self.groups()
         leaders = groups.groupBy("gid").agg(F.min("cls").alias("a"), F.max("cls").alias("_last")).where("a <> _last")
-        stars = groups.join(leaders, "gid").where("cls <> a").groupBy("a", F.col("cls").alias("b"), "band").agg(
-            F.count(F.lit(1)).alias("shared"))
         # the likely links first: what is linked already needs no more comparing
-        stars = written(self._sharing(stars, counts, likely=True).select("a", "b", "band"), "parity-stars")
+        stars = written(groups.join(leaders.drop("_last"), "gid").where("cls <> a").groupBy(
+            "a", F.col("cls").alias("b"), "band").agg(F.count(F.lit(1)).alias("_shared"), F.min("keeps").alias("_keeps"))
+            .where("_shared * 2 >= _keeps").select("a", "b", "band"), "parity-stars")
         links = self.linked(stars)
         known = components(links)
         labelled = groups.join(known, groups.cls == known.node, "left").select(
-            "gid", "band", "cls", F.coalesce("root", "cls").alias("root"))
+            "gid", "band", "cls", "n", "keeps", "spare", F.coalesce("root", "cls").alias("root"))
         mixed = labelled.groupBy("gid").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b")
         open_rows = written(labelled.join(mixed.select("gid"), "gid"), "parity-open")
         x, y = open_rows.alias("x"), open_rows.alias("y")
-        rest = x.join(y, (F.col("x.gid") == F.col("y.gid")) & (F.col("x.cls") < F.col("y.cls"))
-                      & (F.col("x.root") != F.col("y.root"))).groupBy(
-            F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.band").alias("band")).agg(
-            F.count(F.lit(1)).alias("shared"))
-        rest = self._sharing(rest, counts).select("a", "b", "band").join(stars, ["a", "b", "band"], "left_anti")
+        # lists that must share some pieces after each has left out its spare ones
+        low, high = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+        most = F.floor((F.col("x.n") + F.col("y.n")) * (100 - self.percent) / (100 + self.percent))
+        sent = F.least(F.col("x.keeps") + F.col("x.spare"), F.col("y.keeps") + F.col("y.spare"))
+        fewest = sent - most - F.greatest("x.spare", "y.spare")
+        pairs = x.join(y, (F.col("x.gid") == F.col("y.gid")) & (F.col("x.cls") < F.col("y.cls"))
+                       & (F.col("x.root") != F.col("y.root")) & (low * 100 >= high * self.percent))
+        rest = pairs.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.band").alias("band")).agg(
+            F.count(F.lit(1)).alias("_shared"), F.max(fewest).alias("_fewest")).where("_shared >= _fewest")
+        rest = rest.select("a", "b", "band").join(stars, ["a", "b", "band"], "left_anti")
         return components(links.unionByName(self.linked(written(rest, "parity-rest"))))
 
-    def _sharing(self, pairs: DataFrame, counts: DataFrame, likely: bool = False) -> DataFrame:
-        """Pairs whose sizes and number of ``shared`` pieces allow a link.
-
-        Of two lists of pieces in one order, at least those of the shorter list
-        are in both lists or differ; more than the allowed difference cannot
-        differ.  ``likely``: those that share half of the shorter list.
-        """
-        out = pairs.join(counts.select(F.col("cls").alias("a"), "band", F.col("sent").alias("s1"), F.col("n").alias("n1")),
-                         ["a", "band"]).join(counts.select(F.col("cls").alias("b"), "band", F.col("sent").alias("s2"),
-                                                           F.col("n").alias("n2")), ["b", "band"])
-        most = F.floor((F.col("n1") + F.col("n2")) * (100 - self.percent) / (100 + self.percent))
-        fewest = F.least("s1", "s2")
-        out = out.where(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * self.percent)
-        return out.where(F.col("shared") * 2 >= fewest) if likely else out.where(F.col("shared") >= fewest - most)
-
 
 def _split_rows(batches):
     """Packed rows to their groups; single rows as they are."""
