@@ -127,6 +127,19 @@ def test_edit_distance():
             assert line_dedup.edit_distance(a, b, most) == min(brute.edits(a, b), most + 1)
 
 
+def test_sketch_bounds_the_edits():
+    rng = random.Random(8)
+    for _ in range(2000):
+        a = "".join(rng.choice("abcdé") for _ in range(rng.randrange(2, 40)))
+        b = list(a)
+        n = rng.randrange(4)
+        for _ in range(n):
+            p = rng.randrange(len(b) + 1)
+            b[p:p + rng.randrange(2)] = rng.choice(("", "x", "a"))
+        bits = np.bitwise_count(line_dedup.sketch(a) ^ line_dedup.sketch("".join(b))).sum()
+        assert bits <= line_dedup.BITS_PER_EDIT * n
+
+
 def test_rules_counts_and_verdict(make, clash, prose, odd, monkeypatch):
     monkeypatch.setattr(quality_rules, "LINE_DOCUMENTS", 3)
     monkeypatch.setattr(quality_rules, "LINE_SHARE", 0.1)
