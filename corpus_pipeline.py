@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from rentgrid.llm import bpe, dedup_stream, mixing, parity_join, toxicity
 from rentgrid.llm.queries import VOCABULARY
-from rentgrid.llm.tables import read, shared_path, written
+from rentgrid.llm.tables import read, release, shared_path, sized, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -31,22 +31,24 @@ def clean_of_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays (operator 8)."""
     path = shared_path(spark, "pipeline-texts")
-    docs.select("doc_id", "text").write.parquet(path)
-    dropped = dedup_stream.exact_dedup(spark, path).where("NOT kept").select("doc_id")
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    docs.select("doc_id", "text").write.option("compression", "zstd").parquet(path)
+    dropped = written(dedup_stream.exact_dedup(spark, path).where("NOT kept").select("doc_id"), "pipeline-dropped")
+    release(path)
+    return docs.select(*COLUMNS).join(sized(dropped), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents the smallest id stays (operator 10)."""
     groups = parity_join.similar_groups(docs)
-    dropped = groups.where("component_id <> doc_id").select("doc_id")
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    dropped = written(groups.where("component_id <> doc_id").select("doc_id"), "pipeline-dropped")
+    return docs.select(*COLUMNS).join(sized(dropped), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, 0 to 3 times (operator 1)."""
-    mixed = mixing.mix(docs).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    out = docs.select(*COLUMNS).join(mixed, "doc_id")
+    mixed = written(mixing.mix(docs).where("taken > 0").select(
+        "doc_id", (F.col("taken") / F.col("size")).cast("int").alias("_times")), "pipeline-mix")
+    out = docs.select(*COLUMNS).join(sized(mixed), "doc_id")
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*COLUMNS)
 
 

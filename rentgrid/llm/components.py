@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentgrid.llm.tables import written
+from rentgrid.llm.tables import release, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -37,4 +37,5 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = mark
-        now = written(_star(_star(now, True), False), "components")
+        before, now = now, written(_star(_star(now, True), False), "components")
+        release(before)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from rentgrid.llm import arrowtext as at
 from rentgrid.llm.components import components
-from rentgrid.llm.tables import sized, small_batches, written
+from rentgrid.llm.tables import release, sized, small_batches, written
 
 WORDS = 5
 #: Similarity as a fraction in hundredths.
@@ -232,7 +232,7 @@ def _sender(words, percent, buckets, frequent):
                     size += int((~often).sum())
                     if often.any():
                         yield single(key[often], cid[row[often]], band[row[often]])
-            if size >= 1 << 20:
+            if size >= 1 << 19:
                 yield flush(held)
                 held, size = [], 0
         if size:
@@ -337,7 +337,7 @@ class Links:
         rows = rows.repartition(buckets, F.coalesce(F.col("bucket").cast("long"), F.xxhash64("gid", "cid")))
         met = rows.sortWithinPartitions("bucket").mapInArrow(_split_rows, "gid long, cid long, band int")
         named = met.join(self.classes.select("cid", "cls", "n"), "cid")
-        rows = written(named.select("gid", "band", "cls", "n").distinct(), "parity-met")
+        rows = met_rows = written(named.select("gid", "band", "cls", "n").distinct(), "parity-met")
         sizes = rows.groupBy("gid").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
         sparse = F.col("band") >= _SPARSE
         spare = F.floor(F.floor(F.col("n") * self.percent / 100) / SPARE)
@@ -348,9 +348,11 @@ class Links:
         partner = F.least(F.floor(F.col("n") * 100 / self.percent), end)
         most = F.floor((F.col("n") + partner) * (100 - self.percent) / (100 + self.percent))
         keeps = F.when(sparse, 0).otherwise(most + 1 + F.floor(F.col("n") / SPARE) - spare)
-        return written(rows.select("gid", (F.col("band") % _SPARSE).alias("band"), "cls", "n",
-                                   keeps.cast("long").alias("keeps"), F.when(sparse, 0).otherwise(spare).cast(
-                                       "long").alias("spare")), "parity-groups")
+        groups = written(rows.select("gid", (F.col("band") % _SPARSE).alias("band"), "cls", "n",
+                                     keeps.cast("long").alias("keeps"), F.when(sparse, 0).otherwise(spare).cast(
+                                         "long").alias("spare")), "parity-groups")
+        release(met_rows)
+        return groups
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (``a``, ``b``, ``band``) of classes that are similar enough."""
@@ -366,6 +368,7 @@ class Links:
         near = both.select("a", "b", F.col("x.n").alias("n1"), F.col("y.n").alias("n2"), sketch("x").alias("s1"),
                            sketch("y").alias("s2")).where("s1 IS NOT NULL AND s2 IS NOT NULL")
         near = written(near.mapInArrow(_near(self.percent), f"a {kind}, b {kind}").distinct(), "parity-near")
+        release(wanted, sizes)
         wanted = written(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "parity-wanted")
         texts = self.docs.join(sized(wanted), "doc_id", "left_semi")
         sets = written(texts.select("doc_id", "text").mapInArrow(
@@ -374,7 +377,9 @@ class Links:
             sets.select(F.col("cls").alias("b"), F.col("shingles").alias("s2")), "b")
         common = F.size(F.array_intersect("s1", "s2"))
         union = F.size("s1") + F.size("s2") - common
-        return written(checked.where(common * 100 >= union * self.percent).select("a", "b").distinct(), "parity-links")
+        links = written(checked.where(common * 100 >= union * self.percent).select("a", "b").distinct(), "parity-links")
+        release(wanted, sets, near)
+        return links
 
     @staticmethod
     def _band_sql(n: str) -> str:
@@ -406,7 +411,12 @@ class Links:
         rest = pairs.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.band").alias("band")).agg(
             F.count(F.lit(1)).alias("_shared"), F.max(fewest).alias("_fewest")).where("_shared >= _fewest")
         rest = rest.select("a", "b", "band").join(stars, ["a", "b", "band"], "left_anti")
-        return components(links.unionByName(self.linked(written(rest, "parity-rest"))))
+        rest = written(rest, "parity-rest")
+        release(open_rows, groups, stars)
+        more = self.linked(rest)
+        out = components(links.unionByName(more))
+        release(rest, links, more)
+        return out
 
 
 def _split_rows(batches):

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentgrid.llm import arrowtext as at
-from rentgrid.llm.tables import small_batches, written
+from rentgrid.llm.tables import release, small_batches, written
 
 LENGTH = 400
 SEED_LENGTH = 200
@@ -331,6 +331,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     anchors = classes.groupBy("ah").agg(F.count(F.lit(1)).alias("kinds"), F.sum("copies").alias("_all")).where("_all > 1")
     known = written(classes.join(anchors, "ah").select("ah", "ph", "copies", "first", "kinds"), "suffix-classes")
     found = written(pieces.join(known, ["ah", "ph"]), "suffix-found")
+    many_kinds = not known.where(F.col("kinds") > hot).isEmpty()
+    release(pieces, known)
     sure = found.where("copies > 1").select("doc_id", "mark", "lo", (F.col("hi") + length).alias("hi"))
     # one piece of each kind, where an anchor has several kinds; a piece with
     # copies may come from any of them
@@ -344,7 +346,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
         _cut_pieces(length), (f"doc_id {kind}, mark int, lo long, anchor long, ah long, copies long, hot boolean, "
                               "piece binary"))
     stretch = f"doc_id {kind}, mark int, lo long, hi long"
-    if known.where(F.col("kinds") > hot).isEmpty():
+    if not many_kinds:
         ended = cut.repartition("ah").sortWithinPartitions("ah").mapInArrow(_sort_pieces(length, seed), stretch)
     else:
         cut = written(cut, "suffix-ends")

@@ -40,7 +40,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def release(*tables: DataFrame | str) -> None:
+    """Remove written tables (or paths of such) that nothing will read again:
+    what was made of them is itself written."""
+    for table in tables:
+        name = table if isinstance(table, str) else table._written_path
+        jvm_session = SparkSession.getActiveSession()
+        path = jvm_session.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(jvm_session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
