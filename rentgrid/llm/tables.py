@@ -28,7 +28,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.partition("[")[0] == "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), "rentgrid-llm")
     return f"{root.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
