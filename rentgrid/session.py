@@ -50,8 +50,8 @@ def rebalance(df: DataFrame, *keys: str, partitions: int | None = None) -> DataF
     of few, large row groups gives few tasks.
 
     Rows go round-robin, or by ``keys``, to ``partitions`` tasks (default: the
-    shuffle partitions of the session, which AQE may merge).
+    shuffle partitions of the session).  The number is given, as AQE would
+    else merge tasks by their bytes, which are few before such a pass.
     """
-    if partitions:
-        return df.repartition(partitions, *keys)
-    return df.repartition(*keys) if keys else df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
