@@ -57,11 +57,20 @@ def upsert(state: DataFrame | None, batch: DataFrame, order: str | list[str]) ->
     return out.select(F.col("id"), *[cols[c].alias(c) for c in STATE_COLUMNS if c != "id"])
 
 
-def first_and_last(rows: DataFrame, key: str, seq: str) -> DataFrame:
-    """The rows of each key with its least or greatest ``seq``: all that an
-    upsert of the rows depends on.  The ends are found by (key, seq) alone."""
-    ends = rows.groupBy(key).agg(F.min(seq).alias("_lo"), F.max(seq).alias("_hi"))
-    return rows.join(ends, key).where((F.col(seq) == F.col("_lo")) | (F.col(seq) == F.col("_hi"))).drop("_lo", "_hi")
+def first_state(captures: DataFrame, seq: str, derive) -> DataFrame:
+    """The state after ordered captures, as :func:`upsert` without a stored
+    state gives it, with the derived columns left to the rows that need them.
+
+    ``derive`` (a narrow frame function) adds the derived columns.  The first
+    row of an id only has to give the first-writer columns and the last row the
+    others, so the rules run on two rows of an id, and on each of them only
+    those that its columns come from.  The ends are found by (id, seq) alone.
+    """
+    ends = captures.groupBy("id").agg(F.min(seq).alias("_lo"), F.max(seq).alias("_hi"))
+    rows = captures.join(ends, "id")
+    first = derive(rows.where(F.col(seq) == F.col("_lo"))).select("id", *FIRST_WRITER_COLUMNS)
+    last = derive(rows.where(F.col(seq) == F.col("_hi"))).select("id", *LAST_WRITER_COLUMNS)
+    return first.join(last, "id").select(*STATE_COLUMNS)
 
 
 def price_observations(batch: DataFrame, observed_at: F.Column) -> DataFrame:

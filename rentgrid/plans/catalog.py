@@ -271,9 +271,7 @@ _BATCHES_SQL = f"""b AS (SELECT *, CAST(snapshot_no * 3 + {_SOURCE_RANK} AS BIGI
 @register("upsert_state", with_ctes(f"""WITH {_BATCHES_SQL}
 SELECT {_state_sql_cols()} FROM b GROUP BY id""", "enriched"))
 def upsert_state(spark, sf_dir):
-    # only an id's first and last capture matter: the others are never enriched
-    captures = _ordered(listings(spark, sf_dir))
-    out = state.upsert(None, enrich(state.first_and_last(captures, "id", "_seq")), "_seq")
+    out = state.first_state(_ordered(listings(spark, sf_dir)), "_seq", enrich)
     return out.withColumn("image_urls", F.array_join("image_urls", "|"))
 
 
