@@ -118,6 +118,44 @@ def test_lines(make, clash, prose, odd):
     assert line_dedup.dedup_lines(make(rows).limit(0)).count() == 0
 
 
+def test_edits_grow_with_the_line(make, prose):
+    rng = random.Random(9)
+    base = [prose(60, 1)[:268], prose(200, 2)[:900], prose(100, 3)[:425]]
+
+    def changed(line, edits):
+        chars = list(line)
+        for _ in range(edits):
+            p = rng.randrange(len(chars))
+            chars[p:p + rng.randrange(2)] = rng.choice(("", "x", "é"))
+        return "".join(chars)
+
+    rows = [(i, changed(base[0], i)) for i in range(15)]
+    rows += [(20 + i, changed(base[1], 12 * i)) for i in range(6)] + [(30 + i, changed(base[2], 5 * i)) for i in range(6)]
+    rows += [(40, base[0].replace("river", "a brook", 1).replace("light", "lamp", 1))]
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_from, r.kept_sha256) for r in
+           line_dedup.dedup_lines(make(rows)).collect()}
+    assert got == brute.lines(rows)
+    assert all(got[i][1] == 1 for i in (3, 5, 8, 21, 22, 31, 32))
+
+
+@pytest.mark.parametrize("length", [20, 39, 41, 60, 258, 400, 421, 440, 441, 900])
+def test_lines_within_the_threshold_share_an_indexed_piece(length):
+    rng = random.Random(length)
+
+    def pieces(line, indexed):
+        return {(s, line[p:p + n]) for s, p, n, r in zip(*line_dedup._plan(len(line)), strict=True) if r or not indexed}
+
+    for _ in range(200):
+        a = [rng.choice("abcdefgh") for _ in range(length)]
+        b, most, kind = list(a), line_dedup.threshold(length), rng.randrange(4)
+        for _ in range(most):
+            p, size = rng.randrange(len(b) + 1), (0, 1, 0, 1)[kind] if kind < 2 else rng.randrange(2)
+            b[p:p + size] = rng.choice(("xy" if kind < 2 else ("x", "")))
+        a, b = sorted(("".join(a), "".join(b)), key=len)
+        if len(b) - len(a) <= line_dedup.threshold(len(a)) >= line_dedup.edit_distance(a, b, line_dedup.threshold(len(a))):
+            assert pieces(a, True) & pieces(b, False)
+
+
 def test_edit_distance():
     rng = random.Random(6)
     for _ in range(3000):
