@@ -19,9 +19,11 @@ from rentgrid.llm.tables import small_batches, written
 
 #: Base rules: fewest words, and largest share of repeated words (percent).
 MIN_WORDS, MAX_REPEATED = 10, 20
-#: A line is frequent if it is in more than this many documents of its host and
-#: in more than this share of them.
-LINE_DOCUMENTS, LINE_SHARE = 50, 0.01
+#: A line is frequent if it is in more than this many documents of its host,
+#: whatever the host's size.  A host with too few documents for that has its
+#: boilerplate as well: there a line in more than this share of them is frequent,
+#: if it is in at least so many.
+LINE_DOCUMENTS, LINE_SHARE, LEAST_DOCUMENTS = 50, 0.5, 3
 #: A document that keeps less than this share of its words is depleted.
 MIN_LEFT = 0.3
 RUN = 5
@@ -134,10 +136,11 @@ def frequent_lines(profiles: DataFrame) -> DataFrame:
     """``host, line`` above the limit, by distinct documents of the host."""
     lines = profiles.select("host", "content", F.explode("lines").alias("line")).distinct()
     seen = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).where(
-        F.col("documents") > LINE_DOCUMENTS)
+        F.col("documents") >= min(LEAST_DOCUMENTS, LINE_DOCUMENTS + 1))
     hosts = profiles.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all_documents"))
     return seen.alias("s").join(hosts.alias("h"), F.col("s.host").eqNullSafe(F.col("h.host"))).where(
-        F.col("documents") > F.col("all_documents") * LINE_SHARE).select("s.host", "line", "documents")
+        (F.col("documents") > LINE_DOCUMENTS)
+        | (F.col("documents") >= LEAST_DOCUMENTS) & (F.col("documents") > F.col("all_documents") * LINE_SHARE)).select("s.host", "line", "documents")
 
 
 def rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:

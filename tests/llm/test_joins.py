@@ -195,3 +195,12 @@ def test_rules_counts_and_verdict(make, clash, prose, odd, monkeypatch):
     assert all(got[i].kept and got[i].n_removed == 2 and got[i].words_left == 30 for i in range(2, 10))
     assert [got[i].kept for i in (0, 1)] == [False, False] and got[0].n_removed == 2
     assert quality_rules.rules(make([(1, "x")]).limit(0)).count() == 0
+
+
+def test_the_line_limit_does_not_loosen_with_the_host(make, prose):
+    line = [prose(12, k) for k in range(3)]
+    rows = [(i, f"{prose(20, i)}\n{line[0]}" if i < 51 else prose(20, i), "large") for i in range(6000)]
+    rows += [(7000 + i, f"{prose(20, 7000 + i)}\n{line[1]}", "small") for i in range(5)]
+    rows += [(8000 + i, f"{prose(20, 8000 + i)}\n{line[2]}" if i < 50 else prose(20, 8000 + i), "under") for i in range(200)]
+    got = {r.doc_id: r.n_removed for r in quality_rules.rules(make(rows)).collect()}
+    assert {i for i, n in got.items() if n} == {*range(51), *range(7000, 7005)}
