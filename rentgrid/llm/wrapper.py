@@ -1,30 +1,31 @@
 """Main text of web pages by wrapper induction (operator 3).
 
-For every host some pages of different titles are read into trees and aligned
-by simple tree matching.  Blocks whose text is the same in all of them are the
-host's template; the other slots vary and hold content.  Every page is then
-aligned with its host's wrapper: template blocks go, and of the varying slots
-those of the article stay, not those of menus, headers, footers, sidebars,
+Every page of a host is read into a tree whose elements are told by their slot:
+the labels from the body down, as top-down tree matching pairs them.  For each
+slot the different titles that have it are counted, and those that share a text
+there.  A text that most of them share is the host's template; the other texts
+vary and hold content.  Of every page, template texts go, and of the varying
+ones those of the article stay, not those of menus, headers, footers, sidebars,
 notices, adverts, forms and comments, which vary as well.
 """
 
 from __future__ import annotations
 
-import json
 import re
 import zlib
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentgrid.llm import dom
 from rentgrid.llm.tables import small_batches, written
 
-#: Pages that a host's wrapper is induced from, at most; a text must be in at
-#: least so many of them, and in all, to be template.
-PAGES_PER_HOST, LEAST_PAGES = 6, 3
+#: A text is template if at least so many titles of the host have it in a slot,
+#: and more than this share of the titles that have the slot.
+LEAST_PAGES, TEMPLATE_SHARE = 3, 0.5
 #: Wrappers of all hosts together are sent to the executors up to this size;
 #: beyond it they are joined by host.
 SENT_BYTES = 32 << 20
@@ -109,103 +110,51 @@ def _hash(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass")) | (len(text) << 32)
 
 
-def _texts(shape: dom.Shape) -> set[int]:
-    """Texts of the blocks that stand directly in a shape's elements."""
-    own = set(map(id, shape.nodes))
-    out = set()
-    for node in shape.nodes:
-        out |= {_hash(t) for t, owner, _ in _Blocks(node, True, skip=False).out if id(owner) in own}
+def _slots(body: dom.Node) -> dict[int, int]:
+    """The slot of every element: a hash of the labels from the body down."""
+    out, stack = {id(body): 0}, [body]
+    while stack:
+        node = stack.pop()
+        for c in node.children:
+            if isinstance(c, dom.Node):
+                out[id(c)] = xxhash.xxh3_64_intdigest(
+                    f"{c.tag} {c.marks}".encode("utf-8", "surrogatepass"), out[id(node)])
+                stack.append(c)
     return out
 
 
-class _Slot:
-    """A node of a wrapper: its label, the texts that all its pages have there
-    (hashes) and the number of pages; constant texts are template."""
-
-    __slots__ = ("label", "constant", "pages", "children")
-
-    def __init__(self, label, constant, pages, children):
-        self.label, self.constant, self.pages, self.children = label, constant, pages, children
-
-    def dump(self):
-        return [self.label, sorted(self.constant) if self.pages >= LEAST_PAGES else [], [c.dump() for c in self.children]]
-
+def _candidates(page: str) -> list[tuple[int, str]]:
+    """``(slot, text)`` of the page's blocks that are content if not template."""
+    body = _body(dom.parse(page))
+    root = _article(body)
+    slots = _slots(body)
+    return [(slots[id(owner)], text) for text, owner, links in _Blocks(root or body, root is not None).out
+            if root is not None or links * 2 <= len(text)]
 
-def _slots(shape: dom.Shape) -> _Slot:
-    return _Slot(shape.label, _texts(shape), 1, [_slots(c) for c in shape.children])
 
+def _load(wrapper: str) -> frozenset:
+    return frozenset(tuple(map(int, x.split(":"))) for x in wrapper.split(","))
 
-def _load(x) -> _Slot:
-    return _Slot(x[0], frozenset(x[1]), LEAST_PAGES, [_load(c) for c in x[2]])
 
-
-def induce(pages: list[str]) -> str:
-    """The wrapper of some pages of one host, as JSON: the first page's tree,
-    with every other page aligned to it."""
-    shapes = [dom.Shape("page", [_body(dom.parse(p))]) for p in pages]
-    shapes.sort(key=lambda s: -len(s.key()))
-    wrapper = _slots(shapes[0])
-    for other in shapes[1:]:
-        pairs: list = []
-        dom.match(wrapper, other, pairs)
-        for slot, shape in pairs:
-            slot.constant = slot.constant & _texts(shape)
-            slot.pages += 1
-    return json.dumps(wrapper.dump())
+def _signed(slot: int) -> int:
+    return slot - (slot >> 63 << 64)
 
 
 class Extractor:
-    """Reads pages with their hosts' wrappers; alignments of equal shapes are
-    remembered."""
+    """Reads pages with their hosts' wrappers."""
 
     def __init__(self):
-        self.wrappers: dict[str, _Slot] = {}
-        self.aligned: dict[tuple[str, str], list[tuple[list[int], frozenset]]] = {}
-
-    def _template(self, wrapper: str | None, shape: dom.Shape) -> dict[int, frozenset]:
-        """Template texts by element of the page."""
-        if not wrapper:
-            return {}
-        if wrapper not in self.wrappers:
-            if len(self.wrappers) > 1000:
-                self.wrappers.clear()
-            self.wrappers[wrapper] = _load(json.loads(wrapper))
-        at = (wrapper, shape.key())
-        if at not in self.aligned:
-            pairs: list = []
-            dom.match(self.wrappers[wrapper], shape, pairs)
-            if len(self.aligned) > 5000:
-                self.aligned.clear()
-            order = {id(s): i for i, s in enumerate(_shapes(shape))}
-            self.aligned[at] = [(order[id(s)], slot.constant) for slot, s in pairs if slot.constant]
-        shapes = None
-        out = {}
-        for i, constant in self.aligned[at]:
-            shapes = shapes or _shapes(shape)
-            out.update((id(node), constant) for node in shapes[i].nodes)
-        return out
+        self.wrappers: dict[str, frozenset] = {}
 
     def text(self, page: str, wrapper: str | None) -> str:
-        body = _body(dom.parse(page))
-        template = self._template(wrapper, dom.Shape("page", [body])) if wrapper else {}
-        root = _article(body)
-        blocks = _Blocks(root or body, root is not None).out
-        out = []
-        for text, owner, links in blocks:
-            constant = template.get(id(owner))
-            if constant and _hash(text) in constant:
-                continue
-            if root is None and links * 2 > len(text):
-                continue
-            out.append(text)
-        return " ".join(out)
-
-
-def _shapes(shape: dom.Shape) -> list[dom.Shape]:
-    out = [shape]
-    for s in out:
-        out += s.children
-    return out
+        template = frozenset()
+        if wrapper:
+            if wrapper not in self.wrappers:
+                if len(self.wrappers) > 1000:
+                    self.wrappers.clear()
+                self.wrappers[wrapper] = _load(wrapper)
+            template = self.wrappers[wrapper]
+        return " ".join(text for slot, text in _candidates(page) if (_signed(slot), _hash(text)) not in template)
 
 
 def _length(node: dom.Node) -> int:
@@ -235,27 +184,38 @@ def _article(body: dom.Node) -> dom.Node | None:
     return None
 
 
-def _induce_host(pages: pd.DataFrame) -> pd.DataFrame:
-    first = pages.iloc[:1]
-    texts = list(pages.sort_values(["order", "html"])["html"])
-    return pd.DataFrame({"host": first["host"], "wrapper": [induce(texts) if len(texts) >= LEAST_PAGES else None]})
+def _seen(batches):
+    """``host, title, slot, text`` of every page, once; no text stands for the slot."""
+    for b in batches:
+        rows, slots, texts = [], [], []
+        for i, page in enumerate(b.column(2).to_pylist()):
+            found = {(slot, _hash(text)) for slot, text in _candidates(page)}
+            for slot, text in found | {(slot, -1) for slot, _ in found}:
+                rows.append(i)
+                slots.append(slot)
+                texts.append(text)
+        rows = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([
+            b.column(0).take(rows), b.column(1).take(rows), pa.array(np.array(slots, np.uint64).view(np.int64)),
+            pa.array(texts, pa.int64())], ["host", "title", "slot", "text"])
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``host, wrapper``: induced from pages of different titles, in the order
-    of a hash, so that copies of one page do not look like a template."""
+    """``host, wrapper``: slots and texts of the host's template, from all of its
+    pages; those of one title count once, so that copies of one page do not look
+    like a template."""
     title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
-    heads = pages.select("host", "html", F.when(title == "", F.sha2("html", 256)).otherwise(title).alias("title"))
-    heads = heads.select("host", "title", F.xxhash64("title", "html").alias("order"))
-    per_title = heads.groupBy("host", "title").agg(F.min("order").alias("order"))
-    best = Window.partitionBy("host").orderBy("order", "title")
-    chosen = written(per_title.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= PAGES_PER_HOST)
-                     .select("host", "order"), "wrapper-pages")
-    order = F.xxhash64(F.when(title == "", F.sha2("html", 256)).otherwise(title), "html")
-    texts = pages.select("host", "html", order.alias("order")).alias("p").join(
-        chosen.alias("c"), F.col("p.host").eqNullSafe(F.col("c.host")) & (F.col("p.order") == F.col("c.order")),
-        "left_semi").dropDuplicates(["host", "order"])
-    return texts.groupBy("host").applyInPandas(_induce_host, "host string, wrapper string").where("wrapper IS NOT NULL")
+    titled = pages.select("host", F.xxhash64(F.when(title == "", F.sha2("html", 256)).otherwise(title)).alias("title"),
+                          "html")
+    # equal rows combine before the shuffle, and are dealt out by title: a large host is in no single task
+    counts = written(titled.mapInArrow(_seen, "host string, title long, slot long, text long").distinct().groupBy(
+        "host", "slot", "text").agg(F.count(F.lit(1)).alias("titles")).where(F.col("titles") >= LEAST_PAGES),
+        "wrapper-texts")
+    slots = counts.where("text = -1").select("host", "slot", F.col("titles").alias("all"))
+    template = counts.where("text <> -1").join(slots, ["host", "slot"]).where(
+        F.col("titles") > F.col("all") * TEMPLATE_SHARE)
+    return template.groupBy("host").agg(F.array_join(F.sort_array(F.collect_list(
+        F.concat_ws(":", "slot", "text"))), ",").alias("wrapper"))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

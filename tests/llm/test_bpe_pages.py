@@ -89,3 +89,24 @@ def test_simple_tree_matching():
     a, b = (dom.Shape("page", [dom.parse(h)]) for h in ("<div><p>x</p><ul><li>y</ul></div>", "<div><ul><li>z</ul><p>w</p></div>"))
     pairs = []
     assert dom.match(a, a) == 5 and dom.match(a, b, pairs) == 4 and len(pairs) == 4
+
+
+def test_templates_come_from_all_pages_of_a_host(spark):
+    words = "amber birch cedar delta ember frost grove heron inlet jetty".split()
+
+    def article(i):
+        return " ".join(words[(i * k + k) % 10] + str(i) for k in range(12))
+
+    def html(i, inside):
+        return f"<html><head><title>t{i}</title></head><body><article>{inside}</article></body></html>"
+
+    line, shared = "Printed with permission of the owners.", "This passage stands in a few articles only."
+    # three layouts, each with a constant block of its own
+    rows = [(i, f"https://large.example/{i}", html(i, f"<p>{article(i)}</p>" + (
+        f"<div class='end{i % 3}'>{line}</div>"))) for i in range(60)]
+    rows += [(100 + i, f"https://copies.example/{i}", html(100 + i, f"<p>{shared if i < 4 else article(i)}</p><p>{article(i + 7)}</p>"))
+             for i in range(12)]
+    got = {r.page_id: r.text for r in wrapper.extract(pages(spark, rows)).collect()}
+    assert not any(line in got[i] for i in range(60))
+    assert all(got[i].startswith(article(i)) for i in range(60))
+    assert all(shared in got[100 + i] for i in range(4))
