@@ -22,7 +22,7 @@ from rentgrid.plans.base import enriched, listings, with_ctes
 from rentgrid.schema import ANSWER_KEYS, LISTING_COLUMNS, LISTING_FIELDS, LISTING_TYPES_BY_NAME
 from rentgrid.session import read_table, rebalance
 from rentgrid.sources import details as _details
-from rentgrid.sources import jsonld, posts, snapshots
+from rentgrid.sources import jsonld, posts, search_cards, snapshots
 from rentgrid.sources import registry as _registry
 from rentgrid.sources.fixture import AS_OF, listing_raw, model_answers, model_answers_sql
 
@@ -635,7 +635,7 @@ FROM p WHERE page_id % 5 <> 4 AND title_text <> ''"""
 @register("decode_jsonld_pages", with_ctes(_jsonld_sql(), "listing_raw"))
 def decode_jsonld_pages(spark, sf_dir):
     raw = listing_raw(spark, sf_dir).filter(F.col("source") == "craigslist")
-    out = jsonld.decode_pages(jsonld.encode_pages(raw))
+    out = search_cards.decode_search_pages(jsonld.encode_pages(raw), AS_OF)
     return out.withColumn("image_urls", F.array_join("image_urls", "|"))
 
 

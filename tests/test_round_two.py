@@ -156,3 +156,22 @@ def test_posts_of_key_move_no_text(spark):
 def test_as_listings_fills_and_orders(spark):
     out = as_listings(spark.createDataFrame([("5", "a")], "price string, id string"))
     assert out.columns == LISTING_COLUMNS and out.first().price == 5
+
+
+def test_cards_are_read_where_the_json_gives_no_row(spark):
+    from rentgrid.sources import search_cards
+    tag = '<script id="ld_searchpage_results">'
+    cards = """<ul><li class="cl-search-result" data-pid="77"><a class="titlestring" href="/van/1.html">Bright &amp; quiet</a>
+<span class="priceinfo">$1,200</span><div class="meta"><span class="nearby">(Kitsilano)</span>
+<time datetime="2026-11-02T10:00:00">x</time></div></li><li class="cl-search-result"><span class="price">$5</span></li>
+<li class="cl-search-result"><div class="title-blob"><a href="https://x.example/9876543.html">Second<br>room</a></div></li></ul>"""
+    pages = spark.createDataFrame([(1, f'{tag}[{{"name": "Json"}}]</script>{cards}'), (2, f"{tag}{{not json</script>{cards}"),
+                                   (3, cards), (4, f'{tag}[{{"url": "u"}}]</script>{cards}'), (5, None),
+                                   (None, f'{tag}[{{"name": "No page id"}}]</script>{cards}')], "page_id long, html string")
+    got = search_cards.decode_search_pages(pages, "2026-11-20 00:00:00").collect()
+    assert sorted((str(r.page_id), r.title) for r in got) == sorted(
+        [("1", "Json"), ("None", "No page id")] + [(i, t) for i in "234" for t in ("Bright & quiet", "Secondroom")])
+    r = next(r for r in got if r.page_id == 2 and r.pos == 0)
+    assert (r.id, r.price, r.location, r.listing_type, r.posted_date) == (
+        "cl-77", 1200, "Kitsilano", "room_private", dt.datetime(2026, 11, 2, 10))
+    assert r.url.endswith("/van/1.html") and {x.id for x in got if x.title == "Secondroom"} == {"cl-9876543"}
