@@ -45,6 +45,7 @@ _WIDTH = 6  # digits of an id and what separates it from the next
 
 
 class Tokenizers(NamedTuple):
+    path_a: str
     first: object
     second: object
     bytes_a: list
@@ -93,7 +94,26 @@ def load(path_a: str, path_b: str) -> Tokenizers:
     for i in range(second.get_piece_size()):
         piece = second.id_to_piece(i)
         bytes_b.append(bytes([int(piece[3:5], 16)]) if second.is_byte(i) else piece.replace("▁", " ").encode())
-    return Tokenizers(first, second, bytes_a, bytes_b, np.array([len(t) for t in bytes_a]), np.array([len(t) for t in bytes_b]))
+    return Tokenizers(path_a, first, second, bytes_a, bytes_b, np.array([len(t) for t in bytes_a]), np.array([len(t) for t in bytes_b]))
+
+
+@functools.cache
+def _slow_first(path: str):
+    """The first tokeniser by its own library."""
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(path)
+    out.encode_special_tokens = True
+    return out
+
+
+def _ids_a(tok: Tokenizers, text: str) -> np.ndarray:
+    """Ids of a; white space runs too long for the fast library's pattern
+    search are read by the file's own, which gives the same ids."""
+    try:
+        return tok.first.encode_to_numpy(text)
+    except ValueError:
+        return np.array(_slow_first(tok.path_a).encode(text, add_special_tokens=False).ids)
 
 
 class Aligned(NamedTuple):
@@ -130,7 +150,7 @@ def align(tok: Tokenizers, texts: list) -> Aligned:
     digest, size = [""] * n, np.zeros(n, np.int64)
     have = [i for i, t in enumerate(texts) if t]
     wanted = [" " + texts[i] for i in have]
-    ids_a = [tok.first.encode_to_numpy(t) for t in wanted]
+    ids_a = [_ids_a(tok, t) for t in wanted]
     ids_b = tok.second.encode([texts[i] for i in have], num_threads=1)
     good = [k for k, t in enumerate(wanted)
             if b"".join([tok.bytes_a[i] for i in ids_a[k].tolist()]) == (raw := t.encode())

@@ -163,7 +163,7 @@ def plain_alignment(rows, plain_tokenizers):
 
 ODD_TEXTS = [None, "", " ", "a", "  two  spaces ", "tab\tnew\n\nline\r\n", "<|endoftext|> <s> </s> <unk> <0x0A>", "▁ already", "naïve É 漢字かな交じり文",
              "👩‍👩‍👧 emoji 🎉🎉", "don't we'll I'M", "x" * 500, "\u0085\u00a0\u3000\u2028mixed\u200bspace", "1234567890 ١٢٣ ½", "aé" * 300,
-             "ﬁ ligature Å Å", "\x00\x01 control", "a" + "  \n" * 40 + "b"]
+             "ﬁ ligature Å Å", "\x00\x01 control", "a" + "  \n" * 40 + "b", "y" + " " * 700_000 + "x"]
 
 
 def test_alignment_equals_plain(spark, make, paths, plain_tokenizers, prose, clash):
