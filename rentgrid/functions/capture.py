@@ -6,6 +6,7 @@ All are dialect-generic column expressions (see ``dialect.py``).
 from __future__ import annotations
 
 from rentgrid.functions import patterns as P
+from rentgrid.functions.dates import free_date_stages
 
 
 def relative_date_stages(d, text, as_of, prefix: str = "_rd"):
@@ -15,9 +16,8 @@ def relative_date_stages(d, text, as_of, prefix: str = "_rd"):
     earlier columns) whose last stage yields ``{prefix}``.  ``as_of`` stands
     for "now"; a month counts 30 days.  Text that is not relative is read as
     it stands, as an ISO timestamp or one of the written forms of
-    ``dialect.DATE_FORMS`` (a free-form date parser stood here; other forms
-    give NULL).  An offset that leaves the timestamp range, whatever its unit,
-    gives NULL.
+    ``dialect.DATE_FORMS``, else by the grammar of ``dates``.  An offset that
+    leaves the timestamp range, whatever its unit, gives NULL.
     """
     t, t1, amount, unit = (f"{prefix}_t", f"{prefix}_t1", f"{prefix}_n", f"{prefix}_unit")
     rel = "^" + P.RELATIVE_DATE_PATTERN
@@ -32,15 +32,17 @@ def relative_date_stages(d, text, as_of, prefix: str = "_rd"):
     # about 1,965 years, in any unit: beyond that there is no such timestamp
     in_range = d.or_(*[d.and_(d.eq(d.col(unit), u), d.le(d.col(amount), 62_000_000_000 // s))
                        for u, s in P.RELATIVE_UNIT_SECONDS.items()])
-    s4 = {prefix: d.case([
+    relative = d.or_(d.isin(d.col(t), (*P.RELATIVE_NOW_WORDS, "today", "yesterday", "")), d.not_(d.is_null(d.col(amount))))
+    free = free_date_stages(d, d.case([(d.not_(relative), d.col(t1))], d.null("string")), as_of, f"{prefix}_free")
+    last = {prefix: d.case([
         (d.col(f"{prefix}_empty"), d.null("timestamp")),
         (d.isin(d.col(t), P.RELATIVE_NOW_WORDS), as_of),
         (d.eq(d.col(t), "today"), d.day_start(as_of)),
         (d.eq(d.col(t), "yesterday"), d.day_start(as_of, 1)),
         (d.and_(d.not_(d.is_null(d.col(amount))), in_range), d.minus_seconds(as_of, d.mul_col(d.col(amount), unit_secs))),
         (d.not_(d.is_null(d.col(amount))), d.null("timestamp")),
-    ], d.coalesce(d.try_iso_timestamp(d.col(raw)), d.try_named_date(d.col(raw))))}
-    return [s0, s1, s2, s3, s4]
+    ], d.coalesce(d.try_iso_timestamp(d.col(raw)), d.try_named_date(d.col(raw)), d.col(f"{prefix}_free")))}
+    return [s0, s1, s2, s3, *free, last]
 
 
 def iso_timestamp(d, text):

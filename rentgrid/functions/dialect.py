@@ -39,6 +39,8 @@ PY_SPACE_CHARS = (
 #: ISO-8601: a whole date, and a time of at least hours and minutes if any.
 ISO_PATTERN = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.]\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$"
 ISO_BASIC_PATTERN = r"^\d{8}$"
+#: The same without separators, with hours, minutes and perhaps seconds.
+ISO_COMPACT_PATTERN = r"^\d{8}T\d{4}(\d{2})?$"
 #: Written dates that are read: (pattern, Java format, C format).
 DATE_FORMS = (
     (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy", "%b %d, %Y"),
@@ -299,7 +301,15 @@ class SparkDialect:
     def try_iso_timestamp(self, x: Column) -> Column:
         """ISO-8601 text with a whole date, extended or basic, else NULL."""
         return F.when(x.rlike(ISO_PATTERN), F.try_to_timestamp(x)).when(
-            x.rlike(ISO_BASIC_PATTERN), F.try_to_timestamp(x, F.lit("yyyyMMdd")))
+            x.rlike(ISO_BASIC_PATTERN), F.try_to_timestamp(x, F.lit("yyyyMMdd"))).when(
+            x.rlike(ISO_COMPACT_PATTERN), F.try_to_timestamp(F.rpad(x, 15, "0"), F.lit("yyyyMMdd'T'HHmmss")))
+
+    def part(self, ts: Column, unit: str) -> Column:
+        return {"year": F.year, "month": F.month, "day": F.day}[unit](ts)
+
+    def weekday(self, ts: Column) -> Column:
+        """Monday is 0."""
+        return F.weekday(ts)
 
     def try_named_date(self, x: Column) -> Column:
         """A date in one of the written forms, else NULL."""
@@ -528,7 +538,14 @@ class DuckDialect:
 
     def try_iso_timestamp(self, x: str) -> str:
         return (f"CASE WHEN regexp_matches({x}, {sql_str(ISO_PATTERN)}) THEN TRY_CAST({x} AS TIMESTAMP) "
-                f"WHEN regexp_matches({x}, {sql_str(ISO_BASIC_PATTERN)}) THEN try_strptime({x}, '%Y%m%d') END")
+                f"WHEN regexp_matches({x}, {sql_str(ISO_BASIC_PATTERN)}) THEN try_strptime({x}, '%Y%m%d') "
+                f"WHEN regexp_matches({x}, {sql_str(ISO_COMPACT_PATTERN)}) THEN try_strptime(rpad({x}, 15, '0'), '%Y%m%dT%H%M%S') END")
+
+    def part(self, ts: str, unit: str) -> str:
+        return f"CAST(date_part('{unit}', {ts}) AS INTEGER)"
+
+    def weekday(self, ts: str) -> str:
+        return f"CAST(isodow({ts}) - 1 AS INTEGER)"
 
     def try_named_date(self, x: str) -> str:
         forms = [f"CASE WHEN regexp_matches({x}, {sql_str(pattern)}) THEN try_strptime({x}, {sql_str(c)}) END"

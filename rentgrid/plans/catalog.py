@@ -22,7 +22,7 @@ from rentgrid.plans.base import enriched, listings, with_ctes
 from rentgrid.schema import ANSWER_KEYS, LISTING_COLUMNS, LISTING_FIELDS, LISTING_TYPES_BY_NAME
 from rentgrid.session import read_table, rebalance
 from rentgrid.sources import details as _details
-from rentgrid.sources import jsonld, posts, search_cards, snapshots
+from rentgrid.sources import jsonld, posts, search_cards, site_pages, snapshots
 from rentgrid.sources import registry as _registry
 from rentgrid.sources.fixture import AS_OF, listing_raw, model_answers, model_answers_sql
 
@@ -624,18 +624,74 @@ SELECT page_id, pos, 'cl-' || regexp_extract(url, '/(\\d+)\\.html', 1) AS id, 'c
        CASE WHEN lat_text <> '' THEN TRY_CAST(lat_text AS DOUBLE) END AS latitude,
        CASE WHEN lat_text = '' OR TRY_CAST(lat_text AS DOUBLE) IS NOT NULL
             THEN TRY_CAST(NULLIF(lon_text, '') AS DOUBLE) END AS longitude,
-       description_text AS description, CASE WHEN length(date_attr) > 10 THEN TRY_CAST(date_attr AS TIMESTAMP)
-         WHEN date_attr = '20261119' THEN TIMESTAMP '2026-11-19' END AS posted_date,
+       description_text AS description, CASE date_attr WHEN '20261119' THEN TIMESTAMP '2026-11-19' WHEN '2026-11-22' THEN TIMESTAMP '2026-11-22'
+         WHEN '20261120T101500' THEN TIMESTAMP '2026-11-20 10:15:00' WHEN '20261120T1015' THEN TIMESTAMP '2026-11-20 10:15:00'
+         ELSE CASE WHEN length(date_attr) > 15 THEN TRY_CAST(date_attr AS TIMESTAMP) END END AS posted_date,
        array_to_string(list_filter(string_split(images_text, '|'), lambda s: starts_with(s, 'http')), '|')
          AS image_urls,
        {typ} AS listing_type, {nulls}
-FROM p WHERE page_id % 5 <> 4 AND title_text <> ''"""
+FROM p WHERE page_id % 5 <> 4 AND title_text <> ''
+UNION ALL BY NAME
+SELECT page_id, pos, l.id, 'craigslist' AS source, l.url, l.title, l.price, l.location, CAST(NULL AS DOUBLE) AS latitude,
+       CAST(NULL AS DOUBLE) AS longitude, '' AS description, l.posted_date, '' AS image_urls, 'room_private' AS listing_type, {nulls}
+FROM p JOIN listings l USING (listing_key) WHERE page_id % 5 = 4"""
 
 
-@register("decode_jsonld_pages", with_ctes(_jsonld_sql(), "listing_raw"))
+@register("decode_jsonld_pages", with_ctes(_jsonld_sql(), "listings"))
 def decode_jsonld_pages(spark, sf_dir):
+    """Search pages with JSON and cards; each fifth page's JSON is broken, so its cards are read."""
     raw = listing_raw(spark, sf_dir).filter(F.col("source") == "craigslist")
-    out = search_cards.decode_search_pages(jsonld.encode_pages(raw), AS_OF)
+    cards = site_pages.encode_cards(raw, "craigslist", jsonld.ITEMS_PER_PAGE)
+    pages = jsonld.encode_pages(raw).join(cards, "page_id").select(
+        "page_id", F.replace("html", F.lit("</body>"), F.concat(F.lit("<ol>"), "cards", F.lit("</ol></body>"))).alias("html"))
+    out = search_cards.decode_search_pages(pages, AS_OF)
+    return out.withColumn("image_urls", F.array_join("image_urls", "|"))
+
+
+# --------------------------------------------------------------------------
+# Cards and detail pages from raw HTML
+# --------------------------------------------------------------------------
+_CARDS_PER_PAGE = 50
+
+
+@register("decode_kijiji_cards", with_ctes(f"""
+WITH p AS (SELECT listing_key, CAST(floor(listing_key / {_CARDS_PER_PAGE}) AS BIGINT) AS page_id, string_split(images_text, '|')[1] AS image
+           FROM listing_raw WHERE source = 'kijiji'),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY listing_key) - 1 AS INTEGER) AS pos FROM p)
+SELECT page_id, pos, id, url, title, price, location, description, posted_date, listing_type,
+       CASE WHEN starts_with(image, 'http') THEN image ELSE '' END AS image_urls
+FROM n JOIN listings USING (listing_key)""", "listings"))
+def decode_kijiji_cards(spark, sf_dir):
+    """Result cards of the second site, read from their HTML."""
+    raw = listing_raw(spark, sf_dir).filter(F.col("source") == "kijiji")
+    cards = site_pages.encode_cards(raw, "kijiji", _CARDS_PER_PAGE)
+    pages = cards.select("page_id", F.concat(F.lit("<html><body><ul>"), "cards", F.lit("</ul></body></html>")).alias("html"))
+    out = site_pages.decode_cards(pages, "kijiji", AS_OF)
+    return out.select("page_id", "pos", "id", "url", "title", "price", "location", "description", "posted_date", "listing_type",
+                      F.array_join("image_urls", "|").alias("image_urls"))
+
+
+def _details_sql() -> str:
+    d, attrs, images = DUCK, "string_split(attrs_text, '|')", "string_split(images_text, '|')"
+    lat, lon = _C.coordinates(d, "lat_text", "lon_text")
+    parts = []
+    for site in ("craigslist", "kijiji"):
+        first = site == "craigslist"
+        flags = (_C.craigslist_attr_flags if first else _C.kijiji_attr_flags)(d, attrs)
+        text = _C.strip_qr_boilerplate(d, "description_text") if first else "description_text"
+        parts.append(f"""SELECT listing_key, href AS url, {clean_text(d, text)} AS description,
+       array_to_string({_C.http_images(d, images, drop_placeholder=not first)}, '|') AS image_urls, {lat} AS latitude, {lon} AS longitude,
+       {", ".join(f"{e} AS {c}" for c, e in flags.items())} FROM listing_raw WHERE source = '{site}'""")
+    return "\nUNION ALL BY NAME\n".join(parts)
+
+
+@register("decode_detail_pages", with_ctes(_details_sql(), "listing_raw"))
+def decode_detail_pages(spark, sf_dir):
+    """Detail pages of both sites, read from their HTML."""
+    raw = listing_raw(spark, sf_dir)
+    sites = [site_pages.decode_details(site_pages.encode_details(raw.filter(F.col("source") == s), s), s, keep=("listing_key",))
+             for s in ("craigslist", "kijiji")]
+    out = sites[0].unionByName(sites[1])
     return out.withColumn("image_urls", F.array_join("image_urls", "|"))
 
 

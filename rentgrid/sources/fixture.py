@@ -105,10 +105,12 @@ DATE_TEXTS = [
     "2 hours ago", "yesterday", "today", "just now", "an hour ago", "3 days ago", "2 weeks ago", "",
     "sometime soon", "a month ago", "Moments ago", " 45 minutes ago ", "1 second ago", "2026-11-02",
     "30000 seconds ago", "40000 minutes ago", "30000 hours ago", "Nov 3, 2026", "3 November 2026", "11/02/2026",
-    "2026-11-20T10:15:00Z", "2026-11", "10:15",
+    "2026-11-20T10:15:00Z", "2026-11", "10:15", "Nov 5", "Thu Nov 5", "Tuesday", "November 3rd, 2026", "5 Nov at 3:45 pm",
+    "11/5", "31 Sept 2026", "Fri., 9pm",
 ]
 
-DATE_ATTRS = ["2026-11-20T10:15:00Z", "2026-11-21 08:00:00", "", "not-a-date", "20261119", "2026-11", "10:15"]
+DATE_ATTRS = ["2026-11-20T10:15:00Z", "2026-11-21 08:00:00", "", "not-a-date", "20261119", "2026-11", "10:15", "20261120T101500",
+              "20261120T1015", "20261131", "2026-11-22"]
 
 MODEL_TYPES = ["room_private", "room_shared", "studio", "1br", "penthouse", "", "other", "laneway"]
 

@@ -1,107 +1,15 @@
 """Search pages -> listings, with the result cards where the JSON gives none (A4).
 
-Per page, the embedded JSON is read first (``jsonld.decode_pages``).  The cards
-of the pages that gave no row that way are read with the standard-library HTML
-parser and decoded like other captured cards; a card without a title is no
-listing, and a card's type is ``room_private``.
+Per page, the embedded JSON is read first (``jsonld.decode_pages``); the cards
+of the pages that gave no row that way are read by ``site_pages.decode_cards``.
 """
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentgrid.sources import captures, jsonld
-
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_TITLE = frozenset(("titlestring", "posting-title", "result-title", "cl-app-anchor"))
-_PRICE = frozenset(("priceinfo", "price", "result-price"))
-_PLACE = frozenset(("result-hood", "neighborhoods", "location"))
-_TEXTS = ("title_text", "href", "price_text", "location_text", "date_attr", "date_text", "pid")
-#: What a captured record holds besides and a card does not.
-_BLANK = ("description_text", "attrs_text", "images_text", "lat_text", "lon_text", "model_type")
-_NULL = {"model_price": "int", "captured_pets": "boolean", "captured_bedrooms": "int", "extracted_at": "timestamp",
-         "listing_key": "bigint", "snapshot_no": "int"}
-
-
-class _Element:
-    def __init__(self, tag, attrs, above):
-        self.tag, self.attrs = tag, {k: v or "" for k, v in attrs}
-        self.classes = frozenset(self.attrs.get("class", "").split())
-        self.above = frozenset().union(*(e.classes for e in above))
-        self.within, self.parts = tuple(above), []
-
-    def field(self) -> str | None:
-        if self.tag == "a" and (self.classes & _TITLE or "title-blob" in self.above):
-            return "title"
-        if self.classes & _PRICE:
-            return "price"
-        if self.classes & _PLACE or ("meta" in self.above and self.classes & {"subreddit", "nearby"}):
-            return "place"
-        return "date" if self.tag == "time" or self.classes & {"date", "result-date"} else None
-
-
-class _Page(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.open, self.all = [], []
-
-    def handle_starttag(self, tag, attrs):
-        e = _Element(tag, attrs, self.open)
-        self.all.append(e)
-        if tag not in _VOID:
-            self.open.append(e)
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                break
-
-    def handle_data(self, data):
-        if self.open and self.open[-1].tag not in ("script", "style"):
-            for e in self.open:
-                e.parts.append(data)
-
-    def cards(self):
-        found = [e for e in self.all if "result-row" in e.classes or (e.tag in ("div", "li") and "cl-search-result" in e.classes)]
-        for card in found or [e for e in self.all if "cl-search-result" in e.classes]:
-            first = {}
-            for e in self.all:
-                if card in e.within and (name := e.field()):
-                    first.setdefault(name, e)
-            text = {k: "".join(e.parts) for k, e in first.items()}
-            yield (text.get("title", ""), first["title"].attrs.get("href", "") if "title" in first else "",
-                   text.get("price", ""), text.get("place", ""),
-                   first["date"].attrs.get("datetime", "") if "date" in first else "", text.get("date", ""),
-                   card.attrs.get("data-pid", ""))
-
-
-def _read(batches):
-    for pdf in batches:
-        out = []
-        for page, html in zip(pdf["page"], pdf["html"], strict=True):
-            p = _Page()
-            p.feed(html or "")
-            p.close()
-            out += [(page, i, *card) for i, card in enumerate(p.cards())]
-        yield pd.DataFrame(out, columns=["page", "pos", *_TEXTS])
-
-
-def decode_cards(pages: DataFrame, as_of: str, page_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Listings of the result cards, with the page and the position in it."""
-    kind = pages.schema[page_col].dataType.simpleString()
-    cards = pages.select(F.col(page_col).alias("page"), F.col(html_col).alias("html")).mapInPandas(
-        _read, f"page {kind}, pos int, " + ", ".join(f"{c} string" for c in _TEXTS))
-    # the decoder keeps the metadata of a capture; the place of the card is sent through as such
-    raw = cards.withColumns({c: F.lit("") for c in _BLANK} | {c: F.lit(None).cast(t) for c, t in _NULL.items()}
-                            | {"source": F.lit("craigslist"), "listing_key": F.struct("page", "pos")})
-    out = captures.decode(raw, as_of).withColumn("listing_type", F.lit("room_private"))
-    return out.withColumns({page_col: F.col("listing_key.page"), "pos": F.col("listing_key.pos")}).drop(
-        "listing_key", "snapshot_no")
+from rentgrid.sources import jsonld, site_pages
 
 
 def decode_search_pages(pages: DataFrame, as_of: str, page_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -109,4 +17,4 @@ def decode_search_pages(pages: DataFrame, as_of: str, page_col: str = "page_id",
     found = jsonld.decode_pages(pages, page_col, html_col)
     done = found.select(F.col(page_col).alias("_done")).distinct()
     left = pages.join(done, F.col(page_col).eqNullSafe(F.col("_done")), "left_anti")
-    return found.unionByName(decode_cards(left, as_of, page_col, html_col).select(found.columns))
+    return found.unionByName(site_pages.decode_cards(left, "craigslist", as_of, page_col, html_col).select(found.columns))

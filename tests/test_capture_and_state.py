@@ -38,7 +38,8 @@ DATES = [
     ("9223372036854775807 months ago", None), ("Nov 3, 2026", dt.datetime(2026, 11, 3)),
     ("November 3, 2026", dt.datetime(2026, 11, 3)), ("3 November 2026", dt.datetime(2026, 11, 3)),
     ("3 Nov 2026", dt.datetime(2026, 11, 3)), ("11/02/2026", dt.datetime(2026, 11, 2)),
-    ("2026-11-20T10:15:00Z", dt.datetime(2026, 11, 20, 10, 15)), ("2026", None), ("2026-11", None), ("10:15", None),
+    ("2026-11-20T10:15:00Z", dt.datetime(2026, 11, 20, 10, 15)), ("2026", None), ("2026-11", dt.datetime(2026, 11, 1)),
+    ("10:15", dt.datetime(2026, 12, 1, 10, 15)), ("13/5", dt.datetime(2026, 5, 13)),
     ("20261120", dt.datetime(2026, 11, 20)), ("99999999", None),
 ]
 

@@ -170,8 +170,8 @@ def test_cards_are_read_where_the_json_gives_no_row(spark):
                                    (None, f'{tag}[{{"name": "No page id"}}]</script>{cards}')], "page_id long, html string")
     got = search_cards.decode_search_pages(pages, "2026-11-20 00:00:00").collect()
     assert sorted((str(r.page_id), r.title) for r in got) == sorted(
-        [("1", "Json"), ("None", "No page id")] + [(i, t) for i in "234" for t in ("Bright & quiet", "Secondroom")])
+        [("1", "Json"), ("None", "No page id")] + [(i, t) for i in "234" for t in ("Bright & quiet", "Second room")])
     r = next(r for r in got if r.page_id == 2 and r.pos == 0)
     assert (r.id, r.price, r.location, r.listing_type, r.posted_date) == (
         "cl-77", 1200, "Kitsilano", "room_private", dt.datetime(2026, 11, 2, 10))
-    assert r.url.endswith("/van/1.html") and {x.id for x in got if x.title == "Secondroom"} == {"cl-9876543"}
+    assert r.url.endswith("/van/1.html") and {x.id for x in got if x.title == "Second room"} == {"cl-9876543"}
