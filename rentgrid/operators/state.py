@@ -41,7 +41,7 @@ def upsert(state: DataFrame | None, batch: DataFrame, order: str | list[str]) ->
     table from before a column was added has NULL there.
     """
     order = [order] if isinstance(order, str) else order
-    rows = batch.withColumn("_seq", F.struct(F.lit(1).alias("new"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]))
+    rows = batch.withColumn("_seq", F.struct(F.lit(1).alias("new"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], _tie()))
     rows = rows.select(*STATE_COLUMNS, "_seq")
     if state is not None:
         kind = rows.schema["_seq"].dataType
@@ -61,16 +61,32 @@ def first_state(captures: DataFrame, seq: str, derive) -> DataFrame:
     """The state after ordered captures, as :func:`upsert` without a stored
     state gives it, with the derived columns left to the rows that need them.
 
-    ``derive`` (a narrow frame function) adds the derived columns.  The first
-    row of an id only has to give the first-writer columns and the last row the
-    others, so the rules run on two rows of an id, and on each of them only
-    those that its columns come from.  The ends are found by (id, seq) alone.
+    ``derive`` (a narrow frame function) adds the derived columns.  Only the
+    first and the last row of an id give columns, so the rules run once, on
+    those rows.  They are found by (id, seq) alone; where several rows of an id
+    have the same seq, the order of :func:`_tie` decides, as in ``upsert``.
+    Rows without an id are one listing.
     """
-    ends = captures.groupBy("id").agg(F.min(seq).alias("_lo"), F.max(seq).alias("_hi"))
-    rows = captures.join(ends, "id")
-    first = derive(rows.where(F.col(seq) == F.col("_lo"))).select("id", *FIRST_WRITER_COLUMNS)
-    last = derive(rows.where(F.col(seq) == F.col("_hi"))).select("id", *LAST_WRITER_COLUMNS)
-    return first.join(last, "id").select(*STATE_COLUMNS)
+    # a key that is never null keeps one partitioning for the join and the aggregate
+    keyed = captures.withColumns({"_key": F.coalesce(F.concat(F.lit("="), "id"), F.lit("")), "_at": F.struct(seq, _tie())})
+    ends = keyed.groupBy("_key").agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
+    rows = keyed.join(ends, "_key").withColumns({"_is_first": F.col("_at") == F.col("_lo"), "_is_last": F.col("_at") == F.col("_hi")})
+    # the flags go around the derivation as one column that it keeps
+    flags = F.struct("_key", "_is_first", "_is_last").alias("listing_key")
+    needed = rows.where("_is_first OR _is_last").select(*[c for c in captures.columns if c != "listing_key"], flags)
+    derived = derive(needed)
+    flag = lambda name: F.col(f"listing_key.{name}")
+    out = derived.groupBy(flag("_key").alias("_key")).agg(
+        F.max_by("id", flag("_is_first")).alias("id"),
+        F.max_by(F.struct(*[F.col(c) for c in FIRST_WRITER_COLUMNS]), flag("_is_first")).alias("_first"),
+        F.max_by(F.struct(*[F.col(c) for c in LAST_WRITER_COLUMNS]), flag("_is_last")).alias("_last"))
+    return out.select("id", "_first.*", "_last.*").select(*STATE_COLUMNS)
+
+
+def _tie() -> F.Column:
+    """Orders rows of one id and order value by what was captured, so that the
+    outcome does not depend on where the rows lie."""
+    return F.xxhash64("source", "url", "title", "price", "location", "description", "extracted_at").alias("tie")
 
 
 def price_observations(batch: DataFrame, observed_at: F.Column) -> DataFrame:

@@ -111,7 +111,7 @@ ORDER BY extracted_at DESC, id, price LIMIT 100""", "enriched"))
 def get_listings_filtered(spark, sf_dir):
     # filters and order need no derived column: the rules run on the rows that are kept
     return _listing_projection(enrich(query.get_listings(listings(spark, sf_dir), listing_type="room_private",
-                                                         min_price=500, max_price=2000, limit=100)))
+                                                         min_price=500, max_price=2000, limit=100, key=["listing_key"])))
 
 
 @register("get_listings_source_only", with_ctes(f"""
@@ -120,7 +120,7 @@ ORDER BY extracted_at DESC, id, price LIMIT 100""", "enriched"))
 def get_listings_source_only(spark, sf_dir):
     # falsy bounds (0) mean "no bound"
     return _listing_projection(enrich(query.get_listings(listings(spark, sf_dir), source="kijiji",
-                                                         min_price=0, max_price=0)))
+                                                         min_price=0, max_price=0, key=["listing_key"])))
 
 
 @register("capture_price_bounds", with_ctes("""
@@ -275,6 +275,16 @@ def upsert_state(spark, sf_dir):
     return out.withColumn("image_urls", F.array_join("image_urls", "|"))
 
 
+@register("upsert_batches", with_ctes(f"""WITH {_BATCHES_SQL}
+SELECT {_state_sql_cols()} FROM b GROUP BY id""", "enriched"))
+def upsert_batches(spark, sf_dir):
+    """Two batches of two snapshots each, the second applied to the stored state of the first."""
+    rows = _ordered(enriched(spark, sf_dir))
+    stored = state.upsert(None, rows.filter("snapshot_no < 2"), "_seq")
+    out = state.upsert(stored, rows.filter("snapshot_no >= 2"), "_seq")
+    return out.withColumn("image_urls", F.array_join("image_urls", "|"))
+
+
 @register("price_history_listings", with_ctes("""
 SELECT id AS listing_id, CAST(price AS INTEGER) AS price, min(extracted_at) AS observed_at
 FROM enriched WHERE price IS NOT NULL AND price <> 0 GROUP BY id, price""", "enriched"))
