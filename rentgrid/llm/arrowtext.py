@@ -7,6 +7,8 @@ a word never splits inside a character.  Null texts are empty.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,6 +47,16 @@ def slices(column, max_bytes: int = SLICE_BYTES):
         first = last
 
 
+def give_back() -> None:
+    """Hand memory that a task has freed back to the system: a Python worker
+    lives on, idle, while later stages need the room."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to trim
+
+
 def lower(data: np.ndarray) -> np.ndarray:
     """A-Z lower-cased."""
     return _LOWER[data]

@@ -133,8 +133,10 @@ def _plan(histogram: pd.DataFrame) -> pd.DataFrame:
                          "whole": whole, "extra": extra}).astype({"whole": "int64", "extra": "int64"})
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` of every row.
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED,
+        carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` of every row, and the
+    columns ``carry`` that tell rows of one key apart.
 
     ``taken`` counts the words that the mix takes from the row: its size times
     0 to 3.  A null text has size 0; null sources form one source; rows of size
@@ -143,7 +145,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     are never read.  The same rows and seed give the same mix.
     """
     rows = written(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"),
-                               word_count(F.col(text)).alias("size"))
+                               word_count(F.col(text)).alias("size"), *carry)
                    .withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id"))), "mix-sizes")
     targets = written(source_targets(rows), "mix-targets")
     same = F.col("h.source").eqNullSafe(F.col("t.source"))
@@ -173,10 +175,10 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         "doc_id", "source", "size")
     once_more = whole_buckets.unionByName(cut_buckets).groupBy("doc_id", "source", "size").agg(
         F.count(F.lit(1)).alias("_more"))
-    return _taken(rows, targets, plan, once_more)
+    return _taken(rows, targets, plan, once_more, carry)
 
 
-def _taken(rows: DataFrame, targets: DataFrame, plan: DataFrame, once_more: DataFrame) -> DataFrame:
+def _taken(rows: DataFrame, targets: DataFrame, plan: DataFrame, once_more: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """The passes of each row.  Rows that agree in doc_id, source and size are
     told apart by a running number, as only some of them may be taken."""
     whole = plan.select("source", "size", "whole", (F.col("extra") >= F.col("n")).alias("_all"))
@@ -190,4 +192,4 @@ def _taken(rows: DataFrame, targets: DataFrame, plan: DataFrame, once_more: Data
     more = F.when(F.col("p._all"), 1).otherwise((F.col("r._k") <= F.coalesce(F.col("m._more"), F.lit(0))).cast("int"))
     passes = F.coalesce(F.col("p.whole"), F.lit(0)) + more
     return out.select("r.doc_id", F.col("r.size").alias("size"), "t.source_size", "t.target",
-                      (F.col("r.size") * passes).cast("long").alias("taken"))
+                      (F.col("r.size") * passes).cast("long").alias("taken"), *[f"r.{c}" for c in carry])

@@ -20,12 +20,15 @@ shingles.  Shingles are XOR-hashed into sketches:
 
 What is left is verified on the shingles.  Equal sets are one class from the
 start.  Within a group of sets that share a piece, those that often share one
-with its first set are compared with that first; only groups that are still in
-several components after that are compared further, across components.
+with its first set are compared with that first, then those of other components
+with another one, for some rounds; only groups that are still in several
+components after that are compared further, across components.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -52,6 +55,9 @@ FREQUENT, MAX_FREQUENT = 0.002, 200_000
 #: Pieces per task of the join (about 12 bytes each).
 PIECES_PER_BUCKET = 1_500_000
 _SIZE_BITS = 10
+#: Rounds of comparing against one class of each group before all that is left
+#: is compared (fewer or more change the work, not the result).
+ROUNDS = 3
 
 
 def largest_difference(n1, n2, percent: int = PERCENT):
@@ -146,6 +152,7 @@ def _profiles(words, percent):
                          pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()),
                          pa.array(count[often].astype(np.int64))],
                         ["doc_id", "n", "cid", "h2", "own", "above", "seen"])
+        at.give_back()
     return run
 
 
@@ -237,6 +244,8 @@ def _sender(words, percent, buckets, frequent):
                 held, size = [], 0
         if size:
             yield flush(held)
+        del held, known
+        at.give_back()
     return run
 
 
@@ -273,6 +282,8 @@ def _meet(batches):
             blobs.append(x.as_buffer().to_pybytes())
     if blobs:
         yield groups(now, blobs)
+    del blobs
+    at.give_back()
 
 
 def _near(percent):
@@ -298,6 +309,7 @@ def _shingle_sets(words):
                 offset = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 sets = pa.ListArray.from_arrays(pa.array(offset), _signed(shingle))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, rows), sets], ["cls", "shingles"])
+        at.give_back()
     return run
 
 
@@ -389,17 +401,22 @@ class Links:
     def roots(self) -> DataFrame:
         """``node, root`` over classes."""
         groups = self.groups()
-        leaders = groups.groupBy("gid").agg(F.min("cls").alias("a"), F.max("cls").alias("_last")).where("a <> _last")
-        # the likely links first: what is linked already needs no more comparing
-        stars = written(groups.join(leaders.drop("_last"), "gid").where("cls <> a").groupBy(
-            "a", F.col("cls").alias("b"), "band").agg(F.count(F.lit(1)).alias("_shared"), F.min("keeps").alias("_keeps"))
-            .where("_shared * 2 >= _keeps").select("a", "b", "band"), "parity-stars")
-        links = self.linked(stars)
-        known = components(links)
-        labelled = groups.join(known, groups.cls == known.node, "left").select(
-            "gid", "band", "cls", "n", "keeps", "spare", F.coalesce("root", "cls").alias("root"))
-        mixed = labelled.groupBy("gid").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b")
-        open_rows = written(labelled.join(mixed.select("gid"), "gid"), "parity-open")
+        # the likely links first, against one class of each group and round: what
+        # is linked already needs no more comparing
+        stars = self._stars(groups.withColumn("root", F.col("cls")), 0)
+        compared, links = [stars], [self.linked(stars)]
+        for turn in range(1, ROUNDS + 1):
+            open_rows = self._open(groups, links)
+            stars = self._stars(open_rows, turn)
+            for earlier in compared:
+                stars = stars.join(earlier, ["a", "b", "band"], "left_anti")
+            stars = written(stars, "parity-stars")
+            release(open_rows)
+            if stars.isEmpty():
+                break
+            compared.append(stars)
+            links.append(self.linked(stars))
+        open_rows = self._open(groups, links)
         x, y = open_rows.alias("x"), open_rows.alias("y")
         # lists that must share some pieces after each has left out its spare ones
         low, high = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
@@ -410,14 +427,40 @@ class Links:
                        & (F.col("x.root") != F.col("y.root")) & (low * 100 >= high * self.percent))
         rest = pairs.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.band").alias("band")).agg(
             F.count(F.lit(1)).alias("_shared"), F.max(fewest).alias("_fewest")).where("_shared >= _fewest")
-        rest = rest.select("a", "b", "band").join(stars, ["a", "b", "band"], "left_anti")
+        rest = rest.select("a", "b", "band")
+        for earlier in compared:
+            rest = rest.join(earlier, ["a", "b", "band"], "left_anti")
         rest = written(rest, "parity-rest")
-        release(open_rows, groups, stars)
-        more = self.linked(rest)
-        out = components(links.unionByName(more))
-        release(rest, links, more)
+        release(open_rows, groups, *compared)
+        links.append(self.linked(rest))
+        out = components(functools.reduce(DataFrame.unionByName, links))
+        release(rest, *links)
         return out
 
+    @staticmethod
+    def _stars(rows: DataFrame, turn: int) -> DataFrame:
+        """The pairs of each group's leader and its members of other roots that
+        share half of what either keeps.  The leader is the first in an order of
+        all classes that changes with the turn."""
+        order = F.struct(F.lit(0).cast("long") if turn == 0 else F.xxhash64("cls", F.lit(turn)), F.col("cls"))
+        leaders = rows.groupBy("gid").agg(F.min(F.struct(order.alias("o"), F.col("root").alias("root"))).alias("_l"),
+                                          F.count(F.lit(1)).alias("_m")).where("_m > 1")
+        leaders = leaders.select("gid", F.col("_l.o.cls").alias("_lead"), F.col("_l.root").alias("_lead_root"))
+        near = rows.join(leaders, "gid").where((F.col("cls") != F.col("_lead")) & (F.col("root") != F.col("_lead_root")))
+        out = near.groupBy(F.least("_lead", "cls").alias("a"), F.greatest("_lead", "cls").alias("b"), "band").agg(
+            F.count(F.lit(1)).alias("_shared"), F.min("keeps").alias("_keeps"))
+        out = out.where("_shared * 2 >= _keeps").select("a", "b", "band")
+        return written(out, "parity-stars") if turn == 0 else out
+
+    @staticmethod
+    def _open(groups: DataFrame, links: list[DataFrame]) -> DataFrame:
+        """The rows of the groups that hold more than one component so far."""
+        known = components(functools.reduce(DataFrame.unionByName, links))
+        labelled = groups.join(known, groups.cls == known.node, "left").select(
+            "gid", "band", "cls", "n", "keeps", "spare", F.coalesce("root", "cls").alias("root"))
+        mixed = labelled.groupBy("gid").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b")
+        return written(labelled.join(mixed.select("gid"), "gid"), "parity-open")
+
 
 def _split_rows(batches):
     """Packed rows to their groups; single rows as they are."""

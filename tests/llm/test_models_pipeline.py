@@ -100,3 +100,26 @@ def test_pipeline_stages_take_effect(spark, make, prose, tmp_path):
     assert max(mixed.count(x) for x in mixed) <= 3
     final = sorted((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, sf).select("doc_id", "ids_sha256").collect())
     assert final == sorted((r.doc_id, r.ids_sha256) for r in docs.select("doc_id", "ids_sha256").collect())
+
+
+def test_pipeline_stages_keep_rows_apart(spark, make, prose, clash):
+    """Repeated rows, one id with several texts, null ids and clashing columns:
+    no document is lost, none is multiplied."""
+    a, b, c, d = (prose(40, 900 + k) for k in range(4))
+    rows = [(1, a, "s0"), (1, b, "s0"), (2, a, "s0"), (2, a, "s0"), (None, c, "s1"), (None, c, "s1"), (None, d, None), (3, b.upper(), "s1"),
+            (4, c + " tail", "s0"), (5, None, "s0"), (None, "", "s0"), (6, "few words", "s0")]
+    docs = clash(make(rows)).withColumn("_row", F.lit("x")).withColumn("_class", F.lit(1))
+    texts = lambda df: [(str(r.doc_id), r.text) for r in df.collect()]
+    exact = texts(corpus_pipeline.exact_dedup(spark, docs, ""))
+    assert sorted(exact, key=str) == sorted([("2", a), ("3", b.upper()), ("None", c), ("None", d), ("4", c + " tail"), ("5", None), ("6", "few words")], key=str)
+    near = texts(corpus_pipeline.near_dedup(spark, docs, ""))
+    assert sorted(t or "" for _, t in near) == sorted([a, b, c + " tail", d, "", "", "few words"])
+    assert ("1", a) in near and ("1", b) in near
+    mixed = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    many = {t: sum(r.text == t for r in mixed) for t in (a, c, d)}
+    assert many[a] <= 9 and many[c] <= 6 and many[d] <= 3
+    sizes = {s: sum(len(t.split()) for _, t, s2 in rows if t and s2 == s) for s in ("s0", "s1", None)}
+    taken = {s: sum(len(r.text.split()) for r in mixed if r.source == s) for s in sizes}
+    assert all(taken[s] <= 3 * sizes[s] for s in sizes) and sum(taken.values()) >= 0.8 * sum(sizes.values())
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs.where("false"), "").count() == 0
