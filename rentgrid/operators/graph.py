@@ -4,19 +4,33 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which the driver and all
+    executors share (a temporary one only where that is unset on a local
+    master)."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isEmpty():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="rentgrid-"))
+        known = context._jsc.sc().getCheckpointDir()
+    return known.get()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame with its lineage cut, in the folder of ``spark.checkpoint.dir``
-    (a temporary one only where that is unset on a local master)."""
+    """The frame with its lineage cut, in the shared folder."""
     context = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rentgrid-"))
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 

@@ -1,13 +1,23 @@
-"""Market queries over listings, captures and events (K1, K3, K4)."""
+"""Market queries over listings, captures and events (K1, K3, K4), posts
+through an extractor (A10, J2) and source plug-ins (J1)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from rentgrid.functions import patterns as P
+from rentgrid.functions.dialect import DUCK
+from rentgrid.functions.extract import neighbourhood
 from rentgrid.operators import history, matching, nearest
+from rentgrid.operators.graph import shared_folder
 from rentgrid.plans.base import enriched, with_ctes
-from rentgrid.plans.catalog import register
+from rentgrid.plans.catalog import _NORMALIZED_POSTS_SQL, register
 from rentgrid.session import read_table
+from rentgrid.sources import answers
+from rentgrid.sources.fixture import AS_OF, listing_raw
+from rentgrid.sources.registry import listings_of
 
 # --------------------------------------------------------------------------
 # K1: every listing, and two of five again in another source with other words
@@ -108,3 +118,38 @@ def price_trend(spark, sf_dir):
     """Quartiles of the prices asked in each neighbourhood on each day."""
     df = enriched(spark, sf_dir).select("id", "neighbourhood", "price", "extracted_at", "listing_key")
     return history.price_trend(df, "id", "extracted_at", tie="listing_key")
+
+
+# --------------------------------------------------------------------------
+# Posts through an extractor, which here answers by rule
+# --------------------------------------------------------------------------
+def _answer_by_rule(batches):
+    """An answer for every text, by its length: each seventh is no JSON, each third no offer."""
+    for pdf in batches:
+        size = pdf["text"].str.len()
+        offers = (size % 3 != 0).map({True: "true", False: "false"})
+        body = ('{"is_offering": ' + offers + ', "title": "Post of ' + size.astype(str) + '", "price": ' + (500 + size % 1000).astype(str)
+                + ', "location": "Kitsilano", "listing_type": "studio"}')
+        yield pdf[["digest"]].assign(answer=body.where(size % 7 != 0, "Sorry, no."))
+
+
+_POST_PLACE = "'Kitsilano Post of ' || n || ' '"
+
+
+@register("post_listings", f"""
+WITH p AS (SELECT conv_id, turn, length(text) AS n FROM ({_NORMALIZED_POSTS_SQL}) t WHERE length({DUCK.strip('text')}) >= {P.MIN_POST_CHARS})
+SELECT conv_id, turn, 'Post of ' || n AS title, CAST(500 + n % 1000 AS INTEGER) AS price, 'studio' AS listing_type,
+       {neighbourhood(DUCK, _POST_PLACE)} AS neighbourhood FROM p WHERE n % 3 <> 0 AND n % 7 <> 0""")
+def post_listings(spark, sf_dir):
+    """Every conversation turn as a post, through filter, extractor, answer store and decoder."""
+    conv = read_table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("post"), "text")
+    store = answers.AnswerStore(spark, f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}")
+    out = answers.listings_of_posts(conv, "post", "text", store, _answer_by_rule, parts=4)
+    return out.select("post.conv_id", "post.turn", "title", "price", "listing_type", "neighbourhood")
+
+
+@register("registered_listings", with_ctes("""
+SELECT listing_key, id, price, posted_date, neighbourhood FROM enriched WHERE source IN ('kijiji', 'facebook')""", "enriched"))
+def registered_listings(spark, sf_dir):
+    """Captures of the configured sources, each through its registered decoder."""
+    return listings_of(listing_raw(spark, sf_dir), "facebook, kijiji,", AS_OF).select("listing_key", "id", "price", "posted_date", "neighbourhood")

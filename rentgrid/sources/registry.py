@@ -1,6 +1,7 @@
 """Source plug-ins (J1) and source selection.
 
-A source is a function ``captured DataFrame -> listings DataFrame``.
+A source is a function ``(captured DataFrame, as_of) -> listings DataFrame``;
+``as_of`` is "now" for the relative dates of the captures.
 ``select_sources`` takes the comma-separated list a job is configured
 with: blanks are stripped, empty names dropped, an unknown name is
 reported and contributes no rows, and the known ones are kept by a
@@ -16,14 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentgrid.functions import patterns as P
+from rentgrid.operators.dedup import union_sources
+from rentgrid.operators.enrich import enrich
+from rentgrid.sources import captures
 
 log = logging.getLogger(__name__)
 
-#: ``captured -> listings`` by source name; the built-in sources are in it.
-_REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {}
+#: ``(captured, as_of) -> listings`` by source name; the built-in sources are in it.
+_REGISTRY: dict[str, Callable[[DataFrame, str], DataFrame]] = {}
 
 
-def register_source(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
+def register_source(name: str, fn: Callable[[DataFrame, str], DataFrame]) -> None:
     _REGISTRY[name] = fn
 
 
@@ -42,24 +46,15 @@ def select_sources(df: DataFrame, spec: str) -> DataFrame:
     return df.filter(F.col("source").isin(source_names(spec)))
 
 
-def decode_registered(df: DataFrame, name: str) -> DataFrame:
+def decode_registered(df: DataFrame, name: str, as_of: str) -> DataFrame:
     """Run a registered plug-in on the rows of its source."""
-    return _REGISTRY[name](df.filter(F.col("source") == name))
-
-
-def _captured(df: DataFrame) -> DataFrame:
-    """Captures of a built-in source; "now" of relative dates is that of the fixture."""
-    from rentgrid.sources.captures import decode
-    from rentgrid.sources.fixture import AS_OF
-    return decode(df, AS_OF)
+    return _REGISTRY[name](df.filter(F.col("source") == name), as_of)
 
 
 for _name in P.SOURCES:
-    register_source(_name, _captured)
+    register_source(_name, captures.decode)
 
 
-def listings_of(df: DataFrame, spec: str) -> DataFrame:
+def listings_of(df: DataFrame, spec: str, as_of: str) -> DataFrame:
     """Enriched listings of the configured sources, each by its own decoder."""
-    from rentgrid.operators.dedup import union_sources
-    from rentgrid.operators.enrich import enrich
-    return enrich(union_sources([decode_registered(df, n) for n in source_names(spec)]))
+    return enrich(union_sources([decode_registered(df, n, as_of) for n in source_names(spec)]))
