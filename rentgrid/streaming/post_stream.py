@@ -1,27 +1,31 @@
 """Captured posts as a stream, de-duplicated on their first 100 characters
 (G3/I4 in streaming form): the first post of every text key is kept.
 
-Each micro-batch keeps, per key, its earliest post by ``(extracted_at,
-seq)`` (``min_by``, combined map-side), drops keys already emitted by
-earlier batches (anti join against the ``_keys`` table), and writes posts
-and keys to the folders of its batch id.  Post files that arrive later
-count as later posts.  A restarted batch rewrites only its own folders from
-the same inputs, so the output is the same after a failure.  Empty texts
-are dropped first.
+What was seen is keyed state: one entry per text key in a RocksDB state store,
+read only for the keys of a micro-batch, never as a table.  Of the posts of a
+key in one micro-batch the earliest by ``(extracted_at, seq)`` counts; the
+posts of an Arrow batch are reduced to it before the shuffle, so a key with a
+large share of all posts is one row per batch.  Post files that arrive later
+count as later posts.  A micro-batch writes only its own folder, and a
+restarted one starts from the state before it, so the output is the same after
+a failure and in another process.  Empty texts are dropped first.
 """
 
 from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from rentgrid.functions import patterns as P
-from rentgrid.operators.dedup import keep_by
 
 POST_SCHEMA = ("seq long, text string, author string, timestamp_text string, post_url string, "
                "extracted_at timestamp")
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -29,31 +33,42 @@ def _keyed(df: DataFrame) -> DataFrame:
               .withColumn("text_key", F.substring("text", 1, P.POST_DEDUP_PREFIX_CHARS)))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
+def _earliest(frames):
+    """Of each text key in a batch of rows the earliest one."""
+    for pdf in frames:
+        yield pdf.sort_values(["extracted_at", "seq"], kind="stable", na_position="first").drop_duplicates("text_key")
 
 
-def _apply(spark: SparkSession, sink_dir: str):
-    keys_dir = os.path.join(sink_dir, "_keys")
-    posts_dir = os.path.join(sink_dir, "posts")
+def _first_seen(key, frames, state):
+    """The earliest post of a key that no micro-batch had before."""
+    known, best = state.exists, None
+    for pdf in frames:
+        if not known:
+            best = next(_earliest([pdf if best is None else pd.concat([best, pdf])]))
+    if best is not None:
+        state.update((True,))
+        yield best
 
-    def fn(batch: DataFrame, batch_id: int) -> None:
-        first = keep_by(_keyed(batch), F.col("text_key"), ["extracted_at", "seq"], last=False)
-        new = first
-        if _exists(spark, keys_dir):
-            seen = spark.read.parquet(keys_dir).filter(F.col("batch") < batch_id).select("text_key")
-            new = first.join(seen, "text_key", "left_anti")
-        new.drop("text_key").write.mode("overwrite").parquet(os.path.join(posts_dir, f"batch={batch_id}"))
-        new.select("text_key").write.mode("overwrite").parquet(os.path.join(keys_dir, f"batch={batch_id}"))
-    return fn
+
+def first_posts(posts: DataFrame) -> DataFrame:
+    """The stream of posts whose text key was not seen before."""
+    keyed = _keyed(posts)
+    combined = keyed.mapInPandas(_earliest, keyed.schema)
+    return combined.groupBy("text_key").applyInPandasWithState(
+        _first_seen, keyed.schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def start(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_location: str):
     """Read post files, keep the first post per text key; returns the query.
     Output: ``sink_dir/posts/batch=N``.  ``checkpoint_location`` must be the
-    same shared folder in every process that goes on with the stream."""
-    stream = spark.readStream.schema(POST_SCHEMA).json(source_dir)
-    return (stream.writeStream.foreachBatch(_apply(spark, sink_dir))
-                  .option("checkpointLocation", checkpoint_location)
-                  .trigger(availableNow=True).start())
+    same shared folder in every process that goes on with the stream; it holds
+    the state."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.drop("text_key").write.mode("overwrite").parquet(os.path.join(sink_dir, "posts", f"batch={batch_id}"))
+    stream = first_posts(spark.readStream.schema(POST_SCHEMA).json(source_dir))
+    old = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKSDB)
+    try:
+        return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_location).trigger(availableNow=True).start()
+    finally:  # the query keeps the settings that it was started with
+        spark.conf.unset(_STORE) if old is None else spark.conf.set(_STORE, old)
