@@ -37,7 +37,11 @@ def price_summary(df: DataFrame, group_cols: list[str] | None = None) -> DataFra
     distinct prices, with or without groups.
     """
     group_cols = group_cols or []
-    hist = df.groupBy(*group_cols, "price").agg(F.count(F.lit(1)).alias("_c"))
+    return summary_of(df.groupBy(*group_cols, "price").agg(F.count(F.lit(1)).alias("_c")), group_cols)
+
+
+def summary_of(hist: DataFrame, group_cols: list[str]) -> DataFrame:
+    """The summary of a histogram: ``_c`` listings per group and price."""
     truthy = F.col("price").isNotNull() & (F.col("price") != 0)
     tp, pc = F.when(truthy, F.col("price")), F.when(truthy, F.col("_c"))
     base = hist.groupBy(*group_cols).agg(

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from rentgrid.functions import patterns as P
 from rentgrid.functions.dialect import DUCK
 from rentgrid.functions.extract import neighbourhood
-from rentgrid.operators import history, matching, nearest
+from rentgrid.operators import history, matching, nearest, state, summary_view
 from rentgrid.operators.graph import shared_folder
-from rentgrid.plans.base import enriched, with_ctes
-from rentgrid.plans.catalog import _NORMALIZED_POSTS_SQL, register
+from rentgrid.plans.base import enriched, listings, with_ctes
+from rentgrid.plans.catalog import _NORMALIZED_POSTS_SQL, _POSITIONS_SQL, _ordered, register
 from rentgrid.session import read_table
 from rentgrid.sources import answers
 from rentgrid.sources.fixture import AS_OF, listing_raw
@@ -153,3 +153,23 @@ SELECT listing_key, id, price, posted_date, neighbourhood FROM enriched WHERE so
 def registered_listings(spark, sf_dir):
     """Captures of the configured sources, each through its registered decoder."""
     return listings_of(listing_raw(spark, sf_dir), "facebook, kijiji,", AS_OF).select("listing_key", "id", "price", "posted_date", "neighbourhood")
+
+
+# --------------------------------------------------------------------------
+# D1-D7 kept up to date: two batches, the second changes prices
+# --------------------------------------------------------------------------
+@register("maintained_price_summary", with_ctes("WITH fin AS (SELECT id, arg_max_null(price, seq) AS price, arg_min_null(source, seq) AS source FROM ("
+                                                "SELECT *, CAST(snapshot_no AS BIGINT) * 1000000000000 + listing_key AS seq FROM listings) t GROUP BY id),"
+                                                + _POSITIONS_SQL.format(g="source, ", gp="source", gb="GROUP BY source", on="b.source = q.source")
+                                                .replace("enriched", "fin").strip().removeprefix("WITH"), "listings"))
+def maintained_price_summary(spark, sf_dir):
+    """Price statistics per source of the stored state, from the view that each batch changed."""
+    rows = _ordered(listings(spark, sf_dir))
+    view = summary_view.PriceView(spark, f"{shared_folder(spark)}/view-{uuid.uuid4().hex}", ["source"])
+    stored = None
+    for n, part in enumerate(("snapshot_no < 2", "snapshot_no >= 2")):
+        batch = rows.filter(part)
+        now = state.upsert(stored, batch, "_seq")
+        view.apply(n, summary_view.touched(stored, batch), summary_view.touched(now, batch))
+        stored = now
+    return view.summary()
