@@ -20,9 +20,9 @@ shingles.  Shingles are XOR-hashed into sketches:
 
 What is left is verified on the shingles.  Equal sets are one class from the
 start.  Within a group of sets that share a piece, those that often share one
-with its first set are compared with that first, then those of other components
-with another one, for some rounds; only groups that are still in several
-components after that are compared further, across components.
+with its most central set are compared with that first, then those of other
+components with the next one, for some rounds; only groups that are still in
+several components after that are compared further, across components.
 """
 
 from __future__ import annotations
@@ -55,9 +55,9 @@ FREQUENT, MAX_FREQUENT = 0.002, 200_000
 #: Pieces per task of the join (about 12 bytes each).
 PIECES_PER_BUCKET = 1_500_000
 _SIZE_BITS = 10
-#: Rounds of comparing against one class of each group before all that is left
-#: is compared (fewer or more change the work, not the result).
-ROUNDS = 3
+#: Rounds of comparing with one class of each group before all that is left is
+#: compared (fewer or more change the work, not the result).
+ROUNDS = 1
 
 
 def largest_difference(n1, n2, percent: int = PERCENT):
@@ -403,20 +403,25 @@ class Links:
         groups = self.groups()
         # the likely links first, against one class of each group and round: what
         # is linked already needs no more comparing
-        stars = self._stars(groups.withColumn("root", F.col("cls")), 0)
-        compared, links = [stars], [self.linked(stars)]
-        for turn in range(1, ROUNDS + 1):
-            open_rows = self._open(groups, links)
-            stars = self._stars(open_rows, turn)
+        sizes = groups.groupBy("gid").agg(F.count(F.lit(1)).alias("_m"))
+        central = written(groups.join(sizes, "gid").groupBy("cls").agg(F.sum("_m").alias("central")), "parity-central")
+        compared, links, leaders = [], [], []
+        rows = groups.withColumn("root", F.col("cls"))
+        for _ in range(ROUNDS):
+            lead = written(self._leaders(rows, central, leaders), "parity-leaders")
+            stars = self._stars(rows, lead)
             for earlier in compared:
                 stars = stars.join(earlier, ["a", "b", "band"], "left_anti")
-            stars = written(stars, "parity-stars")
-            release(open_rows)
-            if stars.isEmpty():
+            compared.append(written(stars, "parity-stars"))
+            leaders.append(lead)
+            links.append(self.linked(compared[-1]))
+            if len(leaders) > 1:
+                release(rows)
+            rows = self._open(groups, links)
+            if rows.isEmpty():
                 break
-            compared.append(stars)
-            links.append(self.linked(stars))
-        open_rows = self._open(groups, links)
+        open_rows = rows
+        release(central, *leaders)
         x, y = open_rows.alias("x"), open_rows.alias("y")
         # lists that must share some pieces after each has left out its spare ones
         low, high = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
@@ -438,19 +443,23 @@ class Links:
         return out
 
     @staticmethod
-    def _stars(rows: DataFrame, turn: int) -> DataFrame:
+    def _leaders(rows: DataFrame, central: DataFrame, earlier: list[DataFrame]) -> DataFrame:
+        """``gid, lead, lead_root``: the most central class of each group that
+        led in no earlier round.  Central is what shares its pieces with most
+        others: the text that many are copies of, if it is there."""
+        for led in earlier:
+            rows = rows.join(led.select(F.col("lead").alias("cls")).distinct(), "cls", "left_anti")
+        order = F.struct((-F.col("central")).alias("c"), F.col("cls").alias("lead"), F.col("root").alias("lead_root"))
+        return rows.join(central, "cls").groupBy("gid").agg(F.min(order).alias("_l")).select("gid", "_l.lead", "_l.lead_root")
+
+    @staticmethod
+    def _stars(rows: DataFrame, leaders: DataFrame) -> DataFrame:
         """The pairs of each group's leader and its members of other roots that
-        share half of what either keeps.  The leader is the first in an order of
-        all classes that changes with the turn."""
-        order = F.struct(F.lit(0).cast("long") if turn == 0 else F.xxhash64("cls", F.lit(turn)), F.col("cls"))
-        leaders = rows.groupBy("gid").agg(F.min(F.struct(order.alias("o"), F.col("root").alias("root"))).alias("_l"),
-                                          F.count(F.lit(1)).alias("_m")).where("_m > 1")
-        leaders = leaders.select("gid", F.col("_l.o.cls").alias("_lead"), F.col("_l.root").alias("_lead_root"))
-        near = rows.join(leaders, "gid").where((F.col("cls") != F.col("_lead")) & (F.col("root") != F.col("_lead_root")))
-        out = near.groupBy(F.least("_lead", "cls").alias("a"), F.greatest("_lead", "cls").alias("b"), "band").agg(
+        share half of what either keeps."""
+        near = rows.join(leaders, "gid").where((F.col("cls") != F.col("lead")) & (F.col("root") != F.col("lead_root")))
+        out = near.groupBy(F.least("lead", "cls").alias("a"), F.greatest("lead", "cls").alias("b"), "band").agg(
             F.count(F.lit(1)).alias("_shared"), F.min("keeps").alias("_keeps"))
-        out = out.where("_shared * 2 >= _keeps").select("a", "b", "band")
-        return written(out, "parity-stars") if turn == 0 else out
+        return out.where("_shared * 2 >= _keeps").select("a", "b", "band")
 
     @staticmethod
     def _open(groups: DataFrame, links: list[DataFrame]) -> DataFrame:
