@@ -1,4 +1,4 @@
-"""A tolerant reader of HTML into a small tree, and simple tree matching."""
+"""A tolerant reader of HTML into a small tree."""
 
 from __future__ import annotations
 
@@ -18,6 +18,11 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
+#: Elements nested deeper than this stand beside each other in the one at that
+#: depth, as browsers do; walks of a tree may then recurse.
+DEEPEST = 300
+
+
 class Node:
     """An element: tag, words of its class, id and role, and what is in it."""
 
@@ -31,7 +36,7 @@ class Node:
 def parse(text: str) -> Node:
     """The tree under a root node.  Missing and stray tags never fail."""
     root = now = Node("#root", "", None)
-    at = 0
+    at = depth = beyond = 0
     find = _TOKEN.search
     while m := find(text, at):
         if m.start() > at:
@@ -42,14 +47,19 @@ def parse(text: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            up = now
+            if beyond:
+                beyond -= 1
+                continue
+            up, ups = now, 1
             while up is not root and up.tag != tag:
-                up = up.parent
+                up, ups = up.parent, ups + 1
             if up is not root:
-                now = up.parent
+                now, depth = up.parent, depth - ups
             continue
         if tag in _CLOSES or (tag in BLOCK and now.tag != "#root"):
-            now = _close(now, root, tag)
+            closed = _close(now, root, tag)
+            while now is not closed:
+                now, depth, beyond = now.parent, depth - 1, 0
         marks = ""
         if m[3] and ("=" in m[3] or "hidden" in m[3]):
             marks = " ".join((a[1] or a[2] or a[3] or a[0]) for a in _ATTRIBUTE.findall(m[3])).lower()
@@ -64,7 +74,10 @@ def parse(text: str) -> Node:
                 node.children.append(text[at:stop])
             at = end.end() if end else len(text)
             continue
-        now = node
+        if depth == DEEPEST:
+            beyond += 1
+            continue
+        now, depth = node, depth + 1
     if at < len(text):
         now.children.append(text[at:])
     return root
@@ -90,54 +103,3 @@ def clean(parts: list[str]) -> str:
     """Character references decoded, white space as single spaces, trimmed."""
     joined = "".join(parts)
     return " ".join((_html.unescape(joined) if "&" in joined else joined).split())
-
-
-class Shape:
-    """A tree for matching: neighbours of one label are merged, so a run of
-    paragraphs is one node.  ``nodes`` are the elements that it stands for."""
-
-    __slots__ = ("label", "nodes", "children")
-
-    def __init__(self, label: str, nodes: list[Node]):
-        self.label, self.nodes = label, nodes
-        groups: list[tuple[str, list[Node]]] = []
-        for node in nodes:
-            for child in node.children:
-                if isinstance(child, Node) and child.tag in BLOCK:
-                    name = f"{child.tag} {child.marks}"
-                    if groups and groups[-1][0] == name:
-                        groups[-1][1].append(child)
-                    else:
-                        groups.append((name, [child]))
-        self.children = [Shape(name, members) for name, members in groups]
-
-    def key(self) -> str:
-        return f"{self.label}({','.join(c.key() for c in self.children)})"
-
-
-def match(a, b, pairs: list | None = None) -> int:
-    """Simple tree matching: the largest number of nodes that two ordered
-    trees share top down; the matched pairs go to ``pairs``."""
-    if a.label != b.label:
-        return 0
-    n, m = len(a.children), len(b.children)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    weight = {}
-    for i in range(n):
-        for j in range(m):
-            w = match(a.children[i], b.children[j]) if a.children[i].label == b.children[j].label else 0
-            weight[i, j] = w
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w)
-    if pairs is not None:
-        pairs.append((a, b))
-        i, j = n, m
-        while i and j:
-            w = weight[i - 1, j - 1]
-            if w and best[i][j] == best[i - 1][j - 1] + w:
-                match(a.children[i - 1], b.children[j - 1], pairs)
-                i, j = i - 1, j - 1
-            elif best[i][j] == best[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-    return best[n][m] + 1

@@ -1,31 +1,45 @@
 """Main text of web pages by wrapper induction (operator 3).
 
-Every page of a host is read into a tree whose elements are told by their slot:
-the labels from the body down, as top-down tree matching pairs them.  For each
-slot the different titles that have it are counted, and those that share a text
-there.  A text that most of them share is the host's template; the other texts
-vary and hold content.  Of every page, template texts go, and of the varying
-ones those of the article stay, not those of menus, headers, footers, sidebars,
-notices, adverts, forms and comments, which vary as well.
+1. Every page of a host is read into the shape of its block elements; the most
+   frequent shapes of a host are the targets of alignment (their number does
+   not bound what is read: every page is aligned with its best target).
+2. Every page is aligned with its target by simple tree matching
+   (``shapes.match``).  An element's slot is the target node that it is paired
+   with; elements without one are told by the labels below the nearest slot.
+   For each slot, titles and shared texts are counted over all pages.
+3. Texts that most titles share in a slot are the host's template.  Of the
+   texts that vary, slot by slot, the target's content is the part of the tree
+   that holds most of them.
+4. Of every page, template texts go and varying ones of the article stay.  The
+   article is named by the page's own article or main element or by a class
+   that says so; where no name tells, by the content slots of its host.  Tags
+   and class names also mark menus, adverts, comments and so on, which vary as
+   well (``hints=False`` leaves all of that out and trusts the slots alone).
 """
 
 from __future__ import annotations
 
+import json
 import re
-import zlib
 
-import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rentgrid.llm import dom
+from rentgrid.llm import dom, shapes
 from rentgrid.llm.tables import small_batches, written
 
 #: A text is template if at least so many titles of the host have it in a slot,
 #: and more than this share of the titles that have the slot.
 LEAST_PAGES, TEMPLATE_SHARE = 3, 0.5
+#: Alignment targets of a host.
+TARGETS = 4
+#: The content of a target is followed down into a child that holds at least
+#: this share of the varying text.
+CONTENT_SHARE = 0.5
+#: A large host is joined with its wrapper in so many parts.
+SALTS = 32
 #: Wrappers of all hosts together are sent to the executors up to this size;
 #: beyond it they are joined by host.
 SENT_BYTES = 32 << 20
@@ -33,6 +47,9 @@ SENT_BYTES = 32 << 20
 #: Elements that never hold article text.
 _NEVER = frozenset("""script style noscript template iframe textarea title head svg math object nav footer aside form
 button select option input dialog menu canvas audio video embed label fieldset""".split())
+#: Elements whose text no reader sees, or that are no text.
+_UNSEEN = frozenset("""script style noscript template iframe textarea title head svg math object form button select
+option input dialog canvas audio video embed""".split())
 _BOILERPLATE = re.compile(r"""(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|adbox|sponsor\w*|promo\w*|banner\w*|nav\w*|
 menu\w*|side(?:bar|nav)?\w*|aside|foot(?:er)?\w*|masthead|topbar|toolbar|breadcrumb\w*|crumb\w*|cookie\w*|consent|
 gdpr|notice\w*|notification\w*|alert\w*|disclaimer|popup|modal|overlay|newsletter\w*|subscri\w*|signup|login|share\w*|
@@ -58,12 +75,12 @@ def _is_boilerplate(node: dom.Node, inside: bool) -> bool:
 class _Blocks:
     """Text blocks of a tree in page order, with their elements."""
 
-    def __init__(self, root: dom.Node, inside: bool, skip=True):
+    def __init__(self, root: dom.Node, inside: bool, hints=True):
         self.out: list[tuple[str, dom.Node, int]] = []
         self.parts: list[str] = []
         self.links = 0
         self.owner = root
-        self.skip, self.inside = skip, inside
+        self.hints, self.inside = hints, inside
         self._walk(root, root, False)
         self._flush(root)
 
@@ -82,7 +99,7 @@ class _Blocks:
                     self.links += len(child)
             elif child.tag == "br":
                 self.parts.append(" ")
-            elif child.tag in dom.VOID or (self.skip and _is_boilerplate(child, self.inside)):
+            elif child.tag in dom.VOID or (_is_boilerplate(child, self.inside) if self.hints else child.tag in _UNSEEN):
                 if child.tag in dom.BLOCK or child.tag in _NEVER:
                     self._flush(block)
             elif child.tag in dom.BLOCK:
@@ -106,59 +123,123 @@ def _body(root: dom.Node) -> dom.Node:
     return found or root
 
 
-def _hash(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass")) | (len(text) << 32)
-
-
-def _slots(body: dom.Node) -> dict[int, int]:
-    """The slot of every element: a hash of the labels from the body down."""
-    out, stack = {id(body): 0}, [body]
-    while stack:
-        node = stack.pop()
-        for c in node.children:
-            if isinstance(c, dom.Node):
-                out[id(c)] = xxhash.xxh3_64_intdigest(
-                    f"{c.tag} {c.marks}".encode("utf-8", "surrogatepass"), out[id(node)])
-                stack.append(c)
-    return out
-
-
-def _candidates(page: str) -> list[tuple[int, str]]:
-    """``(slot, text)`` of the page's blocks that are content if not template."""
-    body = _body(dom.parse(page))
-    root = _article(body)
-    slots = _slots(body)
-    return [(slots[id(owner)], text) for text, owner, links in _Blocks(root or body, root is not None).out
-            if root is not None or links * 2 <= len(text)]
-
+#: Elements that hold blocks; a paragraph's or list's container is the nearest of them.
+_HOLDERS = frozenset("body div section article main td blockquote center nav aside header footer figure #root".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Nodes of targets are told apart across the targets of a host by this factor.
+_PER_TARGET = 10_000
+
+
+def _hash(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+
+
+class Page:
+    """A page in its host's terms: ``blocks`` are (slot, place, text, links,
+    owner is a heading), where the place is the target node of the container."""
+
+    def __init__(self, html: str, targets: shapes.Targets, hints: bool = True):
+        body = _body(dom.parse(html))
+        self.root = _article(body) if hints else None
+        self.target, paired = targets.align(body)
+        base = self.target * _PER_TARGET
+        slots, places, stack = {}, {}, [(body, 0, base if self.target >= 0 else -1)]
+        while stack:
+            node, path, place = stack.pop()
+            number = paired.get(id(node))
+            if number is not None:
+                path = xxhash.xxh3_64_intdigest(b"paired", base + number)
+                if node.tag in _HOLDERS:
+                    place = base + number
+            slots[id(node)], places[id(node)] = path, place
+            for c in node.children:
+                if isinstance(c, dom.Node):
+                    stack.append((c, xxhash.xxh3_64_intdigest(
+                        f"{c.tag} {c.marks}".encode("utf-8", "surrogatepass"), path), place))
+        start = self.root or body
+        self.blocks = [(slots[id(owner)] - (slots[id(owner)] >> 63 << 64), places[id(owner)], text, links,
+                        owner.tag in _HEADINGS)
+                       for text, owner, links in _Blocks(start, self.root is not None, hints).out]
+
+
+class Wrapper:
+    """A host's wrapper as read from its JSON; without one every page stands alone."""
+
+    def __init__(self, text: str | None):
+        found = json.loads(text) if text else {}
+        self.targets = shapes.Targets(found.get("targets", []))
+        self.content = frozenset(found.get("content", ()))
+        self.held = {place // _PER_TARGET for place in self.content}
+        self.template = frozenset((int(a), bytes.fromhex(b)) for a, _, b in
+                                  (x.partition(":") for x in found.get("template", ())))
+
+    def text(self, html: str, hints: bool = True) -> str:
+        page = Page(html, self.targets, hints)
+        placed = page.root is None and page.target in self.held
+        out = []
+        for slot, place, text, links, _ in page.blocks:
+            if (slot, _hash(text)) in self.template:
+                continue
+            if place in self.content if placed else page.root is not None or links * 2 <= len(text):
+                out.append(text)
+        return " ".join(out)
 
-def _load(wrapper: str) -> frozenset:
-    return frozenset(tuple(map(int, x.split(":"))) for x in wrapper.split(","))
 
+class _Wrappers:
+    """Wrappers of the hosts that a worker meets, a bounded number at once."""
 
-def _signed(slot: int) -> int:
-    return slot - (slot >> 63 << 64)
+    def __init__(self):
+        self.known: dict[str | None, Wrapper] = {}
 
+    def get(self, text: str | None) -> Wrapper:
+        if text not in self.known:
+            if len(self.known) > 500:
+                self.known.clear()
+            self.known[text] = Wrapper(text)
+        return self.known[text]
 
-class Extractor:
-    """Reads pages with their hosts' wrappers."""
 
-    def __init__(self):
-        self.wrappers: dict[str, frozenset] = {}
+def content_places(targets: list[str], places: dict[int, tuple[int, int]]) -> list[int]:
+    """The places of the article, for each target: from the body down into the
+    child that holds most of the varying text, as long as what stands beside it
+    in the node itself is headings or nothing.
 
-    def text(self, page: str, wrapper: str | None) -> str:
-        template = frozenset()
-        if wrapper:
-            if wrapper not in self.wrappers:
-                if len(self.wrappers) > 1000:
-                    self.wrappers.clear()
-                self.wrappers[wrapper] = _load(wrapper)
-            template = self.wrappers[wrapper]
-        return " ".join(text for slot, text in _candidates(page) if (_signed(slot), _hash(text)) not in template)
+    ``places``: for each place the varying text under headings and other.
+    """
+    out = []
+    for t, nodes in enumerate(shapes.Targets(targets).roots):
+        own = [places.get(t * _PER_TARGET + s.index, (0, 0)) for s in nodes]
+        total = [sum(x) for x in own]
+        for s in reversed(nodes[1:]):
+            total[s.up] += total[s.index]
+        if not total[0]:
+            continue
+        at = nodes[0]
+        while True:
+            best = max(at.children, key=lambda c: total[c.index], default=None)
+            # one paragraph list, cell or section of many is no article of its own
+            if best is None or own[at.index][1] or total[best.index] < CONTENT_SHARE * total[at.index]:
+                break
+            if own[at.index][0]:
+                out.append(t * _PER_TARGET + at.index)
+            at = best
+        stack = [at]
+        while stack:
+            node = stack.pop()
+            out.append(t * _PER_TARGET + node.index)
+            stack += node.children
+    return sorted(out)
 
 
 def _length(node: dom.Node) -> int:
-    return sum(len(c) if isinstance(c, str) else (0 if _is_boilerplate(c, True) else _length(c)) for c in node.children)
+    total, stack = 0, [node]
+    while stack:
+        for c in stack.pop().children:
+            if isinstance(c, str):
+                total += len(c)
+            elif not _is_boilerplate(c, True):
+                stack.append(c)
+    return total
 
 
 def _article(body: dom.Node) -> dom.Node | None:
@@ -184,71 +265,141 @@ def _article(body: dom.Node) -> dom.Node | None:
     return None
 
 
-def _seen(batches):
-    """``host, title, slot, text`` of every page, once; no text stands for the slot."""
+def _shapes(batches):
+    """``host, structure, shape`` of every page that can be a target."""
     for b in batches:
-        rows, slots, texts = [], [], []
-        for i, page in enumerate(b.column(2).to_pylist()):
-            found = {(slot, _hash(text)) for slot, text in _candidates(page)}
-            for slot, text in found | {(slot, -1) for slot, _ in found}:
-                rows.append(i)
-                slots.append(slot)
-                texts.append(text)
-        rows = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([
-            b.column(0).take(rows), b.column(1).take(rows), pa.array(np.array(slots, np.uint64).view(np.int64)),
-            pa.array(texts, pa.int64())], ["host", "title", "slot", "text"])
-
-
-def wrappers(pages: DataFrame) -> DataFrame:
-    """``host, wrapper``: slots and texts of the host's template, from all of its
-    pages; those of one title count once, so that copies of one page do not look
-    like a template."""
+        hosts, structures, dumps = [], [], []
+        for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            root = shapes.shape(_body(dom.parse(html)))
+            if len(shapes.numbered(root)) <= shapes.LARGEST_TARGET:
+                hosts.append(host)
+                structures.append(root.structure - (root.structure >> 63 << 64))
+                dumps.append(shapes.dump(root))
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(structures, pa.int64()),
+                                          pa.array(dumps, pa.string())], ["host", "structure", "shape"])
+
+
+def targets(pages: DataFrame) -> DataFrame:
+    """``host, wrapper``: the most frequent shapes of each host, marks apart, over
+    all of its pages."""
+    counts = pages.select("host", "html").mapInArrow(_shapes, "host string, structure long, shape string").groupBy(
+        "host", "structure").agg(F.count(F.lit(1)).alias("pages"), F.min("shape").alias("shape"))
+    order = Window.partitionBy("host").orderBy(F.desc("pages"), "structure")
+    best = counts.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= TARGETS)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("rank", "shape"))), lambda x: x["shape"])
+    return best.groupBy("host").agg(F.to_json(F.struct(listed.alias("targets"))).alias("wrapper"))
+
+
+def _sent(rows: DataFrame, found: DataFrame):
+    """Rows with their host's wrapper at the end: sent to every executor where all
+    wrappers together are small (a counted size), else joined, a large host in parts."""
+    size = found.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
+    if size <= SENT_BYTES:
+        return rows, rows.sparkSession.sparkContext.broadcast({r.host: r.wrapper for r in found.collect()})
+    parts = found.select("host", "wrapper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    salted = rows.withColumn("part", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int"))
+    return salted.join(parts, ["host", "part"], "left").select(*rows.columns, "wrapper"), None
+
+
+def _known(sent, b):
+    """The wrapper of each row of a batch; the host is its first column."""
+    return [sent.value.get(h) for h in b.column(0).to_pylist()] if sent else b.column(b.num_columns - 1).to_pylist()
+
+
+_SEEN = "host string, title long, slot long, text binary, place int, heading boolean, size int"
+
+
+def _seen(sent, hints):
+    """``host, title, slot, text, ...`` of every page, once; an empty text stands for the slot."""
+    def run(batches):
+        known = _Wrappers()
+        for b in batches:
+            rows, out = [], []
+            for i, (html, w) in enumerate(zip(b.column(2).to_pylist(), _known(sent, b), strict=True)):
+                found = {(slot, _hash(text), place, heading, len(text))
+                         for slot, place, text, _, heading in Page(html, known.get(w).targets, hints).blocks}
+                found |= {(slot, b"", place, heading, 0) for slot, _, place, heading, _ in found}
+                rows += [i] * len(found)
+                out += found
+            take = pa.array(rows, pa.int64())
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(take), b.column(1).take(take)] + [
+                    pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                ["host", "title", "slot", "text", "place", "heading", "size"])
+    return run
+
+
+def wrappers(pages: DataFrame, hints: bool = True) -> DataFrame:
+    """``host, wrapper``: targets, template (slots and texts) and content places of
+    each host, from all of its pages; those of one title count once, so that
+    copies of one page do not look like a template."""
+    found = written(targets(pages), "wrapper-targets")
     title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
     titled = pages.select("host", F.xxhash64(F.when(title == "", F.sha2("html", 256)).otherwise(title)).alias("title"),
                           "html")
+    rows, sent = _sent(titled, found)
     # equal rows combine before the shuffle, and are dealt out by title: a large host is in no single task
-    counts = written(titled.mapInArrow(_seen, "host string, title long, slot long, text long").distinct().groupBy(
-        "host", "slot", "text").agg(F.count(F.lit(1)).alias("titles")).where(F.col("titles") >= LEAST_PAGES),
-        "wrapper-texts")
-    slots = counts.where("text = -1").select("host", "slot", F.col("titles").alias("all"))
-    template = counts.where("text <> -1").join(slots, ["host", "slot"]).where(
-        F.col("titles") > F.col("all") * TEMPLATE_SHARE)
-    return template.groupBy("host").agg(F.array_join(F.sort_array(F.collect_list(
-        F.concat_ws(":", "slot", "text"))), ",").alias("wrapper"))
-
-
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    counts = written(rows.mapInArrow(_seen(sent, hints), _SEEN).distinct().groupBy(
+        "host", "slot", "text", "place", "heading", "size").agg(F.count(F.lit(1)).alias("titles")), "wrapper-texts")
+    slots = counts.where("text = X''").groupBy("host", "slot").agg(F.sum("titles").alias("all"))
+    shared = counts.where((F.col("text") != F.lit(b"")) & (F.col("titles") >= LEAST_PAGES))
+    template = written(shared.join(slots, ["host", "slot"]).where(F.col("titles") > F.col("all") * TEMPLATE_SHARE)
+                       .select("host", "slot", "text", "place", "heading", "size", "titles"), "wrapper-template")
+    # what is left of each place's text without the template; places are nodes of the few targets
+    letters = F.col("size") * F.col("titles")
+    varying = counts.where("place >= 0").select("host", "place", "heading", letters.alias("n")).unionAll(
+        template.where("place >= 0").select("host", "place", "heading", (-letters).alias("n"))).groupBy(
+        "host", "place", "heading").agg(F.sum("n").alias("n")).where("n > 0")
+    placed = varying.groupBy("host").agg(F.collect_list(F.struct("place", "heading", "n")).alias("places"))
+    texts = template.groupBy("host").agg(F.sort_array(F.collect_set(
+        F.concat_ws(":", "slot", F.lower(F.hex("text"))))).alias("texts"))
+    return found.join(placed, "host", "left").join(texts, "host", "left").mapInArrow(
+        _wrapped, "host string, wrapper string")
+
+
+def _wrapped(batches):
+    for b in batches:
+        out = []
+        for r in b.to_pylist():
+            listed = json.loads(r["wrapper"])["targets"]
+            places: dict[int, tuple[int, int]] = {}
+            for x in r["places"] or ():
+                h, o = places.get(x["place"], (0, 0))
+                places[x["place"]] = (h + x["n"], o) if x["heading"] else (h, o + x["n"])
+            out.append(json.dumps({"targets": listed, "content": content_places(listed, places),
+                                   "template": r["texts"] or []}))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["host", "wrapper"])
+
+
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
+            hints: bool = True) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row.
 
     Null html counts as empty and gives an empty text, as does a page without
-    an article; pages without a host are read without a wrapper, like those of
-    hosts with too few pages; repeated rows give repeated rows; an empty table
-    gives none; other columns are never read.
+    an article; pages without a host are read without a wrapper; repeated rows
+    give repeated rows; an empty table gives none; other columns are never
+    read.  A very long page costs memory for its own tree; elements nested
+    deeper than ``dom.DEEPEST`` stand beside each other.
     """
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"),
                         F.coalesce(F.col(html), F.lit("")).alias("html"),
                         F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)", 1)).alias("host"))
-    found = written(wrappers(rows.where("host <> '' AND html <> ''")), "wrappers")
-    size = found.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
+    found = written(wrappers(rows.where("host <> '' AND html <> ''"), hints), "wrappers")
     kind = pages.schema[key].dataType.simpleString()
-    schema = f"page_id {kind}, url string, text string, n_chars long"
-    if size <= SENT_BYTES:
-        sent = rows.sparkSession.sparkContext.broadcast({r.host: r.wrapper for r in found.collect()})
-        return rows.mapInArrow(_reader(sent), schema)
-    joined = rows.join(found, "host", "left").select("page_id", "url", "html", "host", "wrapper")
-    return joined.mapInArrow(_reader(None), schema)
+    known, sent = _sent(rows.select("host", "page_id", "url", "html"), found)
+    return known.mapInArrow(_reader(sent, hints), f"page_id {kind}, url string, text string, n_chars long")
 
 
-def _reader(sent):
+def _reader(sent, hints):
     def run(batches):
-        extractor = Extractor()
+        known = _Wrappers()
         for b in batches:
-            hosts = b.column(3).to_pylist()
-            known = [sent.value.get(h) for h in hosts] if sent else b.column(4).to_pylist()
-            texts = [extractor.text(page, w) for page, w in zip(b.column(2).to_pylist(), known, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()),
+            texts = [known.get(w).text(html, hints)
+                     for html, w in zip(b.column(3).to_pylist(), _known(sent, b), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(texts, pa.string()),
                                               pa.array([len(t) for t in texts], pa.int64())],
                                              ["page_id", "url", "text", "n_chars"])
     return run

@@ -5,7 +5,7 @@ import random
 import public_tokenizers
 import pytest
 import tiktoken
-from rentgrid.llm import bpe, dom, wrapper
+from rentgrid.llm import bpe, dom, shapes, wrapper
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -85,10 +85,73 @@ def test_wrappers_too_large_to_send_are_joined(spark, monkeypatch):
     assert sorted(map(tuple, wrapper.extract(pages(spark, rows)).collect()), key=str) == want
 
 
+def tree(text):
+    return shapes.shape(dom.parse(f"<body>{text}</body>").children[0])
+
+
 def test_simple_tree_matching():
-    a, b = (dom.Shape("page", [dom.parse(h)]) for h in ("<div><p>x</p><ul><li>y</ul></div>", "<div><ul><li>z</ul><p>w</p></div>"))
-    pairs = []
-    assert dom.match(a, a) == 5 and dom.match(a, b, pairs) == 4 and len(pairs) == 4
+    a, b = tree("<div><p>x</p><ul><li>y</ul></div>"), tree("<div><ul><li>z</ul><p>w</p></div>")
+    total, pairs = shapes.match(a, b)
+    assert shapes.match(a, a)[0] == 10 and total == 8 and len(pairs) == 4
+    # marks that differ are paired by position; runs of one structure are one node
+    c = tree("<div class=q><p>1<p>2<p>3</div><div class=r>end</div>")
+    d = tree("<div class=u><p>1</div><div class=v>end</div>")
+    assert shapes.match(c, d)[0] == 6 and len(shapes.numbered(c)) == 4
+
+
+def brute_match(a, b):
+    """All top-down pairings in order, without a table."""
+    def lists(xs, ys):
+        if not xs or not ys:
+            return 0
+        return max(lists(xs[1:], ys), lists(xs, ys[1:]), whole(xs[0], ys[0]) + lists(xs[1:], ys[1:]))
+
+    def whole(x, y):
+        return (2 if x.marks == y.marks else 1) + lists(x.children, y.children) if x.tag == y.tag else 0
+    return whole(a, b)
+
+
+def test_matching_equals_all_pairings():
+    rng = random.Random(5)
+
+    def some(depth):
+        tag = rng.choice(("div", "ul", "section"))
+        inner = "".join(some(depth - 1) for _ in range(rng.randint(0, 3))) if depth else "t"
+        return f"<{tag} class={rng.choice('ab')}>{inner}</{tag}>"
+    for _ in range(60):
+        a, b = tree(some(3)), tree(some(3))
+        total, pairs = shapes.match(a, b)
+        assert total == brute_match(a, b) == sum(2 if x.marks == y.marks else 1 for x, y in pairs)
+
+
+def plain_page(i, rng, words):
+    """Class names that say nothing, some of them new on each page; all parts but menu, notice and footer vary."""
+    def text(n):
+        return " ".join(rng.choice(words) + str(rng.randint(0, 99)) for _ in range(n))
+    article = [f"Heading {i} {text(3)}"] + [text(40) for _ in range(rng.randint(2, 5))]
+    notice = f"<div class=n{i}>All prices include tax.</div>" if i % 3 else ""
+    remarks = "".join(f"<div class=k><div>{text(1)}</div><div>{text(8)}</div></div>" for _ in range(rng.randint(1, 3)))
+    page = (f"<html><head><title>{i}</title></head><body><div class=a{i}><ul><li>Home<li>Places<li>About us</ul></div>{notice}"
+            f"<div class=x{i % 5}><h1>{article[0]}</h1>" + "".join(f"<p>{p}</p>" for p in article[1:]) +
+            f"</div><div class=z{i}>{remarks}</div><div class=q{i}>Copyright of the owners</div></body></html>")
+    return page, " ".join(article)
+
+
+def test_slots_alone_tell_the_article(spark):
+    rng, words = random.Random(9), "amber birch cedar delta ember frost grove heron inlet jetty".split()
+    made = [plain_page(i, rng, words) for i in range(40)]
+    rows = [(i, f"http://plain.example/{i}", html) for i, (html, _) in enumerate(made)]
+    for hints in (True, False):
+        got = {r.page_id: r.text for r in wrapper.extract(pages(spark, rows), hints=hints).collect()}
+        assert got == {i: text for i, (_, text) in enumerate(made)}
+
+
+def test_deep_and_wide_pages(spark):
+    deep = "<div>" * 3000 + "deep text" + "</div>" * 3000
+    wide = "".join(f"<h2>h{i}</h2><p>p{i}</p>" for i in range(3000))
+    rows = [(i, "http://d.example/", html) for i, html in enumerate((deep, wide, "<b>" * 3000 + "bold", "</div>" * 3000))]
+    got = {r.page_id: r.text for r in wrapper.extract(pages(spark, rows)).collect()}
+    assert got == {0: "deep text", 1: " ".join(f"h{i} p{i}" for i in range(3000)), 2: "bold", 3: ""}
 
 
 def test_templates_come_from_all_pages_of_a_host(spark):
