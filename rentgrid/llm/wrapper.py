@@ -10,11 +10,13 @@
 3. Texts that most titles share in a slot are the host's template.  Of the
    texts that vary, slot by slot, the target's content is the part of the tree
    that holds most of them.
-4. Of every page, template texts go and varying ones of the article stay.  The
-   article is named by the page's own article or main element or by a class
-   that says so; where no name tells, by the content slots of its host.  Tags
-   and class names also mark menus, adverts, comments and so on, which vary as
-   well (``hints=False`` leaves all of that out and trusts the slots alone).
+4. Of every page, template texts go and the others of the content slots stay.
+
+Tags and class names are a weak prior (``hints=False`` leaves them out): what they
+mark as a menu, advert, form or comment is left out also inside the content.  They
+name the article where the slots cannot: on hosts with too few titles, and on
+pages that match no target of their host, seen by content slots that hold nothing
+or less than half of what the page's own article element does.
 """
 
 from __future__ import annotations
@@ -73,22 +75,23 @@ def _is_boilerplate(node: dom.Node, inside: bool) -> bool:
 
 
 class _Blocks:
-    """Text blocks of a tree in page order, with their elements."""
+    """Text blocks of a page in order: text, element, length of its links, and
+    whether it stands in the element named as the article."""
 
-    def __init__(self, root: dom.Node, inside: bool, hints=True):
-        self.out: list[tuple[str, dom.Node, int]] = []
+    def __init__(self, body: dom.Node, root: dom.Node | None, hints=True):
+        self.out: list[tuple[str, dom.Node, int, bool]] = []
         self.parts: list[str] = []
         self.links = 0
-        self.owner = root
-        self.hints, self.inside = hints, inside
-        self._walk(root, root, False)
-        self._flush(root)
+        self.hints, self.root = hints, root
+        self.inside = self.named = body is root
+        self._walk(body, body, False)
+        self._flush(body)
 
     def _flush(self, owner: dom.Node) -> None:
         if self.parts:
             text = dom.clean(self.parts)
             if text:
-                self.out.append((text, owner, self.links))
+                self.out.append((text, owner, self.links, self.named))
             self.parts, self.links = [], 0
 
     def _walk(self, node: dom.Node, block: dom.Node, linked: bool) -> None:
@@ -104,10 +107,12 @@ class _Blocks:
                     self._flush(block)
             elif child.tag in dom.BLOCK:
                 self._flush(block)
-                inside, self.inside = self.inside, self.inside or child.tag in ("article", "main")
+                before = self.inside, self.named
+                self.named = self.named or child is self.root
+                self.inside = self.inside or self.named or child.tag in ("article", "main")
                 self._walk(child, child, linked)
                 self._flush(child)
-                self.inside = inside
+                self.inside, self.named = before
             else:
                 self._walk(child, block, linked or child.tag == "a")
 
@@ -135,8 +140,8 @@ def _hash(text: str) -> bytes:
 
 
 class Page:
-    """A page in its host's terms: ``blocks`` are (slot, place, text, links,
-    owner is a heading), where the place is the target node of the container."""
+    """A page in its host's terms: ``blocks`` are (slot, place, text, links, named as
+    article, owner is a heading); the place is the target node of the container."""
 
     def __init__(self, html: str, targets: shapes.Targets, hints: bool = True):
         body = _body(dom.parse(html))
@@ -156,10 +161,9 @@ class Page:
                 if isinstance(c, dom.Node):
                     stack.append((c, xxhash.xxh3_64_intdigest(
                         f"{c.tag} {c.marks}".encode("utf-8", "surrogatepass"), path), place))
-        start = self.root or body
-        self.blocks = [(slots[id(owner)] - (slots[id(owner)] >> 63 << 64), places[id(owner)], text, links,
+        self.blocks = [(slots[id(owner)] - (slots[id(owner)] >> 63 << 64), places[id(owner)], text, links, named,
                         owner.tag in _HEADINGS)
-                       for text, owner, links in _Blocks(start, self.root is not None, hints).out]
+                       for text, owner, links, named in _Blocks(body, self.root, hints).out]
 
 
 class Wrapper:
@@ -169,20 +173,22 @@ class Wrapper:
         found = json.loads(text) if text else {}
         self.targets = shapes.Targets(found.get("targets", []))
         self.content = frozenset(found.get("content", ()))
-        self.held = {place // _PER_TARGET for place in self.content}
         self.template = frozenset((int(a), bytes.fromhex(b)) for a, _, b in
                                   (x.partition(":") for x in found.get("template", ())))
 
     def text(self, html: str, hints: bool = True) -> str:
         page = Page(html, self.targets, hints)
-        placed = page.root is None and page.target in self.held
-        out = []
-        for slot, place, text, links, _ in page.blocks:
+        placed, other = [], []
+        for slot, place, text, links, named, _ in page.blocks:
             if (slot, _hash(text)) in self.template:
                 continue
-            if place in self.content if placed else page.root is not None or links * 2 <= len(text):
-                out.append(text)
-        return " ".join(out)
+            if place in self.content:
+                placed.append(text)
+            if named or (page.root is None and links * 2 <= len(text)):
+                other.append(text)
+        if not placed or (page.root is not None and sum(map(len, placed)) * 2 < sum(map(len, other))):
+            return " ".join(other)
+        return " ".join(placed)
 
 
 class _Wrappers:
@@ -199,12 +205,13 @@ class _Wrappers:
         return self.known[text]
 
 
-def content_places(targets: list[str], places: dict[int, tuple[int, int]]) -> list[int]:
+def content_places(targets: list[str], places: dict[int, tuple[int, int]], titles: dict[int, int]) -> list[int]:
     """The places of the article, for each target: from the body down into the
     child that holds most of the varying text, as long as what stands beside it
     in the node itself is headings or nothing.
 
-    ``places``: for each place the varying text under headings and other.
+    ``places``: for each place the varying text under headings and other;
+    ``titles``: how many titles have it.  Targets of too few titles have none.
     """
     out = []
     for t, nodes in enumerate(shapes.Targets(targets).roots):
@@ -212,12 +219,11 @@ def content_places(targets: list[str], places: dict[int, tuple[int, int]]) -> li
         total = [sum(x) for x in own]
         for s in reversed(nodes[1:]):
             total[s.up] += total[s.index]
-        if not total[0]:
+        if not total[0] or max(titles.get(t * _PER_TARGET + s.index, 0) for s in nodes) < LEAST_PAGES:
             continue
         at = nodes[0]
         while True:
             best = max(at.children, key=lambda c: total[c.index], default=None)
-            # one paragraph list, cell or section of many is no article of its own
             if best is None or own[at.index][1] or total[best.index] < CONTENT_SHARE * total[at.index]:
                 break
             if own[at.index][0]:
@@ -317,7 +323,7 @@ def _seen(sent, hints):
             rows, out = [], []
             for i, (html, w) in enumerate(zip(b.column(2).to_pylist(), _known(sent, b), strict=True)):
                 found = {(slot, _hash(text), place, heading, len(text))
-                         for slot, place, text, _, heading in Page(html, known.get(w).targets, hints).blocks}
+                         for slot, place, text, _, _, heading in Page(html, known.get(w).targets, hints).blocks}
                 found |= {(slot, b"", place, heading, 0) for slot, _, place, heading, _ in found}
                 rows += [i] * len(found)
                 out += found
@@ -349,10 +355,11 @@ def wrappers(pages: DataFrame, hints: bool = True) -> DataFrame:
                        .select("host", "slot", "text", "place", "heading", "size", "titles"), "wrapper-template")
     # what is left of each place's text without the template; places are nodes of the few targets
     letters = F.col("size") * F.col("titles")
-    varying = counts.where("place >= 0").select("host", "place", "heading", letters.alias("n")).unionAll(
-        template.where("place >= 0").select("host", "place", "heading", (-letters).alias("n"))).groupBy(
-        "host", "place", "heading").agg(F.sum("n").alias("n")).where("n > 0")
-    placed = varying.groupBy("host").agg(F.collect_list(F.struct("place", "heading", "n")).alias("places"))
+    titles = F.when(F.col("text") == F.lit(b""), F.col("titles"))
+    varying = counts.where("place >= 0").select("host", "place", "heading", letters.alias("n"), titles.alias("t")).unionAll(
+        template.where("place >= 0").select("host", "place", "heading", -letters, F.lit(None))).groupBy(
+        "host", "place", "heading").agg(F.sum("n").alias("n"), F.max("t").alias("t"))
+    placed = varying.groupBy("host").agg(F.collect_list(F.struct("place", "heading", "n", "t")).alias("places"))
     texts = template.groupBy("host").agg(F.sort_array(F.collect_set(
         F.concat_ws(":", "slot", F.lower(F.hex("text"))))).alias("texts"))
     return found.join(placed, "host", "left").join(texts, "host", "left").mapInArrow(
@@ -365,10 +372,12 @@ def _wrapped(batches):
         for r in b.to_pylist():
             listed = json.loads(r["wrapper"])["targets"]
             places: dict[int, tuple[int, int]] = {}
+            titles: dict[int, int] = {}
             for x in r["places"] or ():
+                titles[x["place"]] = max(titles.get(x["place"], 0), x["t"] or 0)
                 h, o = places.get(x["place"], (0, 0))
                 places[x["place"]] = (h + x["n"], o) if x["heading"] else (h, o + x["n"])
-            out.append(json.dumps({"targets": listed, "content": content_places(listed, places),
+            out.append(json.dumps({"targets": listed, "content": content_places(listed, places, titles),
                                    "template": r["texts"] or []}))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["host", "wrapper"])
 
