@@ -22,12 +22,15 @@ gives the same state.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rentgrid.operators import constraints
 from rentgrid.schema import FIRST_WRITER_COLUMNS, LAST_WRITER_COLUMNS, STATE_FIELDS, STATE_SCHEMA, as_listings
 
 STATE_COLUMNS = [n for n, _ in STATE_FIELDS]
@@ -135,6 +138,10 @@ def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str
 
 
 # --------------------------------------------------------------------------
+class ConflictingBatch(RuntimeError):
+    """Another writer stored a batch on the version that this one was made from."""
+
+
 class ListingStore:
     """Tables under one root (shared storage on a cluster):
 
@@ -142,16 +149,28 @@ class ListingStore:
       N; only buckets that the batch touches are written, and
       ``manifest/v=N`` says which version holds each bucket;
     * ``price_history/batch=N/bucket=B`` and ``scrape_runs/batch=N``:
-      append-only; a batch is compared with the touched buckets only.
+      a batch is compared with the touched buckets only; ``compact`` folds
+      older batches into ``compact=N``;
+    * ``quarantine/batch=N``: rows that break a declared constraint, with the
+      reasons, where the store was made with ``enforce``;
+    * ``claims/after=N``: the batch that was stored on top of version N.
 
     A batch counts once its manifest is complete.  Applying batch N again
     rewrites only its own folders from the versions before N, so a retried or
-    repeated batch leaves the same tables.  ``buckets`` is fixed for a store;
-    it should keep a bucket at some hundred MB.
+    repeated batch leaves the same tables.  Of two writers on one version, the
+    first to claim it goes on; the other finds the claim and starts again from
+    the new version (``ConflictingBatch`` if that one is later than its own).
+    A claim is a file made exclusively, which is atomic on file systems such as
+    HDFS; a writer that dies between making and filling it leaves an empty claim,
+    which nobody owns and which is to be removed by hand.  ``buckets`` is fixed for a store; it should keep a bucket at some
+    hundred MB.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
-        self.spark, self.root, self.buckets = spark, root, buckets
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, enforce: bool = False):
+        self.spark, self.root, self.buckets, self.enforce = spark, root, buckets, enforce
+
+    #: How often a batch is made anew because others were stored first.
+    ATTEMPTS = 5
 
     def _fs_path(self, *parts: str):
         jvm = self.spark.sparkContext._jvm
@@ -190,17 +209,92 @@ class ListingStore:
         # a version from before a column was added lacks it: read with today's schema
         return self.spark.read.schema(STATE_SCHEMA).parquet(*paths)
 
+    def _compacted(self, table: str) -> int:
+        """The last batch that a complete compacted folder holds, or -1."""
+        return max((n for n in self._folders(table, "compact") if self._complete(table, f"compact={n}")), default=-1)
+
     def log(self, table: str, before: int | None = None) -> DataFrame | None:
-        batches = [b for b in self._folders(table, "batch") if before is None or b < before]
-        if not batches:
-            return None
-        paths = [os.path.join(self.root, table, f"batch={b}") for b in batches]
-        return self.spark.read.option("basePath", os.path.join(self.root, table)).parquet(*paths)
+        """Rows of the stored batches with ``batch``: the newest compacted folder
+        and the batches after it."""
+        done = self._compacted(table)
+        if before is not None and before <= done:
+            raise ValueError(f"{table}: batches up to {done} are compacted and cannot be told apart from {before} on")
+        batches = [b for b in self._folders(table, "batch") if b > done and (before is None or b < before)
+                   and self._complete("manifest", f"v={b}")]
+        parts, read = [], self.spark.read
+        if table == "price_history":  # a batch without new prices leaves no file to tell the columns
+            read = read.schema("listing_id string, price int, observed_at timestamp, batch int, bucket int")
+        if done >= 0:
+            parts.append(read.parquet(os.path.join(self.root, table, f"compact={done}")))
+        if batches:
+            paths = [os.path.join(self.root, table, f"batch={b}") for b in batches]
+            parts.append(read.option("basePath", os.path.join(self.root, table)).parquet(*paths))
+        return functools.reduce(lambda a, b: a.unionByName(b), parts) if parts else None
+
+    def compact(self, table: str = "price_history", keep: int = 2) -> int:
+        """Fold all stored batches but the newest ``keep`` (which may be retried)
+        into one folder; returns the last batch in it, -1 if there is none.
+
+        Folders that an earlier compaction covered go now, and not those of this
+        one, so that running reads of the last version still find their files.
+        """
+        stored = [b for b in self._folders(table, "batch") if self._complete("manifest", f"v={b}")]
+        before = self._compacted(table)
+        last = max(sorted(stored)[:-keep] if keep else stored, default=-1)
+        if last <= before:
+            return before
+        later = [b for b in stored if b > last]
+        rows = self.log(table).where(~F.col("batch").isin(later))
+        if "bucket" in rows.columns:
+            write = rows.repartition("bucket").write.partitionBy("bucket")
+        else:
+            write = rows.coalesce(1).write  # a row a run and source
+        write.mode("overwrite").parquet(os.path.join(self.root, table, f"compact={last}"))
+        for prefix, gone in (("batch", lambda n: n <= before), ("compact", lambda n: n < before)):
+            for n in filter(gone, self._folders(table, prefix)):
+                path, fs = self._fs_path(table, f"{prefix}={n}")
+                fs.delete(path, True)
+        return last
+
+    def _base(self, batch_no: int) -> int:
+        return max((v for v in self._folders("manifest", "v") if v < batch_no and self._complete("manifest", f"v={v}")),
+                   default=-1)
+
+    def _claim(self, base: int, batch_no: int) -> bool:
+        """Whether the batch is the one that goes on top of version ``base``."""
+        path, fs = self._fs_path("claims", f"after={base}")
+        try:
+            out = fs.create(path, False)  # fails if it is there
+        except Py4JJavaError:
+            file = fs.open(path)
+            owner = bytes(file.readNBytes(32)).decode()
+            file.close()
+            return owner == str(batch_no)
+        out.write(bytearray(str(batch_no).encode()))
+        out.close()
+        return True
 
     def apply_batch(self, batch_no: int, batch: DataFrame, run_ids: DataFrame, order: str | list[str],
                     observed_at: F.Column) -> None:
         """Store batch ``batch_no``: upsert listings, extend the price log, log runs."""
-        held = self.manifest(before=batch_no)
+        if self.enforce:
+            runs = {"scrape_runs": run_ids.select("id")}
+            rows = constraints.checked(batch, constraints.LISTINGS, runs)
+            constraints.rejected(rows).write.mode("overwrite").parquet(
+                os.path.join(self.root, "quarantine", f"batch={batch_no}"))
+            batch = constraints.accepted(rows)
+        for _ in range(self.ATTEMPTS):
+            base = self._base(batch_no)
+            self._write(batch_no, batch, run_ids, order, observed_at)
+            if self._claim(base, batch_no):
+                self._commit(batch_no)
+                return
+            if self._base(batch_no) == base:
+                raise ConflictingBatch(f"another batch than {batch_no} was claimed or stored on version {base}")
+        raise ConflictingBatch(f"batch {batch_no}: other batches were stored first, {self.ATTEMPTS} times")
+
+    def _write(self, batch_no, batch, run_ids, order, observed_at) -> None:
+        """The batch's own folders, which no reader sees before the manifest."""
         touched = sorted(r[0] for r in batch.select(self._bucket("id")).distinct().collect())
         target = os.path.join(self.root, "listings", f"v={batch_no}")
         now = upsert(self.listings(batch_no, touched), batch, order).withColumn("bucket", self._bucket("id"))
@@ -216,6 +310,10 @@ class ListingStore:
                 run_ids.withColumn("_run", F.col("id")) if by_run else run_ids,
                 ["_run", "source"] if by_run else None).write.mode("overwrite").parquet(
             os.path.join(self.root, "scrape_runs", f"batch={batch_no}"))
+
+    def _commit(self, batch_no: int) -> None:
+        held = self.manifest(before=batch_no)
+        touched = self._folders(f"listings/v={batch_no}", "bucket")
         rows = sorted((held | dict.fromkeys(touched, batch_no)).items())
         self.spark.createDataFrame(rows, "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(
             os.path.join(self.root, "manifest", f"v={batch_no}"))

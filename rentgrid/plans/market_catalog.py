@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rentgrid.functions import patterns as P
 from rentgrid.functions.dialect import DUCK
 from rentgrid.functions.extract import neighbourhood
-from rentgrid.operators import history, matching, nearest, state, summary_view
+from rentgrid.operators import constraints, history, matching, nearest, state, summary_view
 from rentgrid.operators.graph import shared_folder
 from rentgrid.plans.base import enriched, listings, with_ctes
 from rentgrid.plans.catalog import _NORMALIZED_POSTS_SQL, _POSITIONS_SQL, _ordered, register
@@ -173,3 +173,36 @@ def maintained_price_summary(spark, sf_dir):
         view.apply(n, summary_view.touched(stored, batch), summary_view.touched(now, batch))
         stored = now
     return view.summary()
+
+
+# --------------------------------------------------------------------------
+# Declared constraints, over listings of which some lost a column,
+# have a long id or a run that was never logged
+# --------------------------------------------------------------------------
+_TEXTS = [c for c in constraints.LISTINGS.lengths if c not in ("id", "source")]
+
+
+@register("quarantined_listings", with_ctes(f"""WITH
+damaged AS (SELECT listing_key, CASE WHEN listing_key % 7 = 0 THEN repeat(id, 8) WHEN listing_key % 17 = 0 THEN NULL ELSE id END AS id,
+  CASE WHEN listing_key % 11 = 0 THEN NULL WHEN listing_key % 19 = 0 THEN source || ', a copy of it' ELSE source END AS source,
+  CASE WHEN listing_key % 13 = 0 THEN NULL ELSE extracted_at END AS extracted_at,
+  CASE WHEN listing_key % 5 > 0 THEN listing_key % 23 END AS scrape_run_id, {", ".join(_TEXTS)} FROM enriched),
+runs AS (SELECT DISTINCT listing_key % 23 AS id FROM enriched WHERE listing_key % 23 < 20)
+SELECT * FROM (SELECT listing_key, concat_ws('; ', CASE WHEN d.id IS NULL THEN 'id: null' END,
+  CASE WHEN source IS NULL THEN 'source: null' END, CASE WHEN extracted_at IS NULL THEN 'extracted_at: null' END,
+  {", ".join(f"CASE WHEN length(d.{c}) > {n} THEN '{c}: over {n}' END" for c, n in constraints.LISTINGS.lengths.items())},
+  CASE WHEN scrape_run_id IS NOT NULL AND runs.id IS NULL THEN 'scrape_run_id: not in scrape_runs' END) AS broken
+  FROM damaged d LEFT JOIN runs ON runs.id = scrape_run_id) t WHERE broken <> ''
+""", "enriched"))
+def quarantined_listings(spark, sf_dir):
+    """Listings that break a declared constraint, with the reasons."""
+    df, key = enriched(spark, sf_dir), F.col("listing_key")
+    damaged = df.select(
+        "listing_key", F.when(key % 7 == 0, F.repeat("id", 8)).when(key % 17 != 0, F.col("id")).alias("id"),
+        F.when(key % 11 == 0, F.lit(None)).when(key % 19 == 0, F.concat("source", F.lit(", a copy of it")))
+        .otherwise(F.col("source")).alias("source"),
+        F.when(key % 13 != 0, F.col("extracted_at")).alias("extracted_at"),
+        F.when(key % 5 > 0, key % 23).alias("scrape_run_id"), *_TEXTS)
+    runs = listing_raw(spark, sf_dir).select((key % 23).alias("id")).where("id < 20")
+    rows = constraints.checked(damaged, constraints.LISTINGS, {"scrape_runs": runs})
+    return constraints.rejected(rows).select("listing_key", F.concat_ws("; ", "broken").alias("broken"))
