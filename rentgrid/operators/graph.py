@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Steps:
+    """Intermediate tables of one job, as compressed Parquet in the shared
+    folder; each is dropped once no later step reads it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/step-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for table in tables:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table))[0])
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root``: every node of an edge with the smallest node that it
     reaches.
@@ -43,9 +65,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     steps are joins on the node; the only value that reaches the driver is
     whether a label changed.
     """
+    steps = Steps(edges.sparkSession)
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node <> other")
-    both = checkpointed(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
-    labels = checkpointed(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")))
+    both = steps.keep(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
+    kept = steps.keep(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")))
+    labels = kept
     while True:
         around = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("root").alias("near"))
         hooked = labels.join(around, "node").select("node", "root", F.least("root", "near").alias("low"))
@@ -53,8 +77,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         lower = hooked.where("low < root").groupBy("root").agg(F.min("low").alias("lowered"))
         hooked = hooked.join(lower, "root", "left").select("node", "root", F.least("low", F.coalesce("lowered", "low")).alias("low"))
         jump = hooked.select(F.col("node").alias("low"), F.col("low").alias("next"))
-        after = checkpointed(hooked.join(jump, "low", "left").select(
+        after = steps.keep(hooked.join(jump, "low", "left").select(
             "node", F.coalesce("next", "low").alias("new"), F.col("root").alias("old")))
-        labels = after.select("node", F.col("new").alias("root"))
+        steps.drop(kept)
+        kept, labels = after, after.select("node", F.col("new").alias("root"))
         if after.where("new < old").isEmpty():
+            steps.drop(both)
             return labels

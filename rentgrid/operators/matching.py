@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentgrid.operators.graph import checkpointed, components
+from rentgrid.operators.graph import Steps, components
 
 #: Buckets of the word histogram: the bound of what is broadcast.
 BUCKETS = 1 << 16
@@ -37,69 +37,91 @@ def words(text: F.Column) -> F.Column:
     return F.array_sort(F.array_distinct(F.transform(found, lambda w: F.xxhash64(w))))
 
 
-def _items(base: DataFrame) -> DataFrame:
+def _items(base: DataFrame, steps: Steps | None = None) -> DataFrame:
     """One row per different (area, price, words), its words from rare to
     frequent; its id is the least key."""
     items = base.groupBy("area", "price", "words").agg(F.min("key").alias("item"), F.count(F.lit(1)).alias("copies"))
-    items = checkpointed(items)
+    steps = steps or Steps(base.sparkSession)
+    items = steps.keep(items)
     bucket = F.pmod("word", F.lit(BUCKETS))
     exploded = items.select("item", F.explode("words").alias("word")).withColumn("bucket", bucket)
     seen = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("seen"))
     ordered = exploded.join(F.broadcast(seen), "bucket").groupBy("item").agg(
         F.array_sort(F.collect_list(F.struct("seen", "word"))).alias("ordered"))
-    return items.drop("words").join(ordered, "item").withColumn("words", F.col("ordered.word")).drop("ordered")
+    out = steps.keep(items.drop("words").join(ordered, "item").withColumn("words", F.col("ordered.word")).drop("ordered"))
+    steps.drop(items)
+    return out
+
 
+def _entries(items: DataFrame, tolerance: int, num: int, den: int, limit: int, levels: int, steps: Steps | None = None) -> DataFrame:
+    """``item, own, key, price, n``: the groups that each item is in.  An item
+    is in its own price step and, not as its own, in the next one.
 
-def _entries(items: DataFrame, tolerance: int, num: int, den: int, limit: int, levels: int) -> DataFrame:
-    """``item, own, key``: the groups that each item is in.  An item is in its
-    own price step and, not as its own, in the next one."""
+    Entries carry no words, which are many times their size: those in groups
+    that are split get the words of their item again for the next level."""
+    steps = steps or Steps(items.sparkSession)
     size = F.size("words")
     least = F.ceil(size * num / den).cast("int")  # words in common with any item that agrees
     step = F.floor(F.col("price") / F.greatest(F.lit(tolerance), F.lit(1)))
-    rows = items.select("item", "area", "words", least.alias("least"),
+    facts = ["price", size.alias("n"), least.alias("least")]
+    rows = items.select("item", "area", "words", *facts,
                         F.explode(F.array(F.struct(step.alias("step"), F.lit(True).alias("own")),
                                           F.struct((step + 1).alias("step"), F.lit(False).alias("own")))).alias("s"))
-    rows = rows.select("item", "words", "least", "s.own", F.xxhash64("area", "s.step").alias("key"), F.lit(0).alias("upto"))
+    rows = rows.select("item", "words", "price", "n", "least", "s.own", F.xxhash64("area", "s.step").alias("key"), F.lit(0).alias("upto"))
     done = []
+    entry = ["item", "price", "n", "least", "own", "key", "upto"]
     for level in range(1, levels + 1):
         reach = F.least(F.size("words"), F.size("words") - F.col("least") + level)
         longer = rows.where(F.col("upto") < reach).select(
-            "item", "words", "least", "own", "key", F.explode(F.sequence(F.col("upto") + 1, reach)).alias("upto"))
-        longer = longer.withColumn("key", F.xxhash64("key", F.element_at("words", F.col("upto"))))
+            "item", "words", "price", "n", "least", "own", "key", F.explode(F.sequence(F.col("upto") + 1, reach)).alias("upto"))
+        longer = longer.withColumn("key", F.xxhash64("key", F.element_at("words", F.col("upto")))).select(entry)
         # sets that agree may have no further common word: they also meet as they are
         ended = rows.where(F.col("least") < level).withColumn("key", F.xxhash64("key", F.lit("end")))
-        longer = checkpointed(longer.unionByName(ended.select(longer.columns)))
+        longer = steps.keep(longer.unionByName(ended.select(entry)))
+        if level > 1:
+            steps.drop(split)
         if level == levels:
             done.append(longer)
             break
-        hot = checkpointed(longer.groupBy("key").count().where(F.col("count") > limit).select("key"))
-        done.append(longer.join(hot, "key", "left_anti"))
-        rows = checkpointed(longer.join(hot, "key", "left_semi"))
-        if rows.isEmpty():
+        hot = steps.keep(longer.groupBy("key").count().where(F.col("count") > limit).select("key"))
+        done.append(steps.keep(longer.join(hot, "key", "left_anti").select(entry)))
+        split = steps.keep(longer.join(hot, "key", "left_semi").select(entry))
+        steps.drop(longer, hot)
+        if split.isEmpty():
+            steps.drop(split)
             break
-    out = done[0].select("item", "own", "key")
+        mine = split.groupBy("item").agg(F.collect_list(F.struct("price", "n", "least", "own", "key", "upto")).alias("mine"))
+        rows = mine.join(items.select("item", "words"), "item").select("item", "words", F.explode("mine").alias("e")).select(
+            "item", "words", "e.*")
+    columns = ["item", "own", "key", "price", "n"]
+    out = done[0].select(columns)
     for more in done[1:]:
-        out = out.unionByName(more.select("item", "own", "key"))
+        out = out.unionByName(more.select(columns))
+    out = steps.keep(out.distinct())
+    steps.drop(*done)
     return out
 
 
 def links(items: DataFrame, tolerance: int = 50, num: int = 4, den: int = 5, limit: int = 100, levels: int = 4) -> DataFrame:
     """``a, b``: the pairs of items that are duplicates (a < b)."""
+    steps = Steps(items.sparkSession)
     if not den >= num > 0 or 2 * num <= den:
         raise ValueError("the share must be over one half and at most one")
-    facts = items.select("item", "price", F.size("words").alias("n"))
-    entries = checkpointed(_entries(items, tolerance, num, den, limit, levels).distinct().join(facts, "item"))
+    entries = _entries(items, tolerance, num, den, limit, levels, steps)
     x, y = entries.where("own").alias("x"), entries.alias("y")
     near = (F.col("x.key") == F.col("y.key")) & (F.abs(F.col("x.price") - F.col("y.price")) <= tolerance)
     sized = (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num)
     once = F.when(F.col("y.own"), F.col("x.item") < F.col("y.item")).otherwise(F.col("x.item") != F.col("y.item"))
-    pairs = x.join(y, near & sized & once).select(
-        F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b")).distinct()
+    pairs = steps.keep(x.join(y, near & sized & once).select(
+        F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b")).distinct())
+    steps.drop(entries)
     left = items.select(F.col("item").alias("a"), F.col("area").alias("area_a"), F.col("words").alias("words_a"))
     right = items.select(F.col("item").alias("b"), F.col("area").alias("area_b"), F.col("words").alias("words_b"))
     common = F.size(F.array_intersect("words_a", "words_b"))
     alike = common * den >= num * (F.size("words_a") + F.size("words_b") - common)
-    return pairs.join(left, "a").join(right, "b").where(F.col("area_a").eqNullSafe(F.col("area_b")) & alike).select("a", "b")
+    out = steps.keep(pairs.join(left, "a").join(right, "b").where(F.col("area_a").eqNullSafe(F.col("area_b")) & alike).select("a", "b"))
+    steps.drop(pairs)
+    return out
 
 
 def fuzzy_duplicates(df: DataFrame, key: str, text: F.Column, price: str = "price", area: str = "neighbourhood",
@@ -109,10 +131,11 @@ def fuzzy_duplicates(df: DataFrame, key: str, text: F.Column, price: str = "pric
     included) and the listings and sources of its class."""
     rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(price).alias("price"),
                      F.col(area).alias("area"), words(text).alias("words"))
-    rows = checkpointed(rows)
+    steps = Steps(df.sparkSession)
+    rows = steps.keep(rows)
     base = rows.where(F.col("price").isNotNull() & (F.size("words") > 0))
-    items = checkpointed(_items(base))
-    pairs = checkpointed(links(items, **how))
+    items = _items(base, steps)
+    pairs = links(items, **how)
     roots = components(pairs)
     copies = items.select("item", "copies")
     ends = pairs.select(F.col("a").alias("item"), F.col("b").alias("other")).unionByName(
@@ -125,6 +148,7 @@ def fuzzy_duplicates(df: DataFrame, key: str, text: F.Column, price: str = "pric
                                   & (F.col("r.words") == F.col("n.words"))).select("r.key", "n.item").join(known, "item")
     out = rows.select("key", "source").join(placed.select("key", "class_id", "links"), "key", "left").select(
         "key", "source", F.coalesce("class_id", "key").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    out = checkpointed(out)
+    out = steps.keep(out)
+    steps.drop(rows, items)
     totals = out.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_listings"), F.countDistinct("source").alias("class_sources"))
     return out.join(totals, "class_id").select(F.col("key").alias(key), "source", "class_id", "links", "class_listings", "class_sources")

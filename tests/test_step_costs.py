@@ -1,12 +1,15 @@
 """Steps of the listing queries do no work that grows without need."""
 
+import os
 import re
 
 from pyspark.sql import functions as F
 
 from rentgrid.functions.dialect import SPARK
 from rentgrid.functions.extract import extract_price
+from rentgrid.operators import matching
 from rentgrid.operators.enrich import enrich
+from rentgrid.operators.graph import shared_folder
 from rentgrid.schema import LISTING_FIELDS
 
 
@@ -42,3 +45,26 @@ def test_staged_price_is_the_price(spark):
     staged = df.select("*", *[e.alias(n) for n, e in first.items()]).select("*", *[e.alias(n) for n, e in second.items()])
     assert [r[0] for r in staged.select(price).collect()] == [r[0] for r in df.select(extract_price(SPARK, F.col("t"))).collect()] == [
         1200, 950, 700, None, None, None, None]
+
+
+def _size(folder):
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+
+
+def test_fuzzy_duplicates_leaves_its_steps_behind_no_longer(spark):
+    rows = [(k, "a", 1000 + k % 40, "x", " ".join(f"w{k % 60 // (i + 1)}x{i}" for i in range(30))) for k in range(600)]
+    df = spark.createDataFrame(rows, "key long, source string, price int, neighbourhood string, body string")
+    folder = shared_folder(spark).removeprefix("file:")
+    before = _size(folder)
+    out = matching.fuzzy_duplicates(df, "key", F.col("body"), limit=20)
+    # what is left is the result, not the words, entries and pairs on the way
+    assert _size(folder) - before < 60_000
+    assert out.count() == 600
+
+
+def test_entries_carry_no_words(spark):
+    rows = [(k, "x", 1000, [f"{w}" for w in range(k, k + 20)]) for k in range(60)]
+    df = spark.createDataFrame(rows, "key long, area string, price int, w array<string>").select(
+        "key", "area", "price", F.transform("w", lambda w: F.xxhash64(w)).alias("words"))
+    entries = matching._entries(matching._items(df), 50, 4, 5, 5, 4)
+    assert "words" not in entries.columns and {"item", "own", "key", "price", "n"} == set(entries.columns)
