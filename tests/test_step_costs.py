@@ -3,6 +3,7 @@
 import os
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rentgrid.functions.dialect import SPARK
@@ -11,6 +12,7 @@ from rentgrid.operators import matching
 from rentgrid.operators.enrich import enrich
 from rentgrid.operators.graph import shared_folder
 from rentgrid.schema import LISTING_FIELDS
+from rentgrid.sources import selectors
 
 
 def test_what_a_pattern_did_not_find_is_not_cast(spark):
@@ -47,6 +49,16 @@ def test_staged_price_is_the_price(spark):
         1200, 950, 700, None, None, None, None]
 
 
+def test_records_of_many_pages_come_in_parts():
+    page = "<ul>" + "".join(f'<li class="c"><b class="t">{i}</b></li>' for i in range(40)) + "</ul>" + " " * 100_000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array([page, None] * 30)], ["page_id", "html"])
+    parts = list(selectors.record_batches([batch], selectors.Record(("li.c",), {"t": selectors.Field(".t")}), "page_id"))
+    rows = [r for part in parts for r in part.to_pylist()]
+    cards = [{"page_id": p, "pos": i, "t": str(i)} for p in range(0, 60, 2) for i in range(40)]
+    assert [r for r in rows if r["t"] is not None] == cards
+    assert max(part.num_rows for part in parts) < len(cards) // 2
+
+
 def _size(folder):
     return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
 
