@@ -10,7 +10,7 @@ from rentgrid.schema import LISTING_COLUMNS
 
 def get_listings(df: DataFrame, source: str | None = None, listing_type: str | None = None,
                  min_price: int | None = None, max_price: int | None = None, limit: int = 100,
-                 key: list[str] | None = None) -> DataFrame:
+                 key: list[str] | None = None, rows_of=None) -> DataFrame:
     """Conjunctive filters, each skipped when its argument is falsy (so 0 means
     no bound); newest ``limit`` rows by ``extracted_at``.  A NULL price drops
     out once a price bound is set.  Ties are broken by id, then price, so the
@@ -20,21 +20,30 @@ def get_listings(df: DataFrame, source: str | None = None, listing_type: str | N
     each task keeps its own top ``limit`` (TakeOrderedAndProject), those
     ``limit`` keys are sent to the scan, and all other columns are computed for
     the rows that are kept.  Without it whole rows are ranked, which Spark
-    plans as a full sort when projections follow."""
-    if source:
-        df = df.filter(F.col("source") == source)
-    if listing_type:
-        df = df.filter(F.col("listing_type") == listing_type)
-    if min_price:
-        df = df.filter(F.col("price") >= min_price)
-    if max_price:
-        df = df.filter(F.col("price") <= max_price)
+    plans as a full sort when projections follow.
+
+    ``rows_of`` (a function of a frame of keys) gives the rows of ``df`` that
+    have them, where that is less work than to look for them in ``df``."""
+    def filtered(df: DataFrame) -> DataFrame:
+        if source:
+            df = df.filter(F.col("source") == source)
+        if listing_type:
+            df = df.filter(F.col("listing_type") == listing_type)
+        if min_price:
+            df = df.filter(F.col("price") >= min_price)
+        if max_price:
+            df = df.filter(F.col("price") <= max_price)
+        return df
+
+    df = filtered(df)
     order = [F.desc("extracted_at"), "id", "price"]
     if not key:
         return df.orderBy(*order).limit(limit)
     top = df.select(*key, *[c for c in ("extracted_at", "id", "price") if c not in key]).orderBy(*order, *key).limit(limit)
     # at most ``limit`` keys and rows
-    return df.join(F.broadcast(top.select(*key)), key, "left_semi").repartition(1).sortWithinPartitions(*order, *key)
+    keys = F.broadcast(top.select(*key))
+    kept = filtered(rows_of(keys)) if rows_of else df.join(keys, key, "left_semi")
+    return kept.repartition(1).sortWithinPartitions(*order, *key)
 
 
 def with_price_bounds(df: DataFrame, min_price: int | None, max_price: int | None) -> DataFrame:

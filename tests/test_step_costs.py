@@ -1,5 +1,6 @@
 """Steps of the listing queries do no work that grows without need."""
 
+import datetime
 import os
 import re
 
@@ -8,9 +9,10 @@ from pyspark.sql import functions as F
 
 from rentgrid.functions.dialect import SPARK
 from rentgrid.functions.extract import extract_price
-from rentgrid.operators import matching
+from rentgrid.operators import matching, query
 from rentgrid.operators.enrich import enrich
 from rentgrid.operators.graph import shared_folder
+from rentgrid.plans import catalog
 from rentgrid.schema import LISTING_FIELDS
 from rentgrid.sources import selectors
 
@@ -80,3 +82,24 @@ def test_entries_carry_no_words(spark):
         "key", "area", "price", F.transform("w", lambda w: F.xxhash64(w)).alias("words"))
     entries = matching._entries(matching._items(df), 50, 4, 5, 5, 4)
     assert "words" not in entries.columns and {"item", "own", "key", "price", "n"} == set(entries.columns)
+
+
+def test_filters_of_listings_compute_their_columns_once(spark):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        out = catalog.get_listings_filtered(spark, "/root/testdata/sf0.001")
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    # for the ranked keys and for the rows of those that are kept, not again in each filter
+    assert plan.count("(?:per|a)") == 2
+    rows = out.collect()
+    assert 0 < len(rows) <= 100 and all(500 <= r.price <= 2000 and r.listing_type == "room_private" for r in rows)
+
+
+def test_rows_of_keys_are_the_listings(spark):
+    rows = [(k % 40, "a", 600 + 10 * k, "studio", datetime.datetime(2026, 1, 1 + k % 28), f"i{k}") for k in range(80)]
+    df = spark.createDataFrame(rows, "k long, source string, price int, listing_type string, extracted_at timestamp, id string")
+    how = dict(listing_type="studio", min_price=700, max_price=1200, limit=9, key=["k"])
+    again = query.get_listings(df, **how, rows_of=lambda keys: df.join(keys, "k", "left_semi"))
+    assert again.collect() == query.get_listings(df, **how).collect() and again.count() >= 9
