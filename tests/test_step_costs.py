@@ -61,6 +61,23 @@ def test_records_of_many_pages_come_in_parts():
     assert max(part.num_rows for part in parts) < len(cards) // 2
 
 
+def test_matchers_split_the_classes_of_an_element_once():
+    class Attrs(dict):
+        reads = 0
+
+        def get(self, *a):
+            Attrs.reads += a[0] == "class"
+            return super().get(*a)
+    element = selectors._Element("li", [("class", "a  b"), ("data-x", None)], None, 0, 0)
+    above = selectors._Element("ul", [("id", "u")], None, 0, 0)
+    element.attrs, element.above = Attrs(element.attrs), above
+    found = {s: selectors.matcher(s)(element) for s in (
+        ".a", "li.b, p", "li.a.b", ".c, .d", "#u .a", "ul#u li", "ol li", "div .a, [data-x]", '[class*="a"] .a', "p.a")}
+    assert found == {".a": True, "li.b, p": True, "li.a.b": True, ".c, .d": False, "#u .a": True, "ul#u li": True, "ol li": False,
+                     "div .a, [data-x]": True, '[class*="a"] .a': False, "p.a": False}
+    assert Attrs.reads == 0
+
+
 def _size(folder):
     return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
 
