@@ -36,57 +36,73 @@ from rentgrid.schema import FIRST_WRITER_COLUMNS, LAST_WRITER_COLUMNS, STATE_FIE
 STATE_COLUMNS = [n for n, _ in STATE_FIELDS]
 
 
-def upsert(state: DataFrame | None, batch: DataFrame, order: str | list[str]) -> DataFrame:
+def upsert(state: DataFrame | None, batch: DataFrame, order: str | list[str], derive=None, columns: list[str] | None = None) -> DataFrame:
     """New listing state from the stored ``state`` and an ordered ``batch``.
 
     ``batch`` carries the state columns and the ``order`` columns, by which
     its rows apply.  Stored rows count as older than any batch row; a stored
     table from before a column was added has NULL there.
+
+    ``derive`` (a narrow frame function) adds the derived columns to the batch:
+    see :func:`first_state`.  With ``columns`` the state is of the id and those
+    alone.  A batch may bring :func:`tie` as ``_tie``, in place of its columns.
     """
     order = [order] if isinstance(order, str) else order
-    rows = batch.withColumn("_seq", F.struct(F.lit(1).alias("new"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], _tie()))
-    rows = rows.select(*STATE_COLUMNS, "_seq")
+    fields = STATE_FIELDS if columns is None else [f for f in STATE_FIELDS if f[0] == "id" or f[0] in columns]
+    names = [n for n, _ in fields]
+    if derive:
+        batch, order = _one_row_each(batch, order, derive), []
+    last_resort = F.col("_tie") if "_tie" in batch.columns else tie()
+    rows = batch.withColumn("_seq", F.struct(F.lit(1).alias("new"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
+                                             last_resort.alias("tie")))
+    rows = rows.select(*names, "_seq")
     if state is not None:
         kind = rows.schema["_seq"].dataType
         stored = F.struct(F.lit(0).alias("new"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields[1:]])
-        rows = as_listings(state, STATE_FIELDS).withColumn("_seq", stored).unionByName(rows)
+        rows = as_listings(state, fields).withColumn("_seq", stored).unionByName(rows)
+    elif derive:
+        return rows.select(*names)
     # one aggregate per rule: the first row's first-writer columns and the
     # newest row's last-writer columns (NULLs included), as two structs
-    first = F.min_by(F.struct(*[F.col(c) for c in FIRST_WRITER_COLUMNS]), "_seq").alias("_first")
-    last = F.max_by(F.struct(*[F.col(c) for c in LAST_WRITER_COLUMNS]), "_seq").alias("_last")
-    out = rows.groupBy("id").agg(first, last)
-    cols = {c: F.col(f"_first.{c}") for c in FIRST_WRITER_COLUMNS}
-    cols.update({c: F.col(f"_last.{c}") for c in LAST_WRITER_COLUMNS})
-    return out.select(F.col("id"), *[cols[c].alias(c) for c in STATE_COLUMNS if c != "id"])
+    first, last = ([c for c in group if c in names] for group in (FIRST_WRITER_COLUMNS, LAST_WRITER_COLUMNS))
+    rules = [f(F.struct(*group), "_seq").alias(name) for f, group, name in (
+        (F.min_by, first, "_first"), (F.max_by, last, "_last")) if group]
+    out = rows.groupBy("id").agg(*rules)
+    cols = {c: F.col(f"_first.{c}") for c in first}
+    cols.update({c: F.col(f"_last.{c}") for c in last})
+    return out.select(F.col("id"), *[cols[c].alias(c) for c in names if c != "id"])
 
 
 def first_state(captures: DataFrame, seq: str, derive) -> DataFrame:
     """The state after ordered captures, as :func:`upsert` without a stored
     state gives it, with the derived columns left to the rows that need them.
 
-    ``derive`` (a narrow frame function) adds the derived columns.  Only the
-    first and the last row of an id give columns, so the rules run once, on
-    those rows.  They are found by (id, seq) alone; where several rows of an id
-    have the same seq, the order of :func:`_tie` decides, as in ``upsert``.
-    Rows without an id are one listing.
+    ``derive`` (a narrow frame function that keeps other columns) adds the
+    derived columns.  Only the first and the last row of an id give columns:
+    they are found first, in one aggregate, and of each the rules run that
+    its columns need.  Where several rows of an id have the same seq, the order
+    of :func:`tie` decides, as in ``upsert``.  Rows without an id are one listing.
     """
-    # a key that is never null keeps one partitioning for the join and the aggregate
-    keyed = captures.withColumns({"_key": F.coalesce(F.concat(F.lit("="), "id"), F.lit("")), "_at": F.struct(seq, _tie())})
-    ends = keyed.groupBy("_key").agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
-    rows = keyed.join(ends, "_key").withColumns({"_is_first": F.col("_at") == F.col("_lo"), "_is_last": F.col("_at") == F.col("_hi")})
-    # the flags go around the derivation as one column that it keeps
-    flags = F.struct("_key", "_is_first", "_is_last").alias("listing_key")
-    needed = rows.where("_is_first OR _is_last").select(*[c for c in captures.columns if c != "listing_key"], flags)
-    derived = derive(needed)
-    flag = lambda name: F.col(f"listing_key.{name}")
-    out = derived.groupBy(flag("_key").alias("_key")).agg(
-        F.max_by("id", flag("_is_first")).alias("id"),
-        F.max_by(F.struct(*[F.col(c) for c in FIRST_WRITER_COLUMNS]), flag("_is_first")).alias("_first"),
-        F.max_by(F.struct(*[F.col(c) for c in LAST_WRITER_COLUMNS]), flag("_is_last")).alias("_last"))
-    return out.select("id", "_first.*", "_last.*").select(*STATE_COLUMNS)
-
-
-def _tie() -> F.Column:
+    return upsert(None, captures, seq, derive)
+
+
+def _one_row_each(batch: DataFrame, order: list[str], derive) -> DataFrame:
+    """One row for each id of the batch, as its ordered rows leave it: derived
+    first-writer columns of the first row, derived others of the last."""
+    carried = [c for c in STATE_COLUMNS if c != "id"]
+    row, seq = F.struct("id", *carried), F.struct(*order, tie())
+    ends = batch.groupBy("id").agg(F.min_by(row, seq).alias("_first"), F.max_by(row, seq).alias("_last")).drop("id")
+    # ``derive`` sees the columns of one end; the rest goes around it under other names
+    run = lambda end: F.col(f"{end}.scrape_run_id").alias("scrape_run_id")
+    columns = [c for c in carried if c != "scrape_run_id"]
+    opened = lambda df, end, *around: df.select("_%s.id" % end, *[f"_{end}.{c}" for c in columns], run(f"_{end}"), *around)
+    first = derive(opened(ends, "first", "_last"))
+    kept = first.select("_last", F.struct(*FIRST_WRITER_COLUMNS).alias("_kept"))
+    last = derive(opened(kept, "last", "_kept"))
+    return last.select("id", "_kept.*", *LAST_WRITER_COLUMNS).select(*STATE_COLUMNS)
+
+
+def tie() -> F.Column:
     """Orders rows of one id and order value by what was captured, so that the
     outcome does not depend on where the rows lie."""
     return F.xxhash64("source", "url", "title", "price", "location", "description", "extracted_at").alias("tie")
