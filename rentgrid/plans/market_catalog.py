@@ -11,7 +11,7 @@ from rentgrid.functions import patterns as P
 from rentgrid.functions.dialect import DUCK
 from rentgrid.functions.extract import neighbourhood
 from rentgrid.operators import constraints, history, matching, nearest, state, summary_view
-from rentgrid.operators.graph import shared_folder
+from rentgrid.operators.graph import Steps, shared_folder
 from rentgrid.plans.base import enriched, listings, with_ctes
 from rentgrid.plans.catalog import _NORMALIZED_POSTS_SQL, _POSITIONS_SQL, _ordered, register
 from rentgrid.session import read_table
@@ -164,14 +164,19 @@ def registered_listings(spark, sf_dir):
                                                 .replace("enriched", "fin").strip().removeprefix("WITH"), "listings"))
 def maintained_price_summary(spark, sf_dir):
     """Price statistics per source of the stored state, from the view that each batch changed."""
-    rows = _ordered(listings(spark, sf_dir))
+    # a batch is read up to three times and the state twice: both are kept, with the columns that the view reads
+    steps = Steps(spark)
+    rows = steps.keep(_ordered(listings(spark, sf_dir)).select("id", "source", "price", "snapshot_no", "_seq", state.tie().alias("_tie")))
     view = summary_view.PriceView(spark, f"{shared_folder(spark)}/view-{uuid.uuid4().hex}", ["source"])
     stored = None
     for n, part in enumerate(("snapshot_no < 2", "snapshot_no >= 2")):
         batch = rows.filter(part)
-        now = state.upsert(stored, batch, "_seq")
+        now = steps.keep(state.upsert(stored, batch, "_seq", columns=["source", "price"]))
         view.apply(n, summary_view.touched(stored, batch), summary_view.touched(now, batch))
+        if stored is not None:
+            steps.drop(stored)
         stored = now
+    steps.drop(rows, stored)
     return view.summary()
 
 
