@@ -22,7 +22,13 @@ What is left is verified on the shingles.  Equal sets are one class from the
 start.  Within a group of sets that share a piece, those that often share one
 with its most central set are compared with that first, then those of other
 components with the next one, for some rounds; only groups that are still in
-several components after that are compared further, across components.
+several components after that are compared further, across components: small
+ones pair by pair, large ones by their members' differences from the central set.
+Sets x and y that differ from it in ``dx`` and ``dy`` shingles differ from each
+other in ``dx + dy`` less twice what both differences hold.  If they may differ in
+``m``, both differences hold ``(dx + dy - m) / 2`` shingles at least, and so share
+one among the first ``(dx - dy + m) / 2 + 1`` and ``(dy - dx + m) / 2 + 1`` of them
+in any one order.  (If that is none, both are linked with the central set.)
 """
 
 from __future__ import annotations
@@ -53,11 +59,14 @@ _SPARSE = 64
 #: pieces follows it, not the result) and at most so many are listed.
 FREQUENT, MAX_FREQUENT = 0.002, 200_000
 #: Pieces per task of the join (about 12 bytes each).
-PIECES_PER_BUCKET = 1_500_000
+PIECES_PER_BUCKET = 750_000
 _SIZE_BITS = 10
 #: Rounds of comparing with one class of each group before all that is left is
 #: compared (fewer or more change the work, not the result).
 ROUNDS = 1
+#: Groups of up to so many sets are compared pair by pair, larger ones by the
+#: differences from their central set (more or fewer change the work, not the result).
+BY_PAIRS = 32
 
 
 def largest_difference(n1, n2, percent: int = PERCENT):
@@ -313,6 +322,46 @@ def _shingle_sets(words):
     return run
 
 
+_DIFFERENCES = "root {0}, n long, d long, tied boolean, place long, shingle long"
+
+
+def _differences(percent, frequent):
+    """Of rows ``lead, cls, root, shingles, lead_shingles``: whether the two sets
+    are linked (``tied``), and the first shingles of their difference: those
+    that the lead lacks, but for very frequent ones, come first."""
+    names = ["lead", "cls", "root", "n", "d", "tied", "place", "shingle"]
+
+    def first(own, lead):
+        differ = np.setxor1d(own, lead, assume_unique=True)
+        n, m, d = len(own), len(lead), len(differ)
+        tied = d * (100 + percent) <= (n + m) * (100 - percent)
+        partner = n * 100 // percent
+        least = max(0, d - largest_difference(n, partner, percent))  # what a partner differs in from the lead
+        if tied:  # the partner is not
+            least = max(least, largest_difference(-(-n * percent // 100), m, percent) + 1)
+        known = np.isin(differ, lead, assume_unique=True)
+        often = np.isin(differ, frequent.value, assume_unique=True)
+        differ = differ[np.lexsort((differ, often, known))]
+        return n, d, tied, differ[:max(0, (d - least + largest_difference(n, partner, percent)) // 2 + 1)]
+
+    def run(batches):
+        for b in batches:
+            own, lead = b.column(3), b.column(4)
+            found = [first(*(np.sort(x[i].values.to_numpy().view(np.uint64)) for x in (own, lead))) for i in range(b.num_rows)]
+            sent = np.array([max(1, len(x[3])) for x in found], np.int64)
+            row = np.repeat(np.arange(len(found)), sent)
+            # a set that sends nothing still says whether it is tied
+            shingle = np.concatenate([x[3] if len(x[3]) else np.zeros(1, np.uint64) for x in found]) if found else \
+                np.zeros(0, np.uint64)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sent) - sent, sent)
+            place[np.array([not len(x[3]) for x in found], bool)[row]] = -1
+            n, d, tied = (np.array([x[k] for x in found], kind)[row] for k, kind in ((0, np.int64), (1, np.int64), (2, bool)))
+            yield pa.RecordBatch.from_arrays([
+                *(b.column(k).take(pa.array(row)) for k in range(3)), pa.array(n), pa.array(d), pa.array(tied),
+                pa.array(place), _signed(shingle)], names)
+    return run
+
+
 class Links:
     """The state of one join: classes of equal sets, and what links them."""
 
@@ -341,7 +390,7 @@ class Links:
         left out its most frequent ones.
         """
         frequent = np.sort(np.array([r[0] for r in self.frequent.collect()], np.int64).view(np.uint64))
-        sent = self.spark.sparkContext.broadcast(frequent)
+        sent = self.sent = self.spark.sparkContext.broadcast(frequent)
         buckets = max(16, self.total[1] // (2 * PIECES_PER_BUCKET))
         rows = self.docs.mapInArrow(_sender(self.words, self.percent, buckets, sent),
                                     "bucket int, pieces binary, gid long, cid long, band int")
@@ -381,18 +430,52 @@ class Links:
                            sketch("y").alias("s2")).where("s1 IS NOT NULL AND s2 IS NOT NULL")
         near = written(near.mapInArrow(_near(self.percent), f"a {kind}, b {kind}").distinct(), "parity-near")
         release(wanted, sizes)
-        wanted = written(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "parity-wanted")
-        texts = self.docs.join(sized(wanted), "doc_id", "left_semi")
-        sets = written(texts.select("doc_id", "text").mapInArrow(
-            _shingle_sets(self.words), f"cls {kind}, shingles array<long>"), "parity-sets")
+        sets = self._sets_of(near, "a", "b")
         checked = near.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("s1")), "a").join(
             sets.select(F.col("cls").alias("b"), F.col("shingles").alias("s2")), "b")
         common = F.size(F.array_intersect("s1", "s2"))
         union = F.size("s1") + F.size("s2") - common
         links = written(checked.where(common * 100 >= union * self.percent).select("a", "b").distinct(), "parity-links")
-        release(wanted, sets, near)
+        release(sets, near)
         return links
 
+    def _sets_of(self, pairs: DataFrame, a: str, b: str) -> DataFrame:
+        """``cls, shingles`` of the classes in either column."""
+        kind = self.classes.schema["cls"].dataType.simpleString()
+        wanted = written(pairs.select(F.explode(F.array(a, b)).alias("doc_id")).distinct(), "parity-wanted")
+        texts = self.docs.join(sized(wanted), "doc_id", "left_semi")
+        sets = written(texts.select("doc_id", "text").mapInArrow(
+            _shingle_sets(self.words), f"cls {kind}, shingles array<long>"), "parity-sets")
+        release(wanted)
+        return sets
+
+    def differences(self, spokes: DataFrame) -> DataFrame:
+        """How the classes (``cls, root``) differ from their leads."""
+        kind = self.classes.schema["cls"].dataType.simpleString()
+        sets = self._sets_of(spokes, "lead", "cls")
+        both = spokes.join(sets, "cls").join(
+            sets.select(F.col("cls").alias("lead"), F.col("shingles").alias("lead_shingles")), "lead")
+        out = written(both.select("lead", "cls", "root", "shingles", "lead_shingles").mapInArrow(
+            _differences(self.percent, self.sent), f"lead {kind}, cls {kind}, " + _DIFFERENCES.format(kind)),
+            "parity-differences")
+        release(sets)
+        return out
+
+    def _apart(self, differences: DataFrame) -> DataFrame:
+        """The pairs (``a``, ``b``, ``band``) of other roots that differ from one
+        lead alike, as far as linked pairs must."""
+        rows = differences.where("place >= 0")
+        x, y = rows.alias("x"), rows.alias("y")
+        low, high = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+        most = F.floor((F.col("x.n") + F.col("y.n")) * (100 - self.percent) / (100 + self.percent))
+        more = F.col("x.d") - F.col("y.d")
+        pairs = x.join(y, (F.col("x.lead") == F.col("y.lead")) & (F.col("x.shingle") == F.col("y.shingle"))
+                       & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
+                       & ~(F.col("x.tied") & F.col("y.tied")) & (low * 100 >= high * self.percent)
+                       & (F.col("x.place") * 2 <= most + more) & (F.col("y.place") * 2 <= most - more))
+        return pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), high.alias("_n")).withColumn(
+            "band", F.expr(self._band_sql("_n"))).drop("_n").distinct()
+
     @staticmethod
     def _band_sql(n: str) -> str:
         steps = " + ".join(f"int({n} >= {BAND ** k})" for k in range(1, 62 // (BAND.bit_length() - 1)))
@@ -421,8 +504,16 @@ class Links:
             if rows.isEmpty():
                 break
         open_rows = rows
+        large = written(open_rows.groupBy("gid").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > BY_PAIRS).select("gid"),
+                        "parity-large")
+        spokes = written(open_rows.join(sized(large), "gid").join(leaders[0].select("gid", "lead"), "gid").where(
+            "cls <> lead").select("lead", "cls", "root").distinct(), "parity-spokes")
         release(central, *leaders)
-        x, y = open_rows.alias("x"), open_rows.alias("y")
+        differences = self.differences(spokes)
+        links.append(written(differences.where("tied").select(
+            F.least("lead", "cls").alias("a"), F.greatest("lead", "cls").alias("b")).distinct(), "parity-links"))
+        small = open_rows.join(sized(large), "gid", "left_anti")
+        x, y = small.alias("x"), small.alias("y")
         # lists that must share some pieces after each has left out its spare ones
         low, high = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
         most = F.floor((F.col("x.n") + F.col("y.n")) * (100 - self.percent) / (100 + self.percent))
@@ -432,11 +523,12 @@ class Links:
                        & (F.col("x.root") != F.col("y.root")) & (low * 100 >= high * self.percent))
         rest = pairs.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.band").alias("band")).agg(
             F.count(F.lit(1)).alias("_shared"), F.max(fewest).alias("_fewest")).where("_shared >= _fewest")
-        rest = rest.select("a", "b", "band")
+        # of a pair that shares large groups as well not all is counted here, but it is found there
+        rest = rest.select("a", "b", "band").unionByName(self._apart(differences)).distinct()
         for earlier in compared:
             rest = rest.join(earlier, ["a", "b", "band"], "left_anti")
         rest = written(rest, "parity-rest")
-        release(open_rows, groups, *compared)
+        release(open_rows, groups, large, spokes, differences, *compared)
         links.append(self.linked(rest))
         out = components(functools.reduce(DataFrame.unionByName, links))
         release(rest, *links)

@@ -42,6 +42,30 @@ def test_jaccard_groups_without_frequent_order_and_sent_sides(make, family, monk
     assert got == brute.similar(family)
 
 
+def test_jaccard_groups_by_differences_from_the_central_set(make, family, monkeypatch):
+    monkeypatch.setattr(parity_join, "BY_PAIRS", 1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in parity_join.similar_groups(make(family)).collect()}
+    assert got == brute.similar(family)
+
+
+def test_texts_too_far_from_their_centre_are_not_compared_with_its_whole_group(make, prose, monkeypatch):
+    rng, base = random.Random(12), prose(140, 5)
+    rows = [(i, edited(base, rng, rng.randrange(0, 3))) for i in range(60)]
+    rows += [(100 + i, edited(base, rng, rng.randrange(6, 8))) for i in range(60)]
+    rows += [(200 + i, edited(rows[60 + i][1], rng, 1)) for i in range(5)]
+    compared, linked = [], parity_join.Links.linked
+
+    def counted(self, pairs):
+        compared.append(pairs.count())
+        return linked(self, pairs)
+
+    monkeypatch.setattr(parity_join.Links, "linked", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in parity_join.similar_groups(make(rows)).collect()}
+    assert got == brute.similar(rows)
+    assert len({c for _, c in got.values()}) > 20
+    assert sum(compared) < 4 * len(rows)
+
+
 def test_bit_sketch_bounds_the_difference():
     rng = np.random.default_rng(1)
     for _ in range(50):
