@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rentgrid.session import shuffles_removed
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which the driver and all
@@ -44,7 +46,8 @@ class Steps:
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{shared_folder(self.spark)}/step-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
+        with shuffles_removed(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
         return out

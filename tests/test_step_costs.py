@@ -2,7 +2,9 @@
 
 import datetime
 import os
+import random
 import re
+import time
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from rentgrid.functions.dialect import SPARK
 from rentgrid.functions.extract import extract_price
 from rentgrid.operators import matching, query
 from rentgrid.operators.enrich import enrich
-from rentgrid.operators.graph import shared_folder
+from rentgrid.operators.graph import Steps, shared_folder
 from rentgrid.plans import catalog
 from rentgrid.schema import LISTING_FIELDS
 from rentgrid.sources import selectors
@@ -120,3 +122,33 @@ def test_rows_of_keys_are_the_listings(spark):
     how = dict(listing_type="studio", min_price=700, max_price=1200, limit=9, key=["k"])
     again = query.get_listings(df, **how, rows_of=lambda keys: df.join(keys, "k", "left_semi"))
     assert again.collect() == query.get_listings(df, **how).collect() and again.count() >= 9
+
+
+def test_hot_groups_of_phrases_make_few_entries(spark):
+    """Texts of the same few phrases: dealing a hot group again by one common
+    word more at a time makes over a hundred entries of each."""
+    rng = random.Random(3)
+    slots = [[[f"s{s}p{p}w{w}" for w in range(4)] + ["the", "room"] for p in range(8)] for s in range(8)]
+    rows = [(k, "hot", 900 + k % 5, [w for s in slots for w in rng.choice(s)]) for k in range(2000)]
+    df = spark.createDataFrame(rows, "key long, area string, price int, w array<string>").select(
+        "key", "area", "price", F.array_sort(F.array_distinct(F.transform("w", lambda w: F.xxhash64(w)))).alias("words"))
+    items = matching._items(df)
+    entries = matching._entries(items, 50, 4, 5, 4, 4)
+    assert entries.count() < 60 * items.count()
+    assert entries.groupBy("key").count().agg(F.max("count")).first()[0] <= 60
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+    setting, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", files()
+    old = spark.conf.get(setting, None)
+    steps = Steps(spark)
+    kept = steps.keep(spark.range(10_000).groupBy((F.col("id") % 997).alias("k")).count())
+    deadline = time.time() + 20
+    while files() - before and time.time() < deadline:
+        time.sleep(.2)
+    assert not files() - before
+    assert kept.count() == 997 and spark.conf.get(setting, None) == old
+    steps.drop(kept)
