@@ -16,7 +16,7 @@ from rentgrid.operators.enrich import enrich
 from rentgrid.operators.graph import Steps, shared_folder
 from rentgrid.plans import catalog
 from rentgrid.schema import LISTING_FIELDS
-from rentgrid.sources import selectors
+from rentgrid.sources import selectors, snapshots
 
 
 def test_what_a_pattern_did_not_find_is_not_cast(spark):
@@ -152,3 +152,19 @@ def test_steps_leave_no_shuffle_files(spark):
     assert not files() - before
     assert kept.count() == 997 and spark.conf.get(setting, None) == old
     steps.drop(kept)
+
+
+def test_listing_json_reads_its_text_once_for_all_fields(spark, monkeypatch):
+    odd = ['a "quoted" \\ back\nslash', "é😀  /", "", None, "null", '["x"]', "\t"]
+    images = [["u,1", '"'], [], None, ["é", ""]]
+    rows = [(k, odd[k % 7], odd[(k + 3) % 7], k % 5 * 100 if k % 5 else None, (k - 9) / 7 * 10.0 ** (k - 9) if k % 4 else None,
+             datetime.datetime(2026, 1, 1, 0, 0, k, k * 1111) if k % 3 else None, images[k % 4]) for k in range(20)]
+    df = spark.createDataFrame(rows, "listing_key long, source string, title string, price int, latitude double, posted_date timestamp, image_urls array<string>")
+    df = df.select("*", *[F.lit(None).cast(t).alias(n) for n, t in LISTING_FIELDS if n not in df.columns])
+    monkeypatch.setattr(catalog, "enriched", lambda spark, sf_dir: df)
+    out = catalog.listing_json(spark, "")
+    assert "get_json_object" not in out._jdf.queryExecution().analyzed().toString()
+    text = snapshots.to_json_lines(df, keep=["listing_key"])
+    plain = text.select("listing_key", F.size(F.json_object_keys("json")).alias("n_keys"),
+                        *[F.get_json_object("json", f"$.{c}").alias(c) for c in catalog._JSON_FIELDS])
+    assert out.schema == plain.schema and sorted(map(str, out.collect())) == sorted(map(str, plain.collect()))
