@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from rentgrid.llm import line_dedup, parity_join, quality_rules, suffix_dedup
 from rentgrid.llm.components import components
@@ -228,3 +229,50 @@ def test_the_line_limit_does_not_loosen_with_the_host(make, prose):
     rows += [(8000 + i, f"{prose(20, 8000 + i)}\n{line[2]}" if i < 50 else prose(20, 8000 + i), "under") for i in range(200)]
     got = {r.doc_id: r.n_removed for r in quality_rules.rules(make(rows)).collect()}
     assert {i for i, n in got.items() if n} == {*range(51), *range(7000, 7005)}
+
+
+def test_pairs_verified_together_equal_one_by_one():
+    rng = random.Random(8)
+
+    def changed(text, times):
+        out = list(text)
+        for _ in range(times):
+            at = rng.randrange(len(out))
+            out[at:at + rng.randrange(2)] = rng.choice(["", "é", "x", "😀b"])
+        return "".join(out)
+    pairs = []
+    for n in [20, 21, 39, 40, 79, 80, 159, 160, 200, 319, 320, 330, 500, 619, 620, 639, 640, 700] * 12:
+        a = "".join(rng.choice("ab" if n % 3 else "abcdefgh é😀") for _ in range(n))
+        b = changed(a, rng.choice([0, 1, n // 20, n // 20 + 1, n // 12]))
+        pairs.append((a, b) if rng.random() < .5 else (b, a))
+    limit = [line_dedup.threshold(min(map(len, p))) for p in pairs]
+    want = [line_dedup.edit_distance(*p, most) <= most for p, most in zip(pairs, limit, strict=True)]
+    got = line_dedup.alike(*([p[k] for p in pairs] for k in range(2)))
+    assert got.tolist() == want and 50 < sum(want) < len(want) - 50
+
+
+def test_unlike_long_lines_are_told_apart_by_counts(monkeypatch):
+    """Of few characters, so that their pairs of characters are much the same."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("aehnrst") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    lines = [" ".join(rng.choice(words) for _ in range(300))[:1400] for _ in range(30)]
+    calls = []
+    monkeypatch.setattr(line_dedup, "edit_distance", lambda *a: calls.append(a) or 0)
+    assert not line_dedup.alike(lines[:15], lines[15:]).any() and not calls
+
+
+def test_groups_name_their_least_indexed_line():
+    """Lines that share pieces, by entries as the tasks send them."""
+    rng = random.Random(10)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(200))
+    texts = [base[:i] + "x" + base[i + 1:] for i in range(0, 200, 7)] + ["".join(rng.choice("ab") for _ in range(200)) for _ in range(9)]
+    lines = pa.RecordBatch.from_arrays([pa.array(range(5, 5 + len(texts)), pa.int64()), pa.array(texts)], ["id", "norm"])
+    rows = []
+    for blobs in line_dedup._sender(3)([lines]):
+        for bucket in sorted(set(blobs["bucket"].to_pylist())):
+            rows += [r for b in line_dedup._meet([blobs.filter(pa.array([x == bucket for x in blobs["bucket"].to_pylist()]))]) for r in b.to_pylist()]
+    least = {}
+    for r in rows:
+        if r["indexed"]:
+            least[r["gid"]] = min(least.get(r["gid"], r["id"]), r["id"])
+    assert len(rows) > 100 and all(r["lead"] == least[r["gid"]] for r in rows)
